@@ -191,4 +191,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
-ORACLE_ROWS = "SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS sha, url FROM pages"
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha, {5 * i + 1}, 5))::BIGINT >> {shift}) & 31)::INT, 1)" for i in range(8) for shift in (15, 10, 5, 0)
+)
+ORACLE_SQL = f"""
+WITH digests AS (SELECT page_id, url, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+firsts AS (SELECT *, max(page_id) OVER (PARTITION BY sha) AS first_id FROM digests)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to, url
+FROM firsts
+"""
