@@ -1,17 +1,19 @@
 """Operator 8, n-gram Jaccard join: prefix filters under several global token orders.
 
-A document's set are its distinct word shingles. Two sets of the wanted similarity share a token among the first
-|x| - ceil(t |x|) + 1 tokens of each under any order that holds for all documents. Candidates must pass that under three orders;
+A document's set are its distinct word shingles. Two sets of the wanted similarity share at least k tokens among the first
+|x| - ceil(t |x|) + k of each under any order that holds for all documents. Candidates must pass that under three orders;
 then the sets themselves are compared. Each order sorts tokens known to be frequent last, by magnitude, and the rest by a keyed
 hash; the list of frequent tokens only shapes the orders, so the result doesn't depend on it.
 
 1. Equal sets become one node. All further work is on nodes.
-2. Nodes that share their very first token under one of the orders are compared with a few leaders of that group: a number of
-   pairs in proportion to the nodes, that joins most copies into components.
-3. Prefix tokens under the first order whose nodes lie in several components give candidates across components; their
-   prefixes under the second and third order must meet too; then they are verified. Groups within one component, as large ones are, give none.
+2. Nodes that share their smallest token under one of three plain hashes are held against a few leaders of that group, pairs in
+   proportion to the nodes. Those with a good part of their sketches (smallest hashes) in common are kin: chains of kin are
+   families, and kin that prove similar enough form the first components.
+3. Inside a family, nodes of different components are compared block by block, in tasks of bounded size.
+4. Across families, prefixes under the first order give the candidates; those under the second and third must meet too.
 
-No link between different components is lost; which links inside a component are looked at doesn't change it.
+So families, the dense part, never become rows of pairs, and pairs across them are rare. Every link between different
+components is found; which links inside a component are looked at doesn't change it.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; texts of fewer words than a shingle
 are one shingle; repeated rows are linked (their smallest doc_id is their own); a null doc_id never is a component_id unless
@@ -34,8 +36,12 @@ from .common import broadcast_if_small, materialize, table
 from .graph import components
 
 ORDERS = 3
-#: A token is listed as frequent by a task that meets it in this share of its documents, and 8 times; the list holds so many at most.
-FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_TOKENS, CHUNK_TOKENS = 1 / 200, 8, 500_000, 2_000_000
+#: A token is listed as frequent by a task that meets it in this share of its documents, and 3 times; the list holds so many at most.
+FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_TOKENS, CHUNK_TOKENS = 1 / 2000, 3, 500_000, 4_000_000
+#: Prefixes are so much longer that pairs must share this many of their tokens, or all that similar sets need to share.
+SHARED = 3
+#: Kin share this part of their sketches of so many smallest hashes; nodes of a family meet in blocks of so many.
+KIN_PERCENT, SKETCH, BLOCK = 60, 32, 512
 CACHE_WORDS, CACHE_SETS = 1_000_000, 64
 _K = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
@@ -84,7 +90,8 @@ def shingle_set(text: str | None, n: int) -> set[bytes]:
 
 
 def prefix_length(size: int, percent: int) -> int:
-    return size + percent * size // -100 + 1
+    """Any set that is similar enough shares SHARED tokens with these first ones, or all it must share if these are fewer."""
+    return min(size, size + percent * size // -100 + SHARED)
 
 
 def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +135,7 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 own = tokens_of(text, n)
                 m = len(own)
                 if not m:
-                    rows.append((None, 0, None, None, None, None))
+                    rows.append((None, 0, None, None, None, None, None))
                     continue
                 level = np.zeros(m, dtype=np.uint64)
                 if len(often):
@@ -136,20 +143,22 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     level = np.where(often[at] == own, magnitude[at], np.uint64(0))
                 p, firsts, prefixes = prefix_length(m, percent), [], []
                 for seed in _SEEDS:
-                    keys = (level << np.uint64(56)) | (_mix(own, seed) >> np.uint64(8))
-                    small = np.argpartition(keys, p - 1)[:p] if p < m else np.arange(m)
-                    firsts.append(own[small[np.argmin(keys[small])]])
-                    prefixes.append(own[small])
+                    plain = _mix(own, seed)
+                    firsts.append(own[np.argmin(plain)])
+                    if not prefixes:
+                        sketch = np.partition(plain, SKETCH - 1)[:SKETCH] if m > SKETCH else plain
+                    keys = (level << np.uint64(56)) | (plain >> np.uint64(8))
+                    prefixes.append(own[np.argpartition(keys, p - 1)[:p]] if p < m else own)
                 # for the second and third order half of a hash is enough: a chance match costs one comparison
-                rest = [(x >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in prefixes[1:]]
+                rest = [(x >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in (sketch, *prefixes[1:])]
                 rows.append((hashlib.blake2b(own.tobytes(), digest_size=16).digest(), m, np.array(firsts).view(np.int64), prefixes[0].view(np.int64), *rest))
-            out = pd.DataFrame(rows, columns=["node", "n_shingles", "firsts", "prefix_1", "prefix_2", "prefix_3"])
+            out = pd.DataFrame(rows, columns=["node", "n_shingles", "firsts", "prefix_1", "sketch_0", "prefix_2", "prefix_3"])
             out.insert(0, "text_key", batch["text_key"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64"))
             yield out
 
     keyed = docs.select("doc_id", "text", text_key().alias("text_key"))
-    return keyed.mapInPandas(sign, "doc_id long, text_key binary, node binary, n_shingles long, firsts array<long>, prefix_1 array<long>, prefix_2 array<int>, prefix_3 array<int>")
+    return keyed.mapInPandas(sign, "doc_id long, text_key binary, node binary, n_shingles long, firsts array<long>, prefix_1 array<long>, sketch_0 array<int>, prefix_2 array<int>, prefix_3 array<int>")
 
 
 def text_key() -> F.Column:
@@ -197,45 +206,132 @@ def _similar_sizes(a: str, b: str, percent: int) -> F.Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+
+
+def _with_prefixes(pairs: DataFrame, nodes: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
+    """pairs (a, b) with the named prefixes of both, as a_1, b_1 and so on."""
+    ids = _ends(pairs).distinct()
+    known = nodes.select("id", *prefixes).join(broadcast_if_small(ids, ids.count()), "id", "left_semi")
+    for end in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("id").alias(end), *[F.col(p).alias(f"{end}_{p[-1]}") for p in prefixes]), end)
+    return pairs
+
+
+def _links_within(docs: DataFrame, nodes: DataFrame, grouped: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the different labels inside each family of grouped (id, family, label).
+
+    A family's most frequent label needs no comparisons inside itself: its members are dealt into blocks on one side, all others
+    into blocks on the other; each pair of blocks with different labels is a group of at most about 2 * BLOCK texts.
+    """
+    sizes = grouped.groupBy("family", "label").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("family").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"))
+    split = split.filter("labels > 1").select("family", F.col("most.label").alias("main"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("main_blocks"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int").alias("rest_blocks"))
+    split = materialize(split, "split")
+    own = grouped.join(broadcast_if_small(split, split.count()), "family").withColumn("rest", F.col("label") != F.col("main"))
+    own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("rest_blocks")).otherwise(F.col("main_blocks"))).cast("int"))
+    upto = lambda count: F.sequence(F.lit(0), count - 1)
+    to_main = F.transform(upto(F.col("main_blocks")), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("left"), F.col("block").alias("right")))
+    to_rest = F.transform(upto(F.col("rest_blocks")), lambda i: F.struct(F.lit(1).alias("kind"), F.least(i, F.col("block")).alias("left"), F.greatest(i, F.col("block")).alias("right")))
+    from_main = F.transform(upto(F.col("rest_blocks")), lambda i: F.struct(F.lit(0).alias("kind"), F.col("block").alias("left"), i.alias("right")))
+    meets = F.when(F.col("rest"), F.concat(to_main, to_rest)).otherwise(from_main)
+    dealt = own.select("id", "family", "label", F.explode(meets).alias("meet"))
+    texts = texts_of(docs, nodes, own.select("id"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, labels, found = rows["id"].tolist(), rows["label"].tolist(), []
+        both, sizes = intersections([tokens_of(t, n) for t in rows["text"]])
+        root: dict[int, int] = {}
+
+        def of(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                x = up
+            return x
+
+        similar = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+        sets: dict[int, set[bytes]] = {}
+        for i, j in np.argwhere(np.triu(similar, 1)).tolist():
+            x, y = of(labels[i]), of(labels[j])
+            if x == y:
+                continue
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = shingle_set(rows["text"].iloc[k], n)
+            common = len(sets[i] & sets[j])
+            if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                root[max(x, y)] = min(x, y)
+                found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return dealt.join(texts, "id").groupBy("family", "meet").applyInPandas(compare, "a long, b long")
+
+
+def intersections(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of all intersections of sorted token arrays, by products of incidence matrices; and the sizes of the sets."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times[column] > 1
+    owner, column = owner[often], np.unique(column[often], return_inverse=True)[1] if often.any() else column[often]
+    both = np.diag(sizes).astype(np.float64)
+    total = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    width = 4096
+    by = np.argsort(column, kind="stable")
+    owner, column = owner[by], column[by]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [low, low + width])
+        m = np.zeros((len(sets), width), dtype=np.float32)
+        m[owner[a:b], column[a:b] - low] = 1
+        total += m @ m.T
+    np.fill_diagonal(total, np.diag(both))
+    return total.astype(np.int64), sizes
+
+
 def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_key, node, n_shingles) of docs (doc_id, text), and the nodes (node, members, n_links > 0 as linked, label, min_id, component_id)."""
     rows = materialize(signatures(docs, n, percent), "signatures")
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(
         F.count("*").alias("members"), F.min("doc_id").alias("min_id"),
-        F.first(F.struct("text_key", "n_shingles", "firsts", "prefix_1", "prefix_2", "prefix_3")).alias("s"),
+        F.first(F.struct("text_key", "n_shingles", "firsts", "prefix_1", "sketch_0", "prefix_2", "prefix_3")).alias("s"),
     )
     # ids are given once, as the nodes are stored
     nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("id"), "node", "members", "min_id", "s.*"), "nodes")
 
+    # kin: nodes whose sketches overlap well with that of a leader of a group of equal smallest hashes
     firsts = nodes.select("id", F.col("n_shingles").alias("size"), F.posexplode("firsts").alias("order", "token"))
     leaders = firsts.groupBy("order", "token").agg(F.count("*").alias("n"), F.array_distinct(F.array(F.min("id"), F.max("id"), F.min_by("id", "size"), F.max_by("id", "size"))).alias("leaders")).filter("n > 1")
     stars = firsts.join(leaders, ["order", "token"]).select("id", F.explode("leaders").alias("leader")).filter("id <> leader")
     stars = materialize(stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "stars")
-    texts = texts_of(docs, nodes, stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))))
-    near = materialize(verified(stars, texts, n, percent), "near")
+    shared = F.size(F.array_intersect("a_0", "b_0"))
+    kin = materialize(_with_prefixes(stars, nodes, ("sketch_0",)).filter(100 * shared >= KIN_PERCENT * F.least(F.size("a_0"), F.size("b_0"))).select("a", "b"), "kin")
+    families = components(kin)
+    near = materialize(verified(kin, texts_of(docs, nodes, _ends(kin)), n, percent), "near")
     labels = components(near)
 
-    labelled = labels.count()
-    slim = nodes.select("id", F.col("n_shingles").alias("size"), "prefix_1").join(broadcast_if_small(labels, labelled), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    held = slim.select(F.explode("prefix_1").alias("token"), "id", "size", "label")
-    mixed = materialize(held.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token"), "mixed")
+    # within families, nodes of different components meet in blocks
+    grouped = materialize(nodes.select("id", F.col("n_shingles").alias("size"), "text_key").join(families.withColumnRenamed("label", "family"), "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "families")
+    found = materialize(_links_within(docs, nodes, grouped, n, percent), "within")
+    if not found.isEmpty():
+        near = near.union(found)
+        labels = components(near)
+
+    # across families, prefixes must share so many tokens under the first order, and some under each of the others
+    count = families.count()
+    slim = nodes.select("id", F.col("n_shingles").alias("size"), "prefix_1").join(broadcast_if_small(families, count), "id", "left").withColumn("family", F.coalesce("label", "id"))
+    held = slim.select(F.explode("prefix_1").alias("token"), "id", "size", "family")
+    mixed = materialize(held.groupBy("token").agg(F.min("family").alias("low"), F.max("family").alias("high")).filter("low <> high").select("token"), "mixed")
     held = materialize(held.join(broadcast_if_small(mixed, mixed.count()), "token", "left_semi"), "held")
-    other = held.select("token", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
-    met = held.join(other, "token").filter((F.col("id") < F.col("b")) & (F.col("label") != F.col("label_b")) & _similar_sizes("size", "size_b", percent))
-    met = materialize(met.select(F.col("id").alias("a"), "b").distinct(), "met")
-    prefixes = nodes.select("id", "prefix_2", "prefix_3")
-    left = prefixes.select(F.col("id").alias("a"), F.col("prefix_2").alias("a_2"), F.col("prefix_3").alias("a_3"))
-    right = prefixes.select(F.col("id").alias("b"), F.col("prefix_2").alias("b_2"), F.col("prefix_3").alias("b_3"))
-    ids = met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id"))).distinct()
-    few = broadcast_if_small(ids, met.count() * 2)
-    left, right = left.join(few.select(F.col("id").alias("a")), "a", "left_semi"), right.join(few.select(F.col("id").alias("b")), "b", "left_semi")
-    met = met.join(left, "a").join(right, "b").filter(F.arrays_overlap("a_2", "b_2") & F.arrays_overlap("a_3", "b_3")).select("a", "b")
+    other = held.select("token", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("family").alias("family_b"))
+    met = held.join(other, (held["token"] == other["token"]) & (held["id"] < other["b"]) & (held["family"] != other["family_b"]) & _similar_sizes("size", "size_b", percent))
+    met = met.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("shared"), F.max(F.greatest("size", "size_b")).alias("size"))
+    met = materialize(met.filter(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(percent * F.col("size") / 100))).select("a", "b"), "met")
+    met = _with_prefixes(met, nodes, ("prefix_2", "prefix_3")).filter(F.arrays_overlap("a_2", "b_2") & F.arrays_overlap("a_3", "b_3")).select("a", "b")
     met = materialize(met, "candidates")
-    texts = texts_of(docs, nodes, met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id"))))
-    more = materialize(verified(met, texts, n, percent), "more")
+    more = materialize(verified(met, texts_of(docs, nodes, _ends(met)), n, percent), "more")
     if not more.isEmpty():
         labels = components(near.union(more))
-        labelled = labels.count()
+    labelled = labels.count()
     named = nodes.select("id", "node", "members", "min_id").join(broadcast_if_small(labels, labelled), "id", "left")
     named = named.withColumn("linked", F.col("label").isNotNull()).withColumn("label", F.coalesce("label", "id"))
     lowest = named.filter("linked").groupBy("label").agg(F.min("min_id").alias("low"))
