@@ -1,0 +1,211 @@
+"""Each training-data operator against brute force, and on nulls, empty and odd rows."""
+
+import collections
+import hashlib
+import random
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from strandlake.llm import decontamination, html_text, mixing, ngram_join, pii, quality, queries, resampling, suffix_dedup, token_counts, warc
+
+DATA = "/root/testdata/sf0.001"
+ODD = [(None, None, None), (1, "", "s"), (1, "", "s"), (2, "one", None), (3, "a b c d e f g " * 40, "s"), (3, "a b c d e f g " * 40, "s"), (4, "é ü 漢字   x\x1cy", "t"), (5, "word " * 30_000, "t")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd rows, with further columns whose names operators use themselves."""
+    df = spark.createDataFrame(ODD, "doc_id long, text string, source string")
+    return df.withColumns({"size": F.lit("x"), "kept": F.lit(7), "id": F.lit("y"), "doc": F.lit(1), "label": F.lit(2), "q": F.lit(3), "n_chars": F.length("text").cast("long")})
+
+
+@pytest.mark.parametrize("name", queries.ORACLES)
+def test_equals_sql(spark, name):
+    duck = duckdb.connect()
+    for t in ("documents", "pages"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, DATA).toPandas(), duck.sql(queries.ORACLES[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    got, want = (x[columns].sort_values(columns).reset_index(drop=True).fillna(-9) for x in (got, want))
+    assert (got.values == want.values).all()
+
+
+def test_pii_validates_and_links(spark):
+    text = "a 4111 1111 1111 1111 b 4111-1111-1111-1111 c 4111111111111112 d 10.1.2.3 e 999.1.1.1 f 1999-03-20 g 1999-02-30 h joe@x.org i 123-45-6789 j DE89 3704 0044 0532 0130 00"
+    rows = spark.createDataFrame([(1, text), (2, "again 4111111111111111."), (3, None), (4, "")], "doc_id long, text string")
+    out = {r.doc_id: r.pii for r in pii.with_pseudonyms(rows).collect()}
+    kinds = collections.Counter(x.kind for x in out[1].found)
+    assert kinds == {"card": 2, "ip": 1, "date": 1, "email": 1, "ssn": 1, "iban": 1}
+    card = [x.value for x in out[1].found if x.kind == "card"]
+    digits = [int(c) for c in reversed(card[0].replace(" ", ""))]
+    assert (sum(digits[::2]) + sum(2 * d - 9 * (d > 4) for d in digits[1::2])) % 10 == 0
+    assert card[0].replace(" ", "") == card[1].replace("-", "") == out[2].found[0].value != "4111111111111111"
+    assert "4111111111111112" in out[1].text and "999.1.1.1" in out[1].text and "1999-02-30" in out[1].text
+    bank = next(x.value for x in out[1].found if x.kind == "iban").replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in bank[4:] + bank[:4])) % 97 == 1
+    assert out[3].text is None and out[4].text == ""
+
+
+def test_pii_is_a_permutation(spark):
+    days = spark.range(0, pii.DATE_ROWS * pii.DATE_COLUMNS, 97)
+    assert days.select(pii.feistel_number(F.col("id"), "date", pii.DATE_ROWS, pii.DATE_COLUMNS).alias("x")).distinct().count() == days.count()
+    codes = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("t"))
+    assert codes.select(pii.feistel_text(F.col("t"), "k").alias("x")).distinct().count() == 1000
+
+
+def test_decontamination_equals_brute_force(spark):
+    docs, items = pd.read_parquet(f"{DATA}/documents.parquet"), pd.read_parquet(f"{DATA}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id) for r in decontamination.op2_decontamination(spark, DATA).collect()}
+    want = set()
+    for i, text in zip(docs.doc_id, docs.text, strict=True):
+        words = decontamination.words_of(text)
+        for j, item in zip(items.item_id, items.text, strict=True):
+            if all(decontamination.overlap(p, words) >= 0.5 for p in decontamination.parts_of(item)):
+                want.add((i, j))
+    assert got == want and got
+
+
+def test_search_equals_exhaustive():
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rnd.choices(words, k=rnd.randint(3, 30)))) for i in range(60)]
+    df = collections.Counter(w for _, t in items for w in set(t.split()))
+    index = decontamination.ImpactIndex(items, df, len(items), 15.0)
+    for _ in range(200):
+        terms = [index.terms[w] for w in set(rnd.choices(words, k=12)) if w in index.terms]
+        score = collections.Counter()
+        for t in terms:
+            for own in index.blocks[t].values():
+                for k, w in own:
+                    score[k] += w
+        want = sorted(k for k, s in score.items() if s >= 0.5)
+        assert sorted(k for k, _ in index.search(terms, 0.5)) == want
+
+
+def test_html(spark):
+    page = (
+        "<html><head><title>T</title></head><body><header>Top of the site</header><nav><a href='/'>Home</a></nav><div class='cookie-notice'>We use cookies on this site and you accept it.</div>"
+        "<article><h1>Title</h1><p>This is the first of the paragraphs &amp; it is long enough to be good.<p>Short.<script>var x = '<p>no</p>';</script></article>"
+        "<div id='comments'><p>I think that this is a comment by a reader of it.</p></div><footer>&copy; x</footer></body></html>"
+    )
+    assert html_text.extract(page) == "Title\nThis is the first of the paragraphs & it is long enough to be good.\nShort."
+    for odd in (None, "", "<", "<p", "a < b", "<p>x</div></p></p>", "<!-- x", "<a" * 50):
+        html_text.extract(odd)
+    assert html_text.settle([True, None, False], [False] * 3) == [True, False, False]
+    assert html_text.op3_html_extraction(spark, DATA).filter("text = ''").count() == 0
+
+
+def test_mixing(spark, odd):
+    planned = mixing.plan_mix(odd).collect()
+    assert len(planned) == len(ODD)
+    sizes = {r.doc.source: r.source_size for r in planned}
+    assert sizes == {None: 1, "s": 560, "t": 30_000 + len(ODD[6][1].encode().split())}
+    total, target = sum(sizes.values()), sum({r.doc.source: r.target for r in planned}.values())
+    assert target == pytest.approx(1.5 * total) and all(r.target <= 2 * r.source_size + 1e-6 and r.copies <= 2 for r in planned)
+    assert mixing.mix(odd).columns == odd.columns
+    assert mixing.mix(odd.limit(0)).count() == 0
+
+
+def test_resampling(spark):
+    docs = [(i, "good words stand here in good order " * 5) for i in range(60)] + [(i, "%%% $$$ ### junk!! " * 8) for i in range(60, 100)] + [(None, None), (100, "")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i,) for i in range(30)], "doc_id long")
+    out = resampling.resample(rows, labels, 60 / 102).collect()
+    kept = {r.doc_id for r in out if r.kept}
+    assert len(out) == 102 and len(kept) == 60 and kept == set(range(60))
+    keys = spark.createDataFrame([(float(x),) for x in np.random.default_rng(1).normal(size=3000)] + [(9.0,)] * 5, "k double")
+    order = sorted((r.k for r in keys.collect()), reverse=True)
+    assert all(resampling.largest(keys, "k", k) == order[k - 1] for k in (1, 5, 6, 1000, 3005))
+
+
+def test_resampling_separates_held_out_labels(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    fit, held = labels.filter("doc_id % 2 = 0"), labels.filter("doc_id % 2 = 1")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    out = resampling.resample(docs, fit.filter("quality = 1"), 0.85).join(held, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept"))
+    share = {r.quality: r.kept for r in out.collect()}
+    assert share[1] > 0.9 and share[0] < 0.3
+
+
+def test_warc_round_trip(spark):
+    rows = [(1, "u", "aa"), (2, "u", "aa"), (3, None, None), (4, "x", ""), (None, "y", "aa"), (5, "z", "é" * 70_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = warc.write_archives(pages, warc.scratch_path(spark, "warc-test"))
+    for split in (13, 100, 1 << 20):
+        got = {r.page_id: r for r in warc.read_archives(manifest, split).collect()}
+        assert len(got) == 6
+        assert (got[1].record_type, got[1].refers_to, got[1].payload_bytes) == ("revisit", 2, 2)
+        assert (got[None].record_type, got[None].refers_to) == ("revisit", 2) and got[3].refers_to == 4
+        assert got[5].payload == ("é" * 70_000).encode() and got[2].record_type == "response"
+    assert warc.read_archives(warc.write_archives(pages.limit(0), warc.scratch_path(spark, "warc-test"))).count() == 0
+
+
+def covered(texts, match):
+    starts = collections.Counter(t[i : i + match] for t in texts for i in range(len(t) - match + 1))
+    out = []
+    for t in texts:
+        runs = suffix_dedup.merged([(i, i + match) for i in range(len(t) - match + 1) if starts[t[i : i + match]] > 1])
+        gone = {k for a, b in runs for k in range(a, b)}
+        kept = bytes(c for k, c in enumerate(t) if k not in gone)
+        out.append((len(t), len(gone), len(runs), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("many", [suffix_dedup.MANY, 1])
+def test_suffix_dedup_equals_brute_force(spark, many):
+    rnd = random.Random(5)
+    noise = lambda n: "".join(rnd.choice("abcé ") for _ in range(n))
+    base = noise(900)
+    texts = ["a" * 1000, "ab" * 300, base, "x" + base[100:700] + "y", base[200:800] * 2, "", None, "b" * 399, base[:450] + "q" + base[451:]]
+    texts += [noise(rnd.randint(0, 30)) + base[300:720] + noise(rnd.randint(0, 30)) for _ in range(20)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), many=many).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == covered([(t or "").encode() for t in texts], 400)
+
+
+def test_suffix_array():
+    rnd = random.Random(1)
+    for _ in range(200):
+        b = bytes(rnd.choice(b"ab\xc3 ") for _ in range(rnd.randint(1, 60))) * rnd.randint(1, 2)
+        assert suffix_dedup.suffix_array(b, 1000).tolist() == sorted(range(len(b)), key=lambda p: b[p:])
+
+
+def test_ngram_join_on_odd_rows(spark, odd):
+    kept = ngram_join.keep_one(odd)
+    assert kept.columns == odd.columns
+    # the empty and the null text are linked with nothing; each pair of equal texts leaves one row
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.select("doc_id").collect()) == [(False, 1), (False, 1), (False, 2), (False, 3), (False, 4), (False, 5), (True, 0)]
+    assert ngram_join.keep_one(odd.limit(0)).count() == 0
+
+
+def test_intersections():
+    rnd = np.random.default_rng(2)
+    sets = [np.unique(rnd.integers(0, 60, size=rnd.integers(1, 40))).astype(np.uint64) for _ in range(30)]
+    both, sizes = ngram_join.intersections(sets)
+    assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(30) for j in range(30)) and sizes.tolist() == [len(s) for s in sets]
+
+
+def test_token_counts_equal_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_counts.VOCABULARY)
+    library, own = Tokenizer.from_file(path), token_counts.PairCounter(path)
+    texts = list(pd.read_parquet(f"{DATA}/documents.parquet").text)
+    texts += ["", "<|endoftext|>a<|startoftext|> B", "don't WE'LL x's 'S", "İSTANBUL ΣΑΣ ΟΔΟΣ", "a\x1cb c", " x\x85y　z", "１２3½ⅷ", "🤖👩‍👧x", "हिन्दी ไทย", "<|endoftext|"]
+    assert [own.count(t) for t in texts] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert own.count(None) == 0
+
+
+def test_quality(spark, odd):
+    assert quality.judge(None)[0] == 0 and not quality.judge("")[9]
+    clean = "This is one of the good lines of a text that is kept.\n" * 1 + "Here follows another line, with other words in it, that ends well."
+    assert quality.judge(clean)[9]
+    noisy = clean + "\nhome\n" + "a% b$ c# d| e& f* g< h>\n" * 5
+    verdict = quality.judge(noisy)
+    assert not verdict[9] and verdict[10].startswith(clean)
+    assert quality.keep_good(odd).columns == odd.columns and quality.keep_good(odd.limit(0)).count() == 0
