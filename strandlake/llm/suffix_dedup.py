@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, materialize, table
 
 MATCH, GRAM, MANY = 400, 32, 5_000
-BLOCK, ARRAY_BYTES, TASK_BYTES = 1 << 20, 2 << 20, 8 << 20
+BLOCK, ARRAY_BYTES, TASK_BYTES, ROWS = 1 << 20, 2 << 20, 8 << 20, 20_000
 SEPARATOR = b"\xff"  # no byte of UTF-8
 _INDEX = np.uint64((1 << 24) - 1)
 
@@ -189,6 +189,9 @@ def repeated_runs(docs: DataFrame, match: int = MATCH, many: int = MANY) -> Data
                     for start, count, place, anchor in segments(np.frombuffer(raw, dtype=np.uint8), match):
                         content = xxhash.xxh3_64_intdigest(raw[start : start + count + match - 1], seed=place - start)
                         out.append((key, anchor, content - (1 << 63), start, count))
+                if len(out) >= ROWS:
+                    yield pd.DataFrame(out, columns=["text_key", "anchor", "content", "start", "count"])
+                    out = []
             yield pd.DataFrame(out, columns=["text_key", "anchor", "content", "start", "count"])
 
     texts = docs.select(_key(), "text")
@@ -222,11 +225,16 @@ def _compared(texts: DataFrame, wanted: DataFrame, match: int) -> DataFrame:
     asked = wanted.groupBy("text_key").agg(F.collect_list(F.struct("anchor", "content", "start", "count", "many")).alias("asked"))
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["anchor", "content", "count", "many", "piece"]
         for batch in batches:
+            rows: list[tuple] = []
             for text, asked in zip(batch["text"].array, batch["asked"].array, strict=True):
                 raw = _raw(text)
-                rows = [(x["anchor"], x["content"], x["count"], x["many"], raw[x["start"] : x["start"] + x["count"] + match - 1]) for x in asked]
-                yield pd.DataFrame(rows, columns=["anchor", "content", "count", "many", "piece"])
+                rows += [(x["anchor"], x["content"], x["count"], x["many"], raw[x["start"] : x["start"] + x["count"] + match - 1]) for x in asked]
+                if len(rows) >= ROWS // 4:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     pieces = materialize(own.join(asked, "text_key").mapInPandas(fetch, "anchor long, content long, count int, many boolean, piece binary"), "pieces")
     size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
@@ -270,32 +278,43 @@ def _compared(texts: DataFrame, wanted: DataFrame, match: int) -> DataFrame:
     return sorted_.unionByName(counted.mapInPandas(gather, f"anchor long, content long, spans {SPANS}"))
 
 
-def remove_repeats(docs: DataFrame, match: int = MATCH, many: int = MANY) -> DataFrame:
-    """(doc_id, text_left binary, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs (doc_id, text)."""
+def remove_repeats(docs: DataFrame, match: int = MATCH, many: int = MANY, with_text: bool = True) -> DataFrame:
+    """(doc_id, text_left binary, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs (doc_id, text).
+
+    Without with_text the bytes left are only counted and digested.
+    """
     runs = repeated_runs(docs, match, many)
     long = runs.agg(F.count("*") + F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
     rows = docs.select("doc_id", "text", _key()).join(broadcast_if_small(runs, long), "text_key", "left")
 
+    def made(ids: list, out: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=["text_left", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        frame.insert(0, "doc_id", pd.array(ids, dtype="Int64"))
+        return frame
+
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for text, own in zip(batch["text"].array, batch["runs"].array, strict=True):
+            ids, out, size = [], [], 0
+            for doc_id, text, own in zip(batch["doc_id"].array, batch["text"].array, batch["runs"].array, strict=True):
                 raw, at, left = _raw(text), 0, []
                 own = own if own is not None else []
                 for x in own:
                     left.append(raw[at : x["a"]])
                     at = x["b"]
                 kept = b"".join(left) + raw[at:]
-                out.append((kept, len(raw), len(raw) - len(kept), len(own), hashlib.sha256(kept).hexdigest()))
-            made = pd.DataFrame(out, columns=["text_left", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            made.insert(0, "doc_id", batch["doc_id"].astype("Int64"))
-            yield made
+                ids.append(None if pd.isna(doc_id) else int(doc_id))
+                out.append((kept if with_text else None, len(raw), len(raw) - len(kept), len(own), hashlib.sha256(kept).hexdigest()))
+                size += len(kept)
+                if size > TASK_BYTES:
+                    yield made(ids, out)
+                    ids, out, size = [], [], 0
+            yield made(ids, out)
 
     return rows.select("doc_id", "text", "runs").mapInPandas(finish, "doc_id long, text_left binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text_left")
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), with_text=False).drop("text_left")
 
 
 # Bytes as characters of Latin-1's range would need a second text; hex digits, two a byte, are cut and joined instead.
