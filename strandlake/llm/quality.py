@@ -10,6 +10,7 @@ neither judged nor counted; repeated rows and equal doc_ids are judged row by ro
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,8 @@ SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, "
     "n_failed_lines long, n_clean_words long, base_failed boolean, kept boolean, clean_text string"
 )
+#: Rows of a frame handed on; cleaned texts of a whole batch aren't held at once.
+FRAME = 256
 _SPACE = b" \t\n\r\x0b\x0c"
 _BOILER = re.compile("|".join(map(re.escape, BOILERPLATE)))
 _NAV = frozenset(NAVIGATION)
@@ -106,12 +109,18 @@ def judge(text: str | None) -> tuple:
 
 
 def quality_report(text: str | Column) -> Column:
-    """A struct of SCHEMA's values for each text."""
+    """A struct of SCHEMA's values for each text.
 
-    def report(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([judge(x) for x in texts], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+    Results leave in frames of FRAME rows. The function counts as nondeterministic so that a filter on its result doesn't
+    make Spark run it a second time below the filter.
+    """
 
-    return F.pandas_udf(report, SCHEMA)(text)
+    def report(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            for at in range(0, len(texts), FRAME):
+                yield pd.DataFrame([judge(x) for x in texts.array[at : at + FRAME]], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    return F.pandas_udf(report, SCHEMA).asNondeterministic()(text)
 
 
 def with_quality(docs: DataFrame, text: str | Column = "text", out: str = "quality") -> DataFrame:
