@@ -37,12 +37,14 @@ from .graph import components
 
 ORDERS = 3
 #: A token is listed as frequent by a task that meets it in this share of its documents, and 3 times; the list holds so many at most.
-FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_TOKENS, CHUNK_TOKENS = 1 / 2000, 3, 500_000, 4_000_000
+FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_TOKENS, CHUNK_TOKENS = 1 / 2000, 3, 500_000, 2_000_000
 #: Prefixes are so much longer that pairs must share this many of their tokens, or all that similar sets need to share.
 SHARED = 3
 #: Kin share this part of their sketches of so many smallest hashes; nodes of a family meet in blocks of so many.
 KIN_PERCENT, SKETCH, BLOCK = 60, 32, 512
-CACHE_WORDS, CACHE_SETS = 1_000_000, 64
+CACHE_WORDS, CACHE_SETS = 200_000, 64
+#: Rows of a frame of signatures handed on; those of a whole batch aren't held at once.
+FRAME = 512
 _K = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
 
@@ -129,7 +131,7 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often, magnitude = frequent.value
-        for batch in batches:
+        for batch in (whole.iloc[at : at + FRAME] for whole in batches for at in range(0, len(whole), FRAME)):
             rows = []
             for text in batch["text"].array:
                 own = tokens_of(text, n)
@@ -153,8 +155,8 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 rest = [(x >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in (sketch, *prefixes[1:])]
                 rows.append((hashlib.blake2b(own.tobytes(), digest_size=16).digest(), m, np.array(firsts).view(np.int64), prefixes[0].view(np.int64), *rest))
             out = pd.DataFrame(rows, columns=["node", "n_shingles", "firsts", "prefix_1", "sketch_0", "prefix_2", "prefix_3"])
-            out.insert(0, "text_key", batch["text_key"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64"))
+            out.insert(0, "text_key", batch["text_key"].array)
+            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
             yield out
 
     keyed = docs.select("doc_id", "text", text_key().alias("text_key"))
