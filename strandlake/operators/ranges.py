@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,3 +63,27 @@ def nearest(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id:
 def tiles(intervals: DataFrame, start: str, end: str, width: int) -> DataFrame:
     """One row for each tile an interval covers."""
     return intervals.withColumn("tile", F.explode(_bins(F.col(start), F.col(end) - 1, width)))
+
+
+_REGION = re.compile(r"([^:]+)(?::(\d+)(?:-(\d+))?)?")
+
+
+def in_region(region: str, ref: Column, start: Column, end: Column) -> Column:
+    """`name`, `name:first` or `name:first-last`, counted from 1, as a condition on half-open records counted from 0."""
+    found = _REGION.fullmatch(region)
+    if not found:
+        raise ValueError(f"no region: {region!r}")
+    name, first, last = found.groups()
+    out = ref == name
+    if first:
+        out = out & (end > int(first) - 1)
+    return out & (start < int(last)) if last else out
+
+
+def best_run(points: DataFrame, key: str, order: list[str], score: Column) -> DataFrame:
+    """(key, best): the highest sum of scores over neighbouring rows, 0 at least, as the largest rise of the running sum."""
+    w = Window.partitionBy(key).orderBy(*order)
+    summed = points.select(key, *order, F.sum(score).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_sum"))
+    lowest = F.least(F.min("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rise = summed.select(key, F.greatest(F.col("_sum") - lowest, F.lit(0)).alias("_rise"))
+    return rise.groupBy(key).agg(F.max("_rise").alias("best"))

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import alignment as A
+from strandlake.functions import pairwise
 from strandlake.functions import sequence as S
-from strandlake.operators import cluster, genotype, library, ranges, toolkit
+from strandlake.operators import cluster, genotype, library, population, ranges, toolkit
 
-from .views import ALIGNMENTS, INTERVALS, SEQUENCES, alignments, intervals, sequences, table
+from .views import ALIGNMENTS, INTERVALS, SEQUENCES, alignments, bases, intervals, sequences, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,8 +96,7 @@ d AS (SELECT doc_id, substr(seq, i + 1, 12) AS kmer FROM (SELECT doc_id, seq, un
 SELECT item_id, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM d JOIN (SELECT DISTINCT item_id, kmer FROM k) USING (kmer) GROUP BY item_id""")
 def j12_kmer_seeds(spark, sf_dir):
     bench = table(spark, sf_dir, "benchmark")
-    bases = F.regexp_replace(F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"), "[^ACGT]", "")
-    seeds = bench.select("item_id", F.explode(S.kmers(bases, 12)).alias("k")).select("item_id", "k.kmer").distinct()
+    seeds = bench.select("item_id", F.explode(S.kmers(bases(F.col("text")), 12)).alias("k")).select("item_id", "k.kmer").distinct()
     reads = sequences(spark, sf_dir).select("doc_id", F.explode(S.kmers(F.col("seq"), 12)).alias("k")).select("doc_id", "k.kmer")
     # hits are counted per read before they move on
     return reads.join(seeds, "kmer").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).groupBy("item_id").agg(F.sum("n").alias("hits"), F.count("*").alias("docs"))
@@ -305,3 +305,47 @@ def k04_merge_streams(spark, sf_dir):
     iv = intervals(spark, sf_dir)
     late = iv.filter("family = 'error'").select(F.concat(F.lit("late_"), "family").alias("family"), "sample_id", "event_id", F.col("end_us").alias("start_us"))
     return iv.filter(F.col("family").isin("click", "purchase")).select("family", "sample_id", "event_id", "start_us").unionByName(late)
+
+
+@query()
+def u01_smith_waterman(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.struct("conv_id", F.floor(F.col("turn") / 2).alias("pair")).alias("name"), (F.col("turn") % 2).alias("half"), bases(F.col("text")).alias("seq"))
+    paired = toolkit.mates(turns, "name", F.col("half") == 0, F.col("half") == 1, ["seq"])
+    return paired.select("name.conv_id", "name.pair", pairwise.local_alignment(F.col("seq_1"), F.col("seq_2")).alias("a")).select("conv_id", "pair", "a.*")
+
+
+@query(f"""WITH s AS (SELECT sample_id, sum(CASE WHEN end_us - start_us >= {50 * SECOND} THEN 2 ELSE -4 END) OVER (PARTITION BY sample_id ORDER BY start_us, event_id ROWS UNBOUNDED PRECEDING) AS s, start_us, event_id FROM ({INTERVALS})),
+r AS (SELECT sample_id, s - least(coalesce(min(s) OVER (PARTITION BY sample_id ORDER BY start_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS rise FROM s)
+SELECT sample_id, max(greatest(rise, 0))::BIGINT AS best FROM r GROUP BY sample_id""")
+def c09_best_run(spark, sf_dir):
+    score = F.when(F.col("end_us") - F.col("start_us") >= 50 * SECOND, 2).otherwise(-4)
+    return ranges.best_run(intervals(spark, sf_dir), "sample_id", ["start_us", "event_id"], score)
+
+
+@query(f"""{_GENOTYPE} SELECT site, sum(length(gt) - length(replace(gt, '1', '')))::BIGINT AS ac, sum(CASE WHEN gt = '.' THEN 0 ELSE 2 END)::BIGINT AS an FROM gt GROUP BY site""")
+def x08_allele_counts(spark, sf_dir):
+    return population.allele_counts(genotype.genotype(_evidence(spark, sf_dir)), "site", "gt")
+
+
+@query()
+def x02_allele_frequency(spark, sf_dir):
+    called = genotype.genotype(_evidence(spark, sf_dir)).filter("gt <> '.'")
+    # a site has one row a sample, so its array is as long as the list of samples
+    sites = called.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("sample", "gl_0", "gl_1", "gl_2"))).alias("gl"))
+    return sites.select("site", F.round(population.allele_frequency(F.col("gl")), 6).alias("frequency"))
+
+
+@query()
+def x05_fisher(spark, sf_dir):
+    flag, status = F.col("l_returnflag") == "N", F.col("l_linestatus") == "O"
+    count = lambda c: F.count(F.when(c, 1))
+    cells = table(spark, sf_dir, "lineitem").withColumn("late", F.col("l_linenumber") > 3).groupBy(F.col("l_suppkey").alias("site")).agg(
+        count(flag & F.col("late")).alias("a"), count(flag & ~F.col("late")).alias("b"), count(~flag & F.col("late")).alias("c"), count(~flag & ~F.col("late")).alias("d")
+    )
+    return cells.withColumn("p", F.round(population.fisher_exact(*[F.col(x) for x in "abcd"]), 6))
+
+
+@query(f"SELECT read_group, count(*) AS n FROM ({ALIGNMENTS}) WHERE ref_id = 2 AND pos < 900 AND pos + frag_len > 100 GROUP BY read_group")
+def s02_region_scan(spark, sf_dir):
+    inside = ranges.in_region("2:101-900", F.col("ref_id").cast("string"), F.col("pos"), F.col("pos") + F.col("frag_len"))
+    return alignments(spark, sf_dir).filter(inside).groupBy("read_group").agg(F.count("*").alias("n"))

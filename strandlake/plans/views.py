@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,9 +34,13 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 INTERVALS = "SELECT event_id, event_type AS family, user_id AS sample_id, epoch_us(ts) AS start_us, epoch_us(ts) + CAST(round(value * 1000000) AS BIGINT) AS end_us FROM events"
 
 
+def bases(text: Column) -> Column:
+    """A text's letters dealt over A, C, G and T."""
+    return F.regexp_replace(F.translate(F.lower(text), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"), "[^ACGT]", "")
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bases = F.regexp_replace(F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"), "[^ACGT]", "")
-    return table(spark, sf_dir, "documents").select("doc_id", bases.alias("seq"))
+    return table(spark, sf_dir, "documents").select("doc_id", bases(F.col("text")).alias("seq"))
 
 
 SEQUENCES = "SELECT doc_id, regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g') AS seq FROM documents"
