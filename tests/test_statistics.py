@@ -1,8 +1,8 @@
 """Alignment, best runs and population statistics against plain versions."""
 
 import math
-import re
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
