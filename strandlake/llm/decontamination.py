@@ -150,16 +150,16 @@ class ImpactIndex:
         return [{k: v for k, v in x.items() if k != "key"} for _, x in sorted(best.items())]
 
 
-_indexes: dict[int, ImpactIndex] = {}
+#: In each Python worker: the broadcast value last met and its index. Holding the value keeps later ones from taking its place.
+_held: list = []
 
 
 def _built(index: Broadcast) -> ImpactIndex:
-    """The index, made once in each Python worker."""
-    key = id(index.value)
-    if key not in _indexes:
-        _indexes.clear()
-        _indexes[key] = ImpactIndex(*index.value)
-    return _indexes[key]
+    """The index, made once for a value in each Python worker."""
+    value = index.value
+    if not _held or _held[0] is not value:
+        _held[:] = value, ImpactIndex(*value)
+    return _held[1]
 
 
 def item_blocks(benchmark: DataFrame) -> list[Broadcast]:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import types
 
 import duckdb
 import numpy as np
@@ -87,6 +88,14 @@ def test_search_equals_exhaustive():
         assert sorted(k for k, _ in index.search(terms, 0.5)) == want
 
 
+def test_index_follows_the_value():
+    # values of ended jobs are freed, and their place in memory is taken by those of later ones
+    for k in range(50):
+        value = ([(k, f"item {k} is asked here. The answer is {k}.")], collections.Counter(f"item {k} is asked here the answer is {k}".split()), 1, 9.0)
+        assert decontamination._built(types.SimpleNamespace(value=value)).ids == [k]
+        del value
+
+
 def test_html(spark):
     page = (
         "<html><head><title>T</title></head><body><header>Top of the site</header><nav><a href='/'>Home</a></nav><div class='cookie-notice'>We use cookies on this site and you accept it.</div>"
