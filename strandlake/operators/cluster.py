@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,17 @@ def clusters(linked: DataFrame, key: str, row: str, hops: int) -> DataFrame:
         up = own.select(F.col(key), F.col(row).alias("centre"), F.col("centre").alias("up"))
         own = own.join(up, [key, "centre"]).select(key, row, "density", F.col("up").alias("centre"))
     return own
+
+
+def statistics(members: DataFrame, keys: list[str], value: str, min_members: int = 2, min_std: float = -1.0) -> DataFrame:
+    """keys, members, mean, std (of the population), lowest and highest of clusters with so many members and a wider spread; -1 asks for no spread."""
+    own = members.groupBy(*keys).agg(
+        F.count(value).alias("members"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("lowest"), F.max(value).alias("highest")
+    )
+    return own.filter((F.col("members") >= min_members) & (F.col("std") > min_std))
+
+
+def strand_vote(pairs: DataFrame, keys: list[str], side: str, reverse: Column) -> DataFrame:
+    """keys and sense: a pair on side 3 votes +1 where its mate is reverse, one on side 5 where it is forward, else -1."""
+    agrees = F.when(F.col(side) == 3, reverse).otherwise(~reverse)
+    return pairs.groupBy(*keys).agg(F.sum(F.when(agrees, 1).otherwise(-1)).alias("sense"))

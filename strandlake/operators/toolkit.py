@@ -34,6 +34,31 @@ def mates(records: DataFrame, name: str, first: Column, second: Column, carried:
     return left.join(right, name, "full_outer")
 
 
+def fix_mates(records: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """records (ref_id, pos, half-open end, flag) with mate_ref, mate_pos, insert and a flag that follow from the mate.
+
+    Of a name's records in order (which should leave no ties), the first two are mates, then the next two. insert leads from a record's 5' end to its mate's, 0 across
+    references or where one half is unmapped. A record left alone has mate_ref and mate_pos -1; if it is paired, its mate counts as unmapped.
+    """
+    w = Window.partitionBy(name).orderBy(*order)
+    row = F.struct("ref_id", "pos", "end", "flag")
+    mate = F.when(F.row_number().over(w) % 2 == 1, F.lead(row).over(w)).otherwise(F.lag(row).over(w))
+    known = records.withColumn("_mate", mate)
+    flag, other = F.col("flag"), F.col("_mate.flag")
+    five = lambda place, bits: F.when(A.has(bits, A.REVERSE), place("end")).otherwise(place("pos"))
+    unmapped = A.UNMAPPED | A.MATE_UNMAPPED
+    near = (F.col("ref_id") == F.col("_mate.ref_id")) & ~A.has(flag, unmapped) & ~A.has(other, unmapped)
+    without = lambda f, bits: f.bitwiseAND(F.lit(~bits))
+    follows = without(flag, A.MATE_REVERSE).bitwiseOR(F.when(A.has(other, A.REVERSE), A.MATE_REVERSE).otherwise(0))
+    follows = F.when(A.has(other, A.UNMAPPED), without(follows, A.PROPER).bitwiseOR(F.lit(A.MATE_UNMAPPED))).otherwise(follows)
+    alone = F.when(A.has(flag, A.PAIRED), without(flag, A.MATE_REVERSE | A.PROPER).bitwiseOR(F.lit(A.MATE_UNMAPPED))).otherwise(flag)
+    insert = five(lambda c: F.col(f"_mate.{c}"), other) - five(F.col, flag)
+    return known.withColumns({
+        "mate_ref": F.coalesce("_mate.ref_id", F.lit(-1)), "mate_pos": F.coalesce("_mate.pos", F.lit(-1)), "insert": F.when(near, insert).otherwise(0),
+        "flag": F.when(F.col("_mate").isNull(), alone).otherwise(follows),
+    }).drop("_mate")
+
+
 def text_hash(text: Column) -> Column:
     """The rolling hash h = 31 h + c over a text's characters, modulo 2**32."""
     codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))

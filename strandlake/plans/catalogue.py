@@ -144,6 +144,23 @@ def c03_clusters(spark, sf_dir):
     return found.groupBy("family", "centre").agg(F.count("*").alias("members")).filter("members > 1")
 
 
+@query(f"""WITH RECURSIVE {_CENTRES}, walk AS (SELECT family, event_id, centre, 0 AS hop FROM best UNION ALL SELECT w.family, w.event_id, b.centre, hop + 1 FROM walk w JOIN best b ON b.family = w.family AND b.event_id = w.centre WHERE hop < 63),
+m AS (SELECT w.family, w.centre, (end_us - iv.start_us) // 1000 AS ms FROM walk w JOIN iv USING (family, event_id) WHERE hop = 63)
+SELECT family, centre, count(*) AS members, round(avg(ms), 3) AS mean, round(stddev_pop(ms), 3) AS std, min(ms) AS lowest, max(ms) AS highest FROM m GROUP BY ALL HAVING count(*) >= 3 AND stddev_pop(ms) > 50""")
+def a07_cluster_statistics(spark, sf_dir):
+    iv = intervals(spark, sf_dir)
+    found = cluster.clusters(cluster.centres(iv, "family", "event_id", "start_us", _BOUND), "family", "event_id", hops=6)
+    lasting = iv.select("family", "event_id", F.expr("(end_us - start_us) div 1000").alias("ms"))
+    kept = cluster.statistics(found.join(lasting, ["family", "event_id"]), ["family", "centre"], "ms", min_members=3, min_std=50.0)
+    return kept.withColumns({"mean": F.round("mean", 3), "std": F.round("std", 3)})
+
+
+@query(f"""SELECT read_group, ref_id, sum(CASE WHEN (flag & 64 <> 0) = (flag & 32 <> 0) THEN 1 ELSE -1 END)::BIGINT AS sense FROM ({ALIGNMENTS}) GROUP BY ALL""")
+def a09_strand_vote(spark, sf_dir):
+    pairs = alignments(spark, sf_dir).withColumn("side", F.when(A.has(F.col("flag"), A.FIRST), 3).otherwise(5))
+    return cluster.strand_vote(pairs, ["read_group", "ref_id"], "side", A.has(F.col("flag"), A.MATE_REVERSE))
+
+
 @query(f"""WITH iv AS ({INTERVALS}), g AS (SELECT *, CASE WHEN start_us - lag(start_us) OVER (PARTITION BY family, sample_id ORDER BY start_us) < {3600 * SECOND} THEN 0 ELSE 1 END AS new FROM iv),
 r AS (SELECT *, sum(new) OVER (PARTITION BY family, sample_id ORDER BY start_us ROWS UNBOUNDED PRECEDING) AS run FROM g)
 SELECT family, sample_id, min(start_us) AS first, max(start_us) AS last, count(*) AS members FROM r GROUP BY family, sample_id, run""")
@@ -281,6 +298,15 @@ def v07_drop_duplicates(spark, sf_dir):
     return kept.select("event_id", "user_id", "event_type", "value")
 
 
+@query(f"""WITH a AS (SELECT name, line, read_group % 3 AS ref_id, pos, pos + frag_len AS e, flag, row_number() OVER (PARTITION BY name ORDER BY line, read_group % 3, pos, pos + frag_len, flag) - 1 AS k FROM ({ALIGNMENTS})),
+p AS (SELECT a.*, b.ref_id AS mr, b.pos AS mp, b.flag AS mf, CASE WHEN b.flag & 16 <> 0 THEN b.e ELSE b.pos END AS m5, CASE WHEN a.flag & 16 <> 0 THEN a.e ELSE a.pos END AS o5 FROM a LEFT JOIN a b ON a.name = b.name AND b.k = xor(a.k, 1))
+SELECT name, line, coalesce(mr, -1) AS mate_ref, coalesce(mp, -1) AS mate_pos, CASE WHEN mr = ref_id THEN m5 - o5 ELSE 0 END AS insert,
+  CASE WHEN mf IS NULL THEN (flag & ~34) | 8 ELSE (flag & ~32) | CASE WHEN mf & 16 <> 0 THEN 32 ELSE 0 END END AS flag FROM p""")
+def v09_fix_mates(spark, sf_dir):
+    records = alignments(spark, sf_dir).select("name", "line", (F.col("read_group") % 3).alias("ref_id"), "pos", (F.col("pos") + F.col("frag_len")).alias("end"), "flag")
+    return toolkit.fix_mates(records, "name", ["line", "ref_id", "pos", "end", "flag"]).select("name", "line", "mate_ref", "mate_pos", "insert", "flag")
+
+
 @query(f"WITH t AS (SELECT family, unnest(range(start_us // {60 * SECOND}, (end_us - 1) // {60 * SECOND} + 1)) AS tile FROM ({INTERVALS}) WHERE end_us > start_us) SELECT family, tile, count(*) AS n FROM t GROUP BY ALL")
 def x12_tiles(spark, sf_dir):
     covered = ranges.tiles(intervals(spark, sf_dir).filter("end_us > start_us"), "start_us", "end_us", 60 * SECOND)

@@ -96,3 +96,11 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = streams.first_seen(streams.read_events(spark, str(source), 100))
     got = streams.run_to_table(stream.select("event_id"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert got.distinct().count() == got.count() == spark.read.parquet(str(source)).select("event_id").distinct().count()
+
+
+def test_fix_mates_of_unmapped_and_single_records(spark):
+    rows = [("a", 1, 0, 10, 20, 1 + 2), ("a", 2, 0, 40, 50, 1 + 2 + 16), ("b", 1, 0, 5, 9, 1 + 2), ("b", 2, 0, 7, 7, 1 + 2 + 4), ("c", 1, 1, 3, 8, 1 + 2 + 32), ("d", 1, 1, 3, 8, 0)]
+    got = toolkit.fix_mates(spark.createDataFrame(rows, "name string, line int, ref_id int, pos int, end int, flag int"), "name", ["line"])
+    assert [tuple(r) for r in got.select("name", "mate_ref", "mate_pos", "insert", "flag").orderBy("name", "line").collect()] == [
+        ("a", 0, 40, 40, 1 + 2 + 32), ("a", 0, 10, -40, 1 + 2 + 16), ("b", 0, 7, 0, 1 + 8), ("b", 0, 5, 0, 1 + 2 + 4), ("c", -1, -1, 0, 1 + 8), ("d", -1, -1, 0, 0),
+    ]
