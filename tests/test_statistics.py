@@ -94,3 +94,16 @@ def test_region():
 @pytest.mark.parametrize("name", ["u01_smith_waterman", "x02_allele_frequency", "x05_fisher"])
 def test_queries_run(spark, name):
     assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_every_line_is_evidence(spark):
+    sf = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").toPandas()
+    choose = lambda n, k: (math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)) / math.log(10)
+    want = {}
+    for (site, sample), own in lines.groupby(["l_suppkey", "l_linestatus"]):
+        r, a = int((own.l_returnflag == "N").sum()), int((own.l_returnflag == "R").sum())
+        want[site, sample] = (r, a, *(choose(r + a, a) + r * math.log10(p) + a * math.log10(1 - p) if r + a else -0.48 for p in (0.999, 0.5, 0.001)))
+    got = {(x.site, x.sample): (x.n_ref, x.n_alt, x.gl_0, x.gl_1, x.gl_2) for x in catalogue.j11_genotype(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+    assert sum(x[0] + x[1] for x in got.values()) == int(lines.l_returnflag.isin(["N", "R"]).sum())
