@@ -5,14 +5,17 @@ network inside its own format, so that equal values get equal pseudonyms in ever
 digits stay digits, separators stay in place, check digits are made anew, dates stay dates. Letters of mail addresses
 and of hex secrets are permuted inside their alphabets. What fails validation is left as it is.
 
+Values may stand side by side: patterns are greedy, so at each place where one matches, exact shapes (country lengths of
+IBANs, groups and issuers of cards, phones) are tried before the whole match, and shorter prefixes after it. Where
+nothing holds, the search goes on behind the first digits or letters of the match. Work grows with the square of a run of
+numbers parted by single spaces.
+
 Defined cases: a null text stays null with counts of 0; empty texts stay empty; texts are read whole; repeated rows get
 equal results; other columns are carried along by `pseudonymize_rows` and may bear any name.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ KEY = "pii-key-1"
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 #: Dates are permuted among the 73,049 days of 1900 to 2099, laid out as 17 rows of 4,297.
 FIRST_DAY, DATE_ROWS, DATE_COLUMNS = "1900-01-01", 17, 4297
+#: An international number, and a card in odd groups, end before another value.
+_NEXT = r"(?! (?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|(?:[0-9]{1,3}\.){3}[0-9]{1,3}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-]?[0-9]{4}|[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?:[^0-9A-Za-z]|$))"
 #: One alternative a kind, tried in this order where several could start.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
@@ -32,12 +37,25 @@ PATTERNS = {
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9](?:[ .-]?[0-9]){7,13}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9](?:" + _NEXT + r"[ .-]?[0-9]){7,13}(?![0-9A-Za-z])",
 }
 KINDS = list(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these characters holds nothing to find.
 HINT = "[0-9@]"
+#: Chunks with digits or @, or parts of an IBAN, parted by single spaces: every match lies whole inside one run.
+RUN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: (?:[0-9A-Z]{1,4}(?![0-9A-Za-z])\S*+|[^\s0-9@]*+[0-9@]\S*+))*+"
+#: The first match behind the first character, which is only there for what patterns ask of it.
+FIRST = rf"(?<=[\s\S])(?:{ANY})"
+#: Lengths of IBANs, without spaces, with their countries.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG",
+    25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+#: Issuers' first digits with their lengths.
+ISSUER = r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}|3[47][0-9]{13}|3(?:0[0-5]|[689][0-9])[0-9]{11,16}|35[0-9]{14}|6[0-9]{12,18}|5[06-9][0-9]{11,17})$"
+#: Groups of a card's digits; one of 19 digits in groups only where no number goes on behind it.
+CARD_SHAPES = [r"[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}(?![ .-]?[0-9])", r"[0-9]{4}(?:[ -][0-9]{4}){3}", r"[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}", "[0-9]{13,19}"]
 
 
 def _let(value: Column, body) -> Column:
@@ -145,8 +163,7 @@ def _write_date(x: Column, day: Column) -> Column:
     return out.otherwise(F.when(F.substr(x, F.lit(1), F.lit(2)).cast("int") > 12, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy")))
 
 
-def _kind_of(x: Column) -> Column:
-    """The first kind whose pattern takes the whole match and whose validation holds, else null."""
+def _valid(kind: Column, x: Column) -> Column:
     d = _digits(x)
     parts = F.split(x, r"\.")
     compact = F.regexp_replace(x, " ", "")
@@ -162,15 +179,65 @@ def _kind_of(x: Column) -> Column:
         "card": _luhn_sum(d, 1) % 10 == 0,
         "phone": F.length(d).between(8, 15),
     }
-    kind = F.lit(None).cast("string")
-    for k in reversed(KINDS):
-        kind = F.when(x.rlike(f"^(?:{_bare(k)})$") & valid[k], F.lit(k)).otherwise(kind)
-    return kind
+    out = F.lit(False)
+    for k in KINDS:
+        out = F.when(kind == k, valid[k]).otherwise(out)
+    return out
+
+
+def _candidates() -> list[tuple[str, str, bool]]:
+    """(kind, pattern, whether a card needs an issuer) in the order tried at a place."""
+    end = r"(?![0-9A-Za-z])"
+
+    def iban(land: str, length: int) -> str:
+        quads, rest = divmod(length - 4, 4)
+        return rf"(?<![0-9A-Za-z]){land}[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{{quads}}}" + (rf" ?[0-9A-Z]{{{rest}}}" if rest else "") + end
+
+    lands = "|".join(IBAN_LENGTHS.values())
+    exact = [(k, PATTERNS[k], False) for k in ("email", "secret")] + [("iban", iban(f"(?:{own})", n), False) for n, own in IBAN_LENGTHS.items()]
+    exact += [(k, PATTERNS[k], False) for k in ("date", "ip", "ssn")] + [("card", rf"(?<![0-9A-Za-z]){p}{end}", True) for p in CARD_SHAPES] + [("phone", PATTERNS["phone"], False)]
+    # without a known issuer, a card is a number of its own, not some groups among others
+    whole = [("iban", PATTERNS["iban"], False), ("card", rf"(?<![0-9A-Za-z])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){{12,18}}(?![ -]?[0-9]|[A-Za-z])", False)]
+    shorter = [("iban", iban(f"(?!{lands})[A-Z]{{2}}", n), False) for n in range(34, 11, -1)] + [("card", rf"(?<![0-9A-Za-z])[0-9](?:{_NEXT}[ -]?[0-9]){{{n - 1}}}{end}", True) for n in range(19, 12, -1)]
+    return exact + whole + shorter
+
+
+def _value_at(place: Column) -> Column:
+    """(kind, value) of the first candidate that holds right behind the first two characters of place, else null."""
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract(place, rf"^[\s\S]{{2}}({p})", 1).alias("value"), F.lit(issuer).alias("issuer")) for k, p, issuer in _candidates()])
+    found = F.filter(F.filter(found, lambda c: c["value"] != ""), lambda c: _valid(c["kind"], c["value"]) & (~c["issuer"] | _digits(c["value"]).rlike(ISSUER)))
+    return F.get(found, F.lit(0))
+
+
+def _scan(run: Column, key: str) -> Column:
+    """(text, found) of a run, from left to right: a value found is left behind whole, else the first digits or letters."""
+    none = F.array().cast("array<struct<kind:string,value:string>>")
+    start = F.struct(F.lit("\n").alias("before"), run.alias("rest"), F.lit("").alias("text"), none.alias("found"))
+    last = lambda x: F.substr(x, F.length(x), F.lit(1))
+
+    def taken(s: Column, gap: Column, rest: Column, before: Column, old: Column, new: Column, found: Column) -> Column:
+        text = F.concat(s["text"], F.substr(gap, F.lit(2), F.length(gap)), new)
+        return F.struct(before.alias("before"), F.substr(rest, F.length(old) + 1, F.length(rest)).alias("rest"), text.alias("text"), F.concat(s["found"], found).alias("found"))
+
+    def step(s: Column, _: Column) -> Column:
+        parts = F.concat(s["before"], s["rest"])
+        cut = F.struct(F.get(F.split(parts, FIRST, 2), F.lit(0)).alias("gap"), F.regexp_extract(parts, FIRST, 0).alias("match"), parts.alias("all"))
+
+        def at(cut: Column) -> Column:
+            rest = F.substr(cut["all"], F.length(cut["gap"]) + 1, F.length(cut["all"]))
+
+            def settle(v: Column) -> Column:
+                skip = F.regexp_extract(cut["match"], r"^[^0-9A-Za-z]*[0-9A-Za-z]+", 0)
+                made = lambda new: taken(s, cut["gap"], rest, F.lit("\n"), v["value"], new, F.array(F.struct(v["kind"].alias("kind"), new.alias("value"))))
+                return F.when(v.isNull(), taken(s, cut["gap"], rest, last(skip), skip, skip, none)).otherwise(_let(_pseudonym(v["value"], v["kind"], key), made))
+
+            done = F.struct(last(cut["all"]).alias("before"), F.lit("").alias("rest"), F.concat(s["text"], s["rest"]).alias("text"), s["found"].alias("found"))
+            return F.when(cut["match"] == "", done).otherwise(_let(_value_at(F.concat(F.substr(F.concat(F.lit("\n"), cut["gap"]), F.length(cut["gap"]), F.lit(2)), rest)), settle))
 
+        return F.when(s["rest"] == "", s).otherwise(_let(cut, at))
 
-def _bare(kind: str) -> str:
-    """The pattern without what it asks of the text around."""
-    return re.sub(r"\(\?<?!(?:\[[^\]]*\]|[^()\[\]])*\)", "", PATTERNS[kind])
+    steps = F.sequence(F.lit(1), F.size(F.split(run, "[^0-9A-Za-z]+")))
+    return F.aggregate(steps, start, step, lambda s: F.struct(F.concat(s["text"], s["rest"]).alias("text"), s["found"].alias("found")))
 
 
 def _email(x: Column, key: str) -> Column:
@@ -241,14 +308,13 @@ def _pseudonym(x: Column, kind: Column, key: str) -> Column:
 def with_pseudonyms(docs: DataFrame, text: str = "text", key: str = KEY, out: str = "pii") -> DataFrame:
     """docs with one struct column more: the new text and `found`, an array of (kind, pseudonym) in text order."""
     t = F.col(text)
-    matches = F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda x: F.struct(x.alias("value"), _kind_of(x).alias("kind")))
-    made = F.transform(matches, lambda m: F.struct(m["kind"].alias("kind"), _pseudonym(m["value"], m["kind"], key).alias("value")))
-    nothing = F.array().cast("array<struct<kind:string,value:string>>")
+    scanned = F.transform(F.regexp_extract_all(t, F.lit(RUN), F.lit(0)), lambda run: _scan(run, key))
+    nothing = F.array().cast("array<struct<text:string,found:array<struct<kind:string,value:string>>>>")
     hit = F.coalesce(t.rlike(HINT), F.lit(False))
-    found = docs.withColumn(out, F.struct(F.when(hit, made).otherwise(nothing).alias("all")))
-    pieces = F.zip_with(F.split(t, ANY, -1), F.col(out)["all"], lambda gap, m: F.concat(gap, F.coalesce(m["value"], F.lit(""))))
+    found = docs.withColumn(out, F.struct(F.when(hit, scanned).otherwise(nothing).alias("all")))
+    pieces = F.zip_with(F.split(t, RUN, -1), F.col(out)["all"], lambda gap, m: F.concat(gap, F.coalesce(m["text"], F.lit(""))))
     new = F.when(F.size(F.col(out)["all"]) > 0, F.array_join(pieces, "")).otherwise(t)
-    return found.withColumn(out, F.struct(new.alias("text"), F.filter(F.col(out)["all"], lambda m: m["kind"].isNotNull()).alias("found")))
+    return found.withColumn(out, F.struct(new.alias("text"), F.flatten(F.transform(F.col(out)["all"], lambda m: m["found"])).alias("found")))
 
 
 def pseudonymize_rows(docs: DataFrame, key: str = KEY) -> DataFrame:

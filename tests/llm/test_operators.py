@@ -52,6 +52,21 @@ def test_pii_validates_and_links(spark):
     assert out[3].text is None and out[4].text == ""
 
 
+def test_pii_side_by_side(spark):
+    """Each of the values, parted by single spaces, is found although the greedy patterns reach over several."""
+    cases = [
+        ("4111 1111 1111 1111 123", ["card"], " 123"), ("415-555-2671 415-555-2672", ["phone", "phone"], ""), ("415-555-2671 415-555-2672 415-555-2673 9", ["phone"] * 3, " 9"), ("415-555-2671 2024-05-17", ["phone", "date"], ""),
+        ("BE71 0961 2345 6769 EUR", ["iban"], " EUR"), ("id 123 4111 1111 1111 1111", ["card"], ""), ("AB12 4111 1111 1111 1111", ["card"], ""), ("4111 1111 1111 1111 415-555-2671", ["card", "phone"], ""),
+        ("123-45-6789 987-65-4320 415-555-2671 joe@xy.org", ["ssn", "phone", "email"], ""), ("+49301234567 123-45-6789", ["phone", "ssn"], ""), ("row 12 34 56 78 90 11 13 15 17 19", [], " 19"),
+    ]
+    rows = spark.createDataFrame([(i, f"see {text}") for i, (text, _, _) in enumerate(cases)], "doc_id long, text string")
+    out = {r.doc_id: r.pii for r in pii.with_pseudonyms(rows).collect()}
+    for i, (text, kinds, end) in enumerate(cases):
+        assert [x.kind for x in out[i].found] == kinds, text
+        assert out[i].text.startswith("see ") and len(out[i].text) == len(text) + 4 and out[i].text.endswith(end), text
+    assert out[0].found[0].value == out[5].found[0].value == out[7].found[0].value and out[1].found[0].value == out[3].found[0].value
+
+
 def test_pii_is_a_permutation(spark):
     days = spark.range(0, pii.DATE_ROWS * pii.DATE_COLUMNS, 97)
     assert days.select(pii.feistel_number(F.col("id"), "date", pii.DATE_ROWS, pii.DATE_COLUMNS).alias("x")).distinct().count() == days.count()
