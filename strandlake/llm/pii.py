@@ -3,7 +3,7 @@
 A value is found by pattern, validated (Luhn, mod 97, octets, calendar, area rules), and permuted by a keyed Feistel
 network inside its own format, so that equal values get equal pseudonyms in every document and unequal ones never meet:
 digits stay digits, separators stay in place, check digits are made anew, dates stay dates. Letters of mail addresses
-and of hex secrets are permuted inside their alphabets. What fails validation is left as it is.
+and of hex secrets (all lower or all upper case) are permuted inside their alphabets. What fails validation is left as it is.
 
 Values may stand side by side: patterns are greedy, so at each place where one matches, exact shapes (country lengths of
 IBANs, groups and issuers of cards, phones) are tried before the whole match, and shorter prefixes after it. Where
@@ -31,7 +31,7 @@ _NEXT = r"(?! (?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\
 #: One alternative a kind, tried in this order where several could start.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?:(?:[0-9a-f]{32}|[0-9A-F]{32})(?![0-9A-Za-z])|(?:[0-9a-f]{40}|[0-9A-F]{40})(?![0-9A-Za-z])|(?:[0-9a-f]{64}|[0-9A-F]{64})(?![0-9A-Za-z]))",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z/-])",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
@@ -171,7 +171,7 @@ def _valid(kind: Column, x: Column) -> Column:
     area = F.substr(d, F.lit(1), F.lit(3))
     valid = {
         "email": F.lit(True),
-        "secret": x.rlike("[0-9]") & x.rlike("[a-f]"),
+        "secret": x.rlike("[0-9]") & x.rlike("[a-fA-F]"),
         "iban": _mod97(turned) == 1,
         "date": F.datediff(_date_of(x), F.lit(FIRST_DAY).cast("date")).between(0, DATE_ROWS * DATE_COLUMNS - 1),
         "ip": F.forall(parts, lambda p: p.cast("int") <= 255),
@@ -246,6 +246,12 @@ def _email(x: Column, key: str) -> Column:
     return F.concat(feistel_text(F.substring_index(x, "@", 1), "email", key), F.lit("@"), site, F.lit("."), F.substring_index(host, ".", -1))
 
 
+def _secret(x: Column, key: str) -> Column:
+    """Keyed on the lower case, so that both spellings of a secret stay linked."""
+    new = feistel_text(F.lower(x), "secret", key, hex_only=True)
+    return F.when(x.rlike("[A-F]"), F.upper(new)).otherwise(new)
+
+
 def _card(x: Column, key: str) -> Column:
     def whole(payload: Column) -> Column:
         return F.concat(payload, F.pmod(-_luhn_sum(F.concat(payload, F.lit("0")), 1), F.lit(10)).cast("string"))
@@ -298,7 +304,7 @@ def _phone(x: Column, key: str) -> Column:
 
 
 def _pseudonym(x: Column, kind: Column, key: str) -> Column:
-    made = {"email": _email, "secret": lambda x, key: feistel_text(x, "secret", key, hex_only=True), "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
+    made = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
     out = x
     for k in KINDS:
         out = F.when(kind == k, made[k](x, key)).otherwise(out)

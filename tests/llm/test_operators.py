@@ -67,6 +67,13 @@ def test_pii_side_by_side(spark):
     assert out[0].found[0].value == out[5].found[0].value == out[7].found[0].value and out[1].found[0].value == out[3].found[0].value
 
 
+def test_pii_upper_case_secrets(spark):
+    secret = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    rows = spark.createDataFrame([(1, f"token = {secret}"), (2, f'TOKEN = "{secret.upper()}"')], "doc_id long, text string")
+    low, high = (r.pii.found for r in pii.with_pseudonyms(rows).orderBy("doc_id").collect())
+    assert [x.kind for x in low + high] == ["secret"] * 2 and high[0].value == low[0].value.upper() != secret.upper() and low[0].value == low[0].value.lower()
+
+
 def test_pii_is_a_permutation(spark):
     days = spark.range(0, pii.DATE_ROWS * pii.DATE_COLUMNS, 97)
     assert days.select(pii.feistel_number(F.col("id"), "date", pii.DATE_ROWS, pii.DATE_COLUMNS).alias("x")).distinct().count() == days.count()
