@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.common import materialize
+
 
 def neighbours(points: DataFrame, key: str, row: str, point: str, bound: int) -> DataFrame:
     """(key, row, other) for all points of a key within bound, itself included; an equi-join on bins of that width."""
@@ -28,13 +30,18 @@ def centres(points: DataFrame, key: str, row: str, point: str, bound: int) -> Da
     return best.join(dense, [key, row]).select(key, row, "density", F.col("best.r").alias("centre"))
 
 
-def clusters(linked: DataFrame, key: str, row: str, hops: int) -> DataFrame:
-    """Points with the root of their chain of centres: pointer jumping, each hop doubles the reach."""
-    own = linked
-    for _ in range(hops):
+def clusters(linked: DataFrame, key: str, row: str, hops: int = 1) -> DataFrame:
+    """Points with the root of their chain of centres: pointer jumping, each hop doubles the reach.
+
+    Rounds go on, each materialized, until no centre changes; hops is how many are made at least.
+    """
+    own, done = linked, 0
+    while True:
         up = own.select(F.col(key), F.col(row).alias("centre"), F.col("centre").alias("up"))
-        own = own.join(up, [key, "centre"]).select(key, row, "density", F.col("up").alias("centre"))
-    return own
+        jumped = materialize(own.join(up, [key, "centre"]).select(key, row, "density", F.col("up").alias("centre"), (F.col("up") != F.col("centre")).alias("_moved")), "clusters")
+        moved, own, done = not jumped.filter("_moved").isEmpty(), jumped.drop("_moved"), done + 1
+        if not moved and done >= hops:
+            return own
 
 
 def statistics(members: DataFrame, keys: list[str], value: str, min_members: int = 2, min_std: float = -1.0) -> DataFrame:

@@ -140,7 +140,7 @@ roots AS (SELECT family, event_id, centre FROM walk WHERE hop = 63)
 SELECT family, centre, count(*) AS members FROM roots GROUP BY ALL HAVING count(*) > 1""")
 def c03_clusters(spark, sf_dir):
     linked = cluster.centres(intervals(spark, sf_dir), "family", "event_id", "start_us", _BOUND)
-    found = cluster.clusters(linked, "family", "event_id", hops=6)
+    found = cluster.clusters(linked, "family", "event_id")
     return found.groupBy("family", "centre").agg(F.count("*").alias("members")).filter("members > 1")
 
 
@@ -149,7 +149,7 @@ m AS (SELECT w.family, w.centre, (end_us - iv.start_us) // 1000 AS ms FROM walk
 SELECT family, centre, count(*) AS members, round(avg(ms), 3) AS mean, round(stddev_pop(ms), 3) AS std, min(ms) AS lowest, max(ms) AS highest FROM m GROUP BY ALL HAVING count(*) >= 3 AND stddev_pop(ms) > 50""")
 def a07_cluster_statistics(spark, sf_dir):
     iv = intervals(spark, sf_dir)
-    found = cluster.clusters(cluster.centres(iv, "family", "event_id", "start_us", _BOUND), "family", "event_id", hops=6)
+    found = cluster.clusters(cluster.centres(iv, "family", "event_id", "start_us", _BOUND), "family", "event_id")
     lasting = iv.select("family", "event_id", F.expr("(end_us - start_us) div 1000").alias("ms"))
     kept = cluster.statistics(found.join(lasting, ["family", "event_id"]), ["family", "centre"], "ms", min_members=3, min_std=50.0)
     return kept.withColumns({"mean": F.round("mean", 3), "std": F.round("std", 3)})

@@ -53,6 +53,11 @@ def test_density_and_centres(spark):
     assert sorted((r.i, r.centre) for r in cluster.clusters(linked, "k", "i", 3).collect()) == [(0, 1), (1, 1), (2, 1), (3, 3), (4, 3)]
 
 
+def test_long_chains_end_at_their_root(spark):
+    linked = spark.range(300).selectExpr("1 AS k", "id AS i", "1L AS density", "greatest(id - 1, 0) AS centre")
+    assert {(r.i, r.centre) for r in cluster.clusters(linked, "k", "i", 6).collect()} == {(i, 0) for i in range(300)}
+
+
 def test_genotype(spark):
     e = spark.createDataFrame([(0, 0), (5, 5), (10, 0), (0, 10)], "n_ref int, n_alt int")
     assert [r.gt for r in genotype.genotype(e).collect()] == [".", "0/1", "0/0", "1/1"]
