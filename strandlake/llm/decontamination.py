@@ -4,10 +4,11 @@ Test items are the indexed documents, passages of training text the queries. Ter
 item's own total, so a score is the share of an item's weight that the passage holds and one threshold serves all items.
 Postings are cut into blocks of neighbouring items with a maximum each: blocks whose maxima can't reach the threshold are
 skipped, and inside a block cursors leap to pivots. Every item above the threshold is then verified: the passage must
-hold enough of the 5-word shingles of the item's question and of its answer.
+hold enough of the 5-word shingles of the item's question and of its answer, or of those of the whole item,
+so that an edited or missing part doesn't hide the rest.
 
-An item has one text: its last sentence is the answer, in an item of one sentence its last third of words; the rest is the
-question. Passages are as long as two of the longest items and start every longest item, so an item's text always lies whole in one.
+An item has one text: its last sentences with a third of its words or more are the answer, its last third of words where that
+takes all sentences; the rest is the question. Passages are as long as two of the longest items and start every longest item, so an item's text always lies whole in one.
 
 Items are indexed in blocks of bounded bytes, each broadcast alone, with document frequencies over all items.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 K1, B = 1.2, 0.75
-THRESHOLD, QUESTION_OVERLAP, ANSWER_OVERLAP = 0.5, 0.5, 0.5
+THRESHOLD, QUESTION_OVERLAP, ANSWER_OVERLAP, WHOLE_OVERLAP = 0.5, 0.5, 0.5, 0.5
 SHINGLE, ITEMS_A_BLOCK, INDEX_BYTES = 5, 8, 16 << 20
 HITS = "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double>>"
 _WORD = re.compile(r"\w+")
@@ -44,10 +45,14 @@ def words_of(text: str | None) -> list[str]:
 def parts_of(text: str | None) -> tuple[list[str], list[str]]:
     """Question and answer words of an item."""
     sentences = [w for s in _SENTENCE.split(text or "") if (w := words_of(s))]
-    if len(sentences) > 1:
-        return [w for s in sentences[:-1] for w in s], sentences[-1]
-    words = sentences[0] if sentences else []
-    cut = len(words) - len(words) // 3
+    words = [w for s in sentences for w in s]
+    cut = len(words)
+    for own in reversed(sentences):
+        if 3 * (len(words) - cut) >= len(words):
+            break
+        cut -= len(own)
+    if cut <= 0:
+        cut = len(words) - len(words) // 3
     return words[:cut], words[cut:]
 
 
@@ -127,7 +132,7 @@ class ImpactIndex:
                     found.append((pivot, score))
         return found
 
-    def leaks(self, text: str | None, threshold: float, question: float, answer: float) -> list[dict]:
+    def leaks(self, text: str | None, threshold: float, question: float, answer: float, whole: float = WHOLE_OVERLAP) -> list[dict]:
         """The verified items in a text, each with its best passage's figures."""
         words = words_of(text)
         none, get = len(self.terms), self.terms.get
@@ -144,8 +149,10 @@ class ImpactIndex:
             a, b = int(starts[k]), int(ends[k])
             terms = np.unique(ids[a:b])
             for item, score in self.search(terms[terms < none].tolist(), threshold):
-                q, r = (overlap(p, words[a:b]) for p in self.parts[item])
-                if q >= question and r >= answer and (q + r, score) > best.get(item, {"key": (-1, 0)})["key"]:
+                passage, (q_words, r_words) = words[a:b], self.parts[item]
+                q, r = overlap(q_words, passage), overlap(r_words, passage)
+                held = (q >= question and r >= answer) or overlap(q_words + r_words, passage) >= whole
+                if held and (q + r, score) > best.get(item, {"key": (-1, 0)})["key"]:
                     best[item] = {"key": (q + r, score), "item_id": self.ids[item], "score": round(score, 6), "question_overlap": q, "answer_overlap": r}
         return [{k: v for k, v in x.items() if k != "key"} for _, x in sorted(best.items())]
 

@@ -110,6 +110,17 @@ def test_search_equals_exhaustive():
         assert sorted(k for k, _ in index.search(terms, 0.5)) == want
 
 
+def test_edited_and_cut_items_are_found():
+    item = "A train leaves the northern harbour at nine in the morning and climbs slowly to the snow line. How many wagons reach the upper station? It is twelve."
+    words = decontamination.words_of(item)
+    index = decontamination.ImpactIndex([(7, item)], collections.Counter(set(words)), 1, float(len(words)))
+    found = lambda own: [x["item_id"] for x in index.leaks(" ".join(["before", *own, "after"]), 0.5, 0.5, 0.5)]
+    assert len(decontamination.parts_of(item)[1]) * 3 >= len(words)
+    assert found(words) == [7] and found(words[:-3]) == [7]
+    assert all(found([*words[:i], "other", *words[i + 1 :]]) == [7] and found(words[:i] + words[i + 1 :]) == [7] for i in range(len(words)))
+    assert found(words[: len(words) // 3]) == [] and found(sorted(words)) == []
+
+
 def test_index_follows_the_value():
     # values of ended jobs are freed, and their place in memory is taken by those of later ones
     for k in range(50):
