@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import materialize
+from strandlake.storage import materialize
 
 
 def neighbours(points: DataFrame, key: str, row: str, point: str, bound: int) -> DataFrame:
