@@ -1,12 +1,12 @@
-"""What the training-data operators share: table access, scratch storage and word rules."""
+"""What the training-data operators share: table access and word rules; storage is the library's own."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from strandlake.storage import broadcast_if_small, materialize, scratch_dir, scratch_path
+
+__all__ = ["WORD", "broadcast_if_small", "materialize", "scratch_dir", "scratch_path", "table"]
 
 #: A word is a run of characters other than space and U+0009 to U+000D; bytes.split() follows the same rule.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,28 +16,3 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     """Some columns of a table, so that extra columns can't clash with an operator's own."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, rows: int, row_limit: int = 1_000_000) -> DataFrame:
-    """A broadcast hint only where the counted rows stay under the limit; else Spark shuffles."""
-    return F.broadcast(df) if rows <= row_limit else df

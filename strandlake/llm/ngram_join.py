@@ -171,7 +171,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text) of the nodes in ids: one text for each."""
     wanted = materialize(nodes.join(ids.distinct(), "id").select("id", "text_key"), "wanted")
     keys = wanted.select("text_key")
-    rows = docs.select("text", text_key().alias("text_key")).join(broadcast_if_small(keys, wanted.count()), "text_key", "left_semi")
+    rows = docs.select("text", text_key().alias("text_key")).join(broadcast_if_small(keys), "text_key", "left_semi")
     texts = rows.groupBy("text_key").agg(F.first("text").alias("text"))
     return materialize(texts.join(wanted, "text_key").select("id", "text"), "texts")
 
@@ -215,7 +215,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def _with_prefixes(pairs: DataFrame, nodes: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
     """pairs (a, b) with the named prefixes of both, as a_1, b_1 and so on."""
     ids = _ends(pairs).distinct()
-    known = nodes.select("id", *prefixes).join(broadcast_if_small(ids, ids.count()), "id", "left_semi")
+    known = nodes.select("id", *prefixes).join(broadcast_if_small(ids), "id", "left_semi")
     for end in ("a", "b"):
         pairs = pairs.join(known.select(F.col("id").alias(end), *[F.col(p).alias(f"{end}_{p[-1]}") for p in prefixes]), end)
     return pairs
@@ -231,7 +231,7 @@ def _links_within(docs: DataFrame, nodes: DataFrame, grouped: DataFrame, n: int,
     split = sizes.groupBy("family").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"))
     split = split.filter("labels > 1").select("family", F.col("most.label").alias("main"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("main_blocks"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int").alias("rest_blocks"))
     split = materialize(split, "split")
-    own = grouped.join(broadcast_if_small(split, split.count()), "family").withColumn("rest", F.col("label") != F.col("main"))
+    own = grouped.join(broadcast_if_small(split), "family").withColumn("rest", F.col("label") != F.col("main"))
     own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("rest_blocks")).otherwise(F.col("main_blocks"))).cast("int"))
     upto = lambda count: F.sequence(F.lit(0), count - 1)
     to_main = F.transform(upto(F.col("main_blocks")), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("left"), F.col("block").alias("right")))
@@ -320,10 +320,10 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
 
     # across families, prefixes must share so many tokens under the first order, and some under each of the others
     count = families.count()
-    slim = nodes.select("id", F.col("n_shingles").alias("size"), "prefix_1").join(broadcast_if_small(families, count), "id", "left").withColumn("family", F.coalesce("label", "id"))
+    slim = nodes.select("id", F.col("n_shingles").alias("size"), "prefix_1").join(broadcast_if_small(families), "id", "left").withColumn("family", F.coalesce("label", "id"))
     held = slim.select(F.explode("prefix_1").alias("token"), "id", "size", "family")
     mixed = materialize(held.groupBy("token").agg(F.min("family").alias("low"), F.max("family").alias("high")).filter("low <> high").select("token"), "mixed")
-    held = materialize(held.join(broadcast_if_small(mixed, mixed.count()), "token", "left_semi"), "held")
+    held = materialize(held.join(broadcast_if_small(mixed), "token", "left_semi"), "held")
     other = held.select("token", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("family").alias("family_b"))
     met = held.join(other, (held["token"] == other["token"]) & (held["id"] < other["b"]) & (held["family"] != other["family_b"]) & _similar_sizes("size", "size_b", percent))
     met = met.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("shared"), F.max(F.greatest("size", "size_b")).alias("size"))
@@ -334,17 +334,17 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     if not more.isEmpty():
         labels = components(near.union(more))
     labelled = labels.count()
-    named = nodes.select("id", "node", "members", "min_id").join(broadcast_if_small(labels, labelled), "id", "left")
+    named = nodes.select("id", "node", "members", "min_id").join(broadcast_if_small(labels), "id", "left")
     named = named.withColumn("linked", F.col("label").isNotNull()).withColumn("label", F.coalesce("label", "id"))
     lowest = named.filter("linked").groupBy("label").agg(F.min("min_id").alias("low"))
-    named = named.join(broadcast_if_small(lowest, labelled), "label", "left").withColumn("component_id", F.when(F.col("linked"), F.col("low")).otherwise(F.col("min_id")))
+    named = named.join(broadcast_if_small(lowest), "label", "left").withColumn("component_id", F.when(F.col("linked"), F.col("low")).otherwise(F.col("min_id")))
     return rows.select("doc_id", "text_key", "node", "n_shingles"), materialize(named.drop("low"), "named")
 
 
 def _grouped(named: DataFrame) -> DataFrame:
     """The nodes that stand for more than one row, with a broadcast hint if they are few."""
     own = named.filter("linked OR members > 1")
-    return broadcast_if_small(own, own.count())
+    return broadcast_if_small(own)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,8 +365,8 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     chosen = materialize(chosen.withColumn("chosen", F.lit(True)), "chosen")
     members = materialize(ranked.select("text_key").distinct().withColumn("grouped", F.lit(True)), "members")
     own = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), text_key().alias("text_key"))
-    own = own.join(broadcast_if_small(members, members.count()), "text_key", "left")
-    small = broadcast_if_small(chosen.withColumnRenamed("text_key", "key"), chosen.count())
+    own = own.join(broadcast_if_small(members), "text_key", "left")
+    small = broadcast_if_small(chosen.withColumnRenamed("text_key", "key"))
     own = own.join(small, own["id"].eqNullSafe(small["id"]) & (own["text_key"] == small["key"]), "left")
     alone = own.filter("grouped IS NULL").select("doc.*")
     # equal rows of a chosen text are told apart by nothing: the first of them stands for all

@@ -100,7 +100,7 @@ def resample(docs: DataFrame, target_ids: DataFrame, share: float, seed: str = S
     target_ids: the ids of good documents; share: k as a share of all rows.
     """
     good = target_ids.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("is_target", F.lit(True))
-    marked = docs.select("doc_id", "text").join(broadcast_if_small(good, good.count()), "doc_id", "left")
+    marked = docs.select("doc_id", "text").join(broadcast_if_small(good), "doc_id", "left")
     ratios = docs.sparkSession.sparkContext.broadcast(fit(marked))
 
     def weigh(texts: pd.Series) -> pd.DataFrame:

@@ -5,14 +5,17 @@ smallest hash of its GRAM-byte pieces, the first of equals), so equal strings pi
 only strings of one anchor need to be compared; a text falls into one segment of string starts for each anchor.
 
 1. Anchors that occur once are done: nothing there repeats.
-2. Equal segments of an anchor are one content, counted before anything is moved: where it occurs twice, all its strings repeat.
-3. The distinct contents of an anchor go to one task, many anchors at a time, which builds their suffix array in two stages
+2. Copies are thinned out, never decided: of rows of equal text, two whole copies go on; of equal segments, two from different
+   places. What is found for them holds for all.
+3. The segments of an anchor go to one task, many anchors at a time, which builds their suffix array in two stages
    (suffixes smaller than their successors are sorted directly, the rest is induced by bucket scans) and compares neighbours;
-   a common prefix of MATCH bytes marks both.
-4. An anchor with more than MANY distinct contents isn't put into one task: each of its strings is counted by its digest instead.
+   a common prefix of MATCH bytes marks both. Every byte removed comes from such neighbours, compared byte by byte.
+4. An anchor whose segments exceed ARRAY_BYTES is cut further, into its single strings: two of each string that comes up twice
+   go to suffix arrays, many strings at a time.
 
 Defined cases: a null text is empty; texts below MATCH bytes lose nothing; equal rows lose everything from MATCH bytes on;
-long texts are walked in blocks; runs of equal bytes repeat themselves at the next byte; other columns are not read.
+long texts are walked in blocks; runs of equal bytes repeat themselves at the next byte; other columns are not read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize, table
 
-MATCH, GRAM, MANY = 400, 32, 5_000
-BLOCK, ARRAY_BYTES, TASK_BYTES, ROWS = 1 << 20, 2 << 20, 8 << 20, 20_000
+MATCH, GRAM = 400, 32
+BLOCK, WHOLE, ARRAY_BYTES, TASK_BYTES, ROWS = 1 << 19, 1 << 18, 1 << 20, 8 << 20, 20_000
+#: Suffixes still equal after two rounds of eight bytes are sorted as texts, so many at most.
+TEXT_SORT = 100_000
 SEPARATOR = b"\xff"  # no byte of UTF-8
 _INDEX = np.uint64((1 << 24) - 1)
 
@@ -73,30 +78,92 @@ def segments(raw: np.ndarray, match: int = MATCH) -> Iterator[tuple[int, int, in
             yield base + s, c, base + p, h
 
 
-def suffix_array(data: bytes, depth: int) -> np.ndarray:
-    """Places in the order of their suffixes, exact up to depth bytes, by two-stage sorting."""
-    t = np.frombuffer(data, dtype=np.uint8)
+#: A number for each byte value, and an odd base.
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 0xBF58476D1CE4E5B9)
+_BASE = 0xD1342543DE82EF95
+
+
+def string_hashes(t: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes from each place up to its end: a difference of two sums, moved back by the place."""
     n = len(t)
+    up = np.full(n + 1, _BASE, dtype=np.uint64)
+    up[0] = 1
+    up = np.cumprod(up)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[t] * up[:n], out=total[1:])
+    down = np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
+    down[:1] = 1
+    return _mix((total[ends] - total[:n]) * np.cumprod(down), 0x94D049BB133111EB)
+
+
+def _edges(changed: np.ndarray) -> np.ndarray:
+    """Where runs begin, from whether each element but the first differs from the one before."""
+    return np.concatenate([[0], np.flatnonzero(changed) + 1])
+
+
+def sort_directly(data: bytes, places: np.ndarray, eights: np.ndarray, hashes: np.ndarray, depth: int) -> np.ndarray:
+    """places in the order of the depth bytes from them on. Equal strings are sorted once, by one of them."""
+    if not len(places):
+        return places
+    first, whole = eights[places], hashes[places]
+    by = np.lexsort((whole, first))
+    places, first, whole = places[by], first[by], whole[by]
+    new = first[1:] != first[:-1]
+    start = _edges(new | (whole[1:] != whole[:-1]))
+    size = np.diff(np.append(start, len(places)))
+    group = np.concatenate([[0], np.cumsum(new)])[start]
+    del first, whole, by
+    place, turn = places[start], np.arange(len(start))
+    at, active = 8, np.arange(len(start))
+    while True:
+        own = group[active]
+        tied = np.zeros(len(own), dtype=bool)
+        same = own[1:] == own[:-1]
+        tied[1:] |= same
+        tied[:-1] |= same
+        active = active[tied]
+        if not len(active) or at >= depth:
+            break
+        own, here = group[active], place[turn[active]]
+        if at >= 24 and len(active) <= TEXT_SORT:
+            # one sort for all groups: the group's number leads
+            keys = [int(g).to_bytes(5, "big") + data[p + at : p + depth] for g, p in zip(own.tolist(), here.tolist(), strict=True)]
+            turn[active] = turn[active][sorted(range(len(keys)), key=keys.__getitem__)]
+            break
+        key = eights[here + at]
+        by = np.lexsort((key, own))
+        key, turn[active] = key[by], turn[active][by]
+        # groups fall apart, their numbers stay in order
+        apart = np.concatenate([[False], (key[1:] != key[:-1]) & (own[1:] == own[:-1])])
+        group = group + np.cumsum(np.bincount(active[apart], minlength=len(group)))
+        at += 8
+    before = np.cumsum(size[turn]) - size[turn]
+    return places[np.repeat(start[turn] - before, size[turn]) + np.arange(len(places))]
+
+
+def suffix_array(data: bytes, depth: int, hashes: np.ndarray | None = None) -> np.ndarray:
+    """Places in the order of their suffixes, exact up to depth bytes, by two-stage sorting.
+
+    Suffixes of equal hashes count as equal: hashes may end where nothing behind matters any more.
+    """
+    n = len(data)
     if not n:
         return np.empty(0, dtype=np.int64)
+    padded = np.frombuffer(data + bytes(depth + 8), dtype=np.uint8)
+    t, eights = padded[:n], _eights(padded)
+    if hashes is None:
+        hashes = string_hashes(t, np.minimum(np.arange(n) + depth, n))
     # a suffix is smaller than its successor if the next differing byte is larger; the last one is larger than the empty suffix
     step = np.diff(t.astype(np.int16))
-    differs = np.where(step != 0, np.arange(n - 1), n - 1)
+    differs = np.where(step != 0, np.arange(n - 1, dtype=np.int32), np.int32(n - 1))
     following = np.minimum.accumulate(differs[::-1])[::-1]
     small = np.zeros(n, dtype=bool)
-    small[:-1] = np.concatenate([step, [-1]])[following] > 0
-    # first stage: the smaller ones, bucket by bucket of two bytes
-    places = np.flatnonzero(small)
-    pair = (t[places].astype(np.uint16) << np.uint16(8)) | t[places + 1]
-    by = np.argsort(pair, kind="stable")
-    places, pair = places[by], pair[by]
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(pair)) + 1, [len(pair)]]) if len(pair) else np.zeros(1, dtype=np.int64)
-    direct: list[list[np.ndarray]] = [[] for _ in range(256)]
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        own = places[a:b]
-        if b - a > 1:
-            own = np.array(sorted(own.tolist(), key=lambda p: data[p : p + depth]))
-        direct[pair[a] >> 8].append(own)
+    small[:-1] = np.append(step, np.int16(-1))[following] > 0
+    del step, differs, following
+    # first stage: the smaller ones
+    direct = sort_directly(data, np.flatnonzero(small), eights, hashes, depth)
+    del eights
+    bounds = np.searchsorted(t[direct], np.arange(257))
     # second stage: a scan over the buckets puts the larger suffixes before each sorted one in place
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
     induced[t[-1]].append(np.array([n - 1]))
@@ -108,40 +175,75 @@ def suffix_array(data: bytes, depth: int) -> np.ndarray:
 
     for c in range(256):
         fresh = np.concatenate(induced[c]) if induced[c] else np.empty(0, dtype=np.int64)
+        induced[c] = []
         bucket = [fresh]
         while len(fresh):
             fresh = before(fresh)
             fresh = fresh[t[fresh] == c]
             bucket.append(fresh)
-        whole = np.concatenate(bucket + direct[c])
+        whole = np.concatenate([*bucket, direct[bounds[c] : bounds[c + 1]]])
+        if not len(whole):
+            continue
         out.append(whole)
         ahead = before(whole)
-        ahead = ahead[t[ahead] > c]
-        ahead = ahead[np.argsort(t[ahead], kind="stable")]
-        first = np.searchsorted(t[ahead], np.arange(257))
-        for d in np.unique(t[ahead]).tolist():
-            induced[d].append(ahead[first[d] : first[d + 1]])
+        heads = t[ahead]
+        ahead, heads = ahead[heads > c], heads[heads > c]
+        by = np.argsort(heads, kind="stable")
+        ahead, heads = ahead[by], heads[by]
+        edges = np.append(_edges(heads[1:] != heads[:-1]), len(heads)) if len(heads) else np.zeros(1, dtype=np.int64)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            induced[heads[a]].append(ahead[a:b])
     return np.concatenate(out)
 
 
+def common_prefixes(data: bytes, p: np.ndarray, q: np.ndarray, match: int) -> np.ndarray:
+    """Whether the strings at p and q share match bytes, compared byte by byte, but once where pairs follow each other."""
+    if not len(p):
+        return np.zeros(0, dtype=bool)
+    t = np.frombuffer(data + bytes(8), dtype=np.uint8)
+    eights = _eights(t)
+
+    def full(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        left = np.arange(len(p))
+        for k in [*range(0, match - 7, 8), match - 8]:
+            left = left[eights[p[left] + k] == eights[q[left] + k]]
+        out = np.zeros(len(p), dtype=bool)
+        out[left] = True
+        return out
+
+    by = np.argsort(p)
+    x, y = p[by], q[by]
+    head = np.concatenate([[True], (np.diff(x) != 1) | (np.diff(y) != 1)])
+    # a pair behind an equal one is equal if its last byte is; where one isn't, all are compared in full
+    shared = full(x[head], y[head])[np.cumsum(head) - 1]
+    if not (t[x[shared] + match - 1] == t[y[shared] + match - 1]).all():
+        shared = full(x, y)
+    out = np.zeros(len(p), dtype=bool)
+    out[by] = shared
+    return out
+
+
 def repeated(pieces: list[bytes], counts: list[int], match: int = MATCH) -> list[np.ndarray]:
     """For each piece which of its first `count` places start a string of match bytes that starts elsewhere in the pieces."""
     data = SEPARATOR.join(pieces) + SEPARATOR
     lengths = np.array([len(p) + 1 for p in pieces])
-    begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    begins = np.cumsum(lengths) - lengths
     start = np.zeros(len(data), dtype=bool)
     for b, c in zip(begins.tolist(), counts, strict=True):
         start[b : b + c] = True
-    order = suffix_array(data, match)
+    # what stands behind a piece doesn't matter for it
+    ends = np.minimum(np.arange(len(data)) + match, np.repeat(begins + lengths, lengths))
+    hashes = string_hashes(np.frombuffer(data, dtype=np.uint8), ends)
+    del ends
+    order = suffix_array(data, match, hashes)
     order = order[start[order]]
-    # common prefixes of neighbours, eight bytes at a time, as far as they go
-    eights = _eights(np.frombuffer(data + bytes(8), dtype=np.uint8))
-    pairs = np.arange(len(order) - 1)
-    for k in [*range(0, match - 7, 8), match - 8]:
-        pairs = pairs[eights[order[pairs] + k] == eights[order[pairs + 1] + k]]
+    p, q = order[:-1], order[1:]
+    alike = hashes[p] == hashes[q]
+    p, q = p[alike], q[alike]
+    shared = common_prefixes(data, p, q, match)
     marks = np.zeros(len(data), dtype=bool)
-    marks[order[pairs]] = True
-    marks[order[pairs + 1]] = True
+    marks[p[shared]] = True
+    marks[q[shared]] = True
     return [np.flatnonzero(marks[b : b + c]) for b, c in zip(begins.tolist(), counts, strict=True)]
 
 
@@ -175,39 +277,69 @@ def _key() -> F.Column:
 
 
 SPANS = "array<struct<first:int,count:int>>"
+SEGMENT = "text_key binary, anchor long, content long, start long, count int, copies int"
 
 
-def repeated_runs(docs: DataFrame, match: int = MATCH, many: int = MANY) -> DataFrame:
+def _frames(rows: Iterator[tuple], names: list[str], limit: int = ROWS) -> Iterator[pd.DataFrame]:
+    """Rows in frames of bounded length."""
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= limit:
+            yield pd.DataFrame(held, columns=names)
+            held = []
+    yield pd.DataFrame(held, columns=names)
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _columns(batch: pd.DataFrame, *names: str) -> Iterator[tuple]:
+    return zip(*(batch[c].array for c in names), strict=True)
+
+
+def repeated_runs(docs: DataFrame, match: int = MATCH, array_bytes: int = ARRAY_BYTES) -> DataFrame:
     """(text_key, runs) of the texts of docs that lose bytes: runs are the byte ranges to remove."""
+    keyed = docs.select(_key(), "text").filter(F.octet_length("text") >= match)
+    copied = materialize(keyed.groupBy("text_key").count().filter("count > 1").select("text_key"), "copied")
+    known = broadcast_if_small(copied)
+    once = materialize(keyed.join(known, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text")), "copied-texts")
+    texts = keyed.join(known, "text_key", "left_anti").unionByName(once)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for key, text in zip(batch["text_key"].array, batch["text"].array, strict=True):
+        def rows(batch: pd.DataFrame) -> Iterator[tuple]:
+            for key, text in _columns(batch, "text_key", "text"):
                 raw = _raw(text)
-                if len(raw) >= match:
-                    for start, count, place, anchor in segments(np.frombuffer(raw, dtype=np.uint8), match):
-                        content = xxhash.xxh3_64_intdigest(raw[start : start + count + match - 1], seed=place - start)
-                        out.append((key, anchor, content - (1 << 63), start, count))
-                if len(out) >= ROWS:
-                    yield pd.DataFrame(out, columns=["text_key", "anchor", "content", "start", "count"])
-                    out = []
-            yield pd.DataFrame(out, columns=["text_key", "anchor", "content", "start", "count"])
-
-    texts = docs.select(_key(), "text")
-    found = materialize(texts.mapInPandas(cut, "text_key binary, anchor long, content long, start long, count int"), "segments")
-    again = materialize(found.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors")
-    found = found.join(broadcast_if_small(again, again.count()), "anchor", "left_semi")
-    contents = found.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "start", "count")).alias("one"))
-    contents = materialize(contents.select("anchor", "content", "n", "one.*"), "contents")
-    variety = contents.groupBy("anchor").agg(F.count("*").alias("contents"), F.min("n").alias("least")).filter("contents > 1 AND least = 1")
-    variety = materialize(variety, "variety")
-    wanted = contents.join(broadcast_if_small(variety, variety.count()), "anchor").select("anchor", "content", "text_key", "start", "count", (F.col("contents") > many).alias("many"))
-    wanted = materialize(wanted, "wanted")
-    compared = _compared(texts, wanted, match)
-    whole = contents.filter("n > 1").select("anchor", "content", F.array(F.struct(F.lit(0).alias("first"), F.col("count"))).cast(SPANS).alias("spans"))
-    marks = materialize(whole.unionByName(compared), "marks")
-    placed = found.select("text_key", "anchor", "content", "start").distinct().join(broadcast_if_small(marks, marks.count()), ["anchor", "content"])
+                for start, count, place, anchor in segments(np.frombuffer(raw, dtype=np.uint8), match):
+                    yield key, anchor, xxhash.xxh3_64_intdigest(raw[start : start + count + match - 1], seed=place - start) - (1 << 63), start, count, 1
+
+        for batch in batches:
+            yield from _frames(rows(batch), _names(SEGMENT))
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows(batch: pd.DataFrame) -> Iterator[tuple]:
+            for key, text in _columns(batch, "text_key", "text"):
+                n = len(_raw(text)) - match + 1
+                for start in range(0, n, WHOLE):
+                    yield key, xxhash.xxh3_64_intdigest(key, seed=start) - (1 << 63), 0, start, min(WHOLE, n - start), 2
+
+        for batch in batches:
+            yield from _frames(rows(batch), _names(SEGMENT))
+
+    found = materialize(texts.mapInPandas(cut, SEGMENT).unionByName(once.mapInPandas(whole, SEGMENT)), "segments")
+    again = materialize(found.groupBy("anchor").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor"), "anchors")
+    found = found.join(broadcast_if_small(again), "anchor", "left_semi")
+    place = F.struct("text_key", "start")
+    contents = found.groupBy("anchor", "content").agg(F.sum("copies").alias("n"), F.first("count").alias("count"), F.min(place).alias("low"), F.max(place).alias("high"))
+    contents = materialize(contents, "contents")
+    size = F.when(F.col("n") > 1, 2).otherwise(1) * (F.col("count") + match)
+    large = materialize(contents.groupBy("anchor").agg(F.sum(size).alias("size")).filter(F.col("size") > array_bytes).filter(F.col("size") > min(array_bytes, 2 * (WHOLE + match))).select("anchor", F.lit(True).alias("many")), "large")
+    wanted = contents.join(broadcast_if_small(large), "anchor", "left")
+    both = F.when(F.col("n") > 1, F.array("low", "high")).otherwise(F.array("low"))
+    wanted = wanted.select("anchor", "content", "count", F.coalesce("many", F.lit(False)).alias("many"), F.posexplode(both).alias("copy", "at")).select("anchor", "content", "count", "many", "copy", "at.*")
+    marks = materialize(_compared(texts, materialize(wanted, "wanted"), match, array_bytes), "marks")
+    placed = found.select("text_key", "anchor", "content", "start").join(broadcast_if_small(marks), ["anchor", "content"])
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -218,74 +350,100 @@ def repeated_runs(docs: DataFrame, match: int = MATCH, many: int = MANY) -> Data
     return materialize(by_text.mapInPandas(join, "text_key binary, runs array<struct<a:long,b:long>>"), "runs")
 
 
-def _compared(texts: DataFrame, wanted: DataFrame, match: int) -> DataFrame:
-    """(anchor, content, spans) of the contents in wanted that share strings with another of their anchor."""
+def _spans(places: np.ndarray) -> list[dict]:
+    return [{"first": a, "count": c} for a, c in spans(places)]
+
+
+def _compared(texts: DataFrame, wanted: DataFrame, match: int, array_bytes: int) -> DataFrame:
+    """(anchor, content, spans) of the contents in wanted that share strings with another, or another copy, of their anchor."""
+    spark = texts.sparkSession
     keys = materialize(wanted.select("text_key").distinct(), "keys")
-    own = texts.join(broadcast_if_small(keys, keys.count()), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
-    asked = wanted.groupBy("text_key").agg(F.collect_list(F.struct("anchor", "content", "start", "count", "many")).alias("asked"))
+    own = texts.join(broadcast_if_small(keys), "text_key", "left_semi")
+    asked = wanted.groupBy("text_key").agg(F.collect_list(F.struct("anchor", "content", "copy", "start", "count", "many")).alias("asked"))
+    piece = "anchor long, content long, copy int, count int, many boolean, piece binary"
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["anchor", "content", "count", "many", "piece"]
-        for batch in batches:
-            rows: list[tuple] = []
-            for text, asked in zip(batch["text"].array, batch["asked"].array, strict=True):
+        def rows(batch: pd.DataFrame) -> Iterator[tuple]:
+            for text, asked in _columns(batch, "text", "asked"):
                 raw = _raw(text)
-                rows += [(x["anchor"], x["content"], x["count"], x["many"], raw[x["start"] : x["start"] + x["count"] + match - 1]) for x in asked]
-                if len(rows) >= ROWS // 4:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            yield pd.DataFrame(rows, columns=names)
+                for x in asked:
+                    yield x["anchor"], x["content"], x["copy"], x["count"], x["many"], raw[x["start"] : x["start"] + x["count"] + match - 1]
 
-    pieces = materialize(own.join(asked, "text_key").mapInPandas(fetch, "anchor long, content long, count int, many boolean, piece binary"), "pieces")
+        for batch in batches:
+            yield from _frames(rows(batch), _names(piece), ROWS // 8)
+
+    pieces = materialize(own.join(asked, "text_key").mapInPandas(fetch, piece), "pieces")
     size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
-    parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
 
-    def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def arrays(rows: Iterator[tuple]) -> Iterator[tuple[list[tuple], list[np.ndarray]]]:
+        """Rows (group, count, piece, ...) with their marks, as many whole groups at a time as an array holds."""
         held: list[tuple] = []
-        size = 0
+        total = 0
+        for row in rows:
+            if total > array_bytes // 2 and row[0] != held[-1][0]:
+                yield held, repeated([h[2] for h in held], [h[1] for h in held], match)
+                held, total = [], 0
+            held.append(row)
+            total += len(row[2])
+        if held:
+            yield held, repeated([h[2] for h in held], [h[1] for h in held], match)
 
-        def flush() -> pd.DataFrame:
-            marks = repeated([h[3] for h in held], [h[2] for h in held], match)
-            rows = [(h[0], h[1], [{"first": a, "count": c} for a, c in spans(m)]) for h, m in zip(held, marks, strict=True) if len(m)]
-            return pd.DataFrame(rows, columns=["anchor", "content", "spans"])
+    def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for held, marks in arrays(row for batch in batches for row in _columns(batch, "anchor", "count", "piece", "content", "copy")):
+            # two copies of a content have equal marks
+            rows = [(h[0], h[3], _spans(m)) for h, m in zip(held, marks, strict=True) if len(m) and not h[4]]
+            yield pd.DataFrame(rows, columns=["anchor", "content", "spans"])
+
+    dealt = pieces.filter("NOT many").select("anchor", "content", "copy", "count", "piece").repartition(parts, "anchor").sortWithinPartitions("anchor", "content", "copy")
+    sorted_ = dealt.mapInPandas(sort, f"anchor long, content long, spans {SPANS}")
+    many = pieces.filter("many")
+    if many.isEmpty():
+        return sorted_
+
+    string = "anchor long, content long, copy int, place int, digest binary"
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows(batch: pd.DataFrame) -> Iterator[tuple]:
+            for anchor, content, copy, count, own in _columns(batch, "anchor", "content", "copy", "count", "piece"):
+                for i in range(count):
+                    yield anchor, content, copy, i, xxhash.xxh3_128_digest(own[i : i + match])
 
         for batch in batches:
-            for row in zip(*(batch[c].array for c in ("anchor", "content", "count", "piece")), strict=True):
-                if size > ARRAY_BYTES and row[0] != held[-1][0]:
-                    yield flush()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
-        if held:
-            yield flush()
+            yield from _frames(rows(batch), _names(string))
 
-    dealt = pieces.filter("NOT many").select("anchor", "content", "count", "piece").repartition(parts, "anchor").sortWithinPartitions("anchor")
-    sorted_ = dealt.mapInPandas(sort, f"anchor long, content long, spans {SPANS}")
+    strings = materialize(many.mapInPandas(cut, string), "strings")
+    place = F.struct("anchor", "content", "copy", "place")
+    twice = strings.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("low"), F.max(place).alias("high")).filter("n > 1")
+    two = twice.select("digest", F.explode(F.array("low", "high")).alias("at")).groupBy("at.anchor", "at.content", "at.copy").agg(F.collect_list(F.struct("digest", "at.place")).alias("asked"))
 
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for anchor, content, count, piece in zip(*(batch[c].array for c in ("anchor", "content", "count", "piece")), strict=True):
-                yield pd.DataFrame({"anchor": anchor, "content": content, "place": range(count), "digest": [xxhash.xxh3_128_digest(piece[i : i + match]) for i in range(count)]})
+            yield from _frames(((x["digest"], p[x["place"] : x["place"] + match]) for p, own in _columns(batch, "piece", "asked") for x in own), ["digest", "piece"], ROWS // 8)
+
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for held, marks in arrays((digest, 1, own) for batch in batches for digest, own in _columns(batch, "digest", "piece")):
+            yield pd.DataFrame({"digest": sorted({h[0] for h, m in zip(held, marks, strict=True) if len(m)})})
+
+    pairs = many.select("anchor", "content", "copy", "piece").join(two, ["anchor", "content", "copy"]).mapInPandas(windows, "digest binary, piece binary")
+    agreed = pairs.repartition(parts, "digest").sortWithinPartitions("digest").mapInPandas(confirm, "digest binary")
+    agreed = materialize(agreed, "agreed")
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            own = [[{"first": a, "count": c} for a, c in spans(np.sort(np.asarray(p)))] for p in batch["places"]]
-            yield pd.DataFrame({"anchor": batch["anchor"], "content": batch["content"], "spans": own})
+            yield pd.DataFrame({"anchor": batch["anchor"], "content": batch["content"], "spans": [_spans(np.sort(np.asarray(p))) for p in batch["places"]]})
 
-    strings = pieces.filter("many").select("anchor", "content", "count", "piece").mapInPandas(digests, "anchor long, content long, place int, digest binary")
-    twice = strings.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    counted = strings.join(twice, "digest").groupBy("anchor", "content").agg(F.collect_list("place").alias("places"))
+    counted = strings.filter("copy = 0").join(broadcast_if_small(agreed), "digest", "left_semi").groupBy("anchor", "content").agg(F.collect_list("place").alias("places"))
     return sorted_.unionByName(counted.mapInPandas(gather, f"anchor long, content long, spans {SPANS}"))
 
 
-def remove_repeats(docs: DataFrame, match: int = MATCH, many: int = MANY, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, match: int = MATCH, array_bytes: int = ARRAY_BYTES, with_text: bool = True) -> DataFrame:
     """(doc_id, text_left binary, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs (doc_id, text).
 
     Without with_text the bytes left are only counted and digested.
     """
-    runs = repeated_runs(docs, match, many)
-    long = runs.agg(F.count("*") + F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
-    rows = docs.select("doc_id", "text", _key()).join(broadcast_if_small(runs, long), "text_key", "left")
+    runs = repeated_runs(docs, match, array_bytes)
+    rows = docs.select("doc_id", "text", _key()).join(broadcast_if_small(runs), "text_key", "left")
 
     def made(ids: list, out: list[tuple]) -> pd.DataFrame:
         frame = pd.DataFrame(out, columns=["text_left", "n_bytes", "n_removed", "n_spans", "kept_sha256"])

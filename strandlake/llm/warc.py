@@ -60,7 +60,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes (page_id, url, html) below folder; gives the manifest (path, bytes, records)."""
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
     repeated = materialize(pages.groupBy("sha").agg(F.count("*").alias("n"), F.max("page_id").alias("first_id")).filter("n > 1").select("sha", "first_id"), "warc-repeats")
-    pages = pages.join(broadcast_if_small(repeated, repeated.count()), "sha", "left")
+    pages = pages.join(broadcast_if_small(repeated), "sha", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     pages = pages.select("page_id", "url", "html", "first_id", revisit.alias("is_revisit"))
 

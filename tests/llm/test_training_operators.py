@@ -198,18 +198,28 @@ def covered(texts, match):
     return out
 
 
-@pytest.mark.parametrize("many", [suffix_dedup.MANY, 1])
-def test_suffix_dedup_equals_brute_force(spark, many):
+@pytest.mark.parametrize("array_bytes", [suffix_dedup.ARRAY_BYTES, 1])
+def test_suffix_dedup_equals_brute_force(spark, array_bytes):
     rnd = random.Random(5)
     noise = lambda n: "".join(rnd.choice("abcé ") for _ in range(n))
     base = noise(900)
     texts = ["a" * 1000, "ab" * 300, base, "x" + base[100:700] + "y", base[200:800] * 2, "", None, "b" * 399, base[:450] + "q" + base[451:]]
     texts += [noise(rnd.randint(0, 30)) + base[300:720] + noise(rnd.randint(0, 30)) for _ in range(20)]
-    got = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), many=many).orderBy("doc_id").collect()
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), array_bytes=array_bytes).orderBy("doc_id").collect()
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == covered([(t or "").encode() for t in texts], 400)
 
 
-def test_suffix_array():
+def test_repeated_and_common_prefixes(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+    pieces = [b"abcdefgh" * 4, b"abcdefgh" * 4, b"xbcdefghabcdefghab"]
+    assert [x.tolist() for x in suffix_dedup.repeated(pieces, [17, 17, 3], 16)] == [list(range(17)), list(range(17)), [1, 2]]
+    assert suffix_dedup.common_prefixes(b"abcdefgh1abcdefgh2", np.array([0, 0]), np.array([9, 10]), 8).tolist() == [True, False]
+
+
+@pytest.mark.parametrize("text_sort", [0, 100_000])
+def test_suffix_array(monkeypatch, text_sort):
+    monkeypatch.setattr(suffix_dedup, "TEXT_SORT", text_sort)
     rnd = random.Random(1)
     for _ in range(200):
         b = bytes(rnd.choice(b"ab\xc3 ") for _ in range(rnd.randint(1, 60))) * rnd.randint(1, 2)
