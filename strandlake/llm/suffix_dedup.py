@@ -10,8 +10,9 @@ only strings of one anchor need to be compared; a text falls into one segment of
 3. The segments of an anchor go to one task, many anchors at a time, which builds their suffix array in two stages
    (suffixes smaller than their successors are sorted directly, the rest is induced by bucket scans) and compares neighbours;
    a common prefix of MATCH bytes marks both. Every byte removed comes from such neighbours, compared byte by byte.
-4. An anchor whose segments exceed ARRAY_BYTES is cut further, into its single strings: two of each string that comes up twice
-   go to suffix arrays, many strings at a time.
+4. An anchor whose segments exceed ARRAY_BYTES is cut further: its strings are dealt by ranges of their distance to the anchor
+   and, within a range, by the bytes that all strings of the range would share, so that equal strings stay together; what then
+   stands alone is done, copies are thinned out again, and ranges narrow down to single distances where need be.
 
 Defined cases: a null text is empty; texts below MATCH bytes lose nothing; equal rows lose everything from MATCH bytes on;
 long texts are walked in blocks; runs of equal bytes repeat themselves at the next byte; other columns are not read; an empty
@@ -33,6 +34,8 @@ from .common import broadcast_if_small, materialize, table
 
 MATCH, GRAM = 400, 32
 BLOCK, WHOLE, ARRAY_BYTES, TASK_BYTES, ROWS = 1 << 19, 1 << 18, 1 << 20, 8 << 20, 20_000
+#: Distances to the anchor in a range, from one cut of a large anchor to the next.
+WIDTHS = (46, 6, 1)
 #: Suffixes still equal after two rounds of eight bytes are sorted as texts, so many at most.
 TEXT_SORT = 100_000
 SEPARATOR = b"\xff"  # no byte of UTF-8
@@ -276,29 +279,40 @@ def _key() -> F.Column:
     return F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key")
 
 
-SPANS = "array<struct<first:int,count:int>>"
-SEGMENT = "text_key binary, anchor long, content long, start long, count int, copies int"
-
-
-def _frames(rows: Iterator[tuple], names: list[str], limit: int = ROWS) -> Iterator[pd.DataFrame]:
-    """Rows in frames of bounded length."""
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= limit:
-            yield pd.DataFrame(held, columns=names)
-            held = []
-    yield pd.DataFrame(held, columns=names)
+SPANS = "array<struct<first:long,count:long>>"
+#: A segment: its place in what it is cut from, its anchor, a digest, the anchor's distance, its strings, and how many copies it stands for.
+SEGMENT = "first long, anchor long, content long, lead int, count int, copies int"
 
 
 def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def _columns(batch: pd.DataFrame, *names: str) -> Iterator[tuple]:
+def _columns(batch: pd.DataFrame, names: list[str]) -> Iterator[tuple]:
     return zip(*(batch[c].array for c in names), strict=True)
 
 
+def _expand(rows: DataFrame, read: list[str], made, schema: str, limit: int = ROWS) -> DataFrame:
+    """The rows that made(row of read) yields for each row, handed on in frames of bounded length."""
+    names = _names(schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in _columns(batch, read):
+                held.extend(made(*row))
+                if len(held) >= limit:
+                    yield pd.DataFrame(held, columns=names)
+                    held = []
+        yield pd.DataFrame(held, columns=names)
+
+    return rows.mapInPandas(run, schema)
+
+
+def _digest(own: bytes, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(own, seed=int(seed) & (1 << 64) - 1) - (1 << 63)
+
+
 def repeated_runs(docs: DataFrame, match: int = MATCH, array_bytes: int = ARRAY_BYTES) -> DataFrame:
     """(text_key, runs) of the texts of docs that lose bytes: runs are the byte ranges to remove."""
     keyed = docs.select(_key(), "text").filter(F.octet_length("text") >= match)
@@ -307,134 +321,122 @@ def repeated_runs(docs: DataFrame, match: int = MATCH, array_bytes: int = ARRAY_
     once = materialize(keyed.join(known, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text")), "copied-texts")
     texts = keyed.join(known, "text_key", "left_anti").unionByName(once)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows(batch: pd.DataFrame) -> Iterator[tuple]:
-            for key, text in _columns(batch, "text_key", "text"):
-                raw = _raw(text)
-                for start, count, place, anchor in segments(np.frombuffer(raw, dtype=np.uint8), match):
-                    yield key, anchor, xxhash.xxh3_64_intdigest(raw[start : start + count + match - 1], seed=place - start) - (1 << 63), start, count, 1
+    def cut(key: bytes, text: str) -> Iterator[tuple]:
+        raw = _raw(text)
+        for start, count, place, anchor in segments(np.frombuffer(raw, dtype=np.uint8), match):
+            yield key, start, anchor, _digest(raw[start : start + count + match - 1], place - start), place - start, count, 1
 
-        for batch in batches:
-            yield from _frames(rows(batch), _names(SEGMENT))
+    def whole(key: bytes, text: str) -> Iterator[tuple]:
+        n = len(_raw(text)) - match + 1
+        for start in range(0, n, WHOLE):
+            yield key, start, _digest(key, start), 0, 0, min(WHOLE, n - start), 2
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows(batch: pd.DataFrame) -> Iterator[tuple]:
-            for key, text in _columns(batch, "text_key", "text"):
-                n = len(_raw(text)) - match + 1
-                for start in range(0, n, WHOLE):
-                    yield key, xxhash.xxh3_64_intdigest(key, seed=start) - (1 << 63), 0, start, min(WHOLE, n - start), 2
+    keyed_segment = f"text_key binary, {SEGMENT}"
+    found = _expand(texts, ["text_key", "text"], cut, keyed_segment).unionByName(_expand(once, ["text_key", "text"], whole, keyed_segment))
+    sources = texts.select("text_key", F.col("text").cast("binary").alias("raw"))
+    marked = _resolve(materialize(found, "segments"), sources, ["text_key"], match, array_bytes, WIDTHS)
 
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield from _frames(rows(batch), _names(SEGMENT))
+            own = [merged([(x["first"], x["first"] + x["count"] + match - 1) for x in s]) for s in batch["spans"]]
+            yield pd.DataFrame({"text_key": batch["text_key"], "runs": [[{"a": a, "b": b} for a, b in r] for r in own]})
 
-    found = materialize(texts.mapInPandas(cut, SEGMENT).unionByName(once.mapInPandas(whole, SEGMENT)), "segments")
-    again = materialize(found.groupBy("anchor").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor"), "anchors")
-    found = found.join(broadcast_if_small(again), "anchor", "left_semi")
-    place = F.struct("text_key", "start")
-    contents = found.groupBy("anchor", "content").agg(F.sum("copies").alias("n"), F.first("count").alias("count"), F.min(place).alias("low"), F.max(place).alias("high"))
-    contents = materialize(contents, "contents")
-    size = F.when(F.col("n") > 1, 2).otherwise(1) * (F.col("count") + match)
-    large = materialize(contents.groupBy("anchor").agg(F.sum(size).alias("size")).filter(F.col("size") > array_bytes).filter(F.col("size") > min(array_bytes, 2 * (WHOLE + match))).select("anchor", F.lit(True).alias("many")), "large")
-    wanted = contents.join(broadcast_if_small(large), "anchor", "left")
-    both = F.when(F.col("n") > 1, F.array("low", "high")).otherwise(F.array("low"))
-    wanted = wanted.select("anchor", "content", "count", F.coalesce("many", F.lit(False)).alias("many"), F.posexplode(both).alias("copy", "at")).select("anchor", "content", "count", "many", "copy", "at.*")
-    marks = materialize(_compared(texts, materialize(wanted, "wanted"), match, array_bytes), "marks")
-    placed = found.select("text_key", "anchor", "content", "start").join(broadcast_if_small(marks), ["anchor", "content"])
-
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            runs = [merged([(s["start"] + x["first"], s["start"] + x["first"] + x["count"] + match - 1) for s in own for x in s["spans"]]) for own in batch["own"]]
-            yield pd.DataFrame({"text_key": batch["text_key"], "runs": [[{"a": a, "b": b} for a, b in r] for r in runs]})
-
-    by_text = placed.groupBy("text_key").agg(F.collect_list(F.struct("start", "spans")).alias("own"))
-    return materialize(by_text.mapInPandas(join, "text_key binary, runs array<struct<a:long,b:long>>"), "runs")
+    return materialize(marked.mapInPandas(runs, "text_key binary, runs array<struct<a:long,b:long>>"), "runs")
 
 
 def _spans(places: np.ndarray) -> list[dict]:
     return [{"first": a, "count": c} for a, c in spans(places)]
 
 
-def _compared(texts: DataFrame, wanted: DataFrame, match: int, array_bytes: int) -> DataFrame:
-    """(anchor, content, spans) of the contents in wanted that share strings with another, or another copy, of their anchor."""
-    spark = texts.sparkSession
-    keys = materialize(wanted.select("text_key").distinct(), "keys")
-    own = texts.join(broadcast_if_small(keys), "text_key", "left_semi")
-    asked = wanted.groupBy("text_key").agg(F.collect_list(F.struct("anchor", "content", "copy", "start", "count", "many")).alias("asked"))
-    piece = "anchor long, content long, copy int, count int, many boolean, piece binary"
+def _resolve(found: DataFrame, sources: DataFrame, keys: list[str], match: int, array_bytes: int, widths: tuple[int, ...]) -> DataFrame:
+    """(keys, spans): the places of each source (keys, raw) where a repeated string of match bytes starts.
+
+    found are the stored segments (keys, SEGMENT) of the sources. Large anchors are resolved by cutting their pieces by widths.
+    """
+    spark = found.sparkSession
+    again = materialize(found.groupBy("anchor").agg(F.sum("copies").alias("n")).filter("n > 1").select("anchor"), "anchors")
+    found = found.join(broadcast_if_small(again), "anchor", "left_semi")
+    place = F.struct(*keys, "first")
+    contents = found.groupBy("anchor", "content").agg(F.sum("copies").alias("n"), F.first("lead").alias("lead"), F.first("count").alias("count"), F.min(place).alias("low"), F.max(place).alias("high"))
+    contents = materialize(contents, "contents")
+    size = F.when(F.col("n") > 1, 2).otherwise(1) * (F.col("count") + match)
+    large = contents.groupBy("anchor").agg(F.sum(size).alias("size")).filter(F.col("size") > (array_bytes if widths else 1 << 62))
+    large = materialize(large.select("anchor", F.lit(True).alias("many")), "large")
+    both = F.when(F.col("n") > 1, F.array("low", "high")).otherwise(F.array("low"))
+    wanted = contents.join(broadcast_if_small(large), "anchor", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    wanted = wanted.select("anchor", "content", "lead", "count", "many", F.posexplode(both).alias("copy", "at")).select("anchor", "content", "copy", "lead", "count", "many", "at.*")
 
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows(batch: pd.DataFrame) -> Iterator[tuple]:
-            for text, asked in _columns(batch, "text", "asked"):
-                raw = _raw(text)
-                for x in asked:
-                    yield x["anchor"], x["content"], x["copy"], x["count"], x["many"], raw[x["start"] : x["start"] + x["count"] + match - 1]
+    # the pieces are cut where the sources are
+    asked = materialize(wanted.groupBy(*keys).agg(F.collect_list(F.struct("anchor", "content", "copy", "lead", "first", "count", "many")).alias("asked")), "asked")
+    known = sources.join(broadcast_if_small(asked), keys)
 
-        for batch in batches:
-            yield from _frames(rows(batch), _names(piece), ROWS // 8)
+    def fetch(raw: bytes, asked: list) -> Iterator[tuple]:
+        for x in asked:
+            yield x["anchor"], x["content"], x["copy"], x["lead"], x["count"], x["many"], raw[x["first"] : x["first"] + x["count"] + match - 1]
 
-    pieces = materialize(own.join(asked, "text_key").mapInPandas(fetch, piece), "pieces")
+    pieces = materialize(_expand(known, ["raw", "asked"], fetch, "anchor long, content long, copy int, lead int, count int, many boolean, piece binary", ROWS // 8), "pieces")
     size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
-
-    def arrays(rows: Iterator[tuple]) -> Iterator[tuple[list[tuple], list[np.ndarray]]]:
-        """Rows (group, count, piece, ...) with their marks, as many whole groups at a time as an array holds."""
-        held: list[tuple] = []
-        total = 0
-        for row in rows:
-            if total > array_bytes // 2 and row[0] != held[-1][0]:
-                yield held, repeated([h[2] for h in held], [h[1] for h in held], match)
-                held, total = [], 0
-            held.append(row)
-            total += len(row[2])
-        if held:
-            yield held, repeated([h[2] for h in held], [h[1] for h in held], match)
-
-    def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for held, marks in arrays(row for batch in batches for row in _columns(batch, "anchor", "count", "piece", "content", "copy")):
-            # two copies of a content have equal marks
-            rows = [(h[0], h[3], _spans(m)) for h, m in zip(held, marks, strict=True) if len(m) and not h[4]]
-            yield pd.DataFrame(rows, columns=["anchor", "content", "spans"])
-
-    dealt = pieces.filter("NOT many").select("anchor", "content", "copy", "count", "piece").repartition(parts, "anchor").sortWithinPartitions("anchor", "content", "copy")
-    sorted_ = dealt.mapInPandas(sort, f"anchor long, content long, spans {SPANS}")
+    marks = _sorted(pieces.filter("NOT many"), match, array_bytes, parts)
     many = pieces.filter("many")
-    if many.isEmpty():
-        return sorted_
-
-    string = "anchor long, content long, copy int, place int, digest binary"
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows(batch: pd.DataFrame) -> Iterator[tuple]:
-            for anchor, content, copy, count, own in _columns(batch, "anchor", "content", "copy", "count", "piece"):
-                for i in range(count):
-                    yield anchor, content, copy, i, xxhash.xxh3_128_digest(own[i : i + match])
+    if widths and not large.isEmpty():
+        width = widths[0]
+
+        def cut(anchor: int, content: int, copy: int, lead: int, count: int, piece: bytes) -> Iterator[tuple]:
+            i = 0
+            while i < count:
+                r = (lead - i) // width
+                n = min(count - i, lead - i - r * width + 1)
+                # what all strings of this range, here or elsewhere, have in common
+                core = piece[lead - r * width : lead - (r + 1) * width + 1 + match]
+                own = _digest(core, int(anchor) * 31 + r)
+                yield anchor, content, copy, i, own, _digest(piece[i : i + n + match - 1], own + lead - i), lead - i, n, 1
+                i += n
+
+        parents = ["anchor", "content", "copy"]
+        renamed = many.withColumnsRenamed({k: f"{k}_0" for k in parents})
+        smaller = _expand(renamed, ["anchor_0", "content_0", "copy_0", "lead", "count", "piece"], cut, f"anchor_0 long, content_0 long, copy_0 int, {SEGMENT}")
+        inner = _resolve(materialize(smaller, "segments"), renamed.select("anchor_0", "content_0", "copy_0", F.col("piece").alias("raw")), [f"{k}_0" for k in parents], match, array_bytes, widths[1:])
+        marks = marks.unionByName(inner.filter("copy_0 = 0").select(F.col("anchor_0").alias("anchor"), F.col("content_0").alias("content"), "spans"))
+    marks = materialize(marks, "marks")
+    placed = found.select(*keys, "first", "anchor", "content").join(broadcast_if_small(marks), ["anchor", "content"])
 
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield from _frames(rows(batch), _names(string))
+            own = [merged([(s["first"] + x["first"], s["first"] + x["first"] + x["count"]) for s in rows for x in s["spans"]]) for rows in batch["own"]]
+            out = batch[keys].copy()
+            out["spans"] = [[{"first": a, "count": b - a} for a, b in r] for r in own]
+            yield out
 
-    strings = materialize(many.mapInPandas(cut, string), "strings")
-    place = F.struct("anchor", "content", "copy", "place")
-    twice = strings.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("low"), F.max(place).alias("high")).filter("n > 1")
-    two = twice.select("digest", F.explode(F.array("low", "high")).alias("at")).groupBy("at.anchor", "at.content", "at.copy").agg(F.collect_list(F.struct("digest", "at.place")).alias("asked"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.select(*keys).schema)
+    return placed.groupBy(*keys).agg(F.collect_list(F.struct("first", "spans")).alias("own")).mapInPandas(join, f"{schema}, spans {SPANS}")
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield from _frames(((x["digest"], p[x["place"] : x["place"] + match]) for p, own in _columns(batch, "piece", "asked") for x in own), ["digest", "piece"], ROWS // 8)
 
-    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for held, marks in arrays((digest, 1, own) for batch in batches for digest, own in _columns(batch, "digest", "piece")):
-            yield pd.DataFrame({"digest": sorted({h[0] for h, m in zip(held, marks, strict=True) if len(m)})})
+def _sorted(pieces: DataFrame, match: int, array_bytes: int, parts: int) -> DataFrame:
+    """(anchor, content, spans) of the contents that share strings with another, or their other copy, of their anchor."""
 
-    pairs = many.select("anchor", "content", "copy", "piece").join(two, ["anchor", "content", "copy"]).mapInPandas(windows, "digest binary, piece binary")
-    agreed = pairs.repartition(parts, "digest").sortWithinPartitions("digest").mapInPandas(confirm, "digest binary")
-    agreed = materialize(agreed, "agreed")
+    def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        total = 0
+
+        def flush() -> pd.DataFrame:
+            marks = repeated([h[4] for h in held], [h[3] for h in held], match)
+            # two copies of a content have equal marks
+            rows = [(h[0], h[1], _spans(m)) for h, m in zip(held, marks, strict=True) if len(m) and not h[2]]
+            return pd.DataFrame(rows, columns=["anchor", "content", "spans"])
 
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"anchor": batch["anchor"], "content": batch["content"], "spans": [_spans(np.sort(np.asarray(p))) for p in batch["places"]]})
+            for row in _columns(batch, ["anchor", "content", "copy", "count", "piece"]):
+                if total > array_bytes // 2 and row[0] != held[-1][0]:
+                    yield flush()
+                    held, total = [], 0
+                held.append(row)
+                total += len(row[4])
+        if held:
+            yield flush()
 
-    counted = strings.filter("copy = 0").join(broadcast_if_small(agreed), "digest", "left_semi").groupBy("anchor", "content").agg(F.collect_list("place").alias("places"))
-    return sorted_.unionByName(counted.mapInPandas(gather, f"anchor long, content long, spans {SPANS}"))
+    dealt = pieces.select("anchor", "content", "copy", "count", "piece").repartition(parts, "anchor").sortWithinPartitions("anchor", "content", "copy")
+    return dealt.mapInPandas(sort, f"anchor long, content long, spans {SPANS}")
 
 
 def remove_repeats(docs: DataFrame, match: int = MATCH, array_bytes: int = ARRAY_BYTES, with_text: bool = True) -> DataFrame:
