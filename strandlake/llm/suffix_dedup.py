@@ -289,7 +289,7 @@ def _names(schema: str) -> list[str]:
 
 
 def _columns(batch: pd.DataFrame, names: list[str]) -> Iterator[tuple]:
-    return zip(*(batch[c].array for c in names), strict=True)
+    return zip(*(batch[c].tolist() for c in names), strict=True)
 
 
 def _expand(rows: DataFrame, read: list[str], made, schema: str, limit: int = ROWS) -> DataFrame:
@@ -310,7 +310,7 @@ def _expand(rows: DataFrame, read: list[str], made, schema: str, limit: int = RO
 
 
 def _digest(own: bytes, seed: int) -> int:
-    return xxhash.xxh3_64_intdigest(own, seed=int(seed) & (1 << 64) - 1) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(own, seed=seed & (1 << 64) - 1) - (1 << 63)
 
 
 def repeated_runs(docs: DataFrame, match: int = MATCH, array_bytes: int = ARRAY_BYTES) -> DataFrame:
@@ -389,7 +389,7 @@ def _resolve(found: DataFrame, sources: DataFrame, keys: list[str], match: int,
                 n = min(count - i, lead - i - r * width + 1)
                 # what all strings of this range, here or elsewhere, have in common
                 core = piece[lead - r * width : lead - (r + 1) * width + 1 + match]
-                own = _digest(core, int(anchor) * 31 + r)
+                own = _digest(core, anchor * 31 + r)
                 yield anchor, content, copy, i, own, _digest(piece[i : i + n + match - 1], own + lead - i), lead - i, n, 1
                 i += n
 
