@@ -368,7 +368,8 @@ def _resolve(found: DataFrame, sources: DataFrame, keys: list[str], match: int,
 
     # the pieces are cut where the sources are
     asked = materialize(wanted.groupBy(*keys).agg(F.collect_list(F.struct("anchor", "content", "copy", "lead", "first", "count", "many")).alias("asked")), "asked")
-    known = sources.join(broadcast_if_small(asked), keys)
+    # sources without any are left out before the others move
+    known = sources.join(broadcast_if_small(asked.select(*keys)), keys, "left_semi").join(asked.hint("shuffle_hash"), keys)
 
     def fetch(raw: bytes, asked: list) -> Iterator[tuple]:
         for x in asked:
