@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, materialize, table
 
 MATCH, GRAM = 400, 32
-BLOCK, WHOLE, ARRAY_BYTES, TASK_BYTES, ROWS = 1 << 19, 1 << 18, 1 << 20, 8 << 20, 20_000
+BLOCK, WHOLE, ARRAY_BYTES, TASK_BYTES, ROWS = 1 << 18, 1 << 17, 1 << 19, 8 << 20, 10_000
 #: Distances to the anchor in a range, from one cut of a large anchor to the next.
 WIDTHS = (46, 6, 1)
 #: Suffixes still equal after two rounds of eight bytes are sorted as texts, so many at most.
-TEXT_SORT = 100_000
+TEXT_SORT = 50_000
 SEPARATOR = b"\xff"  # no byte of UTF-8
 _INDEX = np.uint64((1 << 24) - 1)
 
@@ -369,7 +369,7 @@ def _resolve(found: DataFrame, sources: DataFrame, keys: list[str], match: int,
     # the pieces are cut where the sources are
     asked = materialize(wanted.groupBy(*keys).agg(F.collect_list(F.struct("anchor", "content", "copy", "lead", "first", "count", "many")).alias("asked")), "asked")
     # sources without any are left out before the others move
-    known = sources.join(broadcast_if_small(asked.select(*keys)), keys, "left_semi").join(asked.hint("shuffle_hash"), keys)
+    known = sources.join(broadcast_if_small(asked.select(*keys)), keys, "left_semi").join(asked, keys)
 
     def fetch(raw: bytes, asked: list) -> Iterator[tuple]:
         for x in asked:
