@@ -6,14 +6,16 @@ then the sets themselves are compared. Each order sorts tokens known to be frequ
 hash; the list of frequent tokens only shapes the orders, so the result doesn't depend on it.
 
 1. Equal sets become one node. All further work is on nodes.
-2. Nodes that share their smallest token under one of three plain hashes are held against a few leaders of that group, pairs in
-   proportion to the nodes. Those with a good part of their sketches (smallest hashes) in common are kin: chains of kin are
-   families, and kin that prove similar enough form the first components.
-3. Inside a family, nodes of different components are compared block by block, in tasks of bounded size.
+2. Nodes that share their first token under one of three plain hashes are held against a few leaders of that group, pairs in
+   proportion to the nodes. Those with a good part of their sketches (smallest hashes) in common are kin; chains of kin are
+   families. Kin whose prefixes meet under all three orders are verified; what proves similar forms the first components.
+3. Inside a family, nodes of different components are compared block by block, in tasks of bounded size: the prefixes of a block
+   under the three orders give its candidates, the sets themselves decide.
 4. Across families, prefixes under the first order give the candidates; those under the second and third must meet too.
 
-So families, the dense part, never become rows of pairs, and pairs across them are rare. Every link between different
-components is found; which links inside a component are looked at doesn't change it.
+So every link found has passed the three filters and the comparison of the sets. Families, the dense part, never become rows of
+pairs, and pairs across them are rare. Every link between different components is found; which links inside a component are
+looked at doesn't change it.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; texts of fewer words than a shingle
 are one shingle; repeated rows are linked (their smallest doc_id is their own); a null doc_id never is a component_id unless
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +44,9 @@ FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_TOKENS, CHUNK_TOKENS = 1 / 2000, 3, 500
 #: Prefixes are so much longer that pairs must share this many of their tokens, or all that similar sets need to share.
 SHARED = 3
 #: Kin share this part of their sketches of so many smallest hashes; nodes of a family meet in blocks of so many.
-KIN_PERCENT, SKETCH, BLOCK = 60, 32, 512
+KIN_PERCENT, SKETCH, BLOCK, BLOCK_TOKENS = 60, 32, 512, 1_000_000
+#: Groups of nodes with an equal first token are dealt over so many tasks.
+SALTS = 8
 CACHE_WORDS, CACHE_SETS = 200_000, 64
 #: Rows of a frame of signatures handed on; those of a whole batch aren't held at once.
 FRAME = 512
@@ -125,12 +130,27 @@ def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[place], np.log2(top["times"].to_numpy(dtype=np.float64)[place] + 1).astype(np.uint64)
 
 
-def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def prefixes_of(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The plain hashes of a set's tokens under each order, and its prefixes: frequent tokens last, by magnitude."""
+    often, magnitude = frequent
+    level = np.zeros(len(own), dtype=np.uint64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+        level = np.where(often[at] == own, magnitude[at], np.uint64(0))
+    p, plains, prefixes = prefix_length(len(own), percent), [], []
+    for seed in _SEEDS:
+        plain = _mix(own, seed)
+        plains.append(plain)
+        keys = (level << np.uint64(56)) | (plain >> np.uint64(8))
+        prefixes.append(own[np.argpartition(keys, p - 1)[:p]] if p < len(own) else own)
+    return plains, prefixes
+
+
+def signatures(docs: DataFrame, frequent: Broadcast, n: int, percent: int) -> DataFrame:
     """A row for each row of docs: doc_id, text_key, node (digest of the set, null if empty), n_shingles and the prefixes."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, n))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often, magnitude = frequent.value
+        known = frequent.value
         for batch in (whole.iloc[at : at + FRAME] for whole in batches for at in range(0, len(whole), FRAME)):
             rows = []
             for text in batch["text"].array:
@@ -139,21 +159,12 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 if not m:
                     rows.append((None, 0, None, None, None, None, None))
                     continue
-                level = np.zeros(m, dtype=np.uint64)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
-                    level = np.where(often[at] == own, magnitude[at], np.uint64(0))
-                p, firsts, prefixes = prefix_length(m, percent), [], []
-                for seed in _SEEDS:
-                    plain = _mix(own, seed)
-                    firsts.append(own[np.argmin(plain)])
-                    if not prefixes:
-                        sketch = np.partition(plain, SKETCH - 1)[:SKETCH] if m > SKETCH else plain
-                    keys = (level << np.uint64(56)) | (plain >> np.uint64(8))
-                    prefixes.append(own[np.argpartition(keys, p - 1)[:p]] if p < m else own)
+                plains, prefixes = prefixes_of(own, known, percent)
+                firsts = np.array([own[np.argmin(x)] for x in plains])
+                sketch = np.partition(plains[0], SKETCH - 1)[:SKETCH] if m > SKETCH else plains[0]
                 # for the second and third order half of a hash is enough: a chance match costs one comparison
                 rest = [(x >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in (sketch, *prefixes[1:])]
-                rows.append((hashlib.blake2b(own.tobytes(), digest_size=16).digest(), m, np.array(firsts).view(np.int64), prefixes[0].view(np.int64), *rest))
+                rows.append((hashlib.blake2b(own.tobytes(), digest_size=16).digest(), m, firsts.view(np.int64), prefixes[0].view(np.int64), *rest))
             out = pd.DataFrame(rows, columns=["node", "n_shingles", "firsts", "prefix_1", "sketch_0", "prefix_2", "prefix_3"])
             out.insert(0, "text_key", batch["text_key"].array)
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
@@ -212,24 +223,34 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
 
 
-def _with_prefixes(pairs: DataFrame, nodes: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
-    """pairs (a, b) with the named prefixes of both, as a_1, b_1 and so on."""
+def _with_prefixes(pairs: DataFrame, nodes: DataFrame, prefixes: tuple[str, ...], sizes: bool = False) -> DataFrame:
+    """pairs (a, b) with the named prefixes of both, as a_1, b_1 and so on; with sizes, also size_a and size_b."""
     ids = _ends(pairs).distinct()
-    known = nodes.select("id", *prefixes).join(broadcast_if_small(ids), "id", "left_semi")
+    known = nodes.select("id", "n_shingles", *prefixes).join(broadcast_if_small(ids), "id", "left_semi")
     for end in ("a", "b"):
-        pairs = pairs.join(known.select(F.col("id").alias(end), *[F.col(p).alias(f"{end}_{p[-1]}") for p in prefixes]), end)
+        size = [F.col("n_shingles").alias(f"size_{end}")] if sizes else []
+        pairs = pairs.join(known.select(F.col("id").alias(end), *size, *[F.col(p).alias(f"{end}_{p[-1]}") for p in prefixes]), end)
     return pairs
 
 
-def _links_within(docs: DataFrame, nodes: DataFrame, grouped: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) that join the different labels inside each family of grouped (id, family, label).
+def _meets(percent: int) -> F.Column:
+    """Whether pairs with the prefixes of both ends pass all three filters."""
+    need = F.least(F.lit(SHARED), F.ceil(percent * F.greatest("size_a", "size_b") / 100))
+    return (F.size(F.array_intersect("a_1", "b_1")) >= need) & F.arrays_overlap("a_2", "b_2") & F.arrays_overlap("a_3", "b_3")
+
+
+def _links_within(docs: DataFrame, nodes: DataFrame, grouped: DataFrame, frequent: Broadcast, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the different labels inside each family of grouped (id, family, label, size).
 
     A family's most frequent label needs no comparisons inside itself: its members are dealt into blocks on one side, all others
-    into blocks on the other; each pair of blocks with different labels is a group of at most about 2 * BLOCK texts.
+    into blocks on the other; each pair of blocks with different labels is a group of at most about 2 * BLOCK texts, and fewer
+    where these are long.
     """
-    sizes = grouped.groupBy("family", "label").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("family").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"))
-    split = split.filter("labels > 1").select("family", F.col("most.label").alias("main"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("main_blocks"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int").alias("rest_blocks"))
+    sizes = grouped.groupBy("family", "label").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
+    split = sizes.groupBy("family").agg(F.count("*").alias("labels"), F.max(F.struct("n", "tokens", "label")).alias("most"), F.sum("n").alias("all"), F.sum("tokens").alias("all_tokens"))
+    blocks = lambda rows, tokens: F.greatest(F.ceil(rows / BLOCK), F.ceil(tokens / BLOCK_TOKENS)).cast("int")
+    main, rest = blocks(F.col("most.n"), F.col("most.tokens")), blocks(F.col("all") - F.col("most.n"), F.col("all_tokens") - F.col("most.tokens"))
+    split = split.filter("labels > 1").select("family", F.col("most.label").alias("main"), main.alias("main_blocks"), rest.alias("rest_blocks"))
     split = materialize(split, "split")
     own = grouped.join(broadcast_if_small(split), "family").withColumn("rest", F.col("label") != F.col("main"))
     own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("rest_blocks")).otherwise(F.col("main_blocks"))).cast("int"))
@@ -238,12 +259,29 @@ def _links_within(docs: DataFrame, nodes: DataFrame, grouped: DataFrame, n: int,
     to_rest = F.transform(upto(F.col("rest_blocks")), lambda i: F.struct(F.lit(1).alias("kind"), F.least(i, F.col("block")).alias("left"), F.greatest(i, F.col("block")).alias("right")))
     from_main = F.transform(upto(F.col("rest_blocks")), lambda i: F.struct(F.lit(0).alias("kind"), F.col("block").alias("left"), i.alias("right")))
     meets = F.when(F.col("rest"), F.concat(to_main, to_rest)).otherwise(from_main)
-    dealt = own.select("id", "family", "label", F.explode(meets).alias("meet"))
+    dealt = own.select("id", "family", "label", "rest", "block", F.explode(meets).alias("meet"))
+    # of a pair of blocks, one is on the left; a block that meets itself is on both sides
+    left = F.when(F.col("meet.kind") == 0, ~F.col("rest")).otherwise(F.col("block") == F.col("meet.left"))
+    dealt = dealt.withColumn("is_left", left).withColumn("both", (F.col("meet.kind") == 1) & (F.col("meet.left") == F.col("meet.right"))).drop("rest", "block")
     texts = texts_of(docs, nodes, own.select("id"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, labels, found = rows["id"].tolist(), rows["label"].tolist(), []
-        both, sizes = intersections([tokens_of(t, n) for t in rows["text"]])
+        ids, labels, found = rows["id"].tolist(), rows["label"].to_numpy(), []
+        sets = [tokens_of(t, n) for t in rows["text"]]
+        prefixes = [prefixes_of(x, frequent.value, percent)[1] for x in sets]
+        if rows["both"].iloc[0]:
+            left = right = np.arange(len(ids))
+        else:
+            left, right = np.flatnonzero(rows["is_left"].to_numpy()), np.flatnonzero(~rows["is_left"].to_numpy())
+        if not len(left) or not len(right):
+            return pd.DataFrame(found, columns=["a", "b"])
+        sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        larger = np.maximum(sizes[left][:, None], sizes[right][None, :])
+        apart = labels[left][:, None] != labels[right][None, :]
+        meet = apart & (100 * np.minimum(sizes[left][:, None], sizes[right][None, :]) >= percent * larger)
+        for order, least in enumerate((np.minimum(SHARED, -(-percent * larger // 100)), 1, 1)):
+            if meet.any():
+                meet &= shared_counts([prefixes[i][order] for i in left], [prefixes[i][order] for i in right]) >= least
         root: dict[int, int] = {}
 
         def of(x: int) -> int:
@@ -251,48 +289,57 @@ def _links_within(docs: DataFrame, nodes: DataFrame, grouped: DataFrame, n: int,
                 x = up
             return x
 
-        similar = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
-        sets: dict[int, set[bytes]] = {}
-        for i, j in np.argwhere(np.triu(similar, 1)).tolist():
-            x, y = of(labels[i]), of(labels[j])
-            if x == y:
+        if not meet.any():
+            return pd.DataFrame(found, columns=["a", "b"])
+        some, other = np.flatnonzero(meet.any(axis=1)), np.flatnonzero(meet.any(axis=0))
+        left, right, meet = left[some], right[other], meet[np.ix_(some, other)]
+        common = shared_counts([sets[i] for i in left], [sets[i] for i in right])
+        similar = meet & (100 * common >= percent * (sizes[left][:, None] + sizes[right][None, :] - common))
+        own: dict[int, set[bytes]] = {}
+        for x, y in np.argwhere(similar).tolist():
+            i, j = int(left[x]), int(right[y])
+            a, b = of(int(labels[i])), of(int(labels[j]))
+            if a == b:
                 continue
             for k in (i, j):
-                if k not in sets:
-                    sets[k] = shingle_set(rows["text"].iloc[k], n)
-            common = len(sets[i] & sets[j])
-            if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
-                root[max(x, y)] = min(x, y)
+                if k not in own:
+                    own[k] = shingle_set(rows["text"].iloc[k], n)
+            both = len(own[i] & own[j])
+            if 100 * both >= percent * (len(own[i]) + len(own[j]) - both):
+                root[max(a, b)] = min(a, b)
                 found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
         return pd.DataFrame(found, columns=["a", "b"])
 
     return dealt.join(texts, "id").groupBy("family", "meet").applyInPandas(compare, "a long, b long")
 
 
-def intersections(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of all intersections of sorted token arrays, by products of incidence matrices; and the sizes of the sets."""
-    sizes = np.array([len(x) for x in sets], dtype=np.int64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    often = times[column] > 1
-    owner, column = owner[often], np.unique(column[often], return_inverse=True)[1] if often.any() else column[often]
-    both = np.diag(sizes).astype(np.float64)
-    total = np.zeros((len(sets), len(sets)), dtype=np.float64)
-    width = 4096
-    by = np.argsort(column, kind="stable")
-    owner, column = owner[by], column[by]
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, [low, low + width])
-        m = np.zeros((len(sets), width), dtype=np.float32)
-        m[owner[a:b], column[a:b] - low] = 1
-        total += m @ m.T
-    np.fill_diagonal(total, np.diag(both))
-    return total.astype(np.int64), sizes
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of token arrays without repeats, left by right, by products of incidence matrices."""
+    width, total = 4096, np.zeros((len(left), len(right)), dtype=np.float32)
+    sides = [(np.repeat(np.arange(len(x)), [len(v) for v in x]), np.concatenate(x)) for x in (left, right)]
+    tokens = np.intersect1d(*(np.unique(t) for _, t in sides), assume_unique=True)
+    placed = []
+    for owner, own in sides:
+        at = np.minimum(np.searchsorted(tokens, own), max(0, len(tokens) - 1))
+        known = tokens[at] == own if len(tokens) else np.zeros(len(own), dtype=bool)
+        owner, at = owner[known], at[known]
+        by = np.argsort(at, kind="stable")
+        placed.append((owner[by], at[by]))
+    for low in range(0, len(tokens), width):
+        parts = []
+        for (owner, at), n in zip(placed, total.shape, strict=True):
+            a, b = np.searchsorted(at, [low, low + width])
+            m = np.zeros((n, min(width, len(tokens) - low)), dtype=np.float32)
+            m[owner[a:b], at[a:b] - low] = 1
+            parts.append(m)
+        total += parts[0] @ parts[1].T
+    return total.astype(np.int64)
 
 
 def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_key, node, n_shingles) of docs (doc_id, text), and the nodes (node, members, n_links > 0 as linked, label, min_id, component_id)."""
-    rows = materialize(signatures(docs, n, percent), "signatures")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, n))
+    rows = materialize(signatures(docs, frequent, n, percent), "signatures")
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(
         F.count("*").alias("members"), F.min("doc_id").alias("min_id"),
         F.first(F.struct("text_key", "n_shingles", "firsts", "prefix_1", "sketch_0", "prefix_2", "prefix_3")).alias("s"),
@@ -303,23 +350,26 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     # kin: nodes whose sketches overlap well with that of a leader of a group of equal smallest hashes
     firsts = nodes.select("id", F.col("n_shingles").alias("size"), F.posexplode("firsts").alias("order", "token"))
     leaders = firsts.groupBy("order", "token").agg(F.count("*").alias("n"), F.array_distinct(F.array(F.min("id"), F.max("id"), F.min_by("id", "size"), F.max_by("id", "size"))).alias("leaders")).filter("n > 1")
-    stars = firsts.join(leaders, ["order", "token"]).select("id", F.explode("leaders").alias("leader")).filter("id <> leader")
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    leaders = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    stars = firsts.withColumn("salt", salt).join(leaders, ["order", "token", "salt"]).select("id", F.explode("leaders").alias("leader")).filter("id <> leader")
     stars = materialize(stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "stars")
     shared = F.size(F.array_intersect("a_0", "b_0"))
     kin = materialize(_with_prefixes(stars, nodes, ("sketch_0",)).filter(100 * shared >= KIN_PERCENT * F.least(F.size("a_0"), F.size("b_0"))).select("a", "b"), "kin")
     families = components(kin)
-    near = materialize(verified(kin, texts_of(docs, nodes, _ends(kin)), n, percent), "near")
+    wide = _with_prefixes(kin, nodes, ("prefix_1", "prefix_2", "prefix_3"), sizes=True)
+    close = materialize(wide.filter(_similar_sizes("size_a", "size_b", percent) & _meets(percent)).select("a", "b"), "close")
+    near = materialize(verified(close, texts_of(docs, nodes, _ends(close)), n, percent), "near")
     labels = components(near)
 
     # within families, nodes of different components meet in blocks
     grouped = materialize(nodes.select("id", F.col("n_shingles").alias("size"), "text_key").join(families.withColumnRenamed("label", "family"), "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "families")
-    found = materialize(_links_within(docs, nodes, grouped, n, percent), "within")
+    found = materialize(_links_within(docs, nodes, grouped, frequent, n, percent), "within")
     if not found.isEmpty():
         near = near.union(found)
         labels = components(near)
 
     # across families, prefixes must share so many tokens under the first order, and some under each of the others
-    count = families.count()
     slim = nodes.select("id", F.col("n_shingles").alias("size"), "prefix_1").join(broadcast_if_small(families), "id", "left").withColumn("family", F.coalesce("label", "id"))
     held = slim.select(F.explode("prefix_1").alias("token"), "id", "size", "family")
     mixed = materialize(held.groupBy("token").agg(F.min("family").alias("low"), F.max("family").alias("high")).filter("low <> high").select("token"), "mixed")
@@ -333,7 +383,6 @@ def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     more = materialize(verified(met, texts_of(docs, nodes, _ends(met)), n, percent), "more")
     if not more.isEmpty():
         labels = components(near.union(more))
-    labelled = labels.count()
     named = nodes.select("id", "node", "members", "min_id").join(broadcast_if_small(labels), "id", "left")
     named = named.withColumn("linked", F.col("label").isNotNull()).withColumn("label", F.coalesce("label", "id"))
     lowest = named.filter("linked").groupBy("label").agg(F.min("min_id").alias("low"))
@@ -369,8 +418,8 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     small = broadcast_if_small(chosen.withColumnRenamed("text_key", "key"))
     own = own.join(small, own["id"].eqNullSafe(small["id"]) & (own["text_key"] == small["key"]), "left")
     alone = own.filter("grouped IS NULL").select("doc.*")
-    # equal rows of a chosen text are told apart by nothing: the first of them stands for all
-    kept = own.filter("grouped AND chosen").groupBy("text_key").agg(F.first("doc").alias("doc")).select("doc.*")
+    # rows of one id and text differ in other columns at most: the first in the order of their JSON stands for all
+    kept = own.filter("grouped AND chosen").groupBy("text_key").agg(F.min_by("doc", F.to_json("doc")).alias("doc")).select("doc.*")
     return alone.unionByName(kept)
 
 

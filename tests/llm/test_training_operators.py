@@ -234,11 +234,63 @@ def test_ngram_join_on_odd_rows(spark, odd):
     assert ngram_join.keep_one(odd.limit(0)).count() == 0
 
 
-def test_intersections():
+def test_shared_counts():
     rnd = np.random.default_rng(2)
     sets = [np.unique(rnd.integers(0, 60, size=rnd.integers(1, 40))).astype(np.uint64) for _ in range(30)]
-    both, sizes = ngram_join.intersections(sets)
-    assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(30) for j in range(30)) and sizes.tolist() == [len(s) for s in sets]
+    both = ngram_join.shared_counts(sets[:12], sets[12:])
+    assert all(both[i, j] == len(np.intersect1d(sets[i], sets[12 + j])) for i in range(12) for j in range(18))
+    assert ngram_join.shared_counts([np.array([1])], [np.array([2])]).tolist() == [[0]]
+
+
+def test_similar_sets_pass_all_three_filters():
+    rnd = np.random.default_rng(4)
+    for _ in range(200):
+        one = np.unique(rnd.integers(0, 1 << 40, size=rnd.integers(3, 300))).astype(np.uint64)
+        cut = rnd.integers(0, max(1, len(one) // 8))
+        other = np.unique(np.concatenate([one[cut:], rnd.integers(0, 1 << 40, size=rnd.integers(0, 4)).astype(np.uint64)]))
+        both = len(np.intersect1d(one, other))
+        frequent = np.sort(rnd.choice(one, size=len(one) // 3, replace=False)), np.full(len(one) // 3, 5, dtype=np.uint64)
+        if 100 * both >= 80 * (len(one) + len(other) - both):
+            pairs = zip(ngram_join.prefixes_of(one, frequent, 80)[1], ngram_join.prefixes_of(other, frequent, 80)[1], strict=True)
+            shared = [len(np.intersect1d(a, b)) for a, b in pairs]
+            assert shared[0] >= min(ngram_join.SHARED, -(-80 * max(len(one), len(other)) // 100)) and min(shared) >= 1
+
+
+@pytest.mark.parametrize("block", [ngram_join.BLOCK, 3])
+def test_ngram_join_equals_brute_force(spark, monkeypatch, block):
+    """A family of near copies, many of them just above or below the threshold, in blocks of any size."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(40):
+        own = list(base)
+        for _ in range(rnd.randint(0, 4)):
+            own[rnd.randrange(60)] = f"x{rnd.randrange(30)}"
+        texts.append(" ".join(own[rnd.randint(0, 5) :]))
+    rows = [(i, t) for i, t in enumerate(texts + ["one two three", "one two three", "", None])]
+    sets = {i: ngram_join.shingle_set(t, 5) for i, t in rows}
+    root = {i: i for i, _ in rows}
+
+    def of(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in root:
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((of(i), of(j)))
+                root[b] = a
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({of(i) for i in root})
+
+
+def test_one_of_rows_that_differ_elsewhere_stays(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", s) for s in ("z", "y", None, "x")], "doc_id long, text string, source string")
+    first = ngram_join.keep_one(rows).collect()
+    assert len(first) == 1 and first == ngram_join.keep_one(rows.repartition(3)).collect()
 
 
 def test_token_counts_equal_the_library():
