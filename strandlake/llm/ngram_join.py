@@ -82,12 +82,14 @@ def tokens_of(text: str | None, n: int) -> np.ndarray:
     words = words_of(text)
     if not words:
         return np.empty(0, dtype=np.uint64)
-    h = np.array([_hashes[w] for w in words], dtype=np.uint64)
+    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     n = min(n, len(words))
     out = h[: len(h) - n + 1].copy()
     for i in range(1, n):
         out = out * _K + h[i : len(h) - n + 1 + i]
-    return np.unique(_mix(out, np.uint64(n)))
+    out = _mix(out, np.uint64(n))
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def shingle_set(text: str | None, n: int) -> set[bytes]:
