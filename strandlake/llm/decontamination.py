@@ -10,7 +10,8 @@ so that an edited or missing part doesn't hide the rest.
 An item has one text: its last sentences with a third of its words or more are the answer, its last third of words where that
 takes all sentences; the rest is the question. Passages are as long as two of the longest items and start every longest item, so an item's text always lies whole in one.
 
-Items are indexed in blocks of bounded bytes, each broadcast alone, with document frequencies over all items.
+Items are indexed in blocks of bounded bytes, each broadcast alone, with document frequencies over all items. A pass over the
+texts searches HELD blocks, so a worker's memory doesn't grow with the benchmark.
 
 Defined cases: null or empty texts and items match nothing; equal items are each reported; repeated rows are judged row by
 row; long texts are walked passage by passage; without items nothing matches; other columns are carried by `drop_leaks`.
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, OrderedDict
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,9 @@ from .common import table
 
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION_OVERLAP, ANSWER_OVERLAP, WHOLE_OVERLAP = 0.5, 0.5, 0.5, 0.5
-SHINGLE, ITEMS_A_BLOCK, INDEX_BYTES = 5, 8, 16 << 20
+SHINGLE, ITEMS_A_BLOCK, INDEX_BYTES = 5, 8, 2 << 20
+#: Indexes that a worker holds at once; items of more blocks take further passes over the texts.
+HELD = 4
 HITS = "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double>>"
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -157,16 +160,23 @@ class ImpactIndex:
         return [{k: v for k, v in x.items() if k != "key"} for _, x in sorted(best.items())]
 
 
-#: In each Python worker: the broadcast value last met and its index. Holding the value keeps later ones from taking its place.
-_held: list = []
+#: In each Python worker: the broadcast values last met and their indexes. Holding a value keeps later ones from taking its place.
+_held: OrderedDict[int, tuple[tuple, ImpactIndex]] = OrderedDict()
 
 
 def _built(index: Broadcast) -> ImpactIndex:
-    """The index, made once for a value in each Python worker."""
+    """The index, made once for a value in each Python worker while it is among the last HELD."""
     value = index.value
-    if not _held or _held[0] is not value:
-        _held[:] = value, ImpactIndex(*value)
-    return _held[1]
+    if id(value) not in _held:
+        while len(_held) >= HELD:
+            _held.popitem(last=False)
+        _held[id(value)] = value, ImpactIndex(*value)
+    _held.move_to_end(id(value))
+    return _held[id(value)][1]
+
+
+def _passes(indexes: list[Broadcast]) -> list[list[Broadcast]]:
+    return [indexes[at : at + HELD] for at in range(0, len(indexes), HELD)]
 
 
 def item_blocks(benchmark: DataFrame) -> list[Broadcast]:
@@ -191,7 +201,7 @@ def item_blocks(benchmark: DataFrame) -> list[Broadcast]:
 
 
 def leaks_of(text: str | Column, indexes: list[Broadcast], threshold: float = THRESHOLD, question: float = QUESTION_OVERLAP, answer: float = ANSWER_OVERLAP) -> Column:
-    """HITS for each text."""
+    """HITS for each text, of HELD indexes at most."""
     found = F.array().cast(HITS)
     for index in indexes:
         found = F.concat(found, F.pandas_udf(_searcher(index, threshold, question, answer), HITS)(text))
@@ -208,12 +218,20 @@ def _searcher(index: Broadcast, threshold: float, question: float, answer: float
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, as they are, without those that hold a test item."""
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), leaks_of("text", item_blocks(benchmark)).alias("leaks"))
-    return rows.filter(F.size("leaks") == 0).select("doc.*")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    for own in _passes(item_blocks(benchmark)):
+        rows = rows.withColumn("leaks", leaks_of(F.col("doc.text"), own)).filter(F.size("leaks") == 0).select("doc")
+    return rows.select("doc.*")
+
+
+def found_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap) for each row of docs and item found in it."""
+    none = docs.limit(0).select("doc_id", F.explode(F.array().cast(HITS)).alias("leak"))
+    for own in _passes(item_blocks(benchmark)):
+        none = none.unionByName(docs.select("doc_id", F.explode(leaks_of("text", own)).alias("leak")))
+    return none.select("doc_id", "leak.*")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and test item found in it."""
-    indexes = item_blocks(table(spark, sf_dir, "benchmark", "item_id", "text"))
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return docs.select("doc_id", F.explode(leaks_of("text", indexes)).alias("leak")).select("doc_id", "leak.*")
+    return found_leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))

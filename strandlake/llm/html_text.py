@@ -2,18 +2,22 @@
 
 A page is cut into blocks at block-level tags; what stands in menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments, by element or by the words of its class, id or role, never becomes a block.
-Pass one decides blocks by stop-word density, length and link density; pass two gives each ambiguous (short) block the
-label of its nearest decided neighbours. An article or main element, where a page has one with most of its words, bounds
-the text: inside it only link lists are turned down, outside it nothing is kept.
+Pass one decides blocks: many links are no text; enough stop words, or sheer length, are. Pass two gives each ambiguous (short)
+block the label of its nearest decided neighbours, of two at equal distance that differ the bad one. An article or main element
+with most of the page's words is one more feature: blocks outside are no text, and inside only short list items of nothing but
+links are bad, other blocks with many links are ambiguous. Where nothing is decided, ambiguous blocks are text: what marks
+boilerplate by name is gone before, and pages in other languages or without sentences have no stop words.
 
 Defined cases: a null or empty page has empty text; unclosed, misnested and cut-off tags are closed as browsers do;
-a `<` that starts no tag is text; pages are read whole; equal rows give equal results; other columns are not read.
+a `<` that starts no tag is text; pages are read whole; equal rows give equal results; other columns are not read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +32,7 @@ STOP_WORDS = frozenset(
     "aber als am an auch auf aus bei das dass dem den der des die ein eine einem einen er es für hat ich im in ist mit nicht noch oder sich sie sind und von war wie zu zum zur "
     "al como con del el ella en entre era es esta este ha la las lo los más muy no o para pero por se ser sin su sus también un una y".split()
 )
-MIN_STOP_DENSITY, GOOD_WORDS, LONG_WORDS, MAX_LINK_DENSITY = 0.15, 10, 40, 0.5
+MIN_STOP_DENSITY, GOOD_WORDS, LONG_WORDS, MAX_LINK_DENSITY, MENU_LINK_DENSITY = 0.15, 10, 40, 0.5, 0.9
 
 # Fixed values of HTML: element names by what they do.
 BLOCK = frozenset(
@@ -47,7 +51,11 @@ MARKS = frozenset(
     "signup login search searchbox widget toolbar copyright disclaimer skip skiplink topbar complementary contentinfo".split()
 )
 HEADER_MARKS = frozenset(["header", "banner", "masthead", "topbar"])
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+#: A class of one of these first words speaks of a layout, not of the element itself.
+LAYOUTS = frozenset("has no not with without is page layout wrapper container content".split())
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)>?", re.S)
+#: Letters of scripts that don't part words; two count as a word.
+_UNPARTED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -55,12 +63,23 @@ _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
 class Block:
-    __slots__ = ("parts", "links", "inside")
+    __slots__ = ("parts", "links", "inside", "item")
 
-    def __init__(self, inside: bool):
+    def __init__(self, inside: bool, item: bool):
         self.parts: list[str] = []
         self.links: list[str] = []
-        self.inside = inside
+        self.inside, self.item = inside, item
+
+
+def marks_of(attributes: str) -> set[str]:
+    """The words of an element's classes, id and role, without those of layouts."""
+    marks: set[str] = set()
+    for m in _NAMED.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = re.split(r"[^a-z0-9]+", name)
+            if words[0] not in LAYOUTS:
+                marks.update(words)
+    return marks
 
 
 def dropped(name: str, attributes: str, inside: bool) -> int:
@@ -68,14 +87,10 @@ def dropped(name: str, attributes: str, inside: bool) -> int:
     if name in DROPPED:
         return 2
     marks: set[str] = set()
-    if attributes and name not in ("html", "body", "article", "main"):
-        for m in _NAMED.finditer(attributes):
-            marks.update(re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
-        if _HIDDEN.search(attributes):
+    if attributes and (name not in ("html", "body", "article", "main") or name == "article" and inside):
+        marks = marks_of(attributes)
+        if name != "article" and _HIDDEN.search(attributes):
             return 2
-    elif attributes and name == "article" and inside:
-        for m in _NAMED.finditer(attributes):
-            marks.update(re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
     if name == "header" or marks & HEADER_MARKS:
         return 1 if inside else 2
     return 2 if marks & MARKS else 0
@@ -85,6 +100,7 @@ def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, without those of dropped elements."""
     out: list[Block] = []
     stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
     gone = headers = anchors = regions = headings = 0
     block = None
     at, end = 0, len(page)
@@ -92,6 +108,7 @@ def blocks_of(page: str) -> list[Block]:
     def pop() -> None:
         nonlocal gone, headers, anchors, regions, headings
         name, kind = stack.pop()
+        opened[name] -= 1
         gone -= kind == 2
         headers -= kind == 1
         anchors -= name == "a"
@@ -99,6 +116,8 @@ def blocks_of(page: str) -> list[Block]:
         headings -= name in ("h1", "h2", "h3", "h4", "h5", "h6")
 
     def close_to(names: set[str] | frozenset[str], scope: frozenset[str]) -> None:
+        if not any(opened[name] for name in names):
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
                 while len(stack) > i:
@@ -114,7 +133,7 @@ def blocks_of(page: str) -> list[Block]:
         if block is None:
             if piece.isspace():
                 return
-            out.append(block := Block(regions > 0))
+            out.append(block := Block(regions > 0, opened["li"] > 0))
         (block.links if anchors else block.parts).append(piece)
         if anchors:
             block.parts.append(piece)
@@ -157,6 +176,7 @@ def blocks_of(page: str) -> list[Block]:
             close_to({"p"}, STOPS_AT)
         kind = dropped(name, m[3], regions > 0)
         stack.append((name, kind))
+        opened[name] += 1
         gone += kind == 2
         headers += kind == 1
         anchors += name == "a"
@@ -173,53 +193,47 @@ def extract(page: str | None) -> str:
     for b in blocks_of(page):
         if text := " ".join(html.unescape("".join(b.parts)).split()):
             link = len(" ".join(html.unescape("".join(b.links)).split())) if b.links else 0
-            found.append((text, link / len(text), len(text.split()), b.inside))
-    inside = sum(n for _, links, n, own in found if own and links <= MAX_LINK_DENSITY)
-    bounded = inside and 2 * inside >= sum(n for _, links, n, _ in found if links <= MAX_LINK_DENSITY)
-    labels: list[bool | None] = []
-    for text, links, n, own in found:
-        if links > MAX_LINK_DENSITY or bounded and not own:
-            labels.append(False)
-            continue
-        words = _WORD.findall(text.lower())
-        stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if n >= GOOD_WORDS and stop >= MIN_STOP_DENSITY or n >= LONG_WORDS and bounded:
-            labels.append(True)
-        elif n >= LONG_WORDS and stop < MIN_STOP_DENSITY / 3:
-            labels.append(False)
-        else:
-            labels.append(None)
-    return "\n".join(text for (text, _, _, own), keep in zip(found, settle(labels, [x[3] and bool(bounded) for x in found]), strict=True) if keep)
+            found.append((text, link / len(text), len(text.split()) + len(_UNPARTED.findall(text)) // 2, b.inside, b.item))
+    inside = sum(n for _, links, n, own, _ in found if own and links <= MAX_LINK_DENSITY)
+    bounded = any(x[3] for x in found) and 2 * inside >= sum(n for _, links, n, *_ in found if links <= MAX_LINK_DENSITY)
+    if bounded:
+        found = [x for x in found if x[3]]
+    labels = [label_of(text, links, n, bounded, item) for text, links, n, _, item in found]
+    return "\n".join(x[0] for x, keep in zip(found, settle(labels), strict=True) if keep)
+
+
+def label_of(text: str, links: float, n: int, inside: bool, item: bool) -> bool | None:
+    """Pass one: text, no text, or undecided."""
+    if links > MAX_LINK_DENSITY:
+        return None if inside and not (item and links > MENU_LINK_DENSITY and n < GOOD_WORDS) else False
+    if n >= LONG_WORDS:
+        return True
+    if n < GOOD_WORDS:
+        return None
+    words = _WORD.findall(text.lower())
+    return True if sum(w in STOP_WORDS for w in words) >= MIN_STOP_DENSITY * len(words) > 0 else None
+
+
+def settle(labels: list[bool | None]) -> list[bool]:
+    """Pass two: an undecided block is as its nearest decided neighbours; of two as near that differ, as the bad one; text without any."""
+    n = len(labels)
 
+    def nearest(order: range) -> list[int]:
+        at, last = [-1] * n, -1
+        for i in order:
+            if labels[i] is not None:
+                last = i
+            at[i] = last
+        return at
 
-def settle(labels: list[bool | None], default: list[bool]) -> list[bool]:
-    """Pass two: an undecided block is as its nearest decided neighbours; where these differ or fail, the nearer, then the default."""
-    n = len(labels)
-    before, after = [-1] * n, [n] * n
-    last = -1
-    for i in range(n):
-        if labels[i] is not None and (labels[i] or not default[i]):
-            last = i
-        before[i] = last
-    last = n
-    for i in range(n - 1, -1, -1):
-        if labels[i] is not None and (labels[i] or not default[i]):
-            last = i
-        after[i] = last
     out = []
-    for i, label in enumerate(labels):
-        if label is not None:
-            out.append(label)
-            continue
-        a = labels[before[i]] if before[i] >= 0 else None
-        b = labels[after[i]] if after[i] < n else None
-        if default[i] or a is None and b is None:
-            out.append(default[i] or False)
-        elif a is None or b is None or a == b:
-            out.append(bool(b if a is None else a))
+    for i, a, b in zip(range(n), nearest(range(n)), nearest(range(n - 1, -1, -1)), strict=True):
+        if a < 0 or b < 0:
+            out.append(labels[max(a, b)] if max(a, b) >= 0 else True)
+        elif i - a == b - i:
+            out.append(bool(labels[a] and labels[b]))
         else:
-            left, right = i - before[i], after[i] - i
-            out.append(bool(a) if left < right else bool(b) if right < left else False)
+            out.append(bool(labels[a] if i - a < b - i else labels[b]))
     return out
 
 

@@ -1,9 +1,14 @@
 """Operator 1, PII: format-preserving Feistel pseudonyms, in DataFrame functions alone.
 
 A value is found by pattern, validated (Luhn, mod 97, octets, calendar, area rules), and permuted by a keyed Feistel
-network inside its own format, so that equal values get equal pseudonyms in every document and unequal ones never meet:
-digits stay digits, separators stay in place, check digits are made anew, dates stay dates. Letters of mail addresses
-and of hex secrets (all lower or all upper case) are permuted inside their alphabets. What fails validation is left as it is.
+network inside its own format, so that equal values get equal pseudonyms in every document and unequal ones of a format never
+meet: digits stay digits, separators stay in place, check digits are made anew, dates stay dates. Letters of mail addresses
+and of secrets are permuted inside their alphabets, capitals stay where they were, and neither the case of a mail address or hex
+secret nor the separators of a phone number change its pseudonym. Country codes, known by prefix, stay. What fails validation is
+left as it is. A slash date is read month first unless that fails, and written as it was read: the pseudonyms of 20/03/1999 and
+of some date read the other way may look alike, those of one reading never do.
+
+The key comes from the caller, else from the session's setting strandlake.pii.key, else it is KEY, which only tests should use.
 
 Values may stand side by side: patterns are greedy, so at each place where one matches, exact shapes (country lengths of
 IBANs, groups and issuers of cards, phones) are tried before the whole match, and shorter prefixes after it. Where
@@ -23,6 +28,7 @@ from .common import table
 
 ROUNDS = 8
 KEY = "pii-key-1"
+KEY_SETTING = "strandlake.pii.key"
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 #: Dates are permuted among the 73,049 days of 1900 to 2099, laid out as 17 rows of 4,297.
 FIRST_DAY, DATE_ROWS, DATE_COLUMNS = "1900-01-01", 17, 4297
@@ -31,13 +37,13 @@ _NEXT = r"(?! (?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\
 #: One alternative a kind, tried in this order where several could start.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?<![0-9A-Za-z])(?:(?:[0-9a-f]{32}|[0-9A-F]{32})(?![0-9A-Za-z])|(?:[0-9a-f]{40}|[0-9A-F]{40})(?![0-9A-Za-z])|(?:[0-9a-f]{64}|[0-9A-F]{64})(?![0-9A-Za-z]))",
+    "secret": r"(?<![0-9A-Za-z])(?:(?:[0-9a-f]{32}|[0-9A-F]{32})(?![0-9A-Za-z])|(?:[0-9a-f]{40}|[0-9A-F]{40})(?![0-9A-Za-z])|(?:[0-9a-f]{64}|[0-9A-F]{64})(?![0-9A-Za-z])|A(?:KI|SI)A[0-9A-Z]{16}(?![0-9A-Za-z])|(?:sk|pk|gh[opsu]|xox[abp])[_-][0-9A-Za-z_-]{16,}(?![0-9A-Za-z]))",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z/-])",
-    "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
+    "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])|(?<![0-9A-Za-z:.])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![0-9A-Za-z:])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9](?:" + _NEXT + r"[ .-]?[0-9]){7,13}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+.-])0[1-9](?:[ .-][0-9]{2}){4}(?![0-9A-Za-z]|[ .-][0-9])|(?<![0-9A-Za-z])\+[0-9](?:" + _NEXT + r"[ .-]?[0-9]){7,13}(?![0-9A-Za-z])",
 }
 KINDS = list(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -52,6 +58,8 @@ IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG",
     25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
 }
+#: Country codes of phone numbers: of one or two digits, else of three.
+COUNTRY_CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 #: Issuers' first digits with their lengths.
 ISSUER = r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}|3[47][0-9]{13}|3(?:0[0-5]|[689][0-9])[0-9]{11,16}|35[0-9]{14}|6[0-9]{12,18}|5[06-9][0-9]{11,17})$"
 #: Groups of a card's digits; one of 19 digits in groups only where no number goes on behind it.
@@ -83,7 +91,7 @@ def _shift(text: Column, hexes: Column, hex_only: bool) -> Column:
         length = F.lit(16) if hex_only else F.when(place < 10, 10).otherwise(26)
         step = _number(hexes, F.pmod(i, F.lit(32)).cast("int"))
         moved = F.substr(F.lit(letters), (first + F.pmod(place - first + step, length) + 1).cast("int"), F.lit(1))
-        return F.when(place < 0, c).otherwise(moved)
+        return F.when((place < 0) | (c == ""), c).otherwise(moved)
 
     return _let(hexes, lambda h: F.array_join(F.transform(F.split(text, ""), lambda c, i: one(c, i, h)), ""))
 
@@ -171,10 +179,10 @@ def _valid(kind: Column, x: Column) -> Column:
     area = F.substr(d, F.lit(1), F.lit(3))
     valid = {
         "email": F.lit(True),
-        "secret": x.rlike("[0-9]") & x.rlike("[a-fA-F]"),
+        "secret": x.rlike("[0-9]") & x.rlike("[a-zA-Z]"),
         "iban": _mod97(turned) == 1,
         "date": F.datediff(_date_of(x), F.lit(FIRST_DAY).cast("date")).between(0, DATE_ROWS * DATE_COLUMNS - 1),
-        "ip": F.forall(parts, lambda p: p.cast("int") <= 255),
+        "ip": F.when(x.contains(":"), x.rlike("[0-9]") & (F.size(F.split(x, ":")) <= 8)).otherwise(F.forall(parts, lambda p: p.try_cast("int") <= 255)),
         "ssn": ~area.isin("000", "666") & (area < "900") & (F.substr(d, F.lit(4), F.lit(2)) != "00") & (F.substr(d, F.lit(6), F.lit(4)) != "0000"),
         "card": _luhn_sum(d, 1) % 10 == 0,
         "phone": F.length(d).between(8, 15),
@@ -240,16 +248,27 @@ def _scan(run: Column, key: str) -> Column:
     return F.aggregate(steps, start, step, lambda s: F.struct(F.concat(s["text"], s["rest"]).alias("text"), s["found"].alias("found")))
 
 
+def _capitals(old: Column, new: Column) -> Column:
+    """new with capitals where old has them."""
+    return F.array_join(F.transform(F.split(new, ""), lambda c, i: F.when(F.substr(old, (i + 1).cast("int"), F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
+
+
 def _email(x: Column, key: str) -> Column:
-    host = F.substring_index(x, "@", -1)
-    site = feistel_text(F.regexp_extract(host, r"^(.*)\.[A-Za-z]+$", 1), "host", key)
-    return F.concat(feistel_text(F.substring_index(x, "@", 1), "email", key), F.lit("@"), site, F.lit("."), F.substring_index(host, ".", -1))
+    """Permuted in small letters, so that all spellings of an address stay linked."""
+    low = F.lower(x)
+    host = F.substring_index(low, "@", -1)
+    site = feistel_text(F.regexp_extract(host, r"^(.*)\.[a-z]+$", 1), "host", key)
+    whole = F.concat(feistel_text(F.substring_index(low, "@", 1), "email", key), F.lit("@"), site, F.lit("."), F.substring_index(host, ".", -1))
+    return _let(whole, lambda new: F.when(low == x, new).otherwise(_capitals(x, new)))
 
 
 def _secret(x: Column, key: str) -> Column:
-    """Keyed on the lower case, so that both spellings of a secret stay linked."""
+    """Hex ones are keyed on the lower case, so that both spellings of a secret stay linked; of others the known prefix stays."""
     new = feistel_text(F.lower(x), "secret", key, hex_only=True)
-    return F.when(x.rlike("[A-F]"), F.upper(new)).otherwise(new)
+    spelled = F.when(x.rlike("[A-F]"), F.upper(new)).otherwise(new)
+    lead = F.length(F.regexp_extract(x, "^(?:A(?:KI|SI)A|[a-z]{2,4}[_-])", 0))
+    other = F.concat(F.substr(x, F.lit(1), lead), feistel_text(F.substr(x, lead + 1, F.length(x)), "token", key))
+    return F.when(x.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), spelled).otherwise(other)
 
 
 def _card(x: Column, key: str) -> Column:
@@ -275,10 +294,12 @@ def _date(x: Column, key: str) -> Column:
 
 
 def _ip(x: Column, key: str) -> Column:
-    octet = lambda i: F.element_at(F.split(x, r"\."), i).cast("long")
+    """Version 6 in small letters, digit by digit; its colons stay."""
+    octet = lambda i: F.try_element_at(F.split(x, r"\."), F.lit(i)).try_cast("long")
     old = octet(1) * 16777216 + octet(2) * 65536 + octet(3) * 256 + octet(4)
     new = feistel_number(old, "ip", 65536, 65536, key)
-    return _let(new, lambda n: F.concat_ws(".", *[F.pmod(F.floor(n / 256**p), F.lit(256)).cast("string") for p in (3, 2, 1, 0)]))
+    four = _let(new, lambda n: F.concat_ws(".", *[F.pmod(F.floor(n / 256**p), F.lit(256)).cast("string") for p in (3, 2, 1, 0)]))
+    return F.when(x.contains(":"), feistel_text(F.lower(x), "ip6", key, hex_only=True)).otherwise(four)
 
 
 def _ssn(x: Column, key: str) -> Column:
@@ -297,8 +318,8 @@ def _ssn(x: Column, key: str) -> Column:
 
 
 def _phone(x: Column, key: str) -> Column:
-    """A country code set off from the number stays."""
-    lead = F.length(F.regexp_replace(F.regexp_extract(x, r"^\+[0-9]{1,3}(?=[ .(-])", 0), "[^0-9]", ""))
+    """A country code stays, so that all spellings of a number stay linked."""
+    lead = F.length(F.regexp_extract(x, rf"^\+({COUNTRY_CODES})", 1))
     new = _let(_digits(x), lambda d: F.concat(F.substr(d, F.lit(1), lead), feistel_text(F.substr(d, lead + 1, F.length(d)), "phone", key)))
     return _let(new, lambda n: _refill(x, n, "0-9"))
 
@@ -311,8 +332,14 @@ def _pseudonym(x: Column, kind: Column, key: str) -> Column:
     return out
 
 
-def with_pseudonyms(docs: DataFrame, text: str = "text", key: str = KEY, out: str = "pii") -> DataFrame:
-    """docs with one struct column more: the new text and `found`, an array of (kind, pseudonym) in text order."""
+def with_pseudonyms(docs: DataFrame, text: str = "text", key: str | None = None, out: str = "pii") -> DataFrame:
+    """docs with one struct column more: the new text and `found`, an array of (kind, pseudonym) in text order.
+
+    A column of the name out would be lost, so there must be none.
+    """
+    if out in docs.columns:
+        raise ValueError(f"there is a column {out!r} already")
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
     t = F.col(text)
     scanned = F.transform(F.regexp_extract_all(t, F.lit(RUN), F.lit(0)), lambda run: _scan(run, key))
     nothing = F.array().cast("array<struct<text:string,found:array<struct<kind:string,value:string>>>>")
@@ -323,7 +350,7 @@ def with_pseudonyms(docs: DataFrame, text: str = "text", key: str = KEY, out: st
     return found.withColumn(out, F.struct(new.alias("text"), F.flatten(F.transform(F.col(out)["all"], lambda m: m["found"])).alias("found")))
 
 
-def pseudonymize_rows(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymize_rows(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with its personal values replaced; all columns stay, n_chars (if there) follows the text."""
     rows = with_pseudonyms(docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("text")), key=key)
     new = {"text": F.col("pii.text"), "n_chars": F.length("pii.text").cast("long")}

@@ -25,11 +25,19 @@ SYMBOLS = "#*$%&|<>"
 BOILERPLATE = (
     "all rights reserved", "licensed under", "terms of use", "terms of service", "privacy policy", "cookie policy",
     "we use cookies", "javascript", "lorem ipsum", "powered by", "subscribe to our newsletter",
+    "tous droits réservés", "sous licence", "conditions d'utilisation", "politique de confidentialité", "mentions légales",
+    "alle rechte vorbehalten", "lizenziert unter", "nutzungsbedingungen", "datenschutzerklärung", "impressum",
+    "todos los derechos reservados", "bajo licencia", "términos de uso", "política de privacidad", "aviso legal",
 )
+#: A phrase fails a line of at most so many words; in a longer one it is a mention.
+BOILERPLATE_WORDS = 30
 #: Lines of these words alone are navigation.
 NAVIGATION = (
     "home", "menu", "login", "log in", "sign in", "sign up", "register", "search", "next", "previous", "back",
     "back to top", "read more", "share", "contact", "contact us", "about", "about us", "sitemap", "help", "faq",
+    "accueil", "connexion", "rechercher", "suivant", "précédent", "retour", "partager", "à propos", "aide", "plan du site",
+    "startseite", "anmelden", "suche", "weiter", "zurück", "teilen", "kontakt", "über uns", "hilfe",
+    "inicio", "menú", "iniciar sesión", "buscar", "siguiente", "anterior", "volver", "compartir", "contacto", "acerca de", "ayuda",
 )
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 20, 30, 8
 #: A line of fewer words than this must end as a sentence does.
@@ -76,7 +84,7 @@ def line_fails(line: str, words: int) -> bool:
     low = line.strip(" \t\r\x0b\x0c").lower()
     if words < SHORT_LINE and (low in _NAV or low[-1] not in TERMINAL):
         return True
-    return _BOILER.search(low) is not None
+    return words <= BOILERPLATE_WORDS and _BOILER.search(low) is not None
 
 
 def judge(text: str | None) -> tuple:
@@ -142,7 +150,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _like(column: str, phrases: tuple[str, ...]) -> str:
-    return "(" + " OR ".join(f"contains({column}, '{p}')" for p in phrases) + ")"
+    return "(" + " OR ".join(f"contains({column}, '{p.replace(chr(39), 2 * chr(39))}')" for p in phrases) + ")"
 
 
 ORACLE_SQL = rf"""
@@ -159,7 +167,7 @@ judged AS (
 verdicts AS (
   SELECT *, (10 * marks > 3 * k AND marks > 1)
     OR (k < {SHORT_LINE} AND (low IN ({", ".join(f"'{p}'" for p in NAVIGATION)}) OR right(low, 1) NOT IN ('.', '!', '?', ':', ';', ',', '"', '''', ')', '…', '”', '»')))
-    OR {_like("low", BOILERPLATE)} AS failed
+    OR (k <= {BOILERPLATE_WORDS} AND {_like("low", BOILERPLATE)}) AS failed
   FROM judged WHERE k > 0),
 per AS (SELECT row_id, count(*) AS n_lines, count(*) FILTER (dup) AS dups, count(*) FILTER (failed) AS n_failed, coalesce(sum(k) FILTER (NOT failed), 0) AS clean FROM verdicts GROUP BY row_id),
 base AS (

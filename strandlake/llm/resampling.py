@@ -1,7 +1,8 @@
 """Operator 5, quality classifier: importance resampling with hashed n-gram models.
 
 Words and word pairs are hashed to BUCKETS; the target model counts them over all labelled good documents, the raw model
-over all documents. A document's log weight is the mean log ratio of the two models over its n-grams, times SHARPNESS; a Gumbel
+over all documents. A document's log weight is the log ratio of the two models, the sum over its n-grams, times an exponent (1: the
+ratio itself); a Gumbel
 number seeded by the row itself is added, and the k largest keys are kept, which samples k documents without replacement
 in proportion to their weights. k is the share of good ones among the labelled, of all documents, if not given.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize, table
 
-BUCKETS, SMOOTHING, SHARPNESS, SEED = 1 << 16, 1.0, 25.0, "resample-1"
+BUCKETS, SMOOTHING, EXPONENT, SEED = 1 << 16, 1.0, 1.0, "resample-1"
 BINS, FEW = 4096, 10_000
 _WORD = re.compile(r"\w+|[^\w\s]+")
 CACHE_ENTRIES = 1_000_000
@@ -94,10 +95,10 @@ def largest(keys: DataFrame, key: str, k: int) -> float:
     return low
 
 
-def resample(docs: DataFrame, target_ids: DataFrame, share: float, seed: str = SEED) -> DataFrame:
+def resample(docs: DataFrame, target_ids: DataFrame, share: float, seed: str = SEED, exponent: float = EXPONENT) -> DataFrame:
     """(doc_id, n_grams, log_weight, sample_key, kept) of all rows of docs (doc_id, text).
 
-    target_ids: the ids of good documents; share: k as a share of all rows.
+    target_ids: the ids of good documents; share: k as a share of all rows; exponent: below 1 it draws nearer to uniform.
     """
     good = target_ids.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("is_target", F.lit(True))
     marked = docs.select("doc_id", "text").join(broadcast_if_small(good), "doc_id", "left")
@@ -105,7 +106,7 @@ def resample(docs: DataFrame, target_ids: DataFrame, share: float, seed: str = S
 
     def weigh(texts: pd.Series) -> pd.DataFrame:
         own = ratios.value
-        found = [(len(g), float(own[g].mean()) * SHARPNESS if len(g) else -np.inf) for g in map(grams, texts)]
+        found = [(len(g), float(own[g].sum()) * exponent if len(g) else -np.inf) for g in map(grams, texts)]
         return pd.DataFrame(found, columns=["n_grams", "log_weight"])
 
     row = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit(""))))

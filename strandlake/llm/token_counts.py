@@ -26,6 +26,8 @@ from .common import table
 VOCABULARY = "word_bpe_49k.json"
 OVER_LIMIT = 2048
 CACHE_ENTRIES = 1_500_000
+#: Capitals whose small letters the library knows and this Python's str.lower() doesn't.
+_LATE_CAPITALS = str.maketrans({0xA7CB: 0x0264, 0xA7DC: 0x019B})
 #: Control characters that str.split() takes for white space and the vocabulary's pattern does not.
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 
@@ -92,7 +94,7 @@ class PairCounter(dict):
 
     def plain(self, text: str) -> int:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no special rule for a final sigma
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").translate(_LATE_CAPITALS)  # no special rule for a final sigma
         text = text.lower()
         if text.isalpha():
             return self.piece(text)
