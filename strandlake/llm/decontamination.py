@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, OrderedDict
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -72,6 +73,9 @@ def overlap(part: list[str], passage: list[str]) -> float:
     return len(own & shingles(passage, n)) / len(own)
 
 
+_reached = itemgetter(0)
+
+
 class ImpactIndex:
     """Postings with normalized BM25 weights, in blocks of items."""
 
@@ -91,13 +95,15 @@ class ImpactIndex:
         self.terms = {t: n for n, t in enumerate(postings)}
         self.bound = np.zeros(len(self.terms) + 1)  # the last: words of no item
         self.blocks: list[dict[int, list[tuple[int, float]]]] = []
+        self.tops: list[dict[int, float]] = []
         self.maxima: list[tuple[np.ndarray, np.ndarray]] = []
         for n, own in enumerate(postings.values()):
             by: dict[int, list[tuple[int, float]]] = {}
             for k, w in own:
                 by.setdefault(k // ITEMS_A_BLOCK, []).append((k, w))
             self.blocks.append(by)
-            self.maxima.append((np.fromiter(by, np.int64), np.array([max(w for _, w in x) for x in by.values()])))
+            self.tops.append({block: max(w for _, w in x) for block, x in by.items()})
+            self.maxima.append((np.fromiter(by, np.int64), np.fromiter(self.tops[-1].values(), np.float64)))
             self.bound[n] = max(w for _, w in own)
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -105,32 +111,44 @@ class ImpactIndex:
         least = threshold - 1e-9
         if not terms or self.bound[terms].sum() < least:
             return []
-        upper = np.bincount(np.concatenate([self.maxima[t][0] for t in terms]), np.concatenate([self.maxima[t][1] for t in terms]))
+        own_blocks = [self.maxima[t][0] for t in terms]
+        met = np.concatenate(own_blocks)
+        upper = np.bincount(met, np.concatenate([self.maxima[t][1] for t in terms]))
+        candidates = np.flatnonzero(upper >= least).tolist()
+        if not candidates:
+            return []
+        owner = np.repeat(terms, [len(x) for x in own_blocks])
         found = []
-        for block in np.flatnonzero(upper >= least).tolist():
-            cursors = [[own, 0, max(w for _, w in own)] for t in terms if (own := self.blocks[t].get(block))]
+        for block in candidates:
+            # cursors: the item reached, the place in the postings, the postings, their maximum
+            cursors = [[own[0][0], 0, own, self.tops[t][block]] for t in owner[met == block].tolist() for own in (self.blocks[t][block],)]
+            cursors.sort(key=_reached)
             while cursors:
-                cursors.sort(key=lambda c: c[0][c[1]][0])
-                reach, pivot = 0.0, None
-                for own, at, most in cursors:
-                    reach += most
+                reach = 0.0
+                for c in cursors:
+                    reach += c[3]
                     if reach >= least:
-                        pivot = own[at][0]
                         break
-                if pivot is None:
+                else:
                     break
-                score, left = 0.0, []
+                pivot, score, done = c[0], 0.0, False
+                # only cursors up to the pivot move; those before it leap to it
                 for c in cursors:
-                    own, at, _ = c
+                    if c[0] > pivot:
+                        break
+                    at, own = c[1], c[2]
                     while at < len(own) and own[at][0] < pivot:
                         at += 1
                     if at < len(own) and own[at][0] == pivot:
                         score += own[at][1]
                         at += 1
-                    c[1] = at
                     if at < len(own):
-                        left.append(c)
-                cursors = left
+                        c[0], c[1] = own[at][0], at
+                    else:
+                        c[3], done = -1.0, True
+                if done:
+                    cursors = [c for c in cursors if c[3] >= 0]
+                cursors.sort(key=_reached)
                 if score >= least:
                     found.append((pivot, score))
         return found

@@ -33,7 +33,7 @@ DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFG
 #: Dates are permuted among the 73,049 days of 1900 to 2099, laid out as 17 rows of 4,297.
 FIRST_DAY, DATE_ROWS, DATE_COLUMNS = "1900-01-01", 17, 4297
 #: An international number, and a card in odd groups, end before another value.
-_NEXT = r"(?! (?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|(?:[0-9]{1,3}\.){3}[0-9]{1,3}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-]?[0-9]{4}|[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?:[^0-9A-Za-z]|$))"
+_NEXT = r"(?! (?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|(?:[0-9]{1,3}\.){3}[0-9]{1,3}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-]?[0-9]{4}|0[1-9](?:[ .-][0-9]{2}){4}|[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?:[^0-9A-Za-z]|$))"
 #: One alternative a kind, tried in this order where several could start.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
