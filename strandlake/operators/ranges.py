@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.storage import materialize
+
 
 def _bins(low: Column, high: Column, width: int) -> Column:
     return F.sequence(F.floor(low / width), F.floor(high / width))
@@ -42,13 +44,43 @@ def gap_merge(points: DataFrame, keys: list[str], point: str, gap: int) -> DataF
     return numbered.groupBy(*keys, "_run").agg(F.min(point).alias("first"), F.max(point).alias("last"), F.count("*").alias("members")).drop("_run")
 
 
-def depth(intervals: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Coverage as steps: keys, pos, depth from pos on. Changes are summed per place before they are run up."""
+def sweep_merge(points: DataFrame, keys: list[str], point: str, reach: int) -> DataFrame:
+    """Events of a sweep along each key: keys, first, last, members.
+
+    An event takes all points less than reach beyond its first one; the next begins at the first point it doesn't take. Each
+    place points to the place where the event after it would begin; the chain from a key's first place is found by doubling
+    the pointers, each round stored, so no task needs a whole key in memory.
+    """
+    places = materialize(points.groupBy(*keys, F.col(point).alias("_p")).agg(F.count("*").alias("_n")), "sweep-places")
+    asked = places.select(*keys, (F.col("_p") + reach).alias("_at"), F.col("_p").alias("_from"), F.lit(None).cast("long").alias("_to"))
+    told = places.select(*keys, F.col("_p").alias("_at"), F.lit(None).cast("long").alias("_from"), F.col("_p").cast("long").alias("_to"))
+    # from the far end on, the smallest place seen is the next one; at equal places it is told before it is asked for
+    order = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.col("_to").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    jump = asked.unionByName(told).withColumn("_next", F.min("_to").over(order)).filter("_from IS NOT NULL AND _next IS NOT NULL").select(*keys, F.col("_from").alias("_p"), "_next")
+    starts = places.groupBy(*keys).agg(F.min("_p").alias("_p"))
+    while True:
+        jump = materialize(jump, "sweep-jumps")
+        if jump.isEmpty():
+            break
+        reached = starts.join(jump, [*keys, "_p"]).select(*keys, F.col("_next").alias("_p"))
+        starts = materialize(starts.unionByName(reached), "sweep-starts")
+        jump = jump.join(jump.select(*keys, F.col("_p").alias("_next"), F.col("_next").alias("_far")), [*keys, "_next"]).select(*keys, "_p", F.col("_far").alias("_next"))
+    begun = places.join(starts.withColumn("_start", F.col("_p")), [*keys, "_p"], "left")
+    first = F.max("_start").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
+    return begun.withColumn("first", first).groupBy(*keys, "first").agg(F.max("_p").alias("last"), F.sum("_n").alias("members"))
+
+
+def depth(intervals: DataFrame, keys: list[str], start: str, end: str, tile: int = 1 << 32) -> DataFrame:
+    """Coverage as steps: keys, pos, depth from pos on. Changes are summed per place and per tile; windows run over the few tiles
+    of a key and inside tiles, so that no task sees all places of a key."""
     ups = intervals.select(*keys, F.col(start).alias("pos"), F.lit(1).alias("d"))
     downs = intervals.select(*keys, F.col(end).alias("pos"), F.lit(-1).alias("d"))
-    steps = ups.unionByName(downs).groupBy(*keys, "pos").agg(F.sum("d").alias("d"))
-    order = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select(*keys, "pos", F.sum("d").over(order).alias("depth"))
+    steps = ups.unionByName(downs).groupBy(*keys, "pos").agg(F.sum("d").alias("d")).withColumn("_tile", F.floor(F.col("pos") / tile))
+    tiles = steps.groupBy(*keys, "_tile").agg(F.sum("d").alias("_d"))
+    before = F.sum("_d").over(Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1))
+    tiles = tiles.select(*keys, "_tile", F.coalesce(before, F.lit(0)).alias("_before"))
+    order = Window.partitionBy(*keys, "_tile").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return steps.join(tiles, [*keys, "_tile"]).select(*keys, "pos", (F.col("_before") + F.sum("d").over(order)).alias("depth"))
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, point: str, reach: int) -> DataFrame:

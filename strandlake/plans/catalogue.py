@@ -135,8 +135,8 @@ def c02_centres(spark, sf_dir):
     return cluster.centres(intervals(spark, sf_dir), "family", "event_id", "start_us", _BOUND)
 
 
-@query(f"""WITH RECURSIVE {_CENTRES}, walk AS (SELECT family, event_id, centre, 0 AS hop FROM best UNION ALL SELECT w.family, w.event_id, b.centre, hop + 1 FROM walk w JOIN best b ON b.family = w.family AND b.event_id = w.centre WHERE hop < 63),
-roots AS (SELECT family, event_id, centre FROM walk WHERE hop = 63)
+@query(f"""WITH RECURSIVE {_CENTRES}, walk AS (SELECT family, event_id, centre FROM best UNION SELECT w.family, w.event_id, b.centre FROM walk w JOIN best b ON b.family = w.family AND b.event_id = w.centre),
+roots AS (SELECT w.* FROM walk w JOIN best b ON b.family = w.family AND b.event_id = w.centre AND b.centre = b.event_id)
 SELECT family, centre, count(*) AS members FROM roots GROUP BY ALL HAVING count(*) > 1""")
 def c03_clusters(spark, sf_dir):
     linked = cluster.centres(intervals(spark, sf_dir), "family", "event_id", "start_us", _BOUND)
@@ -144,8 +144,8 @@ def c03_clusters(spark, sf_dir):
     return found.groupBy("family", "centre").agg(F.count("*").alias("members")).filter("members > 1")
 
 
-@query(f"""WITH RECURSIVE {_CENTRES}, walk AS (SELECT family, event_id, centre, 0 AS hop FROM best UNION ALL SELECT w.family, w.event_id, b.centre, hop + 1 FROM walk w JOIN best b ON b.family = w.family AND b.event_id = w.centre WHERE hop < 63),
-m AS (SELECT w.family, w.centre, (end_us - iv.start_us) // 1000 AS ms FROM walk w JOIN iv USING (family, event_id) WHERE hop = 63)
+@query(f"""WITH RECURSIVE {_CENTRES}, walk AS (SELECT family, event_id, centre FROM best UNION SELECT w.family, w.event_id, b.centre FROM walk w JOIN best b ON b.family = w.family AND b.event_id = w.centre),
+m AS (SELECT w.family, w.centre, (end_us - iv.start_us) // 1000 AS ms FROM walk w JOIN best b ON b.family = w.family AND b.event_id = w.centre AND b.centre = b.event_id JOIN iv ON iv.family = w.family AND iv.event_id = w.event_id)
 SELECT family, centre, count(*) AS members, round(avg(ms), 3) AS mean, round(stddev_pop(ms), 3) AS std, min(ms) AS lowest, max(ms) AS highest FROM m GROUP BY ALL HAVING count(*) >= 3 AND stddev_pop(ms) > 50""")
 def a07_cluster_statistics(spark, sf_dir):
     iv = intervals(spark, sf_dir)
@@ -161,10 +161,21 @@ def a09_strand_vote(spark, sf_dir):
     return cluster.strand_vote(pairs, ["read_group", "ref_id"], "side", A.has(F.col("flag"), A.MATE_REVERSE))
 
 
+_POINTS = f"pts AS (SELECT family, sample_id, start_us AS p, count(*) AS n FROM ({INTERVALS}) GROUP BY ALL)"
+
+
+@query(f"""WITH RECURSIVE {_POINTS}, nxt AS (SELECT *, min(p) OVER (PARTITION BY family, sample_id ORDER BY p RANGE BETWEEN {3600 * SECOND} FOLLOWING AND UNBOUNDED FOLLOWING) AS q FROM pts),
+starts AS (SELECT family, sample_id, min(p) AS p FROM pts GROUP BY ALL UNION ALL SELECT n.family, n.sample_id, n.q FROM starts s JOIN nxt n ON n.family = s.family AND n.sample_id = s.sample_id AND n.p = s.p WHERE n.q IS NOT NULL),
+own AS (SELECT a.*, s.p AS start FROM pts a ASOF JOIN starts s ON a.family = s.family AND a.sample_id = s.sample_id AND a.p >= s.p)
+SELECT family, sample_id, start AS first, max(p) AS last, sum(n)::BIGINT AS members FROM own GROUP BY ALL""")
+def c05_event_sweep(spark, sf_dir):
+    return ranges.sweep_merge(intervals(spark, sf_dir), ["family", "sample_id"], "start_us", 3600 * SECOND)
+
+
 @query(f"""WITH iv AS ({INTERVALS}), g AS (SELECT *, CASE WHEN start_us - lag(start_us) OVER (PARTITION BY family, sample_id ORDER BY start_us) < {3600 * SECOND} THEN 0 ELSE 1 END AS new FROM iv),
 r AS (SELECT *, sum(new) OVER (PARTITION BY family, sample_id ORDER BY start_us ROWS UNBOUNDED PRECEDING) AS run FROM g)
 SELECT family, sample_id, min(start_us) AS first, max(start_us) AS last, count(*) AS members FROM r GROUP BY family, sample_id, run""")
-def c05_gap_merge(spark, sf_dir):
+def c06_gap_merge(spark, sf_dir):
     return ranges.gap_merge(intervals(spark, sf_dir), ["family", "sample_id"], "start_us", 3600 * SECOND)
 
 
@@ -208,19 +219,17 @@ def j10_overlap_semi(spark, sf_dir):
     return _masked("left_semi", spark, sf_dir)
 
 
-_LOGF = "lf AS (SELECT n, coalesce(sum(log10(n)) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING), 0) AS f FROM (SELECT greatest(n, 1) AS n0, n FROM range(1, 20001) t(n)))"
-_EVIDENCE = "ev AS (SELECT l_suppkey AS site, l_linestatus AS sample, count(*) FILTER (l_returnflag = 'N') AS n_ref, count(*) FILTER (l_returnflag = 'R') AS n_alt FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL)"
+_EVIDENCE = "ev AS (SELECT l_suppkey AS site, l_linestatus AS sample, count(*) FILTER (l_returnflag = 'N') AS n_ref, count(*) FILTER (l_returnflag = 'R') AS n_alt FROM lineitem GROUP BY ALL)"
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line counts. _EVIDENCE still stops at l_linenumber 2 and _LOGF at 20,000, so the SQL of these queries gives other rows."""
+    """Every line is evidence."""
     lines = table(spark, sf_dir, "lineitem")
     count = lambda flag: F.count(F.when(F.col("l_returnflag") == flag, 1))
     return lines.groupBy(F.col("l_suppkey").alias("site"), F.col("l_linestatus").alias("sample")).agg(count("N").alias("n_ref"), count("R").alias("n_alt"))
 
 
-_GENOTYPE = f"""WITH {_LOGF}, {_EVIDENCE}, l AS (
-  SELECT ev.*, coalesce(a.f, 0) - coalesce(b.f, 0) - coalesce(c.f, 0) AS choose FROM ev LEFT JOIN lf a ON a.n = n_ref + n_alt LEFT JOIN lf b ON b.n = n_ref LEFT JOIN lf c ON c.n = n_alt),
+_GENOTYPE = f"""WITH {_EVIDENCE}, l AS (SELECT ev.*, (lgamma(n_ref + n_alt + 1) - lgamma(n_ref + 1) - lgamma(n_alt + 1)) / ln(10) AS choose FROM ev),
 g AS (SELECT *, n_ref + n_alt = 0 AS none, choose + n_ref * log10(0.999) + n_alt * log10(0.001) AS a, choose + (n_ref + n_alt) * log10(0.5) AS b, choose + n_ref * log10(0.001) + n_alt * log10(0.999) AS c FROM l),
 gt AS (SELECT site, sample, n_ref, n_alt, CASE WHEN none THEN -0.48 ELSE round(a, 6) END AS gl_0, CASE WHEN none THEN -0.48 ELSE round(b, 6) END AS gl_1, CASE WHEN none THEN -0.48 ELSE round(c, 6) END AS gl_2,
   CASE WHEN none THEN '.' WHEN a >= b AND a >= c THEN '0/0' WHEN b >= c THEN '0/1' ELSE '1/1' END AS gt FROM g)"""

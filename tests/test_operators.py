@@ -46,6 +46,12 @@ def test_gap_merge(spark):
     assert sorted(tuple(r)[1:] for r in ranges.gap_merge(p, ["k"], "p", 50).collect()) == [(0, 40, 2), (90, 90, 1), (200, 200, 1)]
 
 
+def test_event_sweep(spark):
+    p = spark.createDataFrame([("k", x) for x in (0, 40, 90, 200, 200)] + [("m", 5)], "k string, p long")
+    assert sorted(tuple(r) for r in ranges.sweep_merge(p, ["k"], "p", 60).collect()) == [("k", 0, 40, 2), ("k", 90, 90, 1), ("k", 200, 200, 2), ("m", 5, 5, 1)]
+    assert ranges.sweep_merge(p.limit(0), ["k"], "p", 60).count() == 0
+
+
 def test_density_and_centres(spark):
     p = spark.createDataFrame([("k", i, x * 2) for i, x in enumerate((0, 1, 2, 10, 11))], "k string, i int, p int")
     assert sorted((r.i, r.density) for r in cluster.densities(p, "k", "i", "p", 3).collect()) == [(0, 2), (1, 3), (2, 2), (3, 2), (4, 2)]
