@@ -56,3 +56,29 @@ def strand_vote(pairs: DataFrame, keys: list[str], side: str, reverse: Column) -
     """keys and sense: a pair on side 3 votes +1 where its mate is reverse, one on side 5 where it is forward, else -1."""
     agrees = F.when(F.col(side) == 3, reverse).otherwise(~reverse)
     return pairs.groupBy(*keys).agg(F.sum(F.when(agrees, 1).otherwise(-1)).alias("sense"))
+
+
+def mountain(points: DataFrame, key: str, row: str, first: str, second: str, bound_1: str, bound_2: str) -> DataFrame:
+    """(key, row, density, centre) in two dimensions, each point with its own bounds: its density counts the points within them, its
+    centre is the one of these with the highest density, the first in order of first, second and row if several.
+
+    A centre always ranks before its point, so chains of centres have no rings. Bins are as wide as the widest bound.
+    """
+    width = int(points.agg(F.max(bound_1)).first()[0] or 1)
+    right = points.select(F.col(key).alias("_key"), F.col(row).alias("other"), F.col(first).alias("_f"), F.col(second).alias("_s"))
+    right = right.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("_f") - width) / width), F.floor((F.col("_f") + width) / width))))
+    left = points.select(key, row, first, second, bound_1, bound_2).withColumn("_own", F.floor(F.col(first) / width))
+    met = left.join(right, (F.col(key) == F.col("_key")) & (F.col("_own") == F.col("_bin")))
+    met = met.filter((F.abs(F.col(first) - F.col("_f")) <= F.col(bound_1)) & (F.abs(F.col(second) - F.col("_s")) <= F.col(bound_2))).select(key, row, "other")
+    dense = met.groupBy(key, row).agg(F.count("*").alias("density"))
+    place = F.struct((-F.col("density")).alias("d"), F.col(first).alias("f"), F.col(second).alias("s"), F.col(row).alias("r"))
+    rank = materialize(dense.join(points.select(key, row, first, second), [key, row]).select(key, F.col(row).alias("other"), "density", place.alias("rank")), "mountain")
+    best = met.join(rank.select(key, "other", "rank"), [key, "other"]).groupBy(key, row).agg(F.min("rank").alias("best"))
+    return best.join(rank.select(key, F.col("other").alias(row), "density"), [key, row]).select(key, row, "density", F.col("best.r").alias("centre"))
+
+
+def finalized(linked: DataFrame, key: str, row: str, min_density: int) -> DataFrame:
+    """(key, centre, root_density, members) of clusters whose root is dense enough."""
+    roots = linked.filter(F.col(row) == F.col("centre")).select(key, "centre", F.col("density").alias("root_density"))
+    members = clusters(linked, key, row).groupBy(key, "centre").agg(F.count("*").alias("members"))
+    return members.join(roots.filter(F.col("root_density") >= min_density), [key, "centre"])

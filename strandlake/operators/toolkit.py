@@ -123,3 +123,57 @@ def top_models(records: DataFrame, key: str, model: str, k: int = 2) -> DataFram
     counted = records.groupBy(key, model).agg(F.count("*").alias("n"))
     order = Window.partitionBy(key).orderBy(F.desc("n"), model)
     return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def token_condition(value: Column, token: str, numeric: bool) -> Column:
+    """A filter token as a condition: ! not, > >= < <=, *x ends with, x* starts with, *x* holds, else equal."""
+    if token.startswith("!"):
+        return ~token_condition(value, token[1:], numeric)
+    sign = next((s for s in (">=", "<=", ">", "<") if token.startswith(s)), "")
+    own = token[len(sign) :]
+    if numeric:
+        number = value.try_cast("double")
+        return {">=": number >= float(own), "<=": number <= float(own), ">": number > float(own), "<": number < float(own)}.get(sign, number == float(own or "nan"))
+    if sign:
+        return {">=": value >= own, "<=": value <= own, ">": value > own, "<": value < own}[sign]
+    left, right, bare = own.startswith("*"), own.endswith("*"), own.strip("*")
+    return value.contains(bare) if left and right else value.endswith(bare) if left else value.startswith(bare) if right else value == own
+
+
+def statistics(records: DataFrame) -> DataFrame:
+    """One row of counts, and the mean and median insert of first mates with one."""
+    f, count = F.col("flag"), F.count_if
+    mapped, mate = ~A.has(f, A.UNMAPPED), ~A.has(f, A.MATE_UNMAPPED)
+    insert = F.when(A.has(f, A.FIRST) & (F.col("insert_size") != 0), F.abs("insert_size"))
+    return records.agg(
+        F.count("*").alias("total"), count(mapped).alias("mapped"), count(~A.has(f, A.REVERSE)).alias("forward"), count(A.has(f, A.REVERSE)).alias("reverse"), count(A.has(f, A.QC_FAIL)).alias("failed"),
+        count(A.has(f, A.DUPLICATE)).alias("duplicates"), count(A.has(f, A.PAIRED)).alias("paired"), count(A.has(f, A.PROPER)).alias("proper"), count(mapped & mate).alias("both_mapped"),
+        count(A.has(f, A.FIRST)).alias("read_1"), count(A.has(f, A.SECOND)).alias("read_2"), count(mapped & ~mate).alias("singletons"), F.avg(insert).alias("mean_insert"), F.percentile(insert, 0.5).alias("median_insert"),
+    )
+
+
+def flagstat(records: DataFrame) -> DataFrame:
+    """The counters of flags, apart for records that failed checks (bad) and others."""
+    f, count = F.col("flag"), F.count_if
+    mapped, mate = ~A.has(f, A.UNMAPPED), ~A.has(f, A.MATE_UNMAPPED)
+    across = mapped & mate & (F.col("ref_id") != F.col("mate_ref"))
+    return records.groupBy(A.has(f, A.QC_FAIL).alias("bad")).agg(
+        F.count("*").alias("total"), count(A.has(f, A.SECONDARY)).alias("secondary"), count(A.has(f, A.DUPLICATE)).alias("duplicates"), count(mapped).alias("mapped"), count(A.has(f, A.PAIRED)).alias("paired"),
+        count(A.has(f, A.FIRST)).alias("read_1"), count(A.has(f, A.SECOND)).alias("read_2"), count(A.has(f, A.PROPER) & mapped).alias("proper"), count(mapped & mate).alias("both_mapped"),
+        count(mapped & ~mate).alias("singletons"), count(across).alias("across"), count(across & (F.col("map_qual") >= 5)).alias("across_sure"),
+    )
+
+
+def view(records: DataFrame, min_qual: int = 0, required: int = 0, forbidden: int = 0) -> DataFrame:
+    """Records of a least mapping quality with all required flags and none of the forbidden ones."""
+    f = F.col("flag")
+    return records.filter((F.col("map_qual") >= min_qual) & (f.bitwiseAND(required) == required) & (f.bitwiseAND(forbidden) == 0))
+
+
+def revert(records: DataFrame) -> DataFrame:
+    """Original qualities where the tags keep them, and no mark of a duplicate."""
+    return records.withColumns({"quals": F.coalesce(F.try_element_at("tags", F.lit("OQ")), "quals"), "flag": F.col("flag").bitwiseAND(F.lit(~A.DUPLICATE))})
+
+
+def bed_line(ref: Column, pos: Column, end: Column, name: Column, qual: Column, flag: Column) -> Column:
+    return F.concat_ws("\t", ref.cast("string"), pos.cast("string"), end.cast("string"), name.cast("string"), qual.cast("string"), F.when(A.has(flag, A.REVERSE), "-").otherwise("+"))

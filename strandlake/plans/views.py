@@ -44,3 +44,34 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SEQUENCES = "SELECT doc_id, regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g') AS seq FROM documents"
+
+
+#: Columns of read pairs over lineitem, in SQL that both engines read alike.
+PAIR_COLUMNS = {
+    "name": "l_orderkey",
+    "line": "l_linenumber",
+    "read_group": "l_suppkey",
+    "ref_id": "l_linenumber % 5 - CASE WHEN l_suppkey % 17 = 0 THEN 1 ELSE 0 END",
+    "mate_ref": "CASE WHEN l_suppkey % 4 = 0 THEN (l_linenumber + 1) % 5 ELSE l_linenumber % 5 END",
+    "pos": "l_partkey",
+    "mate_pos": "l_partkey + CAST(floor(l_quantity) AS INT) - 25",
+    "frag_len": "CAST(floor(l_quantity) AS INT)",
+    "insert_size": "CASE WHEN l_linestatus = 'O' THEN -1 ELSE 1 END * CAST(floor(l_quantity) AS INT)",
+    "map_qual": "CAST(round(l_discount * 100) AS INT)",
+    "mate_qual": "CAST(round(l_tax * 100) AS INT)",
+    "flag": "1 + CASE WHEN l_suppkey % 7 = 0 THEN 4 ELSE 0 END + CASE WHEN l_suppkey % 11 = 0 THEN 8 ELSE 0 END + CASE WHEN l_linestatus = 'O' THEN 16 ELSE 0 END + CASE WHEN l_returnflag = 'A' THEN 32 ELSE 0 END"
+    " + CASE WHEN l_linenumber % 2 = 1 THEN 64 ELSE 128 END + CASE WHEN l_linenumber = 7 THEN 256 ELSE 0 END + CASE WHEN l_suppkey % 13 = 0 THEN 512 ELSE 0 END + CASE WHEN l_returnflag = 'R' THEN 1024 ELSE 0 END",
+    "code": "CASE WHEN l_suppkey % 5 = 0 THEN 'AL' WHEN l_suppkey % 5 = 1 THEN 'L1' END",
+    "mate_code": "CASE WHEN l_partkey % 6 = 0 THEN 'AL' WHEN l_partkey % 6 = 1 THEN 'SV' END",
+    "lead_clip": "l_linenumber % 4 * 3",
+    "trail_clip": "CASE WHEN l_returnflag = 'N' THEN 8 ELSE 0 END",
+    "n_del": "CAST(round(l_tax * 100) AS INT) % 3",
+}
+PAIRS = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in PAIR_COLUMNS.items()) + " FROM lineitem"
+#: A CIGAR of clips, matches, a deletion and an insertion; parts of length 0 are left out.
+_part = lambda n, op: f"CASE WHEN {n} > 0 THEN CAST({n} AS STRING) || '{op}' ELSE '' END"
+CIGAR = f"{_part('lead_clip', 'S')} || CAST(frag_len AS STRING) || 'M' || {_part('n_del', 'D')} || '2I7M' || {_part('trail_clip', 'S')}"
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in PAIR_COLUMNS.items()]).withColumn("cigar", F.expr(CIGAR))

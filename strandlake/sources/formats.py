@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.functions.pairs import chromosome_rank
+
 SAM_COLUMNS = (("name", "string"), ("flag", "int"), ("ref", "string"), ("pos", "long"), ("map_qual", "int"), ("cigar", "string"), ("mate_ref", "string"), ("mate_pos", "long"), ("insert_size", "long"), ("seq", "string"), ("quals", "string"))
 
 
@@ -41,4 +45,96 @@ def write_vcf(calls: DataFrame, path: str) -> None:
     """Calls (chrom, pos, id, ref, alt, qual, filter, info map) as sorted text parts; ranges keep parts in order."""
     info = F.array_join(F.array_sort(F.transform(F.map_entries("info"), lambda e: F.concat(e["key"], F.when(e["value"] == "", "").otherwise(F.concat(F.lit("="), e["value"]))))), ";")
     line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", "qual", "filter", info)
-    calls.orderBy("chrom", "pos", "id").select(line.alias("value")).write.text(path)
+    calls.orderBy(chromosome_rank(F.col("chrom")), "chrom", "pos", "id").select(line.alias("value")).write.text(path)
+
+
+# The header's lines of a call file.
+VCF_HEADER = (
+    "##fileformat=VCFv4.1",
+    '##INFO=<ID=IMPRECISE,Number=0,Type=Flag,Description="Imprecise structural variation">',
+    '##INFO=<ID=CIPOS,Number=2,Type=Integer,Description="Confidence interval around POS for imprecise variants">',
+    '##INFO=<ID=TYPE,Number=1,Type=String,Description="Type of the inserted element">',
+    '##INFO=<ID=MEILEN,Number=1,Type=Integer,Description="Length of the inserted element">',
+    '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">',
+    '##FORMAT=<ID=GL,Number=3,Type=Float,Description="Genotype likelihoods">',
+)
+
+
+def vcf_header(samples: list[str]) -> list[str]:
+    """The lines before the calls, with a column for each sample."""
+    columns = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT", *samples] if samples else [])]
+    return [*VCF_HEADER, "\t".join(columns)]
+
+
+def insertion_line(chrom: Column, pos: Column, family: Column, interval: Column, length: Column) -> Column:
+    """A call of an inserted element, its place counted from 1; interval is null for a precise one."""
+    around = F.when(interval.isNull(), "").otherwise(F.concat(F.lit("IMPRECISE;CIPOS="), interval["low"].cast("string"), F.lit(","), interval["high"].cast("string"), F.lit(";")))
+    info = F.concat(around, F.lit("TYPE="), family, F.lit(";MEILEN="), length.cast("string"))
+    return F.concat_ws("\t", chrom, (pos + 1).cast("string"), F.lit("."), F.lit("N"), F.concat(F.lit("<INS:ME:"), family, F.lit(">")), F.lit("."), F.lit("PASS"), info)
+
+
+def genotype_fields(gt: Column, likelihoods: list[Column], counts: list[Column]) -> Column:
+    """A sample's column: genotype, likelihoods of two decimals and counts; without a call the likelihoods are 0."""
+    gl = F.when(gt == ".", "0.00,0.00,0.00").otherwise(F.concat_ws(",", *[F.format_string("%.2f", x) for x in likelihoods]))
+    return F.concat_ws(":", gt, gl, *[x.cast("string") for x in counts])
+
+
+def output_path(prefix: str | None) -> str | None:
+    """Where calls of a prefix go; without one there is no file."""
+    return f"{prefix}.mei.vcf" if prefix else None
+
+
+def read_header(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Read groups (id, sample, platform), references (ref_id, name, length, md5) and the sort order of a SAM text's header.
+
+    A read group without id, sample or platform is an error.
+    """
+    lines = spark.read.text(path).filter(F.col("value").startswith("@"))
+    tag = lambda name: F.nullif(F.regexp_extract("value", rf"(?:^|\t){name}:([^\t]*)", 1), F.lit(""))
+    needed = lambda name: F.coalesce(tag(name), F.raise_error(F.concat(F.lit(f"no {name} in "), F.col("value"))))
+    groups = lines.filter(F.col("value").startswith("@RG\t")).select(needed("ID").alias("id"), needed("SM").alias("sample"), needed("PL").alias("platform"))
+    refs = lines.filter(F.col("value").startswith("@SQ\t")).select(tag("SN").alias("name"), tag("LN").cast("long").alias("length"), tag("M5").alias("md5"))
+    order = lines.filter(F.col("value").startswith("@HD")).select(F.coalesce(tag("SO"), F.lit("unknown")).alias("order"))
+    return groups, refs, order.withColumn("order", F.when(F.col("order").isin("coordinate", "queryname", "unsorted"), F.col("order")).otherwise("unknown"))
+
+
+def rewritten_header(lines: list[str], program: str) -> list[str]:
+    """A header for records that lost their order, with one program more."""
+    out = [x.replace("SO:queryname", "SO:unsorted").replace("SO:coordinate", "SO:unsorted") if x.startswith("@HD") else x for x in lines]
+    return [*out, f"@PG\tID:{program}"]
+
+
+def read_many_sam(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Records of several files with equal reference lists, in the order of references and places."""
+    lists = [tuple(map(tuple, read_header(spark, p)[1].collect())) for p in paths]
+    if len(set(lists)) > 1:
+        raise ValueError("the files name different references")
+    place = F.create_map(*[F.lit(x) for i, (name, *_) in enumerate(lists[0]) for x in (name, i)]) if lists[0] else F.create_map()
+    rows = reduce(DataFrame.unionByName, [read_sam(spark, p) for p in paths])
+    return rows.withColumn("ref_id", F.try_element_at(place, F.col("ref")) if lists[0] else F.lit(None).cast("int")).orderBy("ref_id", "pos")
+
+
+def read_list(spark: SparkSession, path: str) -> list[str]:
+    """The paths that a list file names, one a line."""
+    return [r.value.strip() for r in spark.read.text(path).collect() if r.value.strip()]
+
+
+def read_masks(spark: SparkSession, path: str) -> DataFrame:
+    """(type, window, chrom, start, end) of all the BED files that a list of `type window file` names; # starts a comment."""
+    found = []
+    for line in read_list(spark, path):
+        if line.startswith("#"):
+            continue
+        fields = line.split()
+        if len(fields) < 3 or not fields[1].isdigit():
+            raise ValueError(f"no mask: {line!r}")
+        found.append(read_bed(spark, fields[2]).select(F.lit(fields[0]).alias("type"), F.lit(int(fields[1])).alias("window"), "chrom", "start", "end"))
+    if not found:
+        raise ValueError(f"no masks in {path}")
+    return reduce(DataFrame.unionByName, found)
+
+
+def write_sam(records: DataFrame, path: str) -> None:
+    """Records of read_sam's columns as text parts; tags in the order of their names."""
+    tags = F.array_sort(F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])))
+    records.select(F.concat_ws("\t", *[F.col(n).cast("string") for n, _ in SAM_COLUMNS], tags).alias("value")).write.text(path)

@@ -24,6 +24,29 @@ def first_seen(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def mates(events: DataFrame, name: str, first, second, wait: str = "1 hour") -> DataFrame:
+    """First records (their columns with _1) with the second of their name at most wait apart; those without one come once it is late.
+
+    The state of a name is dropped as soon as the watermark has passed what it could still meet.
+    """
+    own = [c for c in events.columns]
+    left = events.filter(first).select(*[F.col(c).alias(f"{c}_1") for c in own]).withWatermark("ts_1", wait)
+    right = events.filter(second).select(*[F.col(c).alias(f"{c}_2") for c in own]).withWatermark("ts_2", wait)
+    near = F.col("ts_2").between(F.col("ts_1") - F.expr(f"INTERVAL {wait}"), F.col("ts_1") + F.expr(f"INTERVAL {wait}"))
+    return left.join(right, (F.col(f"{name}_1") == F.col(f"{name}_2")) & near, "left_outer")
+
+
+def sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """Runs of a key's events with less than gap between: their begin, end and size."""
+    own = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("s"), key)
+    return own.agg(F.count("*").alias("n")).select(key, F.col("s.start").alias("begin"), F.col("s.end").alias("end"), "n")
+
+
+def running_histogram(events: DataFrame, key: str, value) -> DataFrame:
+    """Counts by key and value over all seen so far; for update or complete mode."""
+    return events.groupBy(key, value.alias("value")).agg(F.count("*").alias("n"))
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs all that is available, exactly once, into Parquet; gives the result as a batch."""
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
