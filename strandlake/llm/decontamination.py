@@ -34,7 +34,7 @@ from .common import table
 
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION_OVERLAP, ANSWER_OVERLAP, WHOLE_OVERLAP = 0.5, 0.5, 0.5, 0.5
-SHINGLE, ITEMS_A_BLOCK, INDEX_BYTES = 5, 8, 2 << 20
+SHINGLE, ITEMS_A_BLOCK, INDEX_BYTES = 5, 4, 2 << 20
 #: Indexes that a worker holds at once; items of more blocks take further passes over the texts.
 HELD = 4
 HITS = "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double>>"

@@ -40,14 +40,14 @@ from .graph import components
 
 ORDERS = 3
 #: A token is listed as frequent by a task that meets it in this share of its documents, and 3 times; the list holds so many at most.
-FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_TOKENS, CHUNK_TOKENS = 1 / 2000, 3, 500_000, 2_000_000
+FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_TOKENS, CHUNK_TOKENS = 1 / 2000, 3, 500_000, 1_000_000
 #: Prefixes are so much longer that pairs must share this many of their tokens, or all that similar sets need to share.
 SHARED = 3
 #: Kin share this part of their sketches of so many smallest hashes; nodes of a family meet in blocks of so many.
-KIN_PERCENT, SKETCH, BLOCK, BLOCK_TOKENS = 60, 32, 512, 1_000_000
+KIN_PERCENT, SKETCH, BLOCK, BLOCK_TOKENS = 60, 32, 512, 500_000
 #: Groups of nodes with an equal first token are dealt over so many tasks.
 SALTS = 8
-CACHE_WORDS, CACHE_SETS = 200_000, 64
+CACHE_WORDS, CACHE_SETS = 100_000, 16
 #: Rows of a frame of signatures handed on; those of a whole batch aren't held at once.
 FRAME = 512
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -303,11 +303,11 @@ def _links_within(docs: DataFrame, nodes: DataFrame, grouped: DataFrame, frequen
             a, b = of(int(labels[i])), of(int(labels[j]))
             if a == b:
                 continue
-            for k in (i, j):
-                if k not in own:
-                    own[k] = shingle_set(rows["text"].iloc[k], n)
-            both = len(own[i] & own[j])
-            if 100 * both >= percent * (len(own[i]) + len(own[j]) - both):
+            if i not in own:
+                own = {i: shingle_set(rows["text"].iloc[i], n)}  # pairs come row by row, so one set is enough
+            one, two = own[i], shingle_set(rows["text"].iloc[j], n)
+            both = len(one & two)
+            if 100 * both >= percent * (len(one) + len(two) - both):
                 root[max(a, b)] = min(a, b)
                 found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
         return pd.DataFrame(found, columns=["a", "b"])
