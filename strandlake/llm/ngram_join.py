@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -124,6 +125,7 @@ def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
                     held, size = [], 0
         if size:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     counted = docs.select("text").mapInPandas(count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
     top = counted.orderBy(F.desc("times"), "token").limit(FREQUENT_TOKENS).toPandas()
@@ -171,6 +173,7 @@ def signatures(docs: DataFrame, frequent: Broadcast, n: int, percent: int) -> Da
             out.insert(0, "text_key", batch["text_key"].array)
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
             yield out
+        pa.default_memory_pool().release_unused()  # the worker lives on in later stages
 
     keyed = docs.select("doc_id", "text", text_key().alias("text_key"))
     return keyed.mapInPandas(sign, "doc_id long, text_key binary, node binary, n_shingles long, firsts array<long>, prefix_1 array<long>, sketch_0 array<int>, prefix_2 array<int>, prefix_3 array<int>")
