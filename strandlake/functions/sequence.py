@@ -37,6 +37,11 @@ def kmers(seq: Column, k: int) -> Column:
     return F.when(last >= 0, kept).otherwise(F.array().cast("array<struct<pos:int,kmer:string>>"))
 
 
+def two_bit_key(kmer: Column) -> Column:
+    """A k-mer as a number of two bits a base, A lowest, the first base highest; null with other letters or beyond 31 bases."""
+    return F.when(kmer.rlike("^[ACGT]{1,31}$"), F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("long"))
+
+
 def family_name(name: Column) -> Column:
     """The text between the first underscore and the next full stop; null if there is no underscore."""
     found = F.regexp_extract(name, r"^[^_]*_([^.]*)", 1)
