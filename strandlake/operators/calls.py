@@ -79,7 +79,7 @@ def near_gaps(calls: DataFrame, near: int = 3, apart: int = 10) -> DataFrame:
     own = calls.withColumns({"span": span, "gap": gap})
     slim = own.select("chrom", "pos", "span", "gap", "score", "code").withColumn("tile", F.explode(F.sequence(F.floor(c("pos") / width), F.floor(reach / width))))
     # of a pair, the later call's first tile is always one of the earlier call's
-    later = slim.filter(F.floor(c("pos") / width) == c("tile")).select("chrom", "tile", *[c(x).alias(f"b_{x}") for x in ("pos", "gap", "score", "code")])
+    later = own.select("chrom", F.floor(c("pos") / width).alias("tile"), *[c(x).alias(f"b_{x}") for x in ("pos", "gap", "score", "code")])
     met = slim.join(later, ["chrom", "tile"]).filter((c("b_pos") > c("pos")) & (c("b_pos") <= reach) & (c("gap") | c("b_gap")))
     close, beside = c("pos") + c("span") + near >= c("b_pos"), c("pos") + c("span") + apart >= c("b_pos")
     rival = c("gap") & c("b_gap") & (c("code") == 0) & (c("b_code") == 0) & beside
