@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, mixing, ngram_join, pii, quality, resampling, suffix_dedup, token_counts, warc
+from . import decontamination, fingerprints, html_text, mixing, ngram_join, phrases, pii, quality, resampling, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_phrases": phrases.op11_phrases,
+    "op13_fingerprints": fingerprints.op13_fingerprints,
 }
 
 ORACLES = {
@@ -23,4 +25,5 @@ ORACLES = {
     "op7_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op8_ngram_join": ngram_join.ORACLE_SQL,
     "op10_quality_rules": quality.ORACLE_SQL,
+    "op11_phrases": phrases.ORACLE_SQL,
 }
