@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, html_text, mixing, ngram_join, phrases, pii, quality, resampling, suffix_dedup, token_counts, warc
+from . import decontamination, fingerprints, hard_negatives, html_text, mixing, ngram_join, phrases, pii, quality, resampling, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_phrases": phrases.op11_phrases,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_fingerprints": fingerprints.op13_fingerprints,
 }
 
@@ -26,4 +27,5 @@ ORACLES = {
     "op8_ngram_join": ngram_join.ORACLE_SQL,
     "op10_quality_rules": quality.ORACLE_SQL,
     "op11_phrases": phrases.ORACLE_SQL,
+    "op12_hard_negatives": hard_negatives.ORACLE_SQL,
 }
