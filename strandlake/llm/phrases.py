@@ -5,9 +5,10 @@ padded with nulls behind the piece's end. One ROLLUP over these columns sums sho
 frequencies of all phrases of one to MOST words. The columns of following words come from the piece's own array, shifted
 (arrays_zip pads it), so no word is shuffled to be put beside its neighbour.
 
-Before windows are counted, they are cut before the first pair of neighbours that is surely too rare: pairs are counted by the
-bucket of their hash, and a bucket below the least frequency holds none that counts. Buckets grow with the input up to
-MOST_BUCKETS, a bitmap of 16 MB; beyond that fewer windows are cut and more are shuffled, the result stays the same.
+Before windows are counted, they are cut before the first pair or triple of neighbours that is surely too rare, and single words
+that are too rare count for the language alone: words, pairs and the triples of two kept pairs are counted by the bucket of
+their hash, and a bucket below the least frequency holds none that counts. Buckets grow with the input up to MOST_BUCKETS, a
+bitmap of 16 MB; beyond that fewer windows are cut and more are shuffled, the result stays the same.
 
 Defined cases: a null text is empty; a null lang is `und`; a piece of fewer words than a phrase holds none of it; equal scores
 are ordered by frequency, then by the phrase's bytes; equal rows count as often as they occur; no table, no rows; other columns
@@ -55,17 +56,21 @@ def windows(pieces: DataFrame, longest: int = MOST) -> DataFrame:
     return pieces.select("lang", F.inline(F.arrays_zip(c("words"), *shifted[1:])).alias(*_WINDOW[:longest]))
 
 
-def _bucket(first: str, second: str, buckets: int) -> Column:
-    return F.xxhash64("lang", first, second).bitwiseAND(F.lit(buckets - 1).cast("bigint"))
+def _bucket(buckets: int, *words: str) -> Column:
+    return F.xxhash64("lang", *words).bitwiseAND(F.lit(buckets - 1).cast("bigint"))
 
 
-def frequent_buckets(pieces: DataFrame, buckets: int, least: int) -> DataFrame:
-    """One row, `bits`: pages of whole numbers, a bit for each bucket of pairs that holds at least `least`."""
-    pairs = windows(pieces, 2).filter("w2 IS NOT NULL").select(_bucket("w1", "w2", buckets).alias("bucket"))
-    full = pairs.groupBy("bucket").count().filter(c("count") >= least)
+def _held(bits: Column, bucket: Column) -> Column:
+    page = F.get(bits, F.shiftright(bucket, 12).cast("int"))
+    return F.call_function("shiftright", F.get(page, F.shiftright(bucket, 6).bitwiseAND(PAGE - 1).cast("int")), bucket.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+
+def full_buckets(found: DataFrame, buckets: int, least: int) -> DataFrame:
+    """One row, `bits`: pages of whole numbers, a bit for each bucket that occurs in found (bucket) at least `least` times."""
+    full = found.groupBy("bucket").count().filter(c("count") >= least)
     longs = full.groupBy(F.shiftright("bucket", 6).alias("long")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), c("bucket").bitwiseAND(63).cast("int"))).alias("bits"))
     filled = longs.groupBy(F.floor(c("long") / PAGE).alias("page")).agg(F.map_from_entries(F.collect_list(F.struct(c("long") % PAGE, "bits"))).alias("held"))
-    every = pieces.sparkSession.range(-(-buckets // (64 * PAGE))).withColumnRenamed("id", "page").join(filled, "page", "left")
+    every = found.sparkSession.range(-(-buckets // (64 * PAGE))).withColumnRenamed("id", "page").join(filled, "page", "left")
     none = F.lit(0).cast("bigint")
     page = F.transform(F.sequence(none, F.lit(PAGE - 1).cast("bigint")), lambda k: F.coalesce(F.element_at(c("held"), k), none))
     paged = every.select("page", page.alias("bits"))
@@ -73,14 +78,19 @@ def frequent_buckets(pieces: DataFrame, buckets: int, least: int) -> DataFrame:
 
 
 def counted_windows(pieces: DataFrame, buckets: int, least: int) -> DataFrame:
-    """(lang, w1, ..., n): the windows, each as long as its pairs may be frequent, and how often each occurs."""
-    bits = materialize(frequent_buckets(pieces, buckets, least), "frequent-pairs").scalar()
-    columns, longer = [c("w1")], F.lit(True)
-    for a, b in zip(_WINDOW, _WINDOW[1:], strict=False):
-        bucket = _bucket(a, b, buckets)
-        page = F.get(bits, F.shiftright(bucket, 12).cast("int"))
-        held = F.call_function("shiftright", F.get(page, F.shiftright(bucket, 6).bitwiseAND(PAGE - 1).cast("int")), bucket.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
-        longer = longer & c(b).isNotNull() & held
+    """(lang, w1, ..., n): the windows, each as long as its pairs and triples may be frequent, and how often each occurs."""
+    pairs = windows(pieces, 2).filter("w2 IS NOT NULL").select(_bucket(buckets, "w1", "w2").alias("bucket"))
+    two = materialize(full_buckets(pairs, buckets, least), "frequent-pairs").scalar()
+    triple = F.when(c("w3").isNotNull() & _held(two, _bucket(buckets, "w1", "w2")) & _held(two, _bucket(buckets, "w2", "w3")), _bucket(buckets, "w1", "w2", "w3"))
+    others = windows(pieces, 3).select(F.explode(F.array(_bucket(buckets, "w1"), triple)).alias("bucket")).filter("bucket IS NOT NULL")
+    rest = materialize(full_buckets(others, buckets, least), "frequent-triples").scalar()
+    longer = _held(rest, _bucket(buckets, "w1"))
+    columns = [F.when(longer, c("w1")).alias("w1")]
+    for k in range(1, MOST):
+        a, b = _WINDOW[k - 1 : k + 1]
+        longer = longer & c(b).isNotNull() & _held(two, _bucket(buckets, a, b))
+        if k > 1:
+            longer = longer & _held(rest, _bucket(buckets, *_WINDOW[k - 2 : k + 1]))
         columns.append(F.when(longer, c(b)).alias(b))
     return windows(pieces).select("lang", *columns).groupBy("lang", *_WINDOW).agg(F.count("*").alias("n"))
 
