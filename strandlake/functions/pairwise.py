@@ -1,7 +1,10 @@
-"""Local alignment of two sequences and best-scoring segments."""
+"""Local alignment in memory that grows with the sequences' lengths, not with their product, and best-scoring segments."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -10,58 +13,200 @@ from pyspark.sql import functions as F
 from .alignment import cigar_ops
 
 FIELDS = "score long, ref_begin long, ref_end long, read_begin long, read_end long, cigar string"
+_NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 _NONE = -(1 << 30)
+#: Cells of a row over all pairs of a batch, and cells of a block whose directions are kept whole.
+BATCH_CELLS, BLOCK_CELLS = 1 << 18, 1 << 20
 
 
-def smith_waterman(ref: str, read: str, match: int = 2, mismatch: int = 2, gap_open: int = 3, gap_extend: int = 1) -> tuple:
-    """FIELDS of the best local alignment; ends are inclusive, from 0. A gap of n bases costs gap_open + (n - 1) * gap_extend.
+@dataclass(frozen=True)
+class Scoring:
+    """A gap of n bases costs gap_open + (n - 1) * gap_extend. A letter of `never` matches nothing, not even itself."""
+
+    match: int = 2
+    mismatch: int = 2
+    gap_open: int = 3
+    gap_extend: int = 1
+    never: str = "N"
+
+
+def _codes(text: str, never: str, side: int) -> np.ndarray:
+    """Letters as numbers; those that match nothing get one that the other side lacks."""
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.int32).copy()
+    for letter in never:
+        codes[codes == ord(letter)] = -side
+    return codes
+
+
+def _padded(texts: list[np.ndarray], fill: int) -> np.ndarray:
+    out = np.full((len(texts), max(map(len, texts))), fill, np.int32)
+    for row, text in zip(out, texts, strict=True):
+        row[: len(text)] = text
+    return out
+
+
+def _best_cells(refs: np.ndarray, reads: np.ndarray, s: Scoring, anchored: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, read place, ref place) of each pair's best cell, the first in the read, then in the reference; one row is held at a time.
 
-    Of equally good cells, the first in the read, then in the reference, is the end. Without any match: score 0, an empty CIGAR and null places.
+    anchored: alignments begin at the first letters of both sides; else anywhere.
     """
-    a, b = (np.array([ord(c) for c in x], dtype=np.int32) for x in (read, ref))
-    m, n = len(a), len(b)
-    best, insert, delete = np.zeros((m + 1, n + 1), dtype=np.int32), *(np.full((m + 1, n + 1), _NONE, dtype=np.int32) for _ in range(2))
-    slope = gap_extend * np.arange(n + 1, dtype=np.int32)
+    n_pairs, n = refs.shape
+    slope = s.gap_extend * np.arange(n + 1, dtype=np.int32)
+    row = np.full((n_pairs, n + 1), _NONE if anchored else 0, np.int32)
+    row[:, 0] = 0
+    insert = np.full((n_pairs, n + 1), _NONE, np.int32)
+    best, at, to = (np.zeros(n_pairs, np.int64) for _ in range(3))
+    for i in range(reads.shape[1]):
+        insert = np.maximum(insert - s.gap_extend, row - s.gap_open)
+        fresh = np.full_like(row, _NONE if anchored else 0)
+        fresh[:, 1:] = np.maximum(row[:, :-1] + np.where(refs == reads[:, i : i + 1], s.match, -s.mismatch), insert[:, 1:])
+        if not anchored:
+            np.maximum(fresh, 0, out=fresh)
+        # the best place to open a gap along the row is a running maximum, once the slope of its cost is taken out
+        fresh[:, 1:] = np.maximum(fresh[:, 1:], np.maximum.accumulate(fresh + slope, axis=1)[:, :-1] - s.gap_open - slope[:-1])
+        row = np.maximum(fresh, _NONE)
+        place = row.argmax(axis=1)
+        value = row[np.arange(n_pairs), place]
+        better = value > best
+        best[better], at[better], to[better] = value[better], i, place[better] - 1
+    return best, at, to
+
+
+def _edge(ref: np.ndarray, read: np.ndarray, s: Scoring, opened: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the whole read against every prefix of ref: the best score, and the best one that ends within an insertion.
+
+    opened: what opening an insertion costs at the very first column.
+    """
+    n = len(ref)
+    slope = s.gap_extend * np.arange(n + 1, dtype=np.int64)
+    extra = s.gap_open - s.gap_extend
+    row = -extra - slope
+    row[0] = 0
+    insert = np.full(n + 1, 4 * _NONE, np.int64)
+    for i, letter in enumerate(read):
+        first = -opened - s.gap_extend * i if i == 0 else insert[0] - s.gap_extend
+        insert = np.maximum(insert - s.gap_extend, row - s.gap_open)
+        insert[0] = first
+        fresh = insert.copy()
+        fresh[1:] = np.maximum(fresh[1:], row[:-1] + np.where(ref == letter, s.match, -s.mismatch))
+        fresh[1:] = np.maximum(fresh[1:], np.maximum.accumulate(fresh + slope)[:-1] - s.gap_open - slope[:-1])
+        row = fresh
+    return row, insert
+
+
+def _directions(ref: np.ndarray, read: np.ndarray, s: Scoring, head: int, tail: int) -> list[tuple[int, str]]:
+    """The operations of a best alignment of all of ref to all of read, from whole matrices of a bounded block."""
+    m, n = len(read), len(ref)
+    slope = s.gap_extend * np.arange(n + 1, dtype=np.int64)
+    best, insert, delete = (np.full((m + 1, n + 1), 4 * _NONE, np.int64) for _ in range(3))
+    best[0, 0] = 0
+    delete[0, 1:] = -s.gap_open - slope[:-1]
+    best[0, 1:] = delete[0, 1:]
     for i in range(1, m + 1):
-        insert[i] = np.maximum(insert[i - 1] - gap_extend, best[i - 1] - gap_open)
+        insert[i] = np.maximum(insert[i - 1] - s.gap_extend, best[i - 1] - s.gap_open)
+        insert[i, 0] = -head - s.gap_extend * (i - 1)
         row = best[i]
-        row[1:] = np.maximum(np.maximum(best[i - 1, :-1] + np.where(b == a[i - 1], match, -mismatch), insert[i, 1:]), 0)
-        # the best place to open a gap along the row is a running maximum, once the slope of its cost is taken out
-        delete[i, 1:] = np.maximum.accumulate(row + slope)[:-1] - gap_open - slope[:-1]
+        row[0] = insert[i, 0]
+        row[1:] = np.maximum(best[i - 1, :-1] + np.where(ref == read[i - 1], s.match, -s.mismatch), insert[i, 1:])
+        delete[i, 1:] = np.maximum.accumulate(row + slope)[:-1] - s.gap_open - slope[:-1]
         row[1:] = np.maximum(row[1:], delete[i, 1:])
-    if not best.max(initial=0):
-        return 0, None, None, None, None, ""
-    i, j = (int(x) for x in np.unravel_index(int(best.argmax()), best.shape))
-    end, state, ops = (int(best[i, j]), j - 1, i - 1), "M", []
-    while state != "M" or best[i, j]:
+    i, j, ops = m, n, []
+    # an insertion that goes on behind this block was opened there
+    state = "I" if m and insert[m, n] + s.gap_open - tail > best[m, n] else "M"
+    while i or j:
         if state == "M":
-            if best[i, j] == best[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else -mismatch):
-                ops.append("M")
+            if i and j and best[i, j] == best[i - 1, j - 1] + (s.match if read[i - 1] == ref[j - 1] else -s.mismatch):
+                ops.append((1, "M"))
                 i, j = i - 1, j - 1
             else:
-                state = "I" if best[i, j] == insert[i, j] else "D"
-            continue
-        ops.append(state)
-        if state == "I":
-            opened, i = insert[i, j] == best[i - 1, j] - gap_open, i - 1
+                state = "I" if i and best[i, j] == insert[i, j] else "D"
+        elif state == "I":
+            ops.append((1, "I"))
+            goes_on = i > 1 and (j == 0 or insert[i, j] == insert[i - 1, j] - s.gap_extend)
+            i, state = i - 1, "I" if goes_on else "M"
+        else:
+            ops.append((1, "D"))
+            goes_on = j > 1 and (i == 0 or delete[i, j] == delete[i, j - 1] - s.gap_extend)
+            j, state = j - 1, "D" if goes_on else "M"
+    return ops[::-1]
+
+
+def _whole(ref: np.ndarray, read: np.ndarray, s: Scoring, head: int, tail: int, block: int) -> list[tuple[int, str]]:
+    """Operations of a best alignment of all of ref to all of read: halves of the read meet where both sides' scores sum highest.
+
+    head, tail: what opening an insertion costs at either end, less than usual if it goes on beyond.
+    """
+    m, n = len(read), len(ref)
+    if m < 2 or (m + 1) * (n + 1) <= block:
+        return _directions(ref, read, s, head, tail)
+    half = m // 2
+    down, down_gap = _edge(ref, read[:half], s, head)
+    up, up_gap = _edge(ref[::-1], read[half:][::-1], s, tail)
+    through = down + up[::-1]
+    joined = down_gap + up_gap[::-1] + s.gap_open - s.gap_extend
+    j, k = int(through.argmax()), int(joined.argmax())
+    if through[j] >= joined[k]:
+        return _whole(ref[:j], read[:half], s, head, s.gap_open, block) + _whole(ref[j:], read[half:], s, s.gap_open, tail, block)
+    # an insertion crosses the middle: it is opened once
+    left = _whole(ref[:k], read[: half - 1], s, head, s.gap_extend, block)
+    right = _whole(ref[k:], read[half + 1 :], s, s.gap_extend, tail, block)
+    return [*left, (2, "I"), *right]
+
+
+def _cigar(ops: Sequence[tuple[int, str]]) -> str:
+    runs: list[list] = []
+    for size, op in ops:
+        if runs and runs[-1][1] == op:
+            runs[-1][0] += size
         else:
-            opened, j = delete[i, j] == best[i, j - 1] - gap_open, j - 1
-        state = "M" if opened else state
-    cigar, run = "", 0
-    for at, op in enumerate(reversed(ops)):
-        run += 1
-        if at + 1 == len(ops) or ops[-at - 2] != op:
-            cigar, run = f"{cigar}{run}{op}", 0
-    return end[0], j, end[1], i, end[2], cigar
+            runs.append([size, op])
+    return "".join(f"{size}{op}" for size, op in runs)
+
+
+def align_all(refs: Sequence[str], reads: Sequence[str], s: Scoring = Scoring(), block: int = BLOCK_CELLS) -> list[tuple]:  # noqa: B008
+    """FIELDS of the best local alignment of each pair; ends are inclusive, from 0.
+
+    Of equally good ends the first in the read, then in the reference, counts; of the beginnings for it, the one nearest in the read, then in the
+    reference. Without any match: score 0, an empty CIGAR and null places. Pairs of like size share a batch; a batch holds some rows of scores.
+    """
+    out: list[tuple] = [(0, None, None, None, None, "")] * len(refs)
+    coded = {x: _codes(x, s.never, 1) for x in set(refs)}
+    a = [coded[x] for x in refs]
+    b = [_codes(x, s.never, 2) for x in reads]
+    order = sorted((i for i in range(len(a)) if len(a[i]) and len(b[i])), key=lambda i: (len(a[i]), len(b[i])))
+    while order:
+        size = max(1, BATCH_CELLS // (len(a[order[0]]) + 1))
+        mine, order = order[:size], order[size:]
+        score, at, to = _best_cells(_padded([a[i] for i in mine], -3), _padded([b[i] for i in mine], -4), s, False)
+        found = [k for k in range(len(mine)) if score[k] > 0]
+        if not found:
+            continue
+        # a gap costs no more than the matches before it earn, so the reference's part is bounded by the read's
+        reach = [int(at[k]) + 2 + max(0, s.match * (int(at[k]) + 1) - s.gap_open) // max(1, s.gap_extend) for k in found]
+        backwards = [(a[mine[k]][: to[k] + 1][::-1][:r], b[mine[k]][: at[k] + 1][::-1]) for k, r in zip(found, reach, strict=True)]
+        _, back_at, back_to = _best_cells(_padded([x for x, _ in backwards], -3), _padded([x for _, x in backwards], -4), s, True)
+        for k, i, j in zip(found, back_at, back_to, strict=True):
+            ref_begin, read_begin = int(to[k] - j), int(at[k] - i)
+            ref, read = a[mine[k]][ref_begin : to[k] + 1], b[mine[k]][read_begin : at[k] + 1]
+            plain = len(ref) == len(read) and int(np.where(ref == read, s.match, -s.mismatch).sum()) == score[k]
+            cigar = f"{len(read)}M" if plain else _cigar(_whole(ref, read, s, s.gap_open, s.gap_open, block))
+            out[mine[k]] = (int(score[k]), ref_begin, int(to[k]), read_begin, int(at[k]), cigar)
+    return out
+
+
+def smith_waterman(ref: str, read: str, match: int = 2, mismatch: int = 2, gap_open: int = 3, gap_extend: int = 1) -> tuple:
+    return align_all([ref], [read], Scoring(match, mismatch, gap_open, gap_extend, never=""))[0]
 
 
-def local_alignment(ref: Column, read: Column, match: int = 2, mismatch: int = 2, gap_open: int = 3, gap_extend: int = 1) -> Column:
+def local_alignment(ref: Column, read: Column, match: int = 2, mismatch: int = 2, gap_open: int = 3, gap_extend: int = 1, never: str = "") -> Column:
     """A struct of FIELDS for each pair of sequences; all fields are null where one of them is."""
+    scoring = Scoring(match, mismatch, gap_open, gap_extend, never)
 
     def align(refs: pd.Series, reads: pd.Series) -> pd.DataFrame:
-        found = [(None,) * 6 if x is None or y is None else smith_waterman(x, y, match, mismatch, gap_open, gap_extend) for x, y in zip(refs, reads, strict=True)]
-        out = pd.DataFrame(found, columns=[f.split()[0] for f in FIELDS.split(", ")])
-        return out.astype({c: "Int64" for c in out.columns[:-1]})
+        there = (refs.notna() & reads.notna()).to_numpy()
+        found = iter(align_all(list(refs[there]), list(reads[there]), scoring))
+        out = pd.DataFrame([next(found) if x else (None,) * 6 for x in there], columns=_NAMES)
+        return out.astype({c: "Int64" for c in _NAMES[:-1]})
 
     return F.pandas_udf(align, FIELDS)(ref, read)
 
