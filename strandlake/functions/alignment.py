@@ -30,24 +30,74 @@ def cigar_ops(cigar: Column) -> Column:
     return F.transform(found, lambda x: F.struct(F.substr(x, F.lit(1), F.length(x) - 1).cast("int").alias("len"), F.right(x, F.lit(1)).alias("op")))
 
 
+def cigar_sums(cigar: Column) -> Column:
+    """A struct of all bases by operation (`M` to `X`), the operations' number `parts`, and the clips at both ends, `lead` and `trail`: one parse of the CIGAR.
+
+    Store it in a column of its own and take what is needed from there with sum_of, alignment_end and the like.
+    """
+    letters = [*"MIDNSHP=X"]
+    zero = F.lit(0)
+    start = F.struct(*[zero.alias(x) for x in letters], zero.alias("parts"), zero.alias("lead"), zero.alias("trail"))
+
+    def step(s: Column, x: Column) -> Column:
+        clip = F.when(x["op"] == "S", x["len"]).otherwise(0)
+        held = [(s[o] + F.when(x["op"] == o, x["len"]).otherwise(0)).alias(o) for o in letters]
+        return F.struct(*held, (s["parts"] + 1).alias("parts"), F.when(s["parts"] == 0, clip).otherwise(s["lead"]).alias("lead"), F.when(s["parts"] == 0, 0).otherwise(clip).alias("trail"))
+
+    return F.aggregate(cigar_ops(cigar), start, step)
+
+
+def sum_of(sums: Column, ops: str) -> Column:
+    """The bases of some operations together, from cigar_sums."""
+    return sum((sums[x] for x in ops[1:]), sums[ops[0]])
+
+
 def length_of(cigar: Column, ops: str) -> Column:
     return F.aggregate(cigar_ops(cigar), F.lit(0), lambda s, x: s + F.when(F.lit(ops).contains(x["op"]), x["len"]).otherwise(0))
 
 
-def alignment_end(pos: Column, cigar: Column) -> Column:
-    """Half-open end on the reference."""
-    return pos + length_of(cigar, "DMN=X")
+def alignment_end(pos: Column, sums: Column) -> Column:
+    """Half-open end on the reference, from cigar_sums."""
+    return pos + sum_of(sums, "DMN=X")
+
+
+def mismatches(sums: Column, md: Column) -> Column:
+    """Inserted and deleted bases, from cigar_sums, plus the substituted ones, which MD names outside deletions."""
+    return sum_of(sums, "ID") + F.length(F.regexp_replace(F.regexp_replace(md, r"\^[A-Za-z]+", ""), "[^A-Za-z]", ""))
+
+
+def clips(sums: Column) -> Column:
+    return F.struct(sums["lead"].alias("lead"), sums["trail"].alias("trail"))
+
+
+def walk(cigar: Column) -> Column:
+    """The runs of an alignment that lie on the reference: op (M or D), len, ref and read (offsets where they begin), begins and ends (whether their first
+    and last base are the first and last of a segment, which clips and skips part), next (I or D where one follows the last base) and next_len."""
+    kind = "array<struct<op:string,len:int,ref:int,read:int,begins:boolean,ends:boolean,next:string,next_len:int>>"
+    held = lambda x, letters: F.coalesce(F.lit(letters).contains(x), F.lit(False))
 
+    def around(ops: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            after, second = F.get(ops, i + 1), F.get(ops, i + 2)
+            indel = held(after["op"], "ID")
+            return F.struct(
+                F.when(x["op"].isin("=", "X"), "M").otherwise(x["op"]).alias("op"), x["len"].alias("len"), ((i == 0) | held(F.get(ops, i - 1)["op"], "SNH")).alias("begins"),
+                (after["op"].isNull() | held(after["op"], "SNH") | (indel & (second["op"].isNull() | held(second["op"], "SNH")))).alias("ends"),
+                F.when(indel, after["op"]).alias("next"), F.when(indel, after["len"]).otherwise(0).alias("next_len"),
+            )
 
-def mismatches(cigar: Column, md: Column) -> Column:
-    """Inserted and deleted bases plus the substituted ones, which MD names outside deletions."""
-    return length_of(cigar, "ID") + F.length(F.regexp_replace(F.regexp_replace(md, r"\^[A-Za-z]+", ""), "[^A-Za-z]", ""))
+        return F.transform(ops, one)
 
+    def step(s: Column, x: Column) -> Column:
+        on_ref, on_read = x["op"].isin("M", "D", "N"), x["op"].isin("M", "I", "S")
+        match = x["op"] == "M"
+        run = F.struct(x["op"], x["len"], s["ref"], s["read"], (match & x["begins"]).alias("begins"), (match & x["ends"]).alias("ends"), F.when(match, x["next"]).alias("next"), F.when(match, x["next_len"]).otherwise(0).alias("next_len"))
+        runs = F.when(x["op"].isin("M", "D"), F.concat(s["runs"], F.array(run).cast(kind))).otherwise(s["runs"])
+        return F.struct((s["ref"] + F.when(on_ref, x["len"]).otherwise(0)).alias("ref"), (s["read"] + F.when(on_read, x["len"]).otherwise(0)).alias("read"), runs.alias("runs"))
 
-def clips(cigar: Column) -> Column:
-    ops = cigar_ops(cigar)
-    size = lambda x: F.when(x["op"] == "S", x["len"]).otherwise(0)
-    return F.struct(size(F.get(ops, F.lit(0))).alias("lead"), F.when(F.size(ops) > 1, size(F.element_at(ops, -1))).otherwise(0).alias("trail"))
+    start = F.struct(F.lit(0).alias("ref"), F.lit(0).alias("read"), F.array().cast(kind).alias("runs"))
+    told = F.get(F.transform(F.array(cigar_ops(cigar)), around), F.lit(0))
+    return F.aggregate(told, start, step, lambda s: s["runs"])
 
 
 def fragment_length(ref: Column, mate_ref: Column, insert: Column) -> Column:

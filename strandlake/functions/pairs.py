@@ -57,25 +57,23 @@ def near_enough(same_ref: Column, distance: Column, low: Column, median: Column,
     return same_ref & distance.between(low - (median - low), high + (high - median))
 
 
-def problematic(flag: Column, ref: Column, mate_ref: Column, cigar: Column, length: Column, max_ops: int = 5, max_clip: float = 0.15) -> Column:
-    """Unmapped, across references, of many operations, or clipped by a good part of its length."""
-    clip = A.length_of(cigar, "S")
-    return A.has(flag, A.UNMAPPED) | (ref != mate_ref) | (F.size(A.cigar_ops(cigar)) > max_ops) | (clip > max_clip * length)
+def problematic(flag: Column, ref: Column, mate_ref: Column, sums: Column, max_ops: int = 5, max_clip: float = 0.15) -> Column:
+    """Unmapped, across references, of many operations, or clipped by a good part of its length; sums are the CIGAR's."""
+    return A.has(flag, A.UNMAPPED) | (ref != mate_ref) | (sums["parts"] > max_ops) | (sums["S"] > max_clip * A.sum_of(sums, "MIS=X"))
 
 
-def mismatch_rate(cigar: Column) -> Column:
-    """Inserted, deleted, clipped and differing bases by those of the read; null for a read of none."""
-    read = A.length_of(cigar, "MIS=X")
-    return F.when(read > 0, A.length_of(cigar, "IDSX") / read)
+def mismatch_rate(sums: Column) -> Column:
+    """Inserted, deleted, clipped and differing bases by those of the read, from the CIGAR's sums; null for a read of none."""
+    read = A.sum_of(sums, "MIS=X")
+    return F.when(read > 0, A.sum_of(sums, "IDSX") / read)
 
 
-def role(flag: Column, qual: Column, cigar: Column, min_qual: int, long_clip: int, max_rate: float) -> Column:
-    """What a half can serve as: orphan, anchor, multiple, soft or none, in this order."""
-    clips = A.clips(cigar)
-    lead, trail = clips["lead"] >= long_clip, clips["trail"] >= long_clip
+def role(flag: Column, qual: Column, sums: Column, min_qual: int, long_clip: int, max_rate: float) -> Column:
+    """What a half can serve as: orphan, anchor, multiple, soft or none, in this order; sums are its CIGAR's."""
+    lead, trail = sums["lead"] >= long_clip, sums["trail"] >= long_clip
     return (
         F.when(A.has(flag, A.UNMAPPED), "orphan").when((qual >= min_qual) & ~lead & ~trail, "anchor")
-        .when((lead.cast("int") + trail.cast("int")) == 1, "soft").when(mismatch_rate(cigar) <= max_rate, "multiple").otherwise("none")
+        .when((lead.cast("int") + trail.cast("int")) == 1, "soft").when(mismatch_rate(sums) <= max_rate, "multiple").otherwise("none")
     )
 
 

@@ -2,32 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.storage import materialize
 
 
-def neighbours(points: DataFrame, key: str, row: str, point: str, bound: int) -> DataFrame:
-    """(key, row, other) for all points of a key within bound, itself included; an equi-join on bins of that width."""
-    right = points.select(F.col(key).alias("_key"), F.col(row).alias("other"), F.col(point).alias("_at"))
-    right = right.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("_at") - bound) / bound), F.floor((F.col("_at") + bound) / bound))))
-    left = points.select(key, row, point).withColumn("_own", F.floor(F.col(point) / bound))
-    met = left.join(right, (F.col(key) == F.col("_key")) & (F.col("_own") == F.col("_bin")))
-    return met.filter(F.abs(F.col(point) - F.col("_at")) <= bound).select(key, row, "other")
+def _around(places: DataFrame, key: str, point: str, bound: int, value: Column, gather) -> DataFrame:
+    """(key, point, found): gather of value over the places within bound of each place, itself included.
+
+    The axis is cut into cells of twice the bound: what lies around a place is the end of one cell and the beginning of the next, and
+    both are running windows inside the cells. So rows grow with the places, however dense they are; three are shuffled for each.
+    """
+    width = 2 * bound
+    told = places.select(key, F.col(point).alias("_at"), value.alias("_v"), F.lit(None).cast("long").alias("_for"), F.lit(None).cast("boolean").alias("_low"))
+    asked = [places.select(key, (F.col(point) + step).alias("_at"), F.lit(None).cast(told.schema["_v"].dataType).alias("_v"), F.col(point).cast("long").alias("_for"), F.lit(step < 0).alias("_low")) for step in (-bound, bound)]
+    rows = told.unionByName(asked[0]).unionByName(asked[1]).withColumn("_cell", F.floor(F.col("_at") / width))
+    own = Window.partitionBy(key, "_cell").rowsBetween(Window.unboundedPreceding, 0)
+    heard = F.col("_for").isNotNull()  # at equal places values are told before they are asked for
+    down, up = own.orderBy(F.desc("_at"), heard), own.orderBy("_at", heard)
+    answered = rows.withColumns({"_down": gather(F.col("_v")).over(down), "_up": gather(F.col("_v")).over(up)}).filter(heard)
+    return answered.groupBy(key, F.col("_for").alias(point)).agg(gather(F.when(F.col("_low"), F.col("_down")).otherwise(F.col("_up"))).alias("found"))
 
 
 def densities(points: DataFrame, key: str, row: str, point: str, bound: int) -> DataFrame:
-    return neighbours(points, key, row, point, bound).groupBy(key, row).agg(F.count("*").alias("density"))
+    """(key, row, density): how many points of the key lie within bound, the point itself included."""
+    places = points.groupBy(key, point).agg(F.count("*").alias("_n"))
+    dense = _around(places, key, point, bound, F.col("_n"), F.sum)
+    return points.select(key, row, point).join(dense, [key, point]).select(key, row, F.col("found").alias("density"))
 
 
 def centres(points: DataFrame, key: str, row: str, point: str, bound: int) -> DataFrame:
     """(key, row, density, centre): the neighbour of highest density, the first in order of place and row if several."""
-    met = neighbours(points, key, row, point, bound)
-    dense = met.groupBy(key, row).agg(F.count("*").alias("density"))
-    rank = dense.join(points.select(key, row, point), [key, row]).select(F.col(key), F.col(row).alias("other"), F.struct((-F.col("density")).alias("d"), F.col(point).alias("p"), F.col(row).alias("r")).alias("rank"))
-    best = met.join(rank, [key, "other"]).groupBy(key, row).agg(F.min("rank").alias("best"))
-    return best.join(dense, [key, row]).select(key, row, "density", F.col("best.r").alias("centre"))
+    places = points.groupBy(key, point).agg(F.count("*").alias("_n"), F.min(row).alias("_row"))
+    dense = materialize(_around(places, key, point, bound, F.col("_n"), F.sum).join(places, [key, point]).select(key, point, "_row", F.col("found").alias("density")), "densities")
+    rank = F.struct((-F.col("density")).alias("d"), F.col(point).alias("p"), F.col("_row").alias("r"))
+    best = _around(dense, key, point, bound, rank, F.min).select(key, point, F.col("found.r").alias("centre"))
+    return points.select(key, row, point).join(dense.join(best, [key, point]), [key, point]).select(key, row, "density", "centre")
 
 
 def clusters(linked: DataFrame, key: str, row: str, hops: int = 1) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import alignment as A
 from strandlake.functions import pairs as P
-from strandlake.operators import mates, toolkit
+from strandlake.operators import mates, pileup, toolkit
 
 from .catalogue import query
 from .views import CIGAR, PAIRS, pairs, table
@@ -40,7 +40,7 @@ def f02_scan_pairs(spark, sf_dir):
 
 @query(f"""WITH {_P} SELECT CASE WHEN NOT ({_BASIC}) THEN 'none' WHEN code IS NULL AND mate_code IS NULL THEN 'untagged' WHEN lead_clip >= 6 OR trail_clip >= 6 THEN 'split' WHEN {_TYPE} = 'NORMAL' THEN 'normal' ELSE 'common' END AS variant, count(*) AS n FROM p GROUP BY 1""")
 def f03_filter_variants(spark, sf_dir):
-    clips = A.clips(c("cigar"))
+    clips = A.clips(A.cigar_sums(c("cigar")))
     variant = F.when(~P.basic_pair(*_named()), "none").when(c("code").isNull() & c("mate_code").isNull(), "untagged").when((clips["lead"] >= 6) | (clips["trail"] >= 6), "split")
     variant = variant.when(P.pair_type(A.orientation(c("flag"))) == "NORMAL", "normal").otherwise("common")
     return pairs(spark, sf_dir).groupBy(variant.alias("variant")).agg(F.count("*").alias("n"))
@@ -49,6 +49,11 @@ def f03_filter_variants(spark, sf_dir):
 _REFS = "refs AS (SELECT p_partkey AS ref_id, CASE p_partkey % 5 WHEN 0 THEN 'GL0' WHEN 1 THEN 'NC_' WHEN 2 THEN 'hs' ELSE 'chr' END || CAST(p_partkey AS STRING) AS name, p_size AS length, p_brand AS brand FROM part)"
 
 
+def _summed(spark, sf_dir) -> DataFrame:
+    """Pairs with `sums`, what is summed over each CIGAR."""
+    return pairs(spark, sf_dir).withColumn("sums", A.cigar_sums(c("cigar")))
+
+
 def _refs(spark, sf_dir) -> DataFrame:
     lead = F.when(c("p_partkey") % 5 == 0, "GL0").when(c("p_partkey") % 5 == 1, "NC_").when(c("p_partkey") % 5 == 2, "hs").otherwise("chr")
     return table(spark, sf_dir, "part").select(c("p_partkey").alias("ref_id"), F.concat(lead, c("p_partkey").cast("string")).alias("name"), c("p_size").alias("length"), c("p_brand").alias("brand"))
@@ -103,8 +108,9 @@ def f12_significant_inversions(spark, sf_dir):
 
 @query(f"WITH {_P} SELECT read_group, count(*) AS n FROM p WHERE flag & 4 <> 0 OR ref_id <> mate_ref OR (lead_clip > 0)::INT + 1 + (n_del > 0)::INT + 2 + (trail_clip > 0)::INT > 5 OR lead_clip + trail_clip > 0.15::DOUBLE * (lead_clip + frag_len + 9 + trail_clip) GROUP BY read_group")
 def f14_problematic(spark, sf_dir):
-    length = A.length_of(c("cigar"), "MIS=X")
-    return _by_group(pairs(spark, sf_dir).filter(P.problematic(c("flag"), c("ref_id"), c("mate_ref"), c("cigar"), length)))
+    # a filter would be pushed below `sums` and parse the CIGAR once for each value that it asks for
+    found = P.problematic(c("flag"), c("ref_id"), c("mate_ref"), c("sums"))
+    return _summed(spark, sf_dir).groupBy("read_group").agg(F.count_if(found).alias("n")).filter("n > 0")
 
 
 @query(f"WITH {_P} SELECT {_TYPE} AS kind, count(*) AS n FROM p WHERE {_TYPE} IN ('INVERTED3', 'REVERSED') GROUP BY 1")
@@ -117,7 +123,7 @@ def f17_detection_set(spark, sf_dir):
 @query(f"""WITH {_P} SELECT CASE WHEN flag & 4 <> 0 THEN 'orphan' WHEN map_qual >= 4 AND lead_clip < 6 AND trail_clip < 6 THEN 'anchor' WHEN (lead_clip >= 6)::INT + (trail_clip >= 6)::INT = 1 THEN 'soft'
   WHEN (n_del + 2 + lead_clip + trail_clip)::DOUBLE / (lead_clip + frag_len + 9 + trail_clip) <= 0.2::DOUBLE THEN 'multiple' ELSE 'none' END AS role, count(*) AS n FROM p GROUP BY 1""")
 def f18_roles(spark, sf_dir):
-    return pairs(spark, sf_dir).groupBy(P.role(c("flag"), c("map_qual"), c("cigar"), 4, 6, 0.2).alias("role")).agg(F.count("*").alias("n"))
+    return _summed(spark, sf_dir).groupBy(P.role(c("flag"), c("map_qual"), c("sums"), 4, 6, 0.2).alias("role")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_P} SELECT name, line, '<@;' || map_qual || ';;' || coalesce(code, '') || ';1;' || cigar || ';>' || '<&;' || mate_qual || ';;' || coalesce(mate_code, '') || ';1;;>' AS tag, code, mate_code FROM p""")
@@ -133,10 +139,10 @@ def p02_mate_tags(spark, sf_dir):
 @query(f"""WITH {_P} SELECT read_group, sum(n_del + 2)::BIGINT AS mismatches, sum(frag_len + 7 + n_del)::BIGINT AS ref_bases, sum(lead_clip)::BIGINT AS lead, sum(trail_clip)::BIGINT AS trail, max(pos + frag_len + 7 + n_del)::BIGINT AS last_end,
   round(avg((n_del + 2 + lead_clip + trail_clip)::DOUBLE / (lead_clip + frag_len + 9 + trail_clip)), 6) AS rate FROM p GROUP BY read_group""")
 def p03_cigar_values(spark, sf_dir):
-    own, clips = c("cigar"), A.clips(c("cigar"))
+    own = c("sums")
     total = lambda x: F.sum(x.cast("long"))
-    return pairs(spark, sf_dir).groupBy("read_group").agg(
-        total(A.mismatches(own, F.lit(""))).alias("mismatches"), total(A.length_of(own, "DMN=X")).alias("ref_bases"), total(clips["lead"]).alias("lead"), total(clips["trail"]).alias("trail"),
+    return _summed(spark, sf_dir).groupBy("read_group").agg(
+        total(A.mismatches(own, F.lit(""))).alias("mismatches"), total(A.sum_of(own, "DMN=X")).alias("ref_bases"), total(own["lead"]).alias("lead"), total(own["trail"]).alias("trail"),
         F.max(A.alignment_end(c("pos"), own)).alias("last_end"), F.round(F.avg(P.mismatch_rate(own)), 6).alias("rate"),
     )
 
@@ -295,7 +301,7 @@ def b12_revert(spark, sf_dir):
 
 @query(f"""WITH {_P} SELECT name, line, ref_id || chr(9) || pos || chr(9) || (pos + frag_len + 7 + n_del) || chr(9) || name || chr(9) || map_qual || chr(9) || CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS bed FROM p""")
 def b16_convert_bed(spark, sf_dir):
-    records = pairs(spark, sf_dir).withColumn("end", A.alignment_end(c("pos"), c("cigar")))
+    records = _summed(spark, sf_dir).withColumn("end", A.alignment_end(c("pos"), c("sums")))
     return records.select("name", "line", toolkit.bed_line(c("ref_id"), c("pos"), c("end"), c("name"), c("map_qual"), c("flag")).alias("bed"))
 
 
@@ -314,9 +320,8 @@ def v03_flagstat(spark, sf_dir):
 
 @query(f"WITH {_P}, e AS (SELECT ref_id, read_group % 3 AS sample, unnest(range(pos, pos + frag_len)) AS pos FROM p WHERE map_qual >= 4 AND flag & 1796 = 0 AND frag_len > 0) SELECT ref_id, pos, count(*) FILTER (sample = 0) AS depth_0, count(*) FILTER (sample = 1) AS depth_1, count(*) FILTER (sample = 2) AS depth_2 FROM e GROUP BY ALL")
 def v05_depth(spark, sf_dir):
-    kept = toolkit.view(pairs(spark, sf_dir), min_qual=4, forbidden=1796).filter("frag_len > 0").withColumn("sample", c("read_group") % 3)
-    places = kept.select("ref_id", "sample", F.explode(F.sequence(c("pos"), c("pos") + c("frag_len") - 1)).alias("pos"))
-    return places.groupBy("ref_id", "pos").agg(*[F.count_if(c("sample") == s).alias(f"depth_{s}") for s in range(3)])
+    kept = toolkit.view(pairs(spark, sf_dir), min_qual=4, forbidden=1796).filter("frag_len > 0").withColumns({"sample": c("read_group") % 3, "end": c("pos") + c("frag_len")})
+    return pileup.depths(kept, "ref_id", "pos", "end", "sample", [0, 1, 2])
 
 
 @query(f"WITH {_P} SELECT name, line, read_group, ref_id, pos, flag FROM (SELECT *, row_number() OVER (PARTITION BY read_group, ref_id, flag & 16, CASE WHEN flag & 16 <> 0 THEN pos + frag_len ELSE pos END ORDER BY map_qual DESC, name, line, pos, flag, frag_len) AS k FROM p) WHERE k = 1")

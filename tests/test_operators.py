@@ -19,9 +19,9 @@ def one(spark, column, **values):
 
 def test_cigar_and_md(spark):
     c = F.col("c")
-    assert one(spark, A.mismatches(c, F.col("m")), c="10S30M2I8M5D20M", m="12A17^ACGTT5C22") == 9
-    assert one(spark, A.alignment_end(F.lit(100), c), c="10S30M2I8M5D20M") == 163
-    assert tuple(one(spark, A.clips(c), c="10S30M4S")) == (10, 4)
+    assert one(spark, A.mismatches(A.cigar_sums(c), F.col("m")), c="10S30M2I8M5D20M", m="12A17^ACGTT5C22") == 9
+    assert one(spark, A.alignment_end(F.lit(100), A.cigar_sums(c)), c="10S30M2I8M5D20M") == 163
+    assert tuple(one(spark, A.clips(A.cigar_sums(c)), c="10S30M4S")) == (10, 4)
 
 
 def test_mate_tag(spark):
