@@ -8,12 +8,14 @@ secret nor the separators of a phone number change its pseudonym. Country codes,
 left as it is. A slash date is read month first unless that fails, and written as it was read: the pseudonyms of 20/03/1999 and
 of some date read the other way may look alike, those of one reading never do.
 
-The key comes from the caller, else from the session's setting strandlake.pii.key, else it is KEY, which only tests should use.
+The key comes from the caller, else from the session's setting strandlake.pii.key, else it is KEY, with a warning, which only tests should use.
+Spark writes it into plans and event logs as part of expressions; spark.sql.redaction.string.regex can keep it out of them.
 
 Values may stand side by side: patterns are greedy, so at each place where one matches, exact shapes (country lengths of
 IBANs, groups and issuers of cards, phones) are tried before the whole match, and shorter prefixes after it. Where
-nothing holds, the search goes on behind the first digits or letters of the match. Work grows with the square of a run of
-numbers parted by single spaces.
+nothing holds, the search goes on behind the first digits or letters of the match. A run of numbers is searched in windows of
+bounded size, whose last AHEAD characters wait for the next window; so work grows with the text's length, and values of up to
+AHEAD characters, mail addresses and secrets of up to TOKEN, are found whole wherever they stand. A mail's host has 127 labels at most.
 
 Defined cases: a null text stays null with counts of 0; empty texts stay empty; texts are read whole; repeated rows get
 equal results; other columns are carried along by `pseudonymize_rows` and may bear any name.
@@ -21,6 +23,8 @@ equal results; other columns are carried along by `pseudonymize_rows` and may be
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +40,7 @@ FIRST_DAY, DATE_ROWS, DATE_COLUMNS = "1900-01-01", 17, 4297
 _NEXT = r"(?! (?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|(?:[0-9]{1,3}\.){3}[0-9]{1,3}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-]?[0-9]{4}|0[1-9](?:[ .-][0-9]{2}){4}|[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?:[^0-9A-Za-z]|$))"
 #: One alternative a kind, tried in this order where several could start.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "secret": r"(?<![0-9A-Za-z])(?:(?:[0-9a-f]{32}|[0-9A-F]{32})(?![0-9A-Za-z])|(?:[0-9a-f]{40}|[0-9A-F]{40})(?![0-9A-Za-z])|(?:[0-9a-f]{64}|[0-9A-F]{64})(?![0-9A-Za-z])|A(?:KI|SI)A[0-9A-Z]{16}(?![0-9A-Za-z])|(?:sk|pk|gh[opsu]|xox[abp])[_-][0-9A-Za-z_-]{16,}(?![0-9A-Za-z]))",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z/-])",
@@ -51,8 +55,12 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = "[0-9@]"
 #: Chunks with digits or @, or parts of an IBAN, parted by single spaces: every match lies whole inside one run.
 RUN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: (?:[0-9A-Z]{1,4}(?![0-9A-Za-z])\S*+|[^\s0-9@]*+[0-9@]\S*+))*+"
-#: The first match behind the first character, which is only there for what patterns ask of it.
-FIRST = rf"(?<=[\s\S])(?:{ANY})"
+#: The first match behind the first two characters, which are only there for what patterns ask of them.
+FIRST = rf"(?<=[\s\S]{{2}})(?:{ANY})"
+#: A window takes so many characters and what its last token, of up to TOKEN characters, has beyond; the last AHEAD of it, more than any other value
+#: and what patterns ask behind it, wait for the next one.
+WINDOW, TOKEN, AHEAD = 256, 4096, 128
+WINDOWS = rf"[\s\S]{{1,{WINDOW}}}[0-9A-Za-z._%+@-]{{0,{TOKEN}}}+"
 #: Lengths of IBANs, without spaces, with their countries.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG",
@@ -217,35 +225,64 @@ def _value_at(place: Column) -> Column:
     return F.get(found, F.lit(0))
 
 
-def _scan(run: Column, key: str) -> Column:
-    """(text, found) of a run, from left to right: a value found is left behind whole, else the first digits or letters."""
+def _scan_window(start: Column, last: Column, key: str) -> Column:
+    """The state (before, rest, text, found) after a search of rest from left to right: a value found is left behind whole, else the first digits or letters.
+
+    before holds the two characters ahead of rest. Unless the window is the last one, what begins in its last AHEAD characters stays in rest.
+    """
+    tail = lambda x: F.right(x, F.lit(2))
     none = F.array().cast("array<struct<kind:string,value:string>>")
-    start = F.struct(F.lit("\n").alias("before"), run.alias("rest"), F.lit("").alias("text"), none.alias("found"))
-    last = lambda x: F.substr(x, F.length(x), F.lit(1))
+    from_ = lambda x, n: F.substr(x, n + 1, F.length(x))
 
-    def taken(s: Column, gap: Column, rest: Column, before: Column, old: Column, new: Column, found: Column) -> Column:
-        text = F.concat(s["text"], F.substr(gap, F.lit(2), F.length(gap)), new)
-        return F.struct(before.alias("before"), F.substr(rest, F.length(old) + 1, F.length(rest)).alias("rest"), text.alias("text"), F.concat(s["found"], found).alias("found"))
+    def state(before: Column, rest: Column, text: Column, found: Column) -> Column:
+        return F.struct(before.alias("before"), rest.alias("rest"), text.alias("text"), found.alias("found"))
 
     def step(s: Column, _: Column) -> Column:
         parts = F.concat(s["before"], s["rest"])
         cut = F.struct(F.get(F.split(parts, FIRST, 2), F.lit(0)).alias("gap"), F.regexp_extract(parts, FIRST, 0).alias("match"), parts.alias("all"))
 
         def at(cut: Column) -> Column:
-            rest = F.substr(cut["all"], F.length(cut["gap"]) + 1, F.length(cut["all"]))
+            rest = from_(cut["all"], F.length(cut["gap"]))
+            text = F.concat(s["text"], from_(cut["gap"], F.lit(2)))
+            kept = F.when(last, 0).otherwise(F.least(F.length(s["rest"]), F.lit(AHEAD)))
+            told = F.length(cut["all"]) - kept
 
             def settle(v: Column) -> Column:
                 skip = F.regexp_extract(cut["match"], r"^[^0-9A-Za-z]*[0-9A-Za-z]+", 0)
-                made = lambda new: taken(s, cut["gap"], rest, F.lit("\n"), v["value"], new, F.array(F.struct(v["kind"].alias("kind"), new.alias("value"))))
-                return F.when(v.isNull(), taken(s, cut["gap"], rest, last(skip), skip, skip, none)).otherwise(_let(_pseudonym(v["value"], v["kind"], key), made))
+                left = state(tail(F.concat(cut["gap"], skip)), from_(rest, F.length(skip)), F.concat(text, skip), s["found"])
+                made = lambda new: state(F.lit("\n\n"), from_(rest, F.length(v["value"])), F.concat(text, new), F.concat(s["found"], F.array(F.struct(v["kind"].alias("kind"), new.alias("value")))))
+                return F.when(v.isNull(), left).otherwise(_let(_pseudonym(v["value"], v["kind"], key), made))
+
+            seen = F.substr(cut["all"], F.lit(1), told)
+            waits = state(tail(seen), from_(cut["all"], told), F.concat(s["text"], from_(seen, F.lit(2))), s["found"])
+            unsure = (cut["match"] == "") | (F.length(cut["gap"]) > told)
+            return F.when(unsure, waits).otherwise(_let(_value_at(F.concat(tail(cut["gap"]), rest)), settle))
+
+        return F.when((s["rest"] == "") | (~last & (F.length(s["rest"]) <= AHEAD)), s).otherwise(_let(cut, at))
+
+    steps = F.sequence(F.lit(1), F.size(F.split(start["rest"], "[^0-9A-Za-z]+")) + 1)
+    return F.aggregate(steps, F.struct(start["before"], start["rest"], F.lit("").alias("text"), none.alias("found")), step)
+
+
+def _scan(run: Column, key: str) -> Column:
+    """(text, found) of a run, window by window."""
+    cut = F.regexp_extract_all(run, F.lit(WINDOWS), F.lit(0))
+    flagged = _let(cut, lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("w"), (i == F.size(ws) - 1).alias("last"))))
+    done = F.array().cast("array<struct<text:string,found:array<struct<kind:string,value:string>>>>")
+    start = F.struct(F.lit("\n\n").alias("before"), F.lit("").alias("rest"), done.alias("done"))
 
-            done = F.struct(last(cut["all"]).alias("before"), F.lit("").alias("rest"), F.concat(s["text"], s["rest"]).alias("text"), s["found"].alias("found"))
-            return F.when(cut["match"] == "", done).otherwise(_let(_value_at(F.concat(F.substr(F.concat(F.lit("\n"), cut["gap"]), F.length(cut["gap"]), F.lit(2)), rest)), settle))
+    def step(s: Column, x: Column) -> Column:
+        begun = F.struct(s["before"].alias("before"), F.concat(s["rest"], x["w"]).alias("rest"))
+        went = lambda b: _let(
+            _scan_window(b, x["last"], key),
+            lambda r: F.struct(r["before"].alias("before"), r["rest"].alias("rest"), F.concat(s["done"], F.array(F.struct(r["text"].alias("text"), r["found"].alias("found")))).alias("done")),
+        )
+        return _let(begun, went)
 
-        return F.when(s["rest"] == "", s).otherwise(_let(cut, at))
+    def joined(s: Column) -> Column:
+        return F.struct(F.concat(F.array_join(F.transform(s["done"], lambda d: d["text"]), ""), s["rest"]).alias("text"), F.flatten(F.transform(s["done"], lambda d: d["found"])).alias("found"))
 
-    steps = F.sequence(F.lit(1), F.size(F.split(run, "[^0-9A-Za-z]+")))
-    return F.aggregate(steps, start, step, lambda s: F.struct(F.concat(s["text"], s["rest"]).alias("text"), s["found"].alias("found")))
+    return F.aggregate(flagged, start, step, joined)
 
 
 def _capitals(old: Column, new: Column) -> Column:
@@ -339,7 +376,10 @@ def with_pseudonyms(docs: DataFrame, text: str = "text", key: str | None = None,
     """
     if out in docs.columns:
         raise ValueError(f"there is a column {out!r} already")
-    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"no key given and {KEY_SETTING} isn't set: pseudonyms made with the key in the source can be undone by anyone", stacklevel=2)
+        key = KEY
     t = F.col(text)
     scanned = F.transform(F.regexp_extract_all(t, F.lit(RUN), F.lit(0)), lambda run: _scan(run, key))
     nothing = F.array().cast("array<struct<text:string,found:array<struct<kind:string,value:string>>>>")
