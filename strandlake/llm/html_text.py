@@ -40,26 +40,35 @@ BLOCK = frozenset(
     "optgroup p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas title".split())
+RAW = frozenset("script style noscript template textarea iframe svg object canvas title annotation annotation-xml".split())
+#: Of these, what browsers read to the page's end if they aren't closed; the others are then as if they weren't there.
+UNENDING = frozenset("script style textarea iframe title".split())
 DROPPED = frozenset("head nav footer aside form button select dialog menu fieldset datalist audio video".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS_AT = frozenset("ul ol dl table div section article main body nav aside footer header".split())
-#: Words of class, id and role that mark what is not the article.
+#: Words of class, id and role that mark what is not the article, wherever they stand in a name.
 MARKS = frozenset(
-    "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar nav navbar navigation "
-    "menu breadcrumb breadcrumbs pagination pager footer masthead comment comments commentlist disqus reply replies respond social share sharing sharebar related recommended newsletter subscribe subscription "
-    "signup login search searchbox widget toolbar copyright disclaimer skip skiplink topbar complementary contentinfo".split()
+    "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo banner cookie cookies gdpr popup modal overlay sidebar nav navbar navigation "
+    "menu breadcrumb breadcrumbs pagination pager footer masthead comments commentlist disqus sharebar newsletter signup searchbox widget toolbar skiplink topbar complementary contentinfo".split()
+)
+#: Words that do so as a whole class or role, or beside words of form alone: `share-buttons`, but not `share-price`.
+WEAK_MARKS = frozenset(
+    "promotion consent notice notices alert comment reply replies respond social share sharing related recommended subscribe subscription login search copyright disclaimer skip".split()
+)
+FORMS = frozenset(
+    "area bar block box btn button buttons card cards container content div entries entry footer form group header holder icon icons inner item items link links list module articles news outer panel post posts row "
+    "section stories story text title top bottom left right widget wrap wrapper".split()
 )
 HEADER_MARKS = frozenset(["header", "banner", "masthead", "topbar"])
 #: A class of one of these first words speaks of a layout, not of the element itself.
 LAYOUTS = frozenset("has no not with without is page layout wrapper container content".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)>?", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|$))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)>?", re.S)
 #: Letters of scripts that don't part words; two count as a word.
 _UNPARTED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
-_NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
-_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
 
 class Block:
@@ -72,13 +81,16 @@ class Block:
 
 
 def marks_of(attributes: str) -> set[str]:
-    """The words of an element's classes, id and role, without those of layouts."""
+    """The marks among the words of an element's classes, id and role, without those of layouts. An id of a single weak word names a section's subject."""
     marks: set[str] = set()
     for m in _NAMED.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").lower().split():
-            words = re.split(r"[^a-z0-9]+", name)
-            if words[0] not in LAYOUTS:
-                marks.update(words)
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+            if not words or words[0] in LAYOUTS:
+                continue
+            marks.update(w for w in words if w in MARKS or w in HEADER_MARKS)
+            if all(w in WEAK_MARKS or w in FORMS for w in words) and (len(words) > 1 or m[1].lower() != "id"):
+                marks.update(w for w in words if w in WEAK_MARKS)
     return marks
 
 
@@ -93,7 +105,7 @@ def dropped(name: str, attributes: str, inside: bool) -> int:
             return 2
     if name == "header" or marks & HEADER_MARKS:
         return 1 if inside else 2
-    return 2 if marks & MARKS else 0
+    return 2 if marks else 0
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -104,6 +116,7 @@ def blocks_of(page: str) -> list[Block]:
     gone = headers = anchors = regions = headings = 0
     block = None
     at, end = 0, len(page)
+    unclosed: set[str] = set()
 
     def pop() -> None:
         nonlocal gone, headers, anchors, regions, headings
@@ -162,9 +175,12 @@ def blocks_of(page: str) -> list[Block]:
             close_to({name}, frozenset() if name in BLOCK else STOPS_AT)
             continue
         if name in RAW:
-            if not m[3].endswith("/"):
-                e = _RAW_END[name].search(page, at)
-                at = e.end() if e else end
+            # only foreign elements close themselves: a script's slash is an attribute's
+            if name != "svg" or not m[3].endswith("/"):
+                e = None if name in unclosed else _RAW_END[name].search(page, at)
+                if e is None:
+                    unclosed.add(name)  # nor is any later one
+                at = e.end() if e else end if name in UNENDING else at
             continue
         if name in VOID:
             continue
