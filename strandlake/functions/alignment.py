@@ -123,3 +123,34 @@ def mate_tag(tag: Column) -> Column:
         )
 
     return F.transform(halves, half)
+
+
+def difference_tags(seq: Column, ref: Column, cigar: Column) -> Column:
+    """(md, nm) of a read's bases against the reference's from the alignment's first place on, as the MD and NM tags have them.
+
+    md tells matches by their number, substituted reference bases by their letter and deleted ones behind ^; nm counts substituted, inserted and deleted
+    bases. N equals nothing. Both are null where one of the three is.
+    """
+    at = lambda text, k: F.substring(text, (k + 1).cast("int"), F.lit(1))
+
+    def marked(run: Column) -> Column:
+        def one(i: Column) -> Column:
+            read, base = at(seq, run["read"] + i), at(ref, run["ref"] + i)
+            return F.when((read == base) & (base != "N"), "=").otherwise(base)
+
+        deleted = F.concat(F.lit("^"), F.substring(ref, (run["ref"] + 1).cast("int"), run["len"]))
+        return F.when(run["op"] == "D", deleted).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), run["len"] - 1), one), ""))
+
+    marks = F.array_join(F.transform(F.filter(walk(cigar), lambda run: run["len"] > 0), marked), "")
+    parts = F.regexp_extract_all(marks, F.lit("(=+|\\^[A-Za-z]+|[A-Za-z])"), F.lit(1))
+
+    def told(ps: Column) -> Column:
+        number = lambda x: F.coalesce(x.startswith("="), F.lit(False))
+        shown = F.transform(ps, lambda x, i: F.when(number(x), F.length(x).cast("string")).otherwise(F.concat(F.when(number(F.get(ps, i - 1)), "").otherwise("0"), x)))
+        changed = F.aggregate(ps, F.lit(0), lambda s, x: s + F.when(number(x), 0).otherwise(F.length(F.replace(x, F.lit("^"), F.lit("")))))
+        return F.struct(F.concat(F.array_join(shown, ""), F.when(number(F.element_at(ps, -1)), "").otherwise("0")).alias("md"), changed.alias("substituted"))
+
+    found = F.get(F.transform(F.array(parts), told), F.lit(0))
+    tags = lambda x: F.struct(x["md"].alias("md"), (x["substituted"] + length_of(cigar, "I")).alias("nm"))
+    given = seq.isNotNull() & ref.isNotNull() & cigar.isNotNull()
+    return F.when(given & (F.size(parts) > 0), F.get(F.transform(F.array(found), tags), F.lit(0)))

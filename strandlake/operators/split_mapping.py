@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import pairwise
-from strandlake.functions.alignment import partial_type
+from strandlake.functions.alignment import difference_tags, length_of, partial_type
 from strandlake.functions.pairs import split_window
 from strandlake.functions.sequence import entropy, reverse_complement
 from strandlake.operators.mates import concatenated
@@ -289,3 +289,14 @@ def second_partials(firsts: DataFrame, library: DataFrame, size: int = CHUNK) ->
         "id", c("x.name").alias("family_name"), c("x.a.ref_begin").alias("offset"), c("x.a.read_begin").alias("read_pos"), c("x.a.read_end").alias("read_end"),
         c("x.a.score").alias("score"), c("x.a.cigar").alias("cigar"), "x.turned", "x.rescued", c("x.cover.poly_a").alias("poly_a"),
     )
+
+
+def with_difference_tags(records: DataFrame, refs: DataFrame, size: int = CHUNK) -> DataFrame:
+    """records (ref_id, pos, cigar, seq, ...) with md and nm made anew against refs (ref_id, seq), met chunk by chunk; records without a place or reference are left out."""
+    spans = records.withColumn("span", length_of(c("cigar"), "MDN=X"))
+    halo = spans.agg(F.max("span")).first()[0] or 0
+    held = chunks(refs, int(halo), size).select("ref_id", "chunk", "bases")
+    met = spans.withColumn("chunk", F.floor(c("pos") / size).cast("int")).join(held, ["ref_id", "chunk"])
+    part = F.substring(c("bases"), (c("pos") - c("chunk") * size + 1).cast("int"), c("span"))
+    told = met.withColumn("tags", difference_tags(c("seq"), part, c("cigar")))
+    return told.withColumns({"md": c("tags.md"), "nm": c("tags.nm")}).drop("tags", "span", "chunk", "bases")

@@ -12,7 +12,7 @@ from strandlake.storage import materialize
 
 from .catalogue import query
 from .pair_queries import _REFS, _refs
-from .views import bases, sequences, table
+from .views import SEQUENCES, bases, sequences, table
 
 c = F.col
 #: Where reads are taken from a reference, how many bases of it and of a special reference they hold, and the longest fragment.
@@ -71,3 +71,21 @@ def p18_located_places(spark, sf_dir):
     last = joined.agg(F.max("ends")).first()[0]
     places = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("id"), c("l_linenumber").alias("line"), ((c("l_partkey") * 97 + c("l_suppkey")) % last).alias("place"))
     return M.locate(places, "place", joined, ["ref_id", "name"]).select("id", "line", "ref_id", "name", "offset")
+
+
+#: One read a document from its bases at 31, with a deletion, an insertion and some bases of its end.
+_READ = """substr(seq, 31, 20) || CASE WHEN doc_id % 3 = 0 THEN 'N' ELSE 'A' END || substr(seq, 52, 9) || substr(seq, 63, 15) || 'GT' || substr(seq, 78, 10) || substr(seq, length(seq) - 5, 6)"""
+_PIECES = [("M", 0, 0, 30), ("D", None, 30, 2), ("M", 30, 32, 15), ("M", 47, 47, 10), ("M", 57, 57, 6)]
+_MARKS = " || ".join(
+    f"'^' || substr(seq, {31 + ref}, {n})" if op == "D" else f"array_to_string(list_transform(range(0, {n}), lambda i: CASE WHEN substr(read, {read + 1} + i, 1) = substr(seq, {31 + ref} + i, 1) THEN '=' ELSE substr(seq, {31 + ref} + i, 1) END), '')"
+    for op, read, ref, n in _PIECES
+)
+
+
+@query(f"""WITH s AS (SELECT doc_id, seq, {_READ} AS read FROM ({SEQUENCES}) WHERE length(seq) >= 120), m AS (SELECT doc_id, regexp_extract_all({_MARKS}, '=+|\\^[A-Z]+|[A-Z]') AS ps FROM s),
+t AS (SELECT doc_id, ps, list_transform(range(1, len(ps) + 1), lambda i: CASE WHEN starts_with(ps[i], '=') THEN length(ps[i])::VARCHAR WHEN i > 1 AND starts_with(ps[i - 1], '=') THEN ps[i] ELSE '0' || ps[i] END) AS shown FROM m)
+SELECT doc_id, array_to_string(shown, '') || CASE WHEN starts_with(ps[len(ps)], '=') THEN '' ELSE '0' END AS md, (2 + list_sum(list_transform(ps, lambda x: CASE WHEN starts_with(x, '=') THEN 0 ELSE length(replace(x, '^', '')) END)))::INTEGER AS nm FROM t""")
+def v10_difference_tags(spark, sf_dir):
+    refs = sequences(spark, sf_dir).filter(F.length("seq") >= 120)
+    records = refs.select("doc_id", c("doc_id").alias("ref_id"), F.lit(30).cast("long").alias("pos"), F.lit("30M2D15M2I16M").alias("cigar"), F.expr(_READ).alias("seq"))
+    return M.with_difference_tags(records, refs.select(c("doc_id").alias("ref_id"), "seq")).select("doc_id", "md", "nm")

@@ -138,3 +138,17 @@ def test_stream_of_counts(spark, events, tmp_path):
     assert got == {("click", 1.0): 1, ("purchase", 2.0): 1, ("click", 3.0): 2, ("purchase", 1.0): 2, ("click", 9.0): 1, ("refund", 9.0): 1}
     windows = run(spark, streams.windowed_counts(streams.read_events(spark, events, 100)), tmp_path / "b", "complete")
     assert sum(r.n for r in windows) == 8
+
+
+def test_stream_of_value_runs(spark, tmp_path):
+    at = lambda minutes: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minutes)
+    kinds = ["click", "click", "view", "view", "click", "view", "view", "view", "click", "click", "view", "click"]
+    rows = [(k, at(7 * k), k % 2, kinds[k], 1.0, "") for k in range(12)] + [(12, at(5000), 9, "end", 1.0, ""), (13, at(9000), 9, "end", 1.0, "")]
+    for k in range(0, len(rows), 3):  # batches in order of time
+        spark.createDataFrame(rows[k : k + 3], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.value_runs(streams.read_events(spark, str(tmp_path / "in"), 1), "user_id", "event_type")
+    got = sorted(tuple(r) for r in run(spark, stream, tmp_path, "append"))
+    whole = streams.value_runs_batch(spark.read.parquet(str(tmp_path / "in")).withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "event_type")
+    want = sorted(tuple(r) for r in whole.select("user_id", "event_type", "first", "last", "n").collect())
+    # the last key's run is still open; all others came, those at the end by their timer
+    assert got == [x for x in want if x[0] != 9] and len(got) == 9

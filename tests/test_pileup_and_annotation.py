@@ -126,3 +126,36 @@ def test_special_hits(spark):
     got = {r.id: r for r in annotation.special_hits(spark.createDataFrame(reads, "id int, read string"), spark.createDataFrame(library, "ref_id int, seq string")).collect()}
     assert got.keys() == {k for k in range(40) if k % 4}
     assert all(r.ref_id == k % 5 and r.turned == (k % 3 == 0) and r.score >= 100 and r.length >= 60 for k, r in got.items())
+
+
+def plain_tags(seq, ref, cigar):
+    md, same, nm, i, j = "", 0, 0, 0, 0
+    for n, op in ((int(n), op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar)):
+        if op in "M=X":
+            for k in range(n):
+                if seq[i + k] == ref[j + k] != "N":
+                    same += 1
+                else:
+                    md, same, nm = f"{md}{same}{ref[j + k]}", 0, nm + 1
+        elif op == "D":
+            md, same, nm = f"{md}{same}^{ref[j : j + n]}", 0, nm + n
+        elif op == "I":
+            nm += n
+        i, j = i + n * (op in "M=XIS"), j + n * (op in "M=XDN")
+    return md + str(same), nm
+
+
+def test_difference_tags(spark):
+    rnd = random.Random(11)
+    rows = []
+    for k in range(200):
+        cigar = rnd.choice(["20M", "5S10M2D3M1I4M3N6M2H", "3=1X5M", "2M1D1M1D2M", "4M2I4M3S", "2D5M"])
+        ref = "".join(rnd.choice("ACGTN") for _ in range(40))
+        rows.append((k, "".join(rnd.choice([b, b, b, "A"]) for b in ref), ref, cigar))
+    df = spark.createDataFrame([*rows, (900, None, "A", "1M"), (901, "A", None, "1M"), (902, "A", "A", None)], "k int, seq string, ref string, cigar string")
+    got = {r.k: r.t for r in df.select("k", A.difference_tags(F.col("seq"), F.col("ref"), F.col("cigar")).alias("t")).collect()}
+    assert all(got[k] is None for k in (900, 901, 902))
+    assert {k: (got[k].md, got[k].nm) for k, *_ in rows} == {k: plain_tags(*x) for k, *x in rows}
+    # what MD and CIGAR tell together is NM again
+    told = df.filter("k < 900").select("k", A.difference_tags(F.col("seq"), F.col("ref"), F.col("cigar")).alias("t"), A.cigar_sums(F.col("cigar")).alias("s"))
+    assert told.filter(A.mismatches(F.col("s"), F.col("t.md")) != F.col("t.nm")).count() == 0
