@@ -37,10 +37,17 @@ def concatenated(refs: DataFrame, order: str, length: str, pad: int) -> DataFram
 
 
 def windowed_mates(records: DataFrame, keys: list[str], pos: str, reach: int | None = None) -> DataFrame:
-    """(keys, pos, distance): each record with the later ones of its name, nearer than reach if given; an equi-join on the keys."""
-    later = records.select(*keys, F.col(pos).alias("_later"))
-    met = records.select(*keys, pos).join(later, keys).filter(F.col("_later") > F.col(pos)).withColumn("distance", F.col("_later") - F.col(pos)).drop("_later")
-    return met if reach is None else met.filter(F.col("distance") < reach)
+    """(keys, pos, distance): each record with the later ones of its name, nearer than reach if given; an equi-join on the keys.
+
+    With a reach, records also meet by bins of that width, so those of a name that lie apart never become pairs.
+    """
+    own, later, on = records.select(*keys, pos), records.select(*keys, F.col(pos).alias("_later")), list(keys)
+    if reach is not None:
+        on.append("_bin")
+        own = own.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(pos) / reach), F.floor((F.col(pos) + reach - 1) / reach))))
+        later = later.withColumn("_bin", F.floor(F.col("_later") / reach))
+    met = own.join(later, on).filter(F.col("_later") > F.col(pos)).withColumn("distance", F.col("_later") - F.col(pos))
+    return (met if reach is None else met.filter(F.col("distance") < reach)).select(*keys, pos, "distance")
 
 
 def cross_mates(records: DataFrame, name: str, turn: str) -> DataFrame:

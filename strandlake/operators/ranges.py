@@ -97,6 +97,16 @@ def tiles(intervals: DataFrame, start: str, end: str, width: int) -> DataFrame:
     return intervals.withColumn("tile", F.explode(_bins(F.col(start), F.col(end) - 1, width)))
 
 
+def region_tiles(refs: DataFrame, length: str, width: int) -> DataFrame:
+    """refs with `start` and `stop` of each of their tiles of width places, from 0, half-open; what is left at the end joins the last tile below 1.1 of a width."""
+    n = F.col(length)
+    last = F.floor(n / width).cast("long")
+    # one tile more where the rest is a tile of its own, one less where nothing is left
+    tiles = F.greatest(F.when((n - last * width) * 10 >= width, last + 1).otherwise(last), F.lit(1))
+    cut = refs.filter(n > 0).withColumn("_n", tiles).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    return cut.withColumns({"start": F.col("_k") * width, "stop": F.when(F.col("_k") == F.col("_n") - 1, n).otherwise((F.col("_k") + 1) * width)}).drop("_k", "_n")
+
+
 _REGION = re.compile(r"([^:]+)(?::(\d+)(?:-(\d+))?)?")
 
 

@@ -27,6 +27,14 @@ def drop_duplicates(records: DataFrame, place: list[str], best: list[Column]) ->
     return records.groupBy(*place).agg(F.min_by(row, rank).alias("row")).select("row.*")
 
 
+def drop_duplicate_pairs(records: DataFrame, place: list[str], name: str, leading: Column, best: list[Column]) -> DataFrame:
+    """records without the pairs that lie where a better one does: of the leading records of each place all but the best go, and with them all of their names."""
+    led = records.filter(leading)
+    kept = drop_duplicates(led, place, best).select(*place, F.col(name).alias("_kept"))
+    lost = led.join(kept, place).filter(F.col(name) != F.col("_kept")).select(name).distinct()
+    return records.join(lost, name, "left_anti")
+
+
 def mates(records: DataFrame, name: str, first: Column, second: Column, carried: list[str]) -> DataFrame:
     """Pairs of a first and a second record of one name, full outer, so singletons stay with nulls."""
     left = records.filter(first).select(name, *[F.col(c).alias(f"{c}_1") for c in carried])

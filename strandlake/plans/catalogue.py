@@ -11,6 +11,7 @@ from strandlake.functions import alignment as A
 from strandlake.functions import pairwise
 from strandlake.functions import sequence as S
 from strandlake.operators import cluster, genotype, library, population, ranges, toolkit
+from strandlake.storage import broadcast_if_small, materialize
 
 from .views import ALIGNMENTS, INTERVALS, SEQUENCES, alignments, bases, intervals, sequences, table
 
@@ -99,7 +100,7 @@ def j12_kmer_seeds(spark, sf_dir):
     seeds = bench.select("item_id", F.explode(S.kmers(bases(F.col("text")), 12)).alias("k")).select("item_id", "k.kmer").distinct()
     reads = sequences(spark, sf_dir).select("doc_id", F.explode(S.kmers(F.col("seq"), 12)).alias("k")).select("doc_id", "k.kmer")
     # hits are counted per read before they move on
-    return reads.join(seeds, "kmer").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).groupBy("item_id").agg(F.sum("n").alias("hits"), F.count("*").alias("docs"))
+    return reads.join(broadcast_if_small(materialize(seeds, "seeds")), "kmer").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).groupBy("item_id").agg(F.sum("n").alias("hits"), F.count("*").alias("docs"))
 
 
 @query("""SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.turn // 2, b.turn // 2) AS pair, length(a.text) AS length_1, length(b.text) AS length_2
@@ -371,7 +372,13 @@ def x02_allele_frequency(spark, sf_dir):
     return sites.select("site", F.round(population.allele_frequency(F.col("gl")), 6).alias("frequency"))
 
 
-@query()
+_CHANCE = "(lgamma(a + b + 1) - lgamma({k} + 1) - lgamma(a + b - {k} + 1) + lgamma(c + d + 1) - lgamma(a + c - {k} + 1) - lgamma(d - a + {k} + 1) - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1))"
+
+
+@query(f"""WITH t AS (SELECT l_suppkey AS site, l_returnflag = 'N' AS f, l_linenumber > 3 AS late FROM lineitem),
+s AS (SELECT site, count(*) FILTER (f AND late) AS a, count(*) FILTER (f AND NOT late) AS b, count(*) FILTER (NOT f AND late) AS c, count(*) FILTER (NOT f AND NOT late) AS d FROM t GROUP BY site),
+k AS (SELECT *, list_transform(range(greatest(0, a - d), least(a + b, a + c) + 1), lambda k: {_CHANCE.format(k='k')}) AS chances, {_CHANCE.format(k='a')} AS own FROM s)
+SELECT site, a, b, c, d, round(list_sum(list_transform(list_filter(chances, lambda x: x <= own + 1e-7), lambda x: exp(x))), 6) AS p FROM k""")
 def x05_fisher(spark, sf_dir):
     flag, status = F.col("l_returnflag") == "N", F.col("l_linestatus") == "O"
     count = lambda c: F.count(F.when(c, 1))

@@ -10,6 +10,7 @@ from strandlake.functions import pairs as P
 from strandlake.functions import sequence as S
 from strandlake.operators import cluster, evidence, genotype, mates
 from strandlake.sources import formats
+from strandlake.storage import broadcast_if_small, materialize
 
 from .catalogue import _GENOTYPE, SECOND, _evidence, query
 from .pair_queries import _P, _TYPE
@@ -117,7 +118,7 @@ regions AS (SELECT query, ref, min(query_pos) AS begin, min(ref_pos) AS ref_begi
 def _regions(spark, sf_dir) -> DataFrame:
     refs = table(spark, sf_dir, "benchmark").select(c("item_id").alias("ref"), F.explode(S.kmers(bases(c("text")), 16)).alias("k")).select("ref", c("k.pos").alias("ref_pos"), "k.kmer")
     reads = sequences(spark, sf_dir).select(c("doc_id").alias("query"), F.explode(S.kmers(c("seq"), 16)).alias("k")).select("query", c("k.pos").alias("query_pos"), "k.kmer")
-    return evidence.seed_regions(reads.join(refs, "kmer").select("query", "ref", "query_pos", "ref_pos"), 16, 20)
+    return evidence.seed_regions(reads.join(broadcast_if_small(materialize(refs, "seeds")), "kmer").select("query", "ref", "query_pos", "ref_pos"), 16, 20)
 
 
 @query(f"WITH {_HITS} SELECT * FROM regions")

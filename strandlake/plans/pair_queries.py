@@ -324,6 +324,14 @@ def v05_depth(spark, sf_dir):
     return pileup.depths(kept, "ref_id", "pos", "end", "sample", [0, 1, 2])
 
 
+@query(f"""WITH {_P}, l AS (SELECT *, first_value(name) OVER (PARTITION BY read_group, ref_id, pos, insert_size ORDER BY map_qual DESC, name, line) AS kept FROM p WHERE insert_size > 0)
+SELECT name, line, read_group, ref_id, pos, flag FROM p ANTI JOIN (SELECT DISTINCT name FROM l WHERE name <> kept) USING (name)""")
+def v07_drop_pairs(spark, sf_dir):
+    place = ["read_group", "ref_id", "pos", "insert_size"]
+    kept = toolkit.drop_duplicate_pairs(pairs(spark, sf_dir), place, "name", c("insert_size") > 0, [-c("map_qual"), c("name"), c("line")])
+    return kept.select("name", "line", "read_group", "ref_id", "pos", "flag")
+
+
 @query(f"WITH {_P} SELECT name, line, read_group, ref_id, pos, flag FROM (SELECT *, row_number() OVER (PARTITION BY read_group, ref_id, flag & 16, CASE WHEN flag & 16 <> 0 THEN pos + frag_len ELSE pos END ORDER BY map_qual DESC, name, line, pos, flag, frag_len) AS k FROM p) WHERE k = 1")
 def v08_single_duplicates(spark, sf_dir):
     strand = c("flag").bitwiseAND(16)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators import callset, genotype, likelihoods
+from strandlake.operators import callset, genotype, likelihoods, ranges
+from strandlake.sources import formats
 from strandlake.storage import materialize
 
 from .catalogue import SECOND, query
-from .views import INTERVALS, intervals, table
+from .views import INTERVALS, SEQUENCES, intervals, sequences, table
 
 c = F.col
 
@@ -108,3 +109,44 @@ SELECT id, family, call_class FROM k ANTI JOIN hit USING (id)""")
 def j09_family_masks(spark, sf_dir):
     masks = spark.sql(_MASKS.replace("FROM lineitem", "FROM {t}"), t=table(spark, sf_dir, "lineitem"))
     return callset.unmasked_calls(_supported(spark, sf_dir), masks, "id", 64).select("id", "family", "call_class")
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT doc_id, length(seq)::BIGINT AS n FROM ({SEQUENCES}) WHERE length(seq) > 0),
+t AS (SELECT doc_id, n, 0::BIGINT AS start, CASE WHEN 10 * n < 11 * 300 THEN n ELSE 300 END AS stop FROM r UNION ALL SELECT doc_id, n, stop, CASE WHEN 10 * (n - stop) < 11 * 300 THEN n ELSE stop + 300 END FROM t WHERE stop < n)
+SELECT doc_id, start, stop FROM t""")
+def x12_region_tiles(spark, sf_dir):
+    refs = sequences(spark, sf_dir).select("doc_id", F.length("seq").cast("long").alias("n"))
+    return ranges.region_tiles(refs, "n", 300).select("doc_id", "start", "stop")
+
+
+_INNER = "least(pos + id % 7, pos + id % 5)"
+
+
+@query(f"""WITH v AS ({_CALLS.replace('`', '"')}), f AS (SELECT *, substr('ACGT', CAST(id % 4 AS INT) + 1, 1) AS base, {_INNER} AS near FROM v)
+SELECT id, chrom || chr(9) || (pos + 1) || chr(9) || '.' || chr(9) || base || chr(9) || CASE WHEN id % 5 = 0 THEN base || 'ACGT' ELSE '<INS:ME:' || family || '>' END || chr(9) || '.' || chr(9) || '.' || chr(9)
+  || CASE WHEN sr5 + sr3 > 0 THEN '' ELSE 'IMPRECISE;CIPOS=' || (pos - 10 - near) || ',' || (pos + 20 - near) || ';' END || 'TYPE=' || family || ';RP5=' || rp5 || ';RP3=' || rp3 || ';SR5=' || sr5 || ';SR3=' || sr3
+  || ';STRAND=' || CASE id % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE '/' END || ';MEILEN=' || CASE WHEN id % 5 = 0 THEN 4 ELSE -1 END AS line FROM f""")
+def k02_special_calls(spark, sf_dir):
+    calls = spark.sql(_CALLS.replace("FROM orders", "FROM {t}"), t=table(spark, sf_dir, "orders"))
+    base = F.expr("substr('ACGT', CAST(id % 4 AS INT) + 1, 1)")
+    interval = formats.place_interval((c("pos") - 10, c("pos") + c("id") % 7), (c("pos") + c("id") % 5, c("pos") + 20))
+    known, strand = c("id") % 5 == 0, F.when(c("id") % 3 == 0, "+").when(c("id") % 3 == 1, "-")
+    evidence = {x: c(x) for x in ("rp5", "rp3", "sr5", "sr3")}
+    return calls.select("id", formats.special_call(c("chrom"), c("pos"), base, F.when(known, "ACGT"), c("family"), interval, evidence, strand, F.when(known, 4)).alias("line"))
+
+
+_SIDES = {"rp5": 1, "rp3": 2, "sr5": 3, "sr3": 4}
+
+
+@query(f"""WITH e AS (SELECT l_suppkey AS site, l_linestatus AS sample, count(*) FILTER (l_returnflag = 'N') AS n_ref, count(*) FILTER (l_returnflag = 'R') AS n_alt,
+  {", ".join(f"count(*) FILTER (l_returnflag = 'R' AND l_linenumber = {k}) AS {x}" for x, k in _SIDES.items())} FROM lineitem GROUP BY ALL),
+g AS (SELECT *, (lgamma(n_ref + n_alt + 1) - lgamma(n_ref + 1) - lgamma(n_alt + 1)) / ln(10) AS choose FROM e),
+l AS (SELECT *, choose + n_ref * log10(0.999) + n_alt * log10(0.001) AS a, choose + (n_ref + n_alt) * log10(0.5) AS b, choose + n_ref * log10(0.001) + n_alt * log10(0.999) AS d FROM g)
+SELECT site, sample, CASE WHEN n_ref + n_alt = 0 THEN '.:0.00,0.00,0.00' ELSE CASE WHEN a >= b AND a >= d THEN '0/0' WHEN b >= d THEN '0/1' ELSE '1/1' END || ':' || printf('%.2f', round(a, 6)) || ',' || printf('%.2f', round(b, 6)) || ',' || printf('%.2f', round(d, 6)) END
+  || ':' || n_ref || ':' || rp3 || ':' || rp5 || ':' || sr3 || ':' || sr5 || ':' || (n_alt - rp3 - rp5 - sr3 - sr5) AS field FROM l""")
+def k03_sample_fields(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").groupBy(c("l_suppkey").alias("site"), c("l_linestatus").alias("sample"))
+    alt = c("l_returnflag") == "R"
+    counted = lines.agg(F.count_if(c("l_returnflag") == "N").alias("n_ref"), F.count_if(alt).alias("n_alt"), *[F.count_if(alt & (c("l_linenumber") == k)).alias(x) for x, k in _SIDES.items()])
+    called = genotype.genotype(counted).withColumns({f"gl_{i}": F.round(f"gl_{i}", 6) for i in range(3)})
+    return called.select("site", "sample", formats.sample_field(c("gt"), [c(f"gl_{i}") for i in range(3)], c("n_ref"), {x: c(x) for x in _SIDES}, c("n_alt")).alias("field"))

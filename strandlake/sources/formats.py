@@ -25,17 +25,19 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, description, seq): records are split at `>` by the reader, so long files need no single task a file."""
-    records = spark.read.option("lineSep", ">").text(path).filter(F.length(F.trim("value")) > 0)
+    """(name, description, seq): records are split at lines that begin with `>` by the reader, so long files need no single task a file."""
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).filter(F.length(F.trim("value")) > 0)
     head = F.substring_index("value", "\n", 1)
     body = F.regexp_replace(F.substr(F.col("value"), F.length(head) + 1, F.length("value")), r"\s", "")
     return records.select(F.substring_index(head, " ", 1).alias("name"), F.trim(F.substr(head, F.length(F.substring_index(head, " ", 1)) + 1, F.length(head))).alias("description"), body.alias("seq"))
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """Call lines with INFO as a map; flags map to an empty text."""
+    """Call lines with INFO as a map; flags map to an empty text, and a key that is repeated has its first value."""
     fields = F.split("value", "\t")
     pairs = F.transform(F.split(F.get(fields, F.lit(7)), ";"), lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.when(F.contains(x, F.lit("=")), F.substr(x, F.instr(x, "=") + 1, F.length(x))).otherwise("").alias("value")))
+    keys = F.transform(pairs, lambda x: x["key"])
+    pairs = F.filter(pairs, lambda x, i: F.array_position(keys, x["key"]) == i + 1)
     names = ("chrom", "pos", "id", "ref", "alt", "qual", "filter")
     lines = spark.read.text(path).filter(~F.col("value").startswith("#"))
     return lines.select(*[F.get(fields, F.lit(i)).alias(n) for i, n in enumerate(names)], F.map_from_entries(pairs).alias("info")).withColumn("pos", F.col("pos").cast("long"))
@@ -48,16 +50,33 @@ def write_vcf(calls: DataFrame, path: str) -> None:
     calls.orderBy(chromosome_rank(F.col("chrom")), "chrom", "pos", "id").select(line.alias("value")).write.text(path)
 
 
-# The header's lines of a call file.
+# Ids, numbers and types of a call file's fields, in the order of its header.
 VCF_HEADER = (
     "##fileformat=VCFv4.1",
-    '##INFO=<ID=IMPRECISE,Number=0,Type=Flag,Description="Imprecise structural variation">',
-    '##INFO=<ID=CIPOS,Number=2,Type=Integer,Description="Confidence interval around POS for imprecise variants">',
-    '##INFO=<ID=TYPE,Number=1,Type=String,Description="Type of the inserted element">',
-    '##INFO=<ID=MEILEN,Number=1,Type=Integer,Description="Length of the inserted element">',
+    '##ALT=<ID=INS:ME:AL,Description="Inserted ALU element">',
+    '##ALT=<ID=INS:ME:L1,Description="Inserted L1 element">',
+    '##ALT=<ID=INS:ME:SV,Description="Inserted SVA element">',
+    '##ALT=<ID=INS:ME:HE,Description="Inserted HERVK element">',
+    '##INFO=<ID=TYPE,Number=A,Type=String,Description="Family of the inserted element">',
+    '##INFO=<ID=IMPRECISE,Number=0,Type=Flag,Description="The place is not known to the base">',
+    '##INFO=<ID=STRAND,Number=1,Type=String,Description="Strand of the inserted element, / where it is unknown">',
+    '##INFO=<ID=CIPOS,Number=2,Type=Integer,Description="Interval around POS of an imprecise call">',
+    '##INFO=<ID=MEILEN,Number=1,Type=Integer,Description="Inserted length, -1 where it is unknown">',
+    '##INFO=<ID=RP5,Number=1,Type=Integer,Description="Pairs that support the 5-prime side">',
+    '##INFO=<ID=RP3,Number=1,Type=Integer,Description="Pairs that support the 3-prime side">',
+    '##INFO=<ID=SR5,Number=1,Type=Integer,Description="Split reads that support the 5-prime side">',
+    '##INFO=<ID=SR3,Number=1,Type=Integer,Description="Split reads that support the 3-prime side">',
     '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">',
     '##FORMAT=<ID=GL,Number=3,Type=Float,Description="Genotype likelihoods">',
+    '##FORMAT=<ID=RO,Number=1,Type=Integer,Description="Fragments of the reference allele">',
+    '##FORMAT=<ID=R5,Number=1,Type=Integer,Description="Pairs that support the 5-prime side">',
+    '##FORMAT=<ID=R3,Number=1,Type=Integer,Description="Pairs that support the 3-prime side">',
+    '##FORMAT=<ID=S5,Number=1,Type=Integer,Description="Split reads that support the 5-prime side">',
+    '##FORMAT=<ID=S3,Number=1,Type=Integer,Description="Split reads that support the 3-prime side">',
+    '##FORMAT=<ID=SF,Number=1,Type=Integer,Description="Supporting fragments that are short">',
 )
+#: Fixed value: the fields of a sample's column.
+SAMPLE_FORMAT = "GT:GL:RO:R5:R3:S5:S3:SF"
 
 
 def vcf_header(samples: list[str]) -> list[str]:
@@ -73,6 +92,35 @@ def insertion_line(chrom: Column, pos: Column, family: Column, interval: Column,
     return F.concat_ws("\t", chrom, (pos + 1).cast("string"), F.lit("."), F.lit("N"), F.concat(F.lit("<INS:ME:"), family, F.lit(">")), F.lit("."), F.lit("PASS"), info)
 
 
+def place_interval(pos5: tuple[Column, Column], pos3: tuple[Column, Column]) -> Column:
+    """(low, high) around the place of a call without split reads: from the 5' side's begin to the 3' side's end, as seen from the nearer of its inner ends."""
+    inner = F.least(pos5[1], pos3[0])
+    return F.struct((pos5[0] - inner).alias("low"), (pos3[1] - inner).alias("high"))
+
+
+def special_call(chrom: Column, pos: Column, base: Column, inserted: Column, family: Column, interval: Column, evidence: dict[str, Column], strand: Column, length: Column) -> Column:
+    """A call of an inserted element up to its INFO, its place counted from 1, after the reference's base there.
+
+    inserted are its bases, empty or null where they aren't known; evidence holds rp5, rp3, sr5 and sr3. Without split reads the call is imprecise and names the
+    interval. A null family names no TYPE, a null length is -1, a null strand /.
+    """
+    text = lambda x: x.cast("string")
+    known = F.coalesce(F.length(inserted), F.lit(0)) > 0
+    alt = F.when(known, F.concat(base, inserted)).otherwise(F.concat(F.lit("<INS:ME:"), family, F.lit(">")))
+    vague = F.when(evidence["sr5"] + evidence["sr3"] > 0, "").otherwise(F.concat(F.lit("IMPRECISE;CIPOS="), text(interval["low"]), F.lit(","), text(interval["high"]), F.lit(";")))
+    kind = F.when(family.isNull(), "").otherwise(F.concat(F.lit("TYPE="), family, F.lit(";")))
+    counts = [F.concat(F.lit(f"{name.upper()}="), text(evidence[name]), F.lit(";")) for name in ("rp5", "rp3", "sr5", "sr3")]
+    info = F.concat(vague, kind, *counts, F.lit("STRAND="), F.coalesce(strand, F.lit("/")), F.lit(";MEILEN="), text(F.coalesce(length, F.lit(-1))))
+    return F.concat_ws("\t", chrom, text(pos + 1), F.lit("."), base, alt, F.lit("."), F.lit("."), info)
+
+
+def sample_field(gt: Column, likelihoods: list[Column], reference: Column, evidence: dict[str, Column], support: Column) -> Column:
+    """A sample's column in the order of SAMPLE_FORMAT's values: pairs and split reads with the 3' side first, as call files list them, and last
+    the support beyond these."""
+    sides = [evidence[x] for x in ("rp3", "rp5", "sr3", "sr5")]
+    return genotype_fields(gt, likelihoods, [reference, *sides, support - sum(sides[1:], sides[0])])
+
+
 def genotype_fields(gt: Column, likelihoods: list[Column], counts: list[Column]) -> Column:
     """A sample's column: genotype, likelihoods of two decimals and counts; without a call the likelihoods are 0."""
     gl = F.when(gt == ".", "0.00,0.00,0.00").otherwise(F.concat_ws(",", *[F.format_string("%.2f", x) for x in likelihoods]))
