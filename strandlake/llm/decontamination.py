@@ -11,7 +11,7 @@ An item has one text: its last sentences with a third of its words or more are t
 takes all sentences; the rest is the question. Passages are as long as two of the longest items and start every longest item, so an item's text always lies whole in one.
 
 Items are indexed in blocks of bounded bytes, each broadcast alone, with document frequencies over all items. A pass over the
-texts searches HELD blocks, so a worker's memory doesn't grow with the benchmark.
+texts searches HELD blocks, so a worker's memory doesn't grow with the benchmark; the driver's does, by about its texts' size.
 
 Defined cases: null or empty texts and items match nothing; equal items are each reported; repeated rows are judged row by
 row; long texts are walked passage by passage; without items nothing matches; other columns are carried by `drop_leaks`.
@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch_path, table
 
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION_OVERLAP, ANSWER_OVERLAP, WHOLE_OVERLAP = 0.5, 0.5, 0.5, 0.5
@@ -197,24 +197,38 @@ def _passes(indexes: list[Broadcast]) -> list[list[Broadcast]]:
     return [indexes[at : at + HELD] for at in range(0, len(indexes), HELD)]
 
 
+def _stored_by_block(df: DataFrame, name: str) -> DataFrame:
+    """df in the shared folder, a folder for each block, so that reading one block reads no other."""
+    path = scratch_path(df.sparkSession, name)
+    df.repartition("block").write.partitionBy("block").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def item_blocks(benchmark: DataFrame) -> list[Broadcast]:
-    """The items in blocks of about INDEX_BYTES, each broadcast with what BM25 needs of all items."""
+    """The items in blocks of about INDEX_BYTES, each broadcast with what BM25 needs of all items.
+
+    Items are cut into words once and stored by block, as are the terms of each block with their frequencies over all items; the driver draws one block at
+    a time. Rows are dealt one by one, so repeated items don't meet in one block.
+    """
     spark = benchmark.sparkSession
     items = benchmark.select("item_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)) > 0)
-    words = F.pandas_udf(lambda texts: pd.Series([words_of(x) for x in texts]), "array<string>")
-    listed = items.select("item_id", "text", words("text").alias("words"))
-    size, n, mean = listed.agg(F.sum(F.octet_length("text")), F.count("*"), F.avg(F.size("words"))).first()
-    if not n:
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0]
+    if not size:
         return []
     n_blocks = math.ceil(size / INDEX_BYTES)
-    listed = listed.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
-    terms = listed.select("block", F.explode(F.array_distinct("words")).alias("term"))
-    frequencies = terms.groupBy("term").count()
+    words = F.pandas_udf(lambda texts: pd.Series([words_of(x) for x in texts]), "array<string>")
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text", F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int"))
+    listed = _stored_by_block(dealt.select("item_id", "text", words("text").alias("words"), "block"), "items")
+    n, mean = listed.agg(F.count("*"), F.avg(F.size("words"))).first()
+    terms = listed.select("block", F.explode(F.array_distinct("words")).alias("term")).groupBy("block", "term").count()
+    frequencies = terms.groupBy("term").agg(F.sum("count").alias("n"))
+    found = _stored_by_block(terms.join(frequencies, "term").select("term", "n", "block"), "item-terms")
     out = []
     for block in range(n_blocks):
         own = [(r.item_id, r.text) for r in listed.filter(F.col("block") == block).select("item_id", "text").orderBy("item_id", "text").toLocalIterator()]
-        df = dict(map(tuple, terms.filter(F.col("block") == block).select("term").distinct().join(frequencies, "term").toLocalIterator()))
-        out.append(spark.sparkContext.broadcast((own, df, n, mean)))
+        df = dict(map(tuple, found.filter(F.col("block") == block).select("term", "n").toLocalIterator()))
+        if own:
+            out.append(spark.sparkContext.broadcast((own, df, n, mean)))
     return out
 
 
