@@ -16,7 +16,7 @@ FIELDS = "score long, ref_begin long, ref_end long, read_begin long, read_end lo
 _NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 _NONE = -(1 << 30)
 #: Cells of a row over all pairs of a batch, and cells of a block whose directions are kept whole.
-BATCH_CELLS, BLOCK_CELLS = 1 << 18, 1 << 20
+BATCH_CELLS, BLOCK_CELLS = 1 << 16, 1 << 20
 
 
 @dataclass(frozen=True)

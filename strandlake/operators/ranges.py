@@ -27,21 +27,38 @@ def point_in_range(points: DataFrame, ranges: DataFrame, key: str, point: str, l
     return joined if how != "inner" else joined.drop("_key", "_bin").withColumnsRenamed({"_low": low, "_high": high})
 
 
-def islands(intervals: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Unions of intervals that overlap or touch: keys, island start and end, members."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = intervals.withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1))
-    numbered = opened.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "_island").agg(F.min(start).alias("island_start"), F.max(end).alias("island_end"), F.count("*").alias("members")).drop("_island")
-
-
-def gap_merge(points: DataFrame, keys: list[str], point: str, gap: int) -> DataFrame:
-    """Runs of points with less than gap between neighbours: keys, first, last, members."""
-    order = Window.partitionBy(*keys).orderBy(point)
-    opened = points.withColumn("_new", F.when(F.col(point) - F.lag(point).over(order) < gap, 0).otherwise(1))
-    numbered = opened.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "_run").agg(F.min(point).alias("first"), F.max(point).alias("last"), F.count("*").alias("members")).drop("_run")
+def _runs(rows: DataFrame, keys: list[str], at: str, reach: Column, opens, tile: int) -> DataFrame:
+    """rows with `_run`, the place where their run began: a row opens one where opens(place, farthest reach before it) holds.
+
+    Windows run inside tiles of so many places; what goes over to later tiles, the farthest reach and the last opening, is one row a tile.
+    """
+    tiled = rows.withColumns({"_far": reach, "_tile": F.floor(F.col(at) / tile)})
+    own = Window.partitionBy(*keys, "_tile").orderBy(at, "_far")
+    so_far = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(df: DataFrame, column: str, name: str) -> DataFrame:
+        ends = df.groupBy(*keys, "_tile").agg(F.max(column).alias("_end"))
+        return df.join(ends.select(*keys, "_tile", F.max("_end").over(so_far).alias(name)), [*keys, "_tile"])
+
+    before = F.greatest(F.max("_far").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("_earlier"))
+    opened = carried(tiled, "_far", "_earlier").withColumn("_reach", before)
+    opened = opened.withColumn("_first", F.when(F.col("_reach").isNull() | opens(F.col(at), F.col("_reach")), F.col(at))).drop("_earlier", "_reach")
+    told = carried(materialize(opened, "runs"), "_first", "_carried")
+    run = F.coalesce(F.max("_first").over(own.rowsBetween(Window.unboundedPreceding, 0)), F.col("_carried"))
+    return told.withColumn("_run", run).drop("_carried", "_first", "_far", "_tile")
+
+
+def islands(intervals: DataFrame, keys: list[str], start: str, end: str, tile: int = 1 << 32) -> DataFrame:
+    """Unions of intervals that overlap or touch: keys, island start and end, members. Intervals without a start or end, or a key, are left out."""
+    whole = intervals.dropna(subset=[*keys, start, end])
+    found = _runs(whole, keys, start, F.col(end), lambda at, reach: at > reach, tile)
+    return found.groupBy(*keys, "_run").agg(F.min(start).alias("island_start"), F.max(end).alias("island_end"), F.count("*").alias("members")).drop("_run")
+
+
+def gap_merge(points: DataFrame, keys: list[str], point: str, gap: int, tile: int = 1 << 32) -> DataFrame:
+    """Runs of points with less than gap between neighbours: keys, first, last, members. Points without a place or key are left out."""
+    found = _runs(points.dropna(subset=[*keys, point]), keys, point, F.col(point), lambda at, reach: at - reach >= gap, tile)
+    return found.groupBy(*keys, "_run").agg(F.min(point).alias("first"), F.max(point).alias("last"), F.count("*").alias("members")).drop("_run")
 
 
 def sweep_merge(points: DataFrame, keys: list[str], point: str, reach: int) -> DataFrame:

@@ -71,3 +71,24 @@ def test_place_interval(spark):
     df = spark.createDataFrame([(10, 20, 30, 40), (10, 35, 30, 40)], "a int, b int, c int, d int")
     got = df.select(formats.place_interval((F.col("a"), F.col("b")), (F.col("c"), F.col("d"))).alias("i")).select("i.*").collect()
     assert [tuple(r) for r in got] == [(-10, 20), (-20, 10)]
+
+
+def test_islands_and_gaps_cross_tiles(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice("ab"), a := rnd.randint(-40, 300), a + rnd.choice([0, 1, 4, 4, 60])) for _ in range(90)] + [(None, 1, 2), ("a", None, 3), ("c", 5, None), ("d", 7, 9)]
+    df = spark.createDataFrame(rows, "k string, a long, b long")
+    islands, runs = [], []
+    for key in "abd":
+        mine = sorted((a, b) for k, a, b in rows if k == key and a is not None)
+        for a, b in mine:
+            if islands and islands[-1][0] == key and a <= islands[-1][2]:
+                islands[-1] = (key, islands[-1][1], max(b, islands[-1][2]), islands[-1][3] + 1)
+            else:
+                islands.append((key, a, b, 1))
+            if runs and runs[-1][0] == key and a - runs[-1][2] < 3:
+                runs[-1] = (key, runs[-1][1], a, runs[-1][3] + 1)
+            else:
+                runs.append((key, a, a, 1))
+    for tile in (5, 50, 1 << 32):
+        assert sorted(map(tuple, ranges.islands(df, ["k"], "a", "b", tile).collect())) == sorted(islands)
+        assert sorted(map(tuple, ranges.gap_merge(df.filter("k <> 'c'"), ["k"], "a", 3, tile).collect())) == sorted(runs)
