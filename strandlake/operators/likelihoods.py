@@ -166,3 +166,86 @@ def site_calls(sites: DataFrame, keys: list[str], theta: float = THETA) -> DataF
     best = F.array_position("joint", F.array_max("joint")) - 1
     told = {"p_variant": 1 - none, "qual": F.least(F.lit(999.0), F.when(none > 0, -10 * F.log10(none)).otherwise(999.0)), "mean_count": mean, "best_count": best}
     return found.select(*keys, *[F.when(some, x).alias(name) for name, x in told.items()])
+
+
+def _allele_frequency(p: np.ndarray) -> np.ndarray:
+    """The alternative allele's frequency of each site under random mating, by expectation maximization; p holds (sites, samples, 3)."""
+    f = np.full(len(p), 0.5)
+    dose = np.array([0.0, 1.0, 2.0])
+    for _ in range(ROUNDS):
+        w = p * _mating(f)[:, None, :]
+        new = (w @ dose / w.sum(axis=2)).mean(axis=1) / 2
+        rest = np.abs(new - f).max(initial=0) < REST
+        f = new
+        if rest:
+            break
+    return f
+
+
+def _genotype_frequencies(p: np.ndarray) -> np.ndarray:
+    """The three genotypes' frequencies of each site, free of any mating rule."""
+    g = np.full((len(p), 3), 1 / 3)
+    for _ in range(ROUNDS):
+        w = p * g[:, None, :]
+        new = (w / w.sum(axis=2, keepdims=True)).mean(axis=1)
+        rest = np.abs(new - g).max(initial=0) < REST
+        g = new
+        if rest:
+            break
+    return g
+
+
+def _mating(f: np.ndarray) -> np.ndarray:
+    return np.stack([(1 - f) ** 2, 2 * f * (1 - f), f**2], axis=1)
+
+
+def _log_likelihood(p: np.ndarray, g: np.ndarray) -> np.ndarray:
+    return np.log((p * g[:, None, :]).sum(axis=2)).sum(axis=1)
+
+
+def _chance(ratio: float, degrees: int) -> float:
+    """Of a likelihood ratio as large, by the chi-squared distribution of one or two degrees: both have a closed form."""
+    x = max(0.0, 2 * ratio)
+    return math.erfc(math.sqrt(x / 2)) if degrees == 1 else math.exp(-x / 2)
+
+
+TESTS = "frequency double, g0 double, g1 double, g2 double, hwe_p double, frequency_1 double, frequency_2 double, allele_p double, genotype_p double"
+
+
+def tests_of(p: np.ndarray, first: int) -> list[tuple]:
+    """TESTS of each site from likelihoods (sites, samples, 3), the first so many samples being one group, the others the second; without two groups
+    what compares them is None."""
+    f, g = _allele_frequency(p), _genotype_frequencies(p)
+    whole, free = _log_likelihood(p, _mating(f)), _log_likelihood(p, g)
+    out = [[float(f[i]), *map(float, g[i]), _chance(free[i] - whole[i], 1), None, None, None, None] for i in range(len(p))]
+    if 0 < first < p.shape[1]:
+        parts = p[:, :first], p[:, first:]
+        fs, gs = [_allele_frequency(x) for x in parts], [_genotype_frequencies(x) for x in parts]
+        apart = sum(_log_likelihood(x, _mating(y)) for x, y in zip(parts, fs, strict=True))
+        freely = sum(_log_likelihood(x, y) for x, y in zip(parts, gs, strict=True))
+        for i, row in enumerate(out):
+            row[5:] = [float(fs[0][i]), float(fs[1][i]), _chance(apart[i] - whole[i], 1), _chance(freely[i] - free[i], 2)]
+    return [tuple(row) for row in out]
+
+
+def site_tests(sites: DataFrame, keys: list[str], first: int) -> DataFrame:
+    """(keys, TESTS): allele and genotype frequencies, whether genotypes fit random mating, and whether two groups of samples differ in alleles or genotypes.
+
+    gl holds three likelihoods a sample, samples in one order. Sites without samples, or with one for which nothing is likely, have nulls.
+    """
+
+    def told(gl: pd.Series) -> pd.DataFrame:
+        names = [x.split()[0] for x in TESTS.split(", ")]
+        rows: list[tuple] = [(None,) * len(names)] * len(gl)
+        own = [np.zeros((0, 3)) if x is None else np.asarray(x, float).reshape(-1, 3) for x in gl]
+        sizes = [len(x) if len(x) and (x.sum(axis=1) > 0).all() else 0 for x in own]
+        for n in set(sizes) - {0}:
+            at = [i for i, s in enumerate(sizes) if s == n]
+            for part in np.array_split(at, -(-len(at) * n // 300_000)):
+                for i, row in zip(part, tests_of(np.stack([own[i] for i in part]), first), strict=True):
+                    rows[i] = row
+        return pd.DataFrame(rows, columns=names).astype("float64")
+
+    found = sites.withColumn("t", F.pandas_udf(told, TESTS)("gl"))
+    nan = lambda x: F.when(~F.isnan(x), x)
+    return found.select(*keys, *[nan(c(f"t.{x.split()[0]}")).alias(x.split()[0]) for x in TESTS.split(", ")])

@@ -57,6 +57,13 @@ def x04_site_calls(spark, sf_dir):
     return found.select("pos", F.round("p_variant", 6).alias("p_variant"), F.round("qual", 3).alias("qual"), F.round("mean_count", 5).alias("mean_count"), "best_count")
 
 
+@query()
+def x02_site_tests(spark, sf_dir):
+    flat = F.flatten(F.transform("gl", lambda p: F.array(p["g0"], p["g1"], p["g2"])))
+    found = likelihoods.site_tests(_likelihoods(spark, sf_dir).select("pos", flat.alias("gl")), ["pos"], 3)
+    return found.select("pos", *[F.round(x, 5).alias(x) for x in found.columns[1:]])
+
+
 _EVENTS = f"""iv AS ({INTERVALS}), s AS (SELECT family, event_id AS split_id, start_us AS pos FROM iv WHERE sample_id % 2 = 0),
 r AS (SELECT family, event_id AS pair_id, start_us AS begins, start_us AS pos3, end_us AS pos5, (1 + sample_id % 4) * {600 * SECOND} AS reach FROM iv WHERE sample_id % 2 = 1),
 m AS (SELECT split_id, pair_id, least(abs(pos - pos3), abs(pos - pos5)) AS distance FROM s JOIN r USING (family) WHERE least(abs(pos - pos3), abs(pos - pos5)) <= reach

@@ -167,3 +167,50 @@ def test_supported_and_unmasked_calls(spark):
     for width in (8, 4096):
         assert {r.id for r in callset.unmasked_calls(found, m, "id", width).collect()} == off
     assert callset.unmasked_calls(found, m.filter(F.lit(False)), "id").count() == len(kept)
+
+
+def plain_frequencies(p):
+    """(frequency, genotype frequencies) of one site, sample by sample, as far as fifty rounds bring them."""
+    f, g = 0.5, [1 / 3] * 3
+    for _ in range(50):
+        q = [(1 - f) ** 2, 2 * f * (1 - f), f * f]
+        new = sum((x[1] * q[1] + 2 * x[2] * q[2]) / sum(a * b for a, b in zip(x, q, strict=True)) for x in p) / 2 / len(p)
+        rest, f = abs(new - f) < 1e-5, new
+        if rest:
+            break
+    for _ in range(50):
+        new = [sum(x[k] * g[k] / sum(a * b for a, b in zip(x, g, strict=True)) for x in p) / len(p) for k in range(3)]
+        rest, g = max(abs(a - b) for a, b in zip(new, g, strict=True)) < 1e-5, new
+        if rest:
+            break
+    return f, g
+
+
+def test_site_tests(spark):
+    rnd = random.Random(7)
+    rows = []
+    for k in range(30):
+        rate, odd = rnd.random(), k % 3 == 0
+        gl = []
+        for i in range(14):
+            high = min(1, rate + 0.6) if odd and i < 6 else rate
+            g = rnd.choice([0, 2]) if k % 5 == 4 else (rnd.random() < high) + (rnd.random() < high)
+            gl.append([1.0 if j == g else rnd.uniform(0.001, 0.1) for j in range(3)])
+        rows.append((k, [x for s in gl for x in s]))
+    df = spark.createDataFrame([*rows, (90, []), (91, None), (92, [0.0] * 3)], "k int, gl array<double>")
+    got = {r.k: r for r in likelihoods.site_tests(df, ["k"], 6).collect()}
+    assert all(got[k].frequency is None for k in (90, 91, 92))
+    like = lambda p, q: sum(math.log(sum(a * b for a, b in zip(x, q, strict=True))) for x in p)
+    mating = lambda f: [(1 - f) ** 2, 2 * f * (1 - f), f * f]
+    # sites of one batch rest together, so a site may have gone a few rounds further than alone
+    for k, flat in rows:
+        p = [flat[i : i + 3] for i in range(0, 42, 3)]
+        f, g = plain_frequencies(p)
+        (f1, g1), (f2, g2) = plain_frequencies(p[:6]), plain_frequencies(p[6:])
+        r = got[k]
+        assert (r.frequency, r.frequency_1, r.frequency_2) == pytest.approx((f, f1, f2), abs=1e-3) and [r.g0, r.g1, r.g2] == pytest.approx(g, abs=1e-3)
+        one = lambda x: math.erfc(math.sqrt(max(0, x)))
+        assert r.hwe_p == pytest.approx(one(like(p, g) - like(p, mating(f))), abs=2e-3)
+        assert r.allele_p == pytest.approx(one(like(p[:6], mating(f1)) + like(p[6:], mating(f2)) - like(p, mating(f))), abs=2e-3)
+        assert r.genotype_p == pytest.approx(math.exp(-max(0, like(p[:6], g1) + like(p[6:], g2) - like(p, g))), abs=2e-3)
+    assert min(r.hwe_p for k, r in got.items() if k % 5 == 4 and k < 90) < 0.01 and all(r.frequency_1 is None for r in likelihoods.site_tests(df, ["k"], 0).collect())
