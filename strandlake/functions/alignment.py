@@ -154,3 +154,21 @@ def difference_tags(seq: Column, ref: Column, cigar: Column) -> Column:
     tags = lambda x: F.struct(x["md"].alias("md"), (x["substituted"] + length_of(cigar, "I")).alias("nm"))
     given = seq.isNotNull() & ref.isNotNull() & cigar.isNotNull()
     return F.when(given & (F.size(parts) > 0), F.get(F.transform(F.array(found), tags), F.lit(0)))
+
+
+def soft_clips(pos: Column, cigar: Column, padded: bool = False) -> Column:
+    """(size, read, genome) of each clip in the read's order: its bases, and the places of read and reference where it begins; a clip that leads the CIGAR
+    names the read's place behind it, so that both places speak of one base. Deletions and skips move the read's place along as matches do; insertions move the
+    reference's only if it is padded."""
+    kind = "array<struct<size:int,read:bigint,genome:bigint>>"
+    start = F.struct(F.lit(0).cast("bigint").alias("read"), pos.cast("bigint").alias("genome"), F.lit(True).alias("first"), F.array().cast(kind).alias("clips"))
+
+    def step(s: Column, x: Column) -> Column:
+        clip, along, inserted = x["op"] == "S", x["op"].isin("M", "D", "N", "=", "X"), x["op"] == "I"
+        read = s["read"] + F.when(along | inserted | (clip & s["first"]), x["len"]).otherwise(0)
+        genome = s["genome"] + F.when(along | (inserted & F.lit(padded)), x["len"]).otherwise(0)
+        found = F.struct(x["len"].alias("size"), read.alias("read"), genome.alias("genome"))
+        clips = F.when(clip, F.concat(s["clips"], F.array(found).cast(kind))).otherwise(s["clips"])
+        return F.struct(read.alias("read"), genome.alias("genome"), F.lit(False).alias("first"), clips.alias("clips"))
+
+    return F.aggregate(cigar_ops(cigar), start, step, lambda s: s["clips"])

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import alignment as A
+from strandlake.functions import families
 from strandlake.operators import records as R
 
 from .catalogue import query
 from .pair_queries import _P
-from .views import pairs
+from .views import pairs, table
 
 c = F.col
 #: Names, bases and qualities of pairs, in SQL that both engines read alike.
@@ -75,3 +76,32 @@ def b09_mark_proper(spark, sf_dir):
     sure = own.filter("map_qual >= 1 AND mate_qual >= 1").select("read_group", "frag_len", A.orientation(c("flag")).alias("model"))
     marked = R.mark_proper(own, R.library_models(sure, ambiguous=5.0), "name", halves=1)
     return marked.groupBy("read_group").agg(F.count("*").alias("n"), F.count_if(A.has(c("flag"), A.PROPER)).alias("proper"))
+
+
+@query(f"""WITH {_P}, k AS (SELECT name, line, lead_clip AS size, lead_clip AS read, pos AS genome FROM p WHERE lead_clip > 0
+  UNION ALL SELECT name, line, trail_clip, lead_clip + frag_len + n_del + 2 + 7, pos + frag_len + n_del + 7 FROM p WHERE trail_clip > 0)
+SELECT name, line, size::INTEGER AS size, read::BIGINT AS read, genome::BIGINT AS genome FROM k""")
+def p07_soft_clips(spark, sf_dir):
+    return pairs(spark, sf_dir).select("name", "line", F.explode(A.soft_clips(c("pos"), c("cigar"))).alias("k")).select("name", "line", "k.*")
+
+
+_WHO = {"child": "(l_partkey * (k + 3) + l_suppkey * k * k) % 50", "father": "(l_orderkey * (k + 2) + l_linenumber) % 60", "mother": "(l_partkey + l_orderkey * (k * k + 1)) % 40"}
+_TRIOS = ", ".join(f"({k}, {f}, {m})" for k, f, m in families.trios())
+_NAMES = "[" + ", ".join(f"'{g}'" for g in families.GENOTYPES) + "]"
+_FREE = " || ',' || ".join(f"{_NAMES}[list_position({who}, list_min({who}))]" for who in _WHO)
+
+
+@query(f"""WITH g AS (SELECT l_orderkey AS id, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp, {", ".join(f"list_transform(range(0, 10), lambda k: {e}) AS {who}" for who, e in _WHO.items())} FROM lineitem),
+d AS (SELECT DISTINCT child, father, mother FROM g), t(c, f, m) AS (VALUES {_TRIOS}),
+b AS (SELECT child, father, mother, min(child[c + 1] + father[f + 1] + mother[m + 1]) AS cost, arg_min((c, f, m), (child[c + 1] + father[f + 1] + mother[m + 1], m, f, c)) AS best FROM d, t GROUP BY ALL)
+SELECT id, line, part, supp, (cost - list_min(child) - list_min(father) - list_min(mother))::BIGINT AS llr, {_NAMES}[best[1] + 1] || ',' || {_NAMES}[best[2] + 1] || ',' || {_NAMES}[best[3] + 1] AS called, {_FREE} AS free,
+  (list_min(list_transform(list_zip(father, mother), lambda x: x[1] + x[2])) - list_min(father) - list_min(mother))::BIGINT AS pair, list_min([list_sort(x)[2] - list_sort(x)[1] for x in [child, father, mother]])::BIGINT AS difference
+FROM g JOIN b USING (child, father, mother)""")
+def x06_trio_calls(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("id"), c("l_linenumber").alias("line"), c("l_partkey").alias("part"), c("l_suppkey").alias("supp"), *[F.expr(f"transform(sequence(0, 9), k -> {e})").alias(who) for who, e in _WHO.items()])
+    trio = [c(who) for who in _WHO]
+    called = lines.withColumn("t", families.trio_call(*trio))
+    return called.select(
+        "id", "line", "part", "supp", "t.llr", F.concat_ws(",", "t.child", "t.father", "t.mother").alias("called"), "t.free", families.pair_call(c("father"), c("mother")).alias("pair"),
+        families.least_difference(F.array(*trio)).alias("difference"),
+    )

@@ -71,3 +71,30 @@ def test_proper_pairs(spark):
 
 def test_marked_pairs_of_the_query(spark):
     assert sum(r.proper for r in catalogue.QUERIES["b09_mark_proper"](spark, "/root/testdata/sf0.001").collect()) > 0
+
+
+def test_trios(spark):
+    import random
+
+    from strandlake.functions import families
+
+    rnd = random.Random(3)
+    names = families.GENOTYPES
+    fits = lambda c, f, m: any(sorted(x + y) == sorted(c) for x in f for y in m)
+    assert {(names[k], names[f], names[m]) for k, f, m in families.trios()} == {(c, f, m) for c in names for f in names for m in names if fits(c, f, m)}
+    assert all(len(set(names[f])) == 1 and len(set(names[k])) == 1 and set(names[k]) & set(names[m]) for k, f, m in families.trios(True, True))
+    rows = [(k, *([rnd.choice([0, 3, 20, rnd.randint(0, 90)]) for _ in range(10)] for _ in range(3))) for k in range(60)]
+    df = spark.createDataFrame(rows, "k int, c array<int>, f array<int>, m array<int>")
+    got = {r.k: r for r in df.select("k", families.trio_call(F.col("c"), F.col("f"), F.col("m")).alias("t"), families.pair_call(F.col("c"), F.col("f")).alias("p"), families.least_difference(F.array("c", "f", "m")).alias("d")).select("k", "t.*", "p", "d").collect()}
+    for k, c, f, m in rows:
+        cost, *_, best = min((c[x] + f[y] + m[z], z, y, x, (names[x], names[y], names[z])) for x, y, z in families.trios())
+        r = got[k]
+        assert (r.llr, (r["child"], r.father, r.mother)) == (cost - min(c) - min(f) - min(m), best)
+        assert r.free == ",".join(names[x.index(min(x))] for x in (c, f, m)) and r.p == min(x + y for x, y in zip(c, f, strict=True)) - min(c) - min(f)
+        assert r.d == min(sorted(x)[1] - sorted(x)[0] for x in (c, f, m))
+
+
+def test_soft_clips(spark):
+    df = spark.createDataFrame([("5S10M2I3D4M6S",), ("2H3S4M",), ("4M",), (None,)], "c string")
+    tell = lambda padded: [None if r.k is None else [tuple(x) for x in r.k] for r in df.select(A.soft_clips(F.lit(100), F.col("c"), padded).alias("k")).collect()]
+    assert tell(False) == [[(5, 5, 100), (6, 24, 117)], [(3, 0, 100)], [], None] and tell(True)[0] == [(5, 5, 100), (6, 24, 119)]
