@@ -19,8 +19,8 @@ _OWN = lambda j, k: f"- 4.343::DOUBLE * (lgamma(n{j} + n{k} + 1) - lgamma(n{k} +
 _GL = ", ".join(f"""round(greatest(0, {_OTHERS(j, k)} {_OWN(j, k) if j != k else ''}), 3) AS "gl_{'ACGT'[j]}{'ACGT'[k]}\"""" for j, k in likelihoods.PAIRS)
 
 
-@query(f"""WITH b AS (SELECT l_suppkey AS site, l_partkey % 4 AS b, (l_linestatus = 'O')::INT AS s, l_quantity::INT AS q FROM lineitem),
-r AS (SELECT site, b, greatest(q, 4) AS q, row_number() OVER (PARTITION BY site, b, s ORDER BY q DESC) - 1 AS w, row_number() OVER (PARTITION BY site, b ORDER BY q DESC, s DESC) - 1 AS k, count(*) OVER (PARTITION BY site) AS n FROM b),
+@query(f"""WITH b AS (SELECT l_suppkey AS site, l_partkey % 4 AS b, (l_linestatus = 'O')::INT AS s, l_quantity::INT AS q, row_number() OVER () AS id FROM lineitem),
+r AS (SELECT site, b, greatest(q, 4) AS q, row_number() OVER (PARTITION BY site, b, s ORDER BY q DESC, id) - 1 AS w, row_number() OVER (PARTITION BY site, b ORDER BY q DESC, s DESC, id) - 1 AS k, count(*) OVER (PARTITION BY site) AS n FROM b),
 t AS (SELECT DISTINCT n, q, k FROM r),
 o AS (SELECT n, q, k, ln(pow(10, -q / 10.0::DOUBLE) / (1 - pow(10, -q / 10.0::DOUBLE))) AS odds FROM t),
 x AS (SELECT n, q, k, list_sum(list_transform(range(k + 1, n + 1), lambda i: exp(lgamma(k + 1) + lgamma(n - k + 1) - lgamma(i + 1) - lgamma(n - i + 1) + (i - k) * odds))) AS beyond FROM o),
