@@ -41,11 +41,12 @@ def v06_pileup_columns(spark, sf_dir):
     return pileup.pileup(_records(spark, sf_dir), ["name", "line"])
 
 
-@query(f"""WITH {_HITS}, o AS (SELECT query, begin, length, row_number() OVER (PARTITION BY query ORDER BY begin, length) AS k FROM regions),
+@query(f"""WITH {_HITS}, o AS (SELECT ref AS query, ref_begin AS begin, length, row_number() OVER (PARTITION BY ref ORDER BY ref_begin, length) AS k FROM regions),
 m AS (SELECT a.query, a.begin, a.length, b.begin AS other_begin, b.length AS other_length, least(a.length + b.length, b.begin + b.length - a.begin) AS cover, a.k, b.k AS other FROM o a JOIN o b ON a.query = b.query AND a.k < b.k)
 SELECT query, begin, length, other_begin, other_length, cover FROM m QUALIFY row_number() OVER (PARTITION BY query ORDER BY cover DESC, k, other DESC) = 1""")
 def c11_cover_pairs(spark, sf_dir):
-    return annotation.best_cover_pairs(_regions(spark, sf_dir))
+    # of each item, the two regions that documents share with it and that cover most of it
+    return annotation.best_cover_pairs(_regions(spark, sf_dir).select(c("ref").alias("query"), c("ref_begin").alias("begin"), "length"))
 
 
 @query()
