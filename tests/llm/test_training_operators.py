@@ -27,7 +27,7 @@ def odd(spark):
 @pytest.mark.parametrize("name", queries.ORACLES)
 def test_equals_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, DATA).toPandas(), duck.sql(queries.ORACLES[name]).df()
     columns = sorted(got.columns)
