@@ -121,9 +121,24 @@ def sample_field(gt: Column, likelihoods: list[Column], reference: Column, evide
     return genotype_fields(gt, likelihoods, [reference, *sides, support - sum(sides[1:], sides[0])])
 
 
+def two_decimals(x: Column) -> Column:
+    """A double to two decimals as C prints it: rounded by its exact binary value, a tie to the even digit. Java rounds its shortest decimal, so 2.675 (a little
+    less in binary) would become 2.68."""
+    size = F.abs(x)
+    whole = F.floor(size)
+    # what is behind the point is a whole number of 2 ** -60 (smaller bits decide nothing), held in halves of 30 bits so that a hundredfold fits
+    part, low = ((size - whole) * float(1 << 60)).cast("long"), (1 << 30) - 1
+    right = part.bitwiseAND(F.lit(low)) * 100
+    left = F.shiftright(part, 30) * 100 + F.shiftright(right, 30)
+    cents, rest = F.shiftright(left, 30), left.bitwiseAND(F.lit(low)) * (1 << 30) + right.bitwiseAND(F.lit(low))
+    up = (rest > 1 << 59) | ((rest == 1 << 59) & (cents % 2 == 1))
+    shown = (whole * 100 + cents + F.when(up, 1).otherwise(0)) / 100.0
+    return F.format_string("%.2f", F.when(size >= 1e13, x).when(x < 0, -shown).otherwise(shown))
+
+
 def genotype_fields(gt: Column, likelihoods: list[Column], counts: list[Column]) -> Column:
     """A sample's column: genotype, likelihoods of two decimals and counts; without a call the likelihoods are 0."""
-    gl = F.when(gt == ".", "0.00,0.00,0.00").otherwise(F.concat_ws(",", *[F.format_string("%.2f", x) for x in likelihoods]))
+    gl = F.when(gt == ".", "0.00,0.00,0.00").otherwise(F.concat_ws(",", *[two_decimals(x) for x in likelihoods]))
     return F.concat_ws(":", gt, gl, *[x.cast("string") for x in counts])
 
 
