@@ -1,11 +1,18 @@
-"""Column functions over nucleotide text: all built-in expressions, so they stay inside code generation."""
+"""Functions over nucleotide text: columns are built-in expressions, so they stay inside code generation; the k-mers of whole tables are cut in Arrow batches."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BASES = "ACGT"
+#: Places of a batch's joined texts whose k-mers are held at once.
+WINDOW = 1 << 19
 
 
 def reverse_complement(seq: Column) -> Column:
@@ -30,7 +37,8 @@ def entropy(seq: Column) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """(position from 0, k-mer) for every k-mer of A, C, G and T alone."""
+    """(position from 0, k-mer) for every k-mer of A, C, G and T alone, for short texts: each is found from the text's beginning, so work grows with the
+    square of the length. `kmer_rows` and `kmer_counts` take any."""
     last = F.length(seq) - k
     made = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("pos"), F.substr(seq, i + 1, F.lit(k)).alias("kmer")))
     kept = F.filter(made, lambda x: x["kmer"].rlike("^[ACGT]+$"))
@@ -42,6 +50,56 @@ def two_bit_key(kmer: Column) -> Column:
     return F.when(kmer.rlike("^[ACGT]{1,31}$"), F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("long"))
 
 
+_DIGITS = np.full(256, 4, np.uint8)
+_DIGITS[np.frombuffer(BASES.encode(), np.uint8)] = range(4)
+
+
+def _windows(texts: list[str | None], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(index of the text, position, two_bit_key) of the k-mers of texts, a window of their joined letters at a time."""
+    joined = _DIGITS[np.frombuffer("-".join(x or "" for x in texts).encode("ascii", "replace"), np.uint8)]
+    starts = np.cumsum([0, *(len(x or "") + 1 for x in texts)])
+    for low in range(0, len(joined) - k + 1, WINDOW):
+        part = joined[low : low + WINDOW + k - 1]
+        n = len(part) - k + 1
+        wrong = np.concatenate([[0], np.cumsum(part > 3)])
+        at = np.flatnonzero(wrong[k:] == wrong[:-k])
+        keys = np.zeros(n, np.int64)
+        for j in range(k):
+            keys = keys << 2 | part[j : j + n]
+        text = np.searchsorted(starts, at + low, "right") - 1
+        yield text, (at + low - starts[text]).astype(np.int32), keys[at]
+
+
+def kmer_rows(rows: DataFrame, seq: str, k: int) -> DataFrame:
+    """The other columns of rows with `pos`, from 0, and `kmer`, its two_bit_key, for every k-mer of A, C, G and T alone of seq; k is 31 at most.
+
+    Work grows with the texts' length; a task holds a batch's texts and one window of k-mers.
+    """
+    kept = [x for x in rows.columns if x != seq]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, pos, key in _windows(batch.column(0).to_pylist(), k):
+                own = [x.take(pa.array(text)) for x in batch.columns[1:]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(pos), pa.array(key)], names=[*kept, "pos", "kmer"])
+
+    schema = T.StructType([*(rows.schema[x] for x in kept), T.StructField("pos", T.IntegerType()), T.StructField("kmer", T.LongType())])
+    return rows.select(seq, *kept).mapInArrow(cut, schema)
+
+
+def kmer_counts(rows: DataFrame, seq: str, k: int) -> DataFrame:
+    """(kmer, n): how often each two_bit_key occurs in seq over all rows; each window is counted before it is shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, key in _windows(batch.column(0).to_pylist(), k):
+                n = np.bincount(key) if 4**k <= WINDOW else None
+                found, n = (np.flatnonzero(n), n[n > 0]) if n is not None else np.unique(key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["kmer", "n"])
+
+    return rows.select(seq).mapInArrow(count, "kmer long, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
+
+
 def family_name(name: Column) -> Column:
     """The text between the first underscore and the next full stop; null if there is no underscore."""
     found = F.regexp_extract(name, r"^[^_]*_([^.]*)", 1)

@@ -70,6 +70,4 @@ _KEY = " + ".join(f"(instr('ACGT', substr(seq, i + {j}, 1)) - 1) * {4 ** (6 - j)
 
 @query(f"SELECT key::BIGINT AS key, count(*) AS n FROM (SELECT {_KEY} AS key FROM (SELECT seq, unnest(range(1, length(seq) - 5)) AS i FROM ({SEQUENCES}))) GROUP BY key")
 def p25_two_bit_keys(spark, sf_dir):
-    kmers = sequences(spark, sf_dir).select(F.explode(S.kmers(c("seq"), 7)).alias("k")).select("k.kmer")
-    # k-mers are counted as they are, at most 4 ** 7 of them, and each gets its key once
-    return kmers.groupBy("kmer").agg(F.count("*").alias("n")).select(S.two_bit_key(c("kmer")).alias("key"), "n")
+    return S.kmer_counts(sequences(spark, sf_dir), "seq", 7).select(c("kmer").alias("key"), "n")
