@@ -96,9 +96,9 @@ def p16_family(spark, sf_dir):
 d AS (SELECT doc_id, substr(seq, i + 1, 12) AS kmer FROM (SELECT doc_id, seq, unnest(range(0, length(seq) - 11)) AS i FROM ({SEQUENCES})))
 SELECT item_id, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM d JOIN (SELECT DISTINCT item_id, kmer FROM k) USING (kmer) GROUP BY item_id""")
 def j12_kmer_seeds(spark, sf_dir):
-    bench = table(spark, sf_dir, "benchmark")
-    seeds = bench.select("item_id", F.explode(S.kmers(bases(F.col("text")), 12)).alias("k")).select("item_id", "k.kmer").distinct()
-    reads = sequences(spark, sf_dir).select("doc_id", F.explode(S.kmers(F.col("seq"), 12)).alias("k")).select("doc_id", "k.kmer")
+    bench = table(spark, sf_dir, "benchmark").select("item_id", bases(F.col("text")).alias("seq"))
+    seeds = S.kmer_rows(bench, "seq", 12).select("item_id", "kmer").distinct()
+    reads = S.kmer_rows(sequences(spark, sf_dir), "seq", 12).select("doc_id", "kmer")
     # hits are counted per read before they move on
     return reads.join(broadcast_if_small(materialize(seeds, "seeds")), "kmer").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).groupBy("item_id").agg(F.sum("n").alias("hits"), F.count("*").alias("docs"))
 
