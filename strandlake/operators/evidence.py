@@ -70,7 +70,8 @@ def split_events(found: DataFrame, major_clip: int) -> DataFrame:
 
 def seed_regions(hits: DataFrame, k: int, least: int) -> DataFrame:
     """Runs of k-mer hits (query, ref, query_pos, ref_pos) along a diagonal, of least bases or more: query, ref, begin, ref_begin, length."""
-    along = hits.distinct().withColumn("_diagonal", F.col("ref_pos") - F.col("query_pos"))
+    # one shuffle serves equal hits, runs and regions
+    along = hits.repartition("query", "ref").distinct().withColumn("_diagonal", F.col("ref_pos") - F.col("query_pos"))
     order = Window.partitionBy("query", "ref", "_diagonal").orderBy("query_pos")
     run = F.col("query_pos") - F.row_number().over(order)
     found = along.withColumn("_run", run).groupBy("query", "ref", "_diagonal", "_run").agg(F.min("query_pos").alias("begin"), (F.count("*") + k - 1).alias("length"))

@@ -116,8 +116,8 @@ regions AS (SELECT query, ref, min(query_pos) AS begin, min(ref_pos) AS ref_begi
 
 
 def _regions(spark, sf_dir) -> DataFrame:
-    refs = table(spark, sf_dir, "benchmark").select(c("item_id").alias("ref"), F.explode(S.kmers(bases(c("text")), 16)).alias("k")).select("ref", c("k.pos").alias("ref_pos"), "k.kmer")
-    reads = sequences(spark, sf_dir).select(c("doc_id").alias("query"), F.explode(S.kmers(c("seq"), 16)).alias("k")).select("query", c("k.pos").alias("query_pos"), "k.kmer")
+    refs = S.kmer_rows(table(spark, sf_dir, "benchmark").select(c("item_id").alias("ref"), bases(c("text")).alias("seq")), "seq", 16).withColumnRenamed("pos", "ref_pos")
+    reads = S.kmer_rows(sequences(spark, sf_dir).withColumnRenamed("doc_id", "query"), "seq", 16).withColumnRenamed("pos", "query_pos")
     return evidence.seed_regions(reads.join(broadcast_if_small(materialize(refs, "seeds")), "kmer").select("query", "ref", "query_pos", "ref_pos"), 16, 20)
 
 
