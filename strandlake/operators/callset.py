@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.operators import genotype
@@ -12,21 +12,37 @@ from strandlake.storage import broadcast_if_small, materialize
 c = F.col
 
 
-def nearest_pair_events(splits: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+def nearest_pair_events(splits: DataFrame, pairs: DataFrame, width: int | None = None) -> DataFrame:
     """(split_id, pair_id, distance): for each split event (family, split_id, pos) the pair event (family, pair_id, at, pos3, pos5, reach) that is nearest.
 
     The distance is to the nearer of a pair event's two sides and must not pass its own reach. Of equally near ones, one at or before the split event goes
-    first, then the closest place, then the smaller id. Pair events are dealt into bins of width places around both sides; no pairs beyond reach are made
-    but within a bin.
+    first, then the closest place, then the smaller id. Places are asked for and told in cells as wide as a reach, where running windows find the next side
+    before and behind each; so rows grow with the places and the different reaches of a family, however dense they are. Pair events that differ in id alone
+    count once. width is no longer needed.
     """
     sides = F.explode(F.array_distinct(F.array("pos3", "pos5"))).alias("side")
-    spread = pairs.select("family", "pair_id", "at", "pos3", "pos5", "reach", sides)
-    spread = spread.withColumn("bin", F.explode(F.sequence(F.floor((c("side") - c("reach")) / width), F.floor((c("side") + c("reach")) / width)))).drop("side").distinct()
-    met = splits.withColumn("bin", F.floor(c("pos") / width)).join(spread, ["family", "bin"])
-    distance = F.least(F.abs(c("pos") - c("pos3")), F.abs(c("pos") - c("pos5")))
-    near = met.withColumn("distance", distance).filter(c("distance") <= c("reach"))
-    rank = F.struct("distance", (c("at") > c("pos")).alias("behind"), F.abs(c("at") - c("pos")).alias("off"), "pair_id")
-    return near.groupBy("split_id").agg(F.min(rank).alias("m")).select("split_id", "m.pair_id", "m.distance")
+    told = pairs.filter("reach >= 0").select("family", "reach", "at", "pair_id", sides).filter("side IS NOT NULL").groupBy("family", "reach", "side", "at").agg(F.min("pair_id").alias("pair_id"))
+    told = materialize(told, "pair-sides")
+    cell = lambda at: F.floor(at / F.greatest(c("reach"), F.lit(1))).alias("cell")
+    sides = told.select("family", "reach", c("side").cast("long").alias("x"), c("side").cast("long").alias("told"), cell(c("side")))
+    # a side within reach lies in the place's own cell or in one beside it, of which the nearest edge is enough
+    edges = sides.groupBy("family", "reach", "cell").agg(F.min("told").alias("low"), F.max("told").alias("high"))
+    beside = edges.select("family", "reach", F.explode(F.array(F.struct(c("high").alias("x"), (c("cell") + 1).alias("cell")), F.struct(c("low").alias("x"), (c("cell") - 1).alias("cell")))).alias("e"))
+    beside = beside.select("family", "reach", "e.x", c("e.x").alias("told"), "e.cell")
+    places = splits.select("family", c("pos").cast("long").alias("x")).filter("x IS NOT NULL").distinct()
+    asked = places.join(broadcast_if_small(told.select("family", "reach").distinct()), "family").select("family", "reach", "x", F.lit(None).cast("long").alias("told"), cell(c("x")))
+    own = Window.partitionBy("family", "reach", "cell").rowsBetween(Window.unboundedPreceding, 0)
+    silent = c("told").isNull()  # at equal places sides are told before they are asked for
+    down, up = F.max("told").over(own.orderBy("x", silent)), F.min("told").over(own.orderBy(F.desc("x"), silent))
+    heard = sides.unionByName(beside).unionByName(asked).withColumns({"down": down, "up": up}).filter(silent)
+    met = heard.select("family", "reach", "x", F.explode(F.array_distinct(F.array("down", "up"))).alias("side")).withColumn("distance", F.abs(c("x") - c("side"))).filter(c("distance") <= c("reach"))
+    # of all sides that are as near, one on either hand for each reach
+    near = met.groupBy("family", "x").agg(F.min("distance").alias("distance"), F.collect_list(F.struct("distance", "reach", "side")).alias("sides"))
+    tied = near.select("family", "x", "distance", F.explode(F.filter("sides", lambda s: s["distance"] == c("distance"))).alias("s")).select("family", "x", "distance", "s.reach", "s.side")
+    rank = F.struct((c("at") > c("x")).alias("behind"), F.abs(c("at") - c("x")).alias("off"), "pair_id")
+    best = tied.join(told, ["family", "reach", "side"]).groupBy("family", "x", "distance").agg(F.min(rank).alias("m"))
+    found = splits.join(best.withColumnRenamed("x", "pos"), ["family", "pos"]).groupBy("split_id").agg(F.min(F.struct("distance", "m.behind", "m.off", "m.pair_id")).alias("m"))
+    return found.select("split_id", "m.pair_id", "m.distance")
 
 
 def merged_events(splits: DataFrame, pairs: DataFrame, absorbed: DataFrame) -> DataFrame:
