@@ -138,7 +138,8 @@ def difference_tags(seq: Column, ref: Column, cigar: Column) -> Column:
             read, base = at(seq, run["read"] + i), at(ref, run["ref"] + i)
             return F.when((read == base) & (base != "N"), "=").otherwise(base)
 
-        deleted = F.concat(F.lit("^"), F.substring(ref, (run["ref"] + 1).cast("int"), run["len"]))
+        # a space ends the deleted bases, which substituted ones may follow
+        deleted = F.concat(F.lit("^"), F.substring(ref, (run["ref"] + 1).cast("int"), run["len"]), F.lit(" "))
         return F.when(run["op"] == "D", deleted).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), run["len"] - 1), one), ""))
 
     marks = F.array_join(F.transform(F.filter(walk(cigar), lambda run: run["len"] > 0), marked), "")
