@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.storage import materialize
 
+#: Pairs of points that a task compares at once, those of so many rows; widest bounds in a tile.
+BLOCK, ROWS, TILE = 1 << 18, 128, 32
+
 
 def _around(places: DataFrame, key: str, point: str, bound: int, value: Column, gather) -> DataFrame:
     """(key, point, found): gather of value over the places within bound of each place, itself included.
@@ -69,23 +76,64 @@ def strand_vote(pairs: DataFrame, keys: list[str], side: str, reverse: Column) -
     return pairs.groupBy(*keys).agg(F.sum(F.when(agrees, 1).otherwise(-1)).alias("sense"))
 
 
+def _within(asked: pd.DataFrame, told: pd.DataFrame) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Blocks of asked rows (f, s, b1, b2) and of told rows (f, s), both sorted by f, with a table of which of these lie within the bounds of those; blocks hold
+    about BLOCK pairs."""
+    f, s, b1, b2 = (asked[x].to_numpy() for x in ("f", "s", "b1", "b2"))
+    g, t = told["f"].to_numpy(), told["s"].to_numpy()
+    for i in range(0, len(asked), ROWS):
+        own = slice(i, i + ROWS)
+        low, high = np.searchsorted(g, (f[own] - b1[own]).min()), np.searchsorted(g, (f[own] + b1[own]).max(), "right")
+        for j in range(low, high, max(1, BLOCK // ROWS)):
+            part = slice(j, min(high, j + max(1, BLOCK // ROWS)))
+            yield own, part, (np.abs(f[own, None] - g[part]) <= b1[own, None]) & (np.abs(s[own, None] - t[part]) <= b2[own, None])
+
+
+def _counted(asked: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    if asked.empty:  # a tile's edge alone
+        return pd.DataFrame({x: asked.get(x, []) for x in ("key", "row", "f", "s", "b1", "b2")} | {"density": []})
+    asked, told = asked.sort_values("f"), told.sort_values("f")
+    n, density = told["n"].to_numpy().astype(np.float64), np.zeros(len(asked), np.int64)
+    for own, part, near in _within(asked, told):
+        density[own] += (near @ n[part]).astype(np.int64)
+    return asked.assign(density=density)[density > 0].drop(columns="tile")
+
+
+def _led(asked: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    if asked.empty:  # a tile's edge alone
+        return pd.DataFrame({x: asked.get(x, []) for x in ("key", "row", "density")} | {"centre": []})
+    asked, told = asked.sort_values("f"), told.sort_values(["rank", "f", "s", "row"])
+    rows = told["row"].to_numpy()
+    told = told.assign(place=np.arange(len(told))).sort_values("f")
+    place, best = told["place"].to_numpy(), np.full(len(asked), len(told))
+    for own, part, near in _within(asked, told):
+        best[own] = np.minimum(best[own], np.where(near, place[part], len(told)).min(axis=1))
+    return asked[["key", "row", "density"]].assign(centre=rows[best])
+
+
 def mountain(points: DataFrame, key: str, row: str, first: str, second: str, bound_1: str, bound_2: str) -> DataFrame:
     """(key, row, density, centre) in two dimensions, each point with its own bounds: its density counts the points within them, its
     centre is the one of these with the highest density, the first in order of first, second and row if several.
 
-    A centre always ranks before its point, so chains of centres have no rings. Bins are as wide as the widest bound.
+    A centre always ranks before its point, so chains of centres have no rings. Points meet in tiles of TILE times the widest bound, places near an edge
+    also in the next one; pairs are compared in blocks inside a task and never become rows, so about two rows a point are shuffled, twice. A task
+    holds the places of one tile of a key. Points at one place are told once.
     """
     width = int(points.agg(F.max(bound_1)).first()[0] or 1)
-    right = points.select(F.col(key).alias("_key"), F.col(row).alias("other"), F.col(first).alias("_f"), F.col(second).alias("_s"))
-    right = right.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("_f") - width) / width), F.floor((F.col("_f") + width) / width))))
-    left = points.select(key, row, first, second, bound_1, bound_2).withColumn("_own", F.floor(F.col(first) / width))
-    met = left.join(right, (F.col(key) == F.col("_key")) & (F.col("_own") == F.col("_bin")))
-    met = met.filter((F.abs(F.col(first) - F.col("_f")) <= F.col(bound_1)) & (F.abs(F.col(second) - F.col("_s")) <= F.col(bound_2))).select(key, row, "other")
-    dense = met.groupBy(key, row).agg(F.count("*").alias("density"))
-    place = F.struct((-F.col("density")).alias("d"), F.col(first).alias("f"), F.col(second).alias("s"), F.col(row).alias("r"))
-    rank = materialize(dense.join(points.select(key, row, first, second), [key, row]).select(key, F.col(row).alias("other"), "density", place.alias("rank")), "mountain")
-    best = met.join(rank.select(key, "other", "rank"), [key, "other"]).groupBy(key, row).agg(F.min("rank").alias("best"))
-    return best.join(rank.select(key, F.col("other").alias(row), "density"), [key, row]).select(key, row, "density", F.col("best.r").alias("centre"))
+    kind = {x.name: x.dataType.simpleString() for x in points.schema}
+    named = points.select(F.col(key).alias("key"), F.col(row).alias("row"), *[F.col(x).alias(y) for x, y in ((first, "f"), (second, "s"), (bound_1, "b1"), (bound_2, "b2"))]).dropna(subset=["key", "f", "s"])
+    tile = lambda at: F.floor(at / (TILE * width))
+
+    def met(asked: DataFrame, told: DataFrame, gather, schema: str) -> DataFrame:
+        # both sides come from the same points: told columns get attributes of their own
+        spread = told.select(*[F.col(x).alias(x) for x in told.columns]).withColumn("tile", F.explode(F.sequence(tile(F.col("f") - width), tile(F.col("f") + width))))
+        return asked.withColumn("tile", tile(F.col("f"))).groupBy("key", "tile").cogroup(spread.groupBy("key", "tile")).applyInPandas(gather, schema)
+
+    own = f"key {kind[key]}, row {kind[row]}, f {kind[first]}, s {kind[second]}, b1 {kind[bound_1]}, b2 {kind[bound_2]}, density long"
+    dense = materialize(met(named.dropna(), named.groupBy("key", "f", "s").agg(F.count("*").alias("n")), _counted, own), "mountain")
+    lead = dense.groupBy("key", "f", "s").agg(F.min(F.struct((-F.col("density")).alias("rank"), "row")).alias("m")).select("key", "f", "s", "m.*")
+    best = met(dense, lead, _led, f"key {kind[key]}, row {kind[row]}, density long, centre {kind[row]}")
+    return best.withColumnsRenamed({"key": key, "row": row})
 
 
 def finalized(linked: DataFrame, key: str, row: str, min_density: int) -> DataFrame:
