@@ -11,7 +11,7 @@ from strandlake.functions import alignment as A
 from strandlake.functions import pairwise
 from strandlake.functions import sequence as S
 from strandlake.operators import cluster, genotype, library, population, ranges, toolkit
-from strandlake.storage import broadcast_if_small, materialize
+from strandlake.storage import broadcast_if_small, dealt_by_work, materialize
 
 from .views import ALIGNMENTS, INTERVALS, SEQUENCES, alignments, bases, intervals, sequences, table
 
@@ -347,7 +347,9 @@ def k04_merge_streams(spark, sf_dir):
 @query()
 def u01_smith_waterman(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(F.struct("conv_id", F.floor(F.col("turn") / 2).alias("pair")).alias("name"), (F.col("turn") % 2).alias("half"), bases(F.col("text")).alias("seq"))
-    paired = toolkit.mates(turns, "name", F.col("half") == 0, F.col("half") == 1, ["seq"])
+    paired = materialize(toolkit.mates(turns, "name", F.col("half") == 0, F.col("half") == 1, ["seq"]), "turns")
+    cells = paired.agg(F.sum(F.length("seq_1").cast("long") * F.length("seq_2"))).first()[0]
+    paired = dealt_by_work(paired, cells)
     return paired.select("name.conv_id", "name.pair", pairwise.local_alignment(F.col("seq_1"), F.col("seq_2")).alias("a")).select("conv_id", "pair", "a.*")
 
 
