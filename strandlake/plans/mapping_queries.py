@@ -35,7 +35,7 @@ def _chimera(own: Column, special: Column) -> Column:
 
 def _orphans(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(orphans, references): of each document long enough one read across an insertion, its anchor before or behind it in turn."""
-    refs = sequences(spark, sf_dir).select(c("doc_id").alias("ref_id"), "seq")
+    refs = materialize(sequences(spark, sf_dir).select(c("doc_id").alias("ref_id"), "seq"), "references")
     library = _library(spark, sf_dir)
     n = max(1, library.count())
     special = library.select(c("ref_id").alias("special"), c("seq").alias("special_seq"))
@@ -43,10 +43,10 @@ def _orphans(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     read = _chimera(c("seq"), c("special_seq"))
     forward = c("ref_id") % 2 == 1
     place = F.when(forward, _PLACE - 3 * _HALF).otherwise(_PLACE + 2 * _HALF)
-    return reads.select(
+    return materialize(reads.select(
         c("ref_id").alias("id"), "ref_id", place.cast("long").alias("pos"), (place + _HALF - 1).cast("long").alias("end"), forward.alias("forward"),
         F.lit(_HIGH).alias("high"), F.when(forward, reverse_complement(read)).otherwise(read).alias("read"),
-    ), refs
+    ), "orphans"), refs
 
 
 @query()
