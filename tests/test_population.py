@@ -214,3 +214,13 @@ def test_site_tests(spark):
         assert r.allele_p == pytest.approx(one(like(p[:6], mating(f1)) + like(p[6:], mating(f2)) - like(p, mating(f))), abs=2e-3)
         assert r.genotype_p == pytest.approx(math.exp(-max(0, like(p[:6], g1) + like(p[6:], g2) - like(p, g))), abs=2e-3)
     assert min(r.hwe_p for k, r in got.items() if k % 5 == 4 and k < 90) < 0.01 and all(r.frequency_1 is None for r in likelihoods.site_tests(df, ["k"], 0).collect())
+
+
+def test_counts_of_sites_reach_python_as_plain_numbers(spark):
+    rows = [(1, "ACGT"[b], bool(s), q) for b in range(4) for s in (0, 1) for q in (5, 30, 61)] + [(2, "A", None, 20)] * 3
+    found = likelihoods.base_likelihoods(spark.createDataFrame(rows, "site long, base string, reverse boolean, qual int"), ["site"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten(" in plan and "struct(" not in plan
+    got = {r.site: list(r)[2:] for r in found.collect()}
+    assert got[1] == likelihoods.likelihoods_of([(b, s, q, 1) for b in range(4) for s in (0, 1) for q in (5, 30, 61)])
+    assert got[2] == likelihoods.likelihoods_of([(0, 0, 20, 3)])
