@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandlake.functions import alignment as A
@@ -62,6 +63,32 @@ def test_pileup_shuffles_runs_not_bases(spark):
     assert plan.index("Generate explode(sequence(0") < plan.index("REPARTITION_BY_COL")  # outer operators are printed first
 
 
+def test_bases_never_become_rows(spark):
+    df = spark.createDataFrame([(1, 1, 5, "3M", "ACG")], "id int, ref_id int, pos long, cigar string, seq string")
+    plan = pileup.pileup(df, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan and "collect_list" not in plan
+    # a count's rows are expanded from blocks of places, behind the counting
+    plan = pileup.base_counts(df, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(sequence(0") < plan.index("MapInArrow")
+
+
+def test_equal_keys_odd_reads_and_places_in_parts(spark, monkeypatch):
+    # equal keys go by what is shown; a read without bases shows gaps, beyond its end nothing
+    rows = [(1, 1, 0, "3M", "TTT"), (1, 1, 0, "3M", "ACG"), (None, 1, 1, "2M", "\u00e9G"), (2, 1, 0, "3M", None), (3, 1, 0, "1M2I2M", "A"), (4, None, 0, "1M", "C")]
+    df = spark.createDataFrame(rows, "id int, ref_id int, pos long, cigar string, seq string")
+    got = {(r.ref_id, r.pos): (r.depth, r.column) for r in pileup.pileup(df, ["id"]).collect()}
+    assert got == {(1, 0): (4, "^A^T^*^A+2"), (1, 1): (5, "^\u00e9CT*"), (1, 2): (5, "G$G$T$*$$"), (None, 0): (1, "^C$")}
+    counts = {(r.ref_id, r.pos): r for r in pileup.base_counts(df, ["id"]).collect()}
+    assert [counts[1, 1][x] for x in ("depth", "A", "C", "deleted", "begins")] == [4, 0, 1, 1, 1]
+    piece = pa.RecordBatch.from_pylist(
+        [{"ref_id": 7, "tile": 0, "id": k, "start": k, "len": 20, "bases": "ACGTN" * 4, "begins": True, "ends": False, "next": "D", "next_len": 3} for k in range(30)]
+    )
+    whole = pa.Table.from_batches(pileup._columns(piece, ["id"], 0)).to_pydict()
+    monkeypatch.setattr(pileup, "AT_ONCE", 25)
+    parts = list(pileup._columns(piece, ["id"], 0))
+    assert len(parts) > 20 and pa.Table.from_batches(parts).to_pydict() == whole
+
+
 def test_depths_cross_tiles_and_skip_empty_intervals(spark):
     rows = [(1, 5, 30, 0), (1, 12, 12, 0), (1, 10, 11, 1), (1, 29, 40, 1), (2, -3, 2, 1), (None, 1, 3, 0)]
     df = spark.createDataFrame(rows, "ref int, a long, b long, s int")
