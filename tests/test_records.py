@@ -94,6 +94,18 @@ def test_trios(spark):
         assert r.d == min(sorted(x)[1] - sorted(x)[0] for x in (c, f, m))
 
 
+def test_trios_are_called_in_batches(spark):
+    from strandlake.functions import families
+
+    own = lambda low: [float(low), *[50.5 + k for k in range(9)]]
+    rows = [(1, own(1), own(2), own(3)), (2, None, own(0), own(0)), (3, [None, *own(0)[1:]], own(0), own(0)), (4, own(0)[:4], own(0), own(0))]
+    df = spark.createDataFrame(rows, "k int, c array<double>, f array<double>, m array<double>").select("k", families.trio_call(*map(F.col, "cfm")).alias("t"), families.least_difference(F.array("c", "f")).alias("d"))
+    got = {r.k: r for r in df.collect()}
+    assert (got[1].t.llr, got[1].t.child, got[1].d) == (0, "AA", 48.5) and all(got[k].t.llr is None and got[k].t.child is None for k in (2, 3, 4))
+    # a row's costs are no array of structs that Spark makes for each trio
+    assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_soft_clips(spark):
     df = spark.createDataFrame([("5S10M2I3D4M6S",), ("2H3S4M",), ("4M",), (None,)], "c string")
     tell = lambda padded: [None if r.k is None else [tuple(x) for x in r.k] for r in df.select(A.soft_clips(F.lit(100), F.col("c"), padded).alias("k")).collect()]
