@@ -13,9 +13,10 @@ MIN_PAIRS, MIN_SPLITS = 2, 5
 
 def locus_fragments(sites: DataFrame, fragments: DataFrame, reach: int, beyond: int) -> DataFrame:
     """Fragments (ref_id, start, ...) with the sites (ref_id, site, pos, ...) they may speak for: those that start from reach before a
-    site to beyond behind it. Sites are dealt into bins, fragments stay single rows."""
+    site to beyond behind it. Sites are dealt into bins, fragments stay single rows. Both sides are shuffled by bins, so that what is counted by
+    site behind the join has a task's own sites as groups, not all sites that a part of the file meets."""
     around = sites.withColumns({"_low": F.col("pos") - reach, "_high": F.col("pos") + beyond})
-    return ranges.point_in_range(fragments, around, "ref_id", "start", "_low", "_high", reach + beyond)
+    return ranges.point_in_range(fragments, around, "ref_id", "start", "_low", "_high", reach + beyond, strategy="shuffle_hash")
 
 
 def evidence(met: DataFrame, keys: list[str], min_qual: int, side: int) -> DataFrame:

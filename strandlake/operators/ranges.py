@@ -14,13 +14,15 @@ def _bins(low: Column, high: Column, width: int) -> Column:
     return F.sequence(F.floor(low / width), F.floor(high / width))
 
 
-def point_in_range(points: DataFrame, ranges: DataFrame, key: str, point: str, low: str, high: str, width: int, how: str = "inner") -> DataFrame:
-    """Points joined with the closed ranges around them: inner, left_semi or left_anti; only ranges are replicated into bins."""
+def point_in_range(points: DataFrame, ranges: DataFrame, key: str, point: str, low: str, high: str, width: int, how: str = "inner", strategy: str | None = None) -> DataFrame:
+    """Points joined with the closed ranges around them: inner, left_semi or left_anti; only ranges are replicated into bins. strategy is a join hint for the ranges."""
     binned = ranges.withColumn("_bin", F.explode(_bins(F.col(low), F.col(high), width)))
     if how != "inner":
         binned = binned.select(F.col(key).alias("_key"), "_bin", F.col(low).alias("_low"), F.col(high).alias("_high"))
     else:
         binned = binned.withColumnsRenamed({key: "_key", low: "_low", high: "_high"})
+    if strategy:
+        binned = binned.hint(strategy)
     left = points.withColumn("_at", F.floor(F.col(point) / width))
     on = (left[key] == binned["_key"]) & (left["_at"] == binned["_bin"]) & left[point].between(binned["_low"], binned["_high"])
     joined = left.join(binned, on, how).drop("_at")

@@ -92,3 +92,16 @@ def test_islands_and_gaps_cross_tiles(spark):
     for tile in (5, 50, 1 << 32):
         assert sorted(map(tuple, ranges.islands(df, ["k"], "a", "b", tile).collect())) == sorted(islands)
         assert sorted(map(tuple, ranges.gap_merge(df.filter("k <> 'c'"), ["k"], "a", 3, tile).collect())) == sorted(runs)
+
+
+def test_fragments_meet_sites_in_shuffled_bins(spark):
+    # a broadcast of the sites would leave groups of all sites to the counts in each part of the file
+    from strandlake.operators import evidence
+
+    sites = spark.createDataFrame([(k, 0, 10 * k) for k in range(30)], "site long, ref_id int, pos long")
+    fragments = spark.createDataFrame([(0, k, k % 2) for k in range(0, 320, 3)], "ref_id int, start long, sample int")
+    met = evidence.locus_fragments(sites, fragments, 50, 5).groupBy("site").agg(F.count("*").alias("n"))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
+    want = {k: sum(10 * k - 50 <= s <= 10 * k + 5 for s in range(0, 320, 3)) for k in range(30)}
+    assert {r.site: r.n for r in met.collect()} == want
