@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.operators import ranges
+from strandlake.storage import dealt_for_sorting
 
 #: A site is kept with so many read pairs on both sides, or so many split reads.
 MIN_PAIRS, MIN_SPLITS = 2, 5
@@ -52,8 +53,10 @@ def partials(records: DataFrame, min_clip: int) -> DataFrame:
 def split_events(found: DataFrame, major_clip: int) -> DataFrame:
     """Islands of partials on a reference: their extent, sides, major members, longest clip, and the poll of their families and strands.
 
-    The family and strand most partials agree on wins, the first in order if several; agree is its share.
+    The family and strand most partials agree on wins, the first in order if several; agree is its share. Partials are counted first and
+    dealt by reference into tasks of like size, which windows and polls share.
     """
+    found = dealt_for_sorting(found, found.count(), "ref_id")
     order = Window.partitionBy("ref_id").orderBy("pos", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = found.withColumn("_new", F.when(F.col("pos") <= reach, 0).otherwise(1))

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandlake.storage import dealt_for_sorting
+
 c = F.col
 #: Places of a tile, and into how many parts a tile's runs are dealt for counting.
 TILE, SALTS = 1 << 12, 8
@@ -243,7 +245,8 @@ def _shown(x: int) -> str:
 def pileup(records: DataFrame, keys: list[str]) -> DataFrame:
     """(ref_id, pos, depth, column): the bases at each place in the order of keys, `*` for a deletion; `^` leads a segment's first base, `$` follows its last,
     `+n` and `-n` follow the last base before an insertion or a deletion of n bases. A place's column is as long as its depth; a task holds the runs of one tile."""
-    dealt = runs(records, keys, COLUMN_TILE).repartition("ref_id", "tile").select("ref_id", "tile", *keys, "start", "len", "bases", "begins", "ends", "next", "next_len")
+    # a record has some runs of its own
+    dealt = dealt_for_sorting(runs(records, keys, COLUMN_TILE), 4 * records.count(), "ref_id", "tile").select("ref_id", "tile", *keys, "start", "len", "bases", "begins", "ends", "next", "next_len")
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

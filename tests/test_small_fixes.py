@@ -105,3 +105,16 @@ def test_fragments_meet_sites_in_shuffled_bins(spark):
     assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
     want = {k: sum(10 * k - 50 <= s <= 10 * k + 5 for s in range(0, 320, 3)) for k in range(30)}
     assert {r.site: r.n for r in met.collect()} == want
+
+
+def test_sorted_tasks_grow_in_number(spark, monkeypatch):
+    from strandlake import storage
+    from strandlake.operators import evidence, pileup
+
+    monkeypatch.setattr(storage, "SORTED_ROWS", 4)
+    found = spark.createDataFrame([(k % 25, k, k + 3, "A", False, 3 + k % 2 * 2, 9) for k in range(100)], "ref_id int, pos long, end long, family string, reverse boolean, side int, clip int")
+    events = evidence.split_events(found, 8)
+    assert "REPARTITION_BY_NUM" in (plan := events._jdf.queryExecution().executedPlan().toString()) and ", 25)" in plan
+    assert events.agg(F.sum(F.col("n3") + F.col("n5"))).first()[0] == 100 and events.count() == 100
+    records = spark.range(20).selectExpr("id", "0 AS ref_id", "id AS pos", "'2M' AS cigar", "'AC' AS seq")
+    assert ", 20)" in pileup.pileup(records, ["id"])._jdf.queryExecution().executedPlan().toString()
