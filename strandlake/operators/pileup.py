@@ -157,8 +157,8 @@ def base_counts(records: DataFrame, keys: list[str], letters: str = "ACGTN") ->
 
     A tile's runs are dealt into SALTS parts and counted there, so a place that everything covers is no single task's. A task holds the counts of one tile.
     """
-    salt = F.pmod(F.xxhash64(*keys, "start"), F.lit(SALTS)).cast("int")
-    dealt = runs(records, keys).withColumn("salt", salt).select("ref_id", "tile", "salt", "start", "len", "bases", "begins", "ends", "next").repartition("ref_id", "tile", "salt")
+    salt = F.pmod(F.xxhash64(*keys, "pos"), F.lit(SALTS)).cast("int").alias("salt")
+    dealt = runs(records.select(salt, "ref_id", "pos", "cigar", "seq"), ["salt"]).select("ref_id", "tile", "salt", "start", "len", "bases", "begins", "ends", "next").repartition("ref_id", "tile", "salt")
     names = [*letters, "deleted", "depth", "begins", "ends", "insertions", "deletions"]
     kinds = {ord(x): k for k, x in enumerate(letters)} | {_GAP: len(letters)}
     kind_of = np.full(max(kinds) + 2, len(kinds))
