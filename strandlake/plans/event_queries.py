@@ -54,7 +54,8 @@ g AS (SELECT *, ch + non_support * log10(0.999) + support * log10(0.001) AS a, c
 
 @query(f"WITH {_CALLED} SELECT site, sample, non_support, support, CASE WHEN non_support + support = 0 THEN '.' WHEN a >= b AND a >= d THEN '0/0' WHEN b >= d THEN '0/1' ELSE '1/1' END AS gt FROM g")
 def j11_locus_genotypes(spark, sf_dir):
-    counts = _site_counts(spark, sf_dir)
+    # stored, as they are both genotyped and summed over samples
+    counts = materialize(_site_counts(spark, sf_dir), "site-counts")
     called = genotype.genotype(counts.join(evidence.supported(counts, ["site"]), "site", "left_semi").withColumns({"n_ref": c("non_support"), "n_alt": c("support")}))
     return called.select("site", "sample", "non_support", "support", "gt")
 

@@ -118,3 +118,10 @@ def test_sorted_tasks_grow_in_number(spark, monkeypatch):
     assert events.agg(F.sum(F.col("n3") + F.col("n5"))).first()[0] == 100 and events.count() == 100
     records = spark.range(20).selectExpr("id", "0 AS ref_id", "id AS pos", "'2M' AS cigar", "'AC' AS seq")
     assert ", 20)" in pileup.pileup(records, ["id"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_site_counts_are_made_once_for_genotypes(spark):
+    from strandlake.plans import catalogue
+
+    plan = catalogue.QUERIES["j11_locus_genotypes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and plan.count("site-counts") == 2
