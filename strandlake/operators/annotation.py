@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import pairwise
-from strandlake.functions.sequence import kmers, reverse_complement
+from strandlake.functions.sequence import kmer_rows, reverse_complement
 from strandlake.operators.evidence import seed_regions
-from strandlake.storage import broadcast_if_small
+from strandlake.storage import broadcast_if_small, dealt_by_work, materialize
 
 c = F.col
+#: A two_bit_key holds so many bases at most.
+_KEY = 31
 
 
 def best_cover_pairs(regions: DataFrame) -> DataFrame:
@@ -40,12 +42,15 @@ def special_hits(reads: DataFrame, library: DataFrame, k: int = 7, least: int =
 
     On either strand the longest run of k-mer hits, the first by reference and place if several, must have `least` bases; the read is aligned to that
     reference's part within a read's length of it and must score as `required` matches do. The read's own strand goes first. A library beyond what is
-    broadcast is joined by shuffles.
+    broadcast is joined by shuffles. A run of k-mer hits with `least` bases is an equal stretch of both, so it is looked for by its longer k-mers, of which
+    few are shared by chance. Alignments are dealt into tasks by cells.
     """
+    least = max(k, least)
+    k = min(least, _KEY)
     strands = F.explode(F.array(F.struct(F.lit(False).alias("turned"), c("read").alias("seq")), F.struct(F.lit(True).alias("turned"), reverse_complement(c("read")).alias("seq")))).alias("s")
     both = reads.select("id", strands).select("id", "s.*")
-    seeds = library.select(c("ref_id").alias("ref"), F.explode(kmers(c("seq"), k)).alias("k")).select("ref", c("k.pos").alias("ref_pos"), "k.kmer")
-    asked = both.select(F.struct("id", "turned").alias("query"), F.explode(kmers(c("seq"), k)).alias("k")).select("query", c("k.pos").alias("query_pos"), "k.kmer")
+    seeds = kmer_rows(library.select(c("ref_id").alias("ref"), "seq"), "seq", k).withColumnRenamed("pos", "ref_pos")
+    asked = kmer_rows(both, "seq", k).select(F.struct("id", "turned").alias("query"), c("pos").alias("query_pos"), "kmer")
     hits = asked.join(broadcast_if_small(seeds), "kmer").select("query", "ref", "query_pos", "ref_pos")
     row = F.struct((-c("length")).alias("n"), "ref", "ref_begin", "begin")
     best = seed_regions(hits, k, least).groupBy("query").agg(F.min(row).alias("b")).select("query.*", "b.*")
@@ -53,6 +58,8 @@ def special_hits(reads: DataFrame, library: DataFrame, k: int = 7, least: int =
     n = F.length("seq")
     low = F.greatest(c("ref_begin") - n, F.lit(0))
     part = F.substring(c("bases"), (low + 1).cast("int"), (c("ref_begin") + n - low + 1).cast("int"))
-    aligned = placed.withColumn("a", pairwise.local_alignment(part, c("seq"), never="N")).filter(c("a.score") >= 2 * required)
-    first = F.struct("turned", "ref", c("a.score").alias("score"), "begin", (-c("n")).alias("length"))
+    pairs = materialize(placed.select("id", "turned", "ref", "n", "begin", "seq", part.alias("part")), "placed-reads")
+    dealt = dealt_by_work(pairs, pairs.agg(F.sum(F.length("part").cast("double") * n)).first()[0])
+    aligned = dealt.withColumn("score", pairwise.local_score(c("part"), c("seq"), never="N")).filter(c("score") >= 2 * required)
+    first = F.struct("turned", "ref", "score", "begin", (-c("n")).alias("length"))
     return aligned.groupBy("id").agg(F.min(first).alias("x")).select("id", c("x.ref").alias("ref_id"), "x.turned", "x.score", "x.begin", "x.length")

@@ -33,10 +33,12 @@ def _chimera(own: Column, special: Column) -> Column:
     return F.concat(F.substring(own, F.lit(_PLACE + 1), F.lit(_HALF)), F.when(c("ref_id") % 3 == 0, F.repeat(F.when(c("ref_id") % 5 == 0, "T").otherwise("A"), F.lit(9))).otherwise(F.lit("")), part)
 
 
-def _orphans(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(orphans, references): of each document long enough one read across an insertion, its anchor before or behind it in turn."""
-    refs = materialize(sequences(spark, sf_dir).select(c("doc_id").alias("ref_id"), "seq"), "references")
-    library = _library(spark, sf_dir)
+def _references(spark, sf_dir) -> DataFrame:
+    return sequences(spark, sf_dir).select(c("doc_id").alias("ref_id"), "seq")
+
+
+def _orphans(refs: DataFrame, library: DataFrame) -> DataFrame:
+    """Of each reference long enough one read across an insertion, its anchor before or behind it in turn."""
     n = max(1, library.count())
     special = library.select(c("ref_id").alias("special"), c("seq").alias("special_seq"))
     reads = refs.filter(F.length("seq") >= 2 * _PLACE).withColumn("special", c("ref_id") % n).join(special, "special")
@@ -46,18 +48,20 @@ def _orphans(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return materialize(reads.select(
         c("ref_id").alias("id"), "ref_id", place.cast("long").alias("pos"), (place + _HALF - 1).cast("long").alias("end"), forward.alias("forward"),
         F.lit(_HIGH).alias("high"), F.when(forward, reverse_complement(read)).otherwise(read).alias("read"),
-    ), "orphans"), refs
+    ), "orphans")
 
 
 @query()
 def u02_first_mapping(spark, sf_dir):
-    orphans, refs = _orphans(spark, sf_dir)
+    refs = materialize(_references(spark, sf_dir), "references")
+    orphans = _orphans(refs, _library(spark, sf_dir))
     return M.first_partials(orphans, refs).select("id", "ref_pos", "ref_end", "read_pos", "read_end", "score", "cigar", "side", "reversed", "rescued")
 
 
 @query()
 def u03_second_mapping(spark, sf_dir):
-    orphans, refs = _orphans(spark, sf_dir)
+    refs = materialize(_references(spark, sf_dir), "references")
+    orphans = _orphans(refs, _library(spark, sf_dir))
     firsts = materialize(M.first_partials(orphans, refs), "first-partials")
     events = firsts.withColumn("event", F.floor(c("id") / 10)).select("id", "event", "read", "read_pos", "read_end", "side")
     return M.second_partials(events, _library(spark, sf_dir))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.operators import annotation, pileup
+from strandlake.storage import materialize
 
 from .catalogue import query
 from .event_queries import _HITS, _regions
-from .mapping_queries import _library, _orphans
+from .mapping_queries import _PLACE, _library, _orphans, _references
 from .pair_queries import _P
 from .views import pairs
 
@@ -51,4 +52,7 @@ def c11_cover_pairs(spark, sf_dir):
 
 @query()
 def u05_special_hits(spark, sf_dir):
-    return annotation.special_hits(_orphans(spark, sf_dir)[0].select("id", "read"), _library(spark, sf_dir).select("ref_id", "seq"), required=30)
+    library = _library(spark, sf_dir)
+    # reads are taken from a reference's first bases
+    refs = materialize(_references(spark, sf_dir).withColumn("seq", F.substring("seq", 1, 2 * _PLACE)), "references")
+    return annotation.special_hits(_orphans(refs, library).select("id", "read"), library.select("ref_id", "seq"), required=30)

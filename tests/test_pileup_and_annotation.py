@@ -155,6 +155,37 @@ def test_special_hits(spark):
     assert all(r.ref_id == k % 5 and r.turned == (k % 3 == 0) and r.score >= 100 and r.length >= 60 for k, r in got.items())
 
 
+def test_special_hits_look_up_long_kmers(spark, monkeypatch):
+    """Only k-mers of `least` bases become rows, and the longest runs of 7-mers are found all the same."""
+    rnd = random.Random(12)
+    bases = lambda n: "".join(rnd.choice("AACCGTTN" if n % 2 else "AT") for _ in range(n))
+    turn = lambda x: x.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    library = [(k, bases(150 + k)) for k in range(6)]
+    reads = []
+    for k in range(60):
+        own, at = library[k % 6][1], rnd.randint(0, 90)
+        read = bases(9) + own[at : at + rnd.randint(15, 50)] + bases(11)
+        reads.append((k, turn(read) if k % 3 == 0 else read))
+    made = []
+    monkeypatch.setattr(annotation, "seed_regions", lambda hits, *x, own=annotation.seed_regions: made.append(hits.count()) or own(hits, *x))
+    got = {r.id: (r.turned, r.ref_id, r.begin, r.length) for r in annotation.special_hits(spark.createDataFrame(reads, "id int, read string"), spark.createDataFrame(library, "ref_id int, seq string"), required=0).collect()}
+    want, shared = {}, 0
+    for k, read in reads:
+        for turned, seq in ((False, read), (True, turn(read))):
+            found = []
+            for ref, own in library:
+                hits = {(i, j) for i in range(len(seq) - 6) for j in range(len(own) - 6) if seq[i : i + 7] == own[j : j + 7] and "N" not in seq[i : i + 7]}
+                shared += sum(seq[i : i + 20] == own[j : j + 20] and "N" not in seq[i : i + 20] for i in range(len(seq) - 19) for j in range(len(own) - 19))
+                for i, j in hits:
+                    if (i - 1, j - 1) not in hits:
+                        n = next(n for n in range(1, 200) if (i + n, j + n) not in hits) + 6
+                        found += [(-n, ref, j, i)] if n >= 20 else []
+            if found and k not in want:
+                want[k] = (turned, min(found)[1], min(found)[3], -min(found)[0])
+    assert got == want and len(want) > 30
+    assert made == [shared]
+
+
 def plain_tags(seq, ref, cigar):
     md, same, nm, i, j = "", 0, 0, 0, 0
     for n, op in ((int(n), op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar)):
