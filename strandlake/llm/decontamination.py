@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table
+from .common import scratch_path, small_batches, table
 
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION_OVERLAP, ANSWER_OVERLAP, WHOLE_OVERLAP = 0.5, 0.5, 0.5, 0.5
@@ -250,7 +250,7 @@ def _searcher(index: Broadcast, threshold: float, question: float, answer: float
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, as they are, without those that hold a test item."""
-    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    rows = small_batches(docs).select(F.struct(*docs.columns).alias("doc"))
     for own in _passes(item_blocks(benchmark)):
         rows = rows.withColumn("leaks", leaks_of(F.col("doc.text"), own)).filter(F.size("leaks") == 0).select("doc")
     return rows.select("doc.*")

@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, table
+from .common import broadcast_if_small, materialize, small_batches, table
 from .graph import components
 
 ORDERS = 3
@@ -343,7 +343,7 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 def classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_key, node, n_shingles) of docs (doc_id, text), and the nodes (node, members, n_links > 0 as linked, label, min_id, component_id)."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, n))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(small_batches(docs), n))
     rows = materialize(signatures(docs, frequent, n, percent), "signatures")
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(
         F.count("*").alias("members"), F.min("doc_id").alias("min_id"),

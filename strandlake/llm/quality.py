@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -138,7 +138,7 @@ def with_quality(docs: DataFrame, text: str | Column = "text", out: str = "quali
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents kept, with their cleaned text; all columns of docs, n_chars (if there) follows the text."""
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), quality_report("text").alias("q")).filter("q.kept")
+    rows = small_batches(docs).select(F.struct(*docs.columns).alias("doc"), quality_report("text").alias("q")).filter("q.kept")
     new = {"text": F.col("q.clean_text"), "n_chars": F.length("q.clean_text").cast("long")}
     return rows.select(*[new[c].alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns])
 
