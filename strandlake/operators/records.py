@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +82,26 @@ def fastq_text(name: Column, flag: Column, bases: Column, quals: Column) -> Colu
     return F.concat(F.lit("@"), name, half, F.lit("\n"), read, F.lit("\n+\n"), scores)
 
 
+class _Numbers(dict):
+    """Numbers of qualities by their code points, as texts."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = n = str(code - 33)
+        return n
+
+
+_numbers = _Numbers()
+
+
+def _scores(quals: Column) -> Column:
+    """Qualities as numbers with commas between them."""
+
+    def shown(batches: pd.Series) -> pd.Series:
+        return batches.map(lambda x: ",".join(map(_numbers.__getitem__, map(ord, x))), na_action="ignore")
+
+    return F.pandas_udf(shown, "string")(quals)
+
+
 def json_text(record: dict[str, Column]) -> Column:
     """A record as a line of JSON; a reference or mate that isn't known, no CIGAR and no bases have no member. Places count from 1.
 
@@ -88,17 +109,20 @@ def json_text(record: dict[str, Column]) -> Column:
     """
     r = record
     text = lambda x: x.cast("string")
-    quoted = lambda x: F.to_json(F.array(text(x))).substr(F.lit(2), F.length(F.to_json(F.array(text(x)))) - 2)
+    written = lambda x: F.to_json(F.array(x)).substr(F.lit(2), F.length(F.to_json(F.array(x))) - 2)
+    # most texts have nothing to escape
+    quoted = lambda x: F.when(text(x).isNull() | text(x).rlike(r'[\x00-\x1f"\\]'), written(text(x))).otherwise(F.concat(F.lit('"'), text(x), F.lit('"')))
     member = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
     some = lambda x: F.coalesce(F.length(x), F.lit(0)) > 0
-    ops = F.transform(A.cigar_ops(r["cigar"]), lambda x: F.concat(F.lit('"'), text(x["len"]), x["op"], F.lit('"')))
-    scores = F.transform(F.filter(F.split(r["quals"], ""), lambda x: x != ""), lambda x: text(F.ascii(x) - 33))
+    # numbers lose leading zeros
+    found = F.array_join(F.regexp_extract_all(r["cigar"], F.lit(r"0*(\d+[MIDNSHP=X])"), F.lit(1)), '","')
+    ops = F.when(found == "", "").otherwise(F.concat(F.lit('"'), found, F.lit('"')))
     mate = F.concat(F.lit("{"), member("reference", quoted(r["mate_name"])), F.lit(","), member("position", text(r["mate_pos"] + 1)), F.lit(","), member("insertSize", text(r["insert_size"])), F.lit("}"))
     parts = [
         member("name", quoted(r["name"])), member("alignmentFlag", quoted(r["flag"])), F.when(r["ref_name"].isNotNull(), member("reference", quoted(r["ref_name"]))), member("position", text(r["pos"] + 1)),
-        member("mapQuality", text(r["map_qual"])), F.when(some(r["cigar"]), member("cigar", F.concat(F.lit("["), F.array_join(ops, ","), F.lit("]")))),
+        member("mapQuality", text(r["map_qual"])), F.when(some(r["cigar"]), member("cigar", F.concat(F.lit("["), ops, F.lit("]")))),
         F.when(A.has(r["flag"], A.PAIRED) & r["mate_name"].isNotNull(), member("mate", mate)), F.when(some(r["bases"]), member("queryBases", quoted(r["bases"]))),
-        F.when(some(r["quals"]), member("qualities", F.concat(F.lit("["), F.array_join(scores, ","), F.lit("]")))), member("filename", quoted(r["filename"])),
+        F.when(some(r["quals"]), member("qualities", F.concat(F.lit("["), _scores(r["quals"]), F.lit("]")))), member("filename", quoted(r["filename"])),
     ]
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 

@@ -110,3 +110,18 @@ def test_soft_clips(spark):
     df = spark.createDataFrame([("5S10M2I3D4M6S",), ("2H3S4M",), ("4M",), (None,)], "c string")
     tell = lambda padded: [None if r.k is None else [tuple(x) for x in r.k] for r in df.select(A.soft_clips(F.lit(100), F.col("c"), padded).alias("k")).collect()]
     assert tell(False) == [[(5, 5, 100), (6, 24, 117)], [(3, 0, 100)], [], None] and tell(True)[0] == [(5, 5, 100), (6, 24, 119)]
+
+
+def test_json_text_of_odd_values(spark):
+    """Texts with marks to escape, nulls, leading zeros and letters that no CIGAR has; plain texts are written without a JSON generator in lambdas."""
+    names = ["plain", 'quo"te', "back\\slash", "tab\tline\n", "\x01", "ü\u2028", None]
+    rows = [(n, 1, "chr1", 5, 3, g, "chr2", 7, 9, "ACGT", q, "f") for n in names for g, q in (("007M2I", "I~!"), ("*", ""), (None, None))]
+    schema = "name string, flag int, ref_name string, pos long, map_qual int, cigar string, mate_name string, mate_pos long, insert_size long, bases string, quals string, filename string"
+    df = spark.createDataFrame(rows, schema)
+    shown = df.select("name", "cigar", "quals", R.json_text({x: F.col(x) for x in df.columns}).alias("j"))
+    for r in shown.collect():
+        own = json.loads(r.j)
+        assert own["name"] == r["name"] and own["alignmentFlag"] == "1"
+        assert own.get("cigar") == {"007M2I": ["7M", "2I"], "*": []}.get(r.cigar)
+        assert own.get("qualities") == ([ord(x) - 33 for x in r.quals] if r.quals else None)
+    assert "lambdafunction" not in shown._jdf.queryExecution().optimizedPlan().toString()
